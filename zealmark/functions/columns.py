@@ -7,7 +7,6 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MICROS = 1_000_000.0
 DRAW_RANGE = 4503599627370496.0  # 2**52: thirteen hex digits, exact in a double
 
 

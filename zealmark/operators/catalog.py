@@ -1,10 +1,11 @@
 """Content dimension: which sessions an item event counts for, and on which tracks.
 
-The dimensions are joined with each other first and grouped, with ``fanout``
-counting the rows each combination stands for. A fact is then grouped by item
-*before* it meets the dimension, so it is shuffled once, narrow and partially
-aggregated, and a hot item is one row per task rather than a hot join key.
-Joins carry no broadcast hint: Spark broadcasts a side whose size it has checked.
+The dimension tables are joined with each other and grouped, with ``fanout``
+counting the rows (also copies) that each combination stands for. A fact is
+grouped by item *before* it meets the content, so it is shuffled once, narrow
+and partially aggregated, and a hot item is one row per person rather than a hot
+join key. Joins carry no broadcast hint: Spark broadcasts a side whose size it
+has checked, and otherwise joins by sort-merge with skew splitting.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from zealmark.session import stage
+
 SESSION, SPEAKER = 2, 4  # list types
 SESSION_COLUMNS = ("itemid", "session_name", "filterid", "session_track")
 
@@ -26,50 +29,48 @@ class Dims(NamedTuple):
     item_mapping: DataFrame
 
 
-def enabled_items(dims: Dims, listtype: int, disabled_flag: str = "item") -> DataFrame:
-    """Items of one list type: (itemid, session_name). ``disabled_flag`` names the table whose flag decides."""
-    item = dims.item.select(
-        "itemid", F.col("name").alias("session_name"), "parenttopicid", F.col("isdisabled").alias("item_off")
-    )
-    topic = dims.topic.select("topicid", "listtypeid", F.col("isdisabled").alias("topic_off"))
-    return (
-        item.join(topic, item.parenttopicid == topic.topicid)
-        .filter((F.col("listtypeid") == listtype) & (F.col(f"{disabled_flag}_off") == 0))
-        .select("itemid", "session_name")
-    )
+class Content(NamedTuple):
+    """``sessions``: every session and track with the item's and the topic's disabled flag.
+    ``speakers``: enabled speakers with the enabled sessions linked to them."""
+
+    sessions: DataFrame
+    speakers: DataFrame
+
+
+def items_of(dims: Dims, listtype: int) -> DataFrame:
+    """Items of one list type: (itemid, session_name, item_off, topic_off)."""
+    topic = dims.topic.filter(F.col("listtypeid") == listtype).selectExpr("topicid", "isdisabled as topic_off")
+    item = dims.item.selectExpr("itemid", "name as session_name", "parenttopicid as topicid", "isdisabled as item_off")
+    return item.join(topic, "topicid").drop("topicid")
 
 
-def sessions(
-    dims: Dims, track_join: str = "left", disabled_flag: str = "item", filter_from: str = "mapping"
-) -> DataFrame:
-    """(itemid, session_name, filterid, session_track, fanout) of every enabled session.
+def content(dims: Dims, track_join: str = "left") -> Content:
+    """Build the content; ``track_join="inner"`` leaves out sessions without a track.
 
     A session with several tracks has several rows, so each track gets full
-    credit. ``filter_from="filter"`` shows the id of the track itself, which is
-    NULL where the mapping points to no track.
+    credit. ``filterid`` is the id the session was mapped to, ``trackid`` the id
+    of the track itself, NULL where the mapping points to none.
     """
-    mapping = dims.item_filter.select("itemid", F.col("filterid").alias("mapped"))
-    track = dims.filters.select("filterid", F.col("name").alias("session_track"))
-    joined = (
-        enabled_items(dims, SESSION, disabled_flag)
+    mapping = dims.item_filter.select("itemid", "filterid")
+    tracks = dims.filters.selectExpr("filterid as trackid", "name as session_track")
+    sessions = (
+        items_of(dims, SESSION)
         .join(mapping, "itemid", track_join)
-        .join(track, F.col("mapped") == track.filterid, track_join)
-    )
-    shown = "mapped" if filter_from == "mapping" else "filterid"
-    return (
-        joined.select("itemid", "session_name", F.col(shown).alias("filterid"), "session_track")
-        .groupBy(*SESSION_COLUMNS)
+        .join(tracks, F.expr("filterid = trackid"), track_join)
+        .groupBy(*SESSION_COLUMNS, "trackid", "item_off", "topic_off")
         .agg(F.count(F.lit(1)).alias("fanout"))
     )
-
-
-def speaker_sessions(dims: Dims, track_join: str = "left") -> DataFrame:
-    """Enabled speakers with every session linked to them: (speakerid, session columns, fanout)."""
-    speakers = enabled_items(dims, SPEAKER).select(F.col("itemid").alias("speakerid"))
-    links = dims.item_mapping.select(F.col("targetitemid").alias("speakerid"), F.col("sourceitemid").alias("itemid"))
-    return (
-        speakers.join(links, "speakerid")
-        .join(sessions(dims, track_join), "itemid")
+    enabled_speakers = items_of(dims, SPEAKER).filter("item_off = 0").selectExpr("itemid as speakerid")
+    links = dims.item_mapping.selectExpr("targetitemid as speakerid", "sourceitemid as itemid")
+    speakers = (
+        enabled_speakers.join(links, "speakerid")
+        .join(sessions.filter("item_off = 0"), "itemid")
         .groupBy("speakerid", *SESSION_COLUMNS)
         .agg(F.sum("fanout").alias("fanout"))
     )
+    return Content(sessions, speakers)
+
+
+def stored(of: Content) -> Content:
+    """The content written once, for runs that use it in many places."""
+    return Content(*(stage(df, "content") for df in of))

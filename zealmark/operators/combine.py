@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zealmark.functions.columns import hours_before
-from zealmark.schemas import METRICS, enforce_schema
+from zealmark.schemas import DWELL_METRICS, METRICS, enforce_schema
 
 KEYS = ("application_id", "global_user_id", "created", "session_track", "itemid", "filterid", "session_name")
 # how a person, item and track are matched: upper and lower case are the same
@@ -34,68 +35,77 @@ STAGES = (
 )
 
 
-def touchpoint(df: DataFrame, value: str, metric: str, cut, min_value: int | None = None) -> DataFrame:
+def touchpoint(df: DataFrame, value: str, metric: str, cut: Column, min_value: int | None = None) -> DataFrame:
     """Recent rows of an extract in the shape of the combine: seven keys and one metric."""
-    if "applicationid" in df.columns:
-        df = df.withColumnRenamed("applicationid", "application_id")
+    app = "applicationid" if "applicationid" in df.columns else "application_id"
     df = df.filter(F.col("created") > cut)
     if min_value is not None and min_value > 1:
         df = df.filter(F.col(value) >= min_value)
-    return df.select(
-        *[F.col(k).cast("string") if k in ("itemid", "filterid") else F.col(k) for k in KEYS],
-        F.col(value).alias(metric),
+    return df.selectExpr(
+        f"{app} as application_id",
+        "global_user_id",
+        "created",
+        "session_track",
+        "cast(itemid as string) as itemid",
+        "cast(filterid as string) as filterid",
+        "session_name",
+        f"{value} as {metric}",
     )
 
 
 def _matchable(df: DataFrame) -> DataFrame:
     if "_app" in df.columns:
         return df
-    return df.withColumns(
-        {"_app": F.lower("application_id"), "_user": F.lower("global_user_id"), "_track": F.lower("session_track")}
+    return df.selectExpr(
+        "*", "lower(application_id) as _app", "lower(global_user_id) as _user", "lower(session_track) as _track"
     )
 
 
+def total(metric: str) -> Column:
+    # time adds up to whole microseconds again, whatever the order of addition was
+    return F.expr(f"round(sum({metric}), 6)" if metric in DWELL_METRICS else f"sum({metric})").alias(metric)
+
+
 def combine(
     left: DataFrame,
     right: DataFrame,
     metric: str,
-    carried: list[str],
+    carried: Sequence[str],
     how: str = "full",
-    summed: tuple[str, ...] = (),
+    summed: Sequence[str] = (),
 ) -> DataFrame:
     """Join ``right``'s metric to ``left`` by person, item and track.
 
     * A missing track or filter never matches, so such rows stay apart.
     * ``created`` is not matched: each pair of rows of one key counts, and its
       row carries the earlier time. Sums over several rows of one key are
-      therefore larger than the plain totals. Inputs at day grain hold at most
-      one row per day and key, which bounds the pairs by the days looked back.
+      therefore larger than the plain totals. Inputs at day grain hold one row
+      per key, batch and day, which bounds the pairs of a key by the days looked
+      back, however many events stood behind it.
     * ``carried`` metrics of the left side are part of the row's identity; only
       the new metric (and ``summed``) is added up.
 
     The result keeps lowercase match columns and is laid out by them, so a chain
     of these joins shuffles each side once per stage.
     """
-    a, b = _matchable(left).alias("a"), _matchable(right).alias("b")
-    same = F.lit(True)
-    for key in MATCH:
-        same = same & (F.col(f"a.{key}") == F.col(f"b.{key}"))
-    either = [
-        F.coalesce(F.col(f"a.{k}"), F.lower(f"b.{k}") if k == "application_id" else F.col(f"b.{k}")).alias(k)
-        for k in (*KEYS, "_app", "_user", "_track")
-        if k != "created"
-    ]
-    joined = a.join(b, same, how).select(
-        *either,
-        F.least("a.created", "b.created").alias("created"),
-        *[F.col(f"a.{c}").alias(c) for c in (*carried, *summed)],
-        F.col(f"b.{metric}").alias(metric),
+    either = [f"coalesce(a.{k}, b.{k}) as {k}" for k in (*KEYS[1:], "_app", "_user", "_track") if k != "created"]
+    joined = (
+        _matchable(left)
+        .alias("a")
+        .join(_matchable(right).alias("b"), F.expr(" and ".join(f"a.{k} = b.{k}" for k in MATCH)), how)
+        .selectExpr(
+            "coalesce(a.application_id, lower(b.application_id)) as application_id",
+            *either,
+            "least(a.created, b.created) as created",
+            *[f"a.{c}" for c in (*carried, *summed)],
+            f"b.{metric}",
+        )
     )
     # grouping by a superset of the match columns needs no further shuffle, nor does the next stage's left side
     return (
         joined.repartition(*MATCH)
         .groupBy(*KEYS, "_app", "_user", "_track", *carried)
-        .agg(*[F.sum(c).alias(c) for c in (*summed, metric)])
+        .agg(*[total(c) for c in (*summed, metric)])
     )
 
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zealmark.functions.columns import MICROS, at_grain, item_id, micros_between
-from zealmark.operators.catalog import SESSION_COLUMNS, Dims, sessions, speaker_sessions
+from zealmark.functions.columns import at_grain, item_id, micros_between
+from zealmark.operators.catalog import Content
 from zealmark.operators.ordered import CHUNK, GROUP_LIMIT, cut_hot_groups, with_next_time, with_previous
-from zealmark.operators.touchpoints import PERSON
+from zealmark.operators.touchpoints import credit
 from zealmark.schemas import enforce_schema
 
 VISIT = ["application_id", "global_user_id", "session_id"]
 ORDER = ["created", "event_id"]
+_SECONDS = "sum(us * fanout) / 1e6D"  # whole microseconds are added, then scaled once
 _FACT_COLUMNS = [*VISIT, "created", "identifier", "metadata", "batch_id", "event_id"]
 
 
@@ -67,7 +68,6 @@ def event_dwell(views: DataFrame, session_events: DataFrame, group_limit: int =
 
 
 def _per_item(dwell: DataFrame, grain: str | None) -> DataFrame:
-    # whole microseconds are summed, so the result does not depend on the order of addition
     return (
         dwell.filter(F.col("itemid").isNotNull())
         .groupBy(
@@ -81,29 +81,18 @@ def _per_item(dwell: DataFrame, grain: str | None) -> DataFrame:
     )
 
 
-def session_dwell(dwell: DataFrame, dims: Dims, track_join: str = "left", grain: str | None = None) -> DataFrame:
-    """Seconds spent on sessions, from item views only."""
-    spent = _per_item(dwell.filter(F.col("identifier") == "item"), grain)
-    credited = (
-        spent.join(sessions(dims, track_join, filter_from="filter"), "itemid")
-        .withColumn("timespent", F.col("us") * F.col("fanout") / F.lit(MICROS))
-        .withColumn("application_id", F.lower("application_id"))
-        .withColumnRenamed("batchid", "batch_id")
-    )
+def session_dwell(dwell: DataFrame, content: Content, grain: str | None = None) -> DataFrame:
+    """Seconds spent on sessions, from item views only, by the id of the track itself."""
+    spent = _per_item(dwell.filter("identifier = 'item'"), grain)
+    enabled = content.sessions.filter("item_off = 0").drop("filterid").withColumnRenamed("trackid", "filterid")
+    credited = credit(spent, enabled, "itemid", _SECONDS, "timespent").withColumnRenamed("batchid", "batch_id")
     return enforce_schema(credited, "sessions_viewed_timespent")
 
 
-def speaker_dwell(dwell: DataFrame, dims: Dims, track_join: str = "left", grain: str | None = None) -> DataFrame:
+def speaker_dwell(dwell: DataFrame, content: Content, grain: str | None = None) -> DataFrame:
     """Seconds spent on speakers, credited to each of their sessions.
 
     Any kept event that names a speaker counts here, not only item views.
     """
-    credited = (
-        _per_item(dwell, grain)
-        .withColumnRenamed("itemid", "speakerid")
-        .join(speaker_sessions(dims, track_join), "speakerid")
-        .groupBy(*PERSON, "batchid", *SESSION_COLUMNS)
-        .agg((F.sum(F.col("us") * F.col("fanout")) / F.lit(MICROS)).alias("timespent"))
-        .withColumn("application_id", F.lower("application_id"))
-    )
+    credited = credit(_per_item(dwell, grain), content.speakers, "speakerid", _SECONDS, "timespent")
     return enforce_schema(credited, "sessions_speakers_viewed_timespent")

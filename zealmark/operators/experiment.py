@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zealmark.functions.columns import unit_draw
+from zealmark.operators.combine import total
 from zealmark.operators.order_stats import values_at
 from zealmark.operators.scoring import LEAD_CUTS, grade, range_score, zero_missing
 from zealmark.schemas import METRICS, enforce_schema
@@ -59,7 +60,7 @@ def experiment_base(
 
 def topic_sums(base: DataFrame) -> DataFrame:
     """The seven metrics per person, application and topic."""
-    return zero_missing(base).groupBy(*PERSON, "topic").agg(*[F.sum(m).alias(m) for m in METRICS])
+    return zero_missing(base).groupBy(*PERSON, "topic").agg(*[total(m) for m in METRICS])
 
 
 def topic_interest(sums: DataFrame, zero_range: str = "reference") -> DataFrame:

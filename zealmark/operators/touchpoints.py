@@ -6,68 +6,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zealmark.functions.columns import at_grain, item_id, moment
-from zealmark.operators.catalog import SESSION_COLUMNS, Dims, enabled_items, sessions, speaker_sessions
+from zealmark.operators.catalog import SESSION, SESSION_COLUMNS, Content, Dims, items_of
 from zealmark.schemas import enforce_schema
 
 PERSON = ("application_id", "global_user_id", "created")
 
 
-def item_counts(facts: DataFrame, identifier: str | None, grain: str | None) -> DataFrame:
+def item_counts(facts: DataFrame, identifier: str, grain: str | None) -> DataFrame:
     """Events per person, time, batch and item; the only shuffle of the fact table."""
-    if identifier is not None:
-        facts = facts.filter(F.col("identifier") == identifier)
     return (
-        facts.select(
+        facts.filter(F.col("identifier") == identifier)
+        .select(
             "application_id",
             "global_user_id",
             at_grain("created", grain).alias("created"),
             F.col("batch_id").alias("batchid"),
             item_id().alias("itemid"),
         )
-        .filter(F.col("itemid").isNotNull())
+        .filter("itemid is not null")
         .groupBy(*PERSON, "batchid", "itemid")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def _lower_app(df: DataFrame) -> DataFrame:
-    return df.withColumn("application_id", F.lower("application_id"))
+def credit(per_item: DataFrame, content: DataFrame, key: str, value: str, metric: str) -> DataFrame:
+    """Add up ``value`` per person, batch and session, over the sessions each item counts for.
 
-
-def _credit_sessions(counts: DataFrame, dims: Dims, track_join: str, metric: str) -> DataFrame:
-    # both sides have unique keys, so the join result needs no further grouping
-    return _lower_app(
-        counts.join(sessions(dims, track_join), "itemid").withColumn(metric, F.col("n") * F.col("fanout"))
-    )
-
-
-def _credit_speakers(counts: DataFrame, dims: Dims, track_join: str, metric: str, value: Column) -> DataFrame:
-    """Credit what a speaker received to each linked session."""
-    return _lower_app(
-        counts.withColumnRenamed("itemid", "speakerid")
-        .join(speaker_sessions(dims, track_join), "speakerid")
+    Items of a session are already laid out by their person or by the item, both
+    part of the grouping, so crediting sessions needs no further shuffle.
+    """
+    return (
+        per_item.withColumnRenamed("itemid", key)
+        .join(content, key)
         .groupBy(*PERSON, "batchid", *SESSION_COLUMNS)
-        .agg(F.sum(value).alias(metric))
+        .agg(F.expr(value).alias(metric))
+        .withColumn("application_id", F.lower("application_id"))
     )
 
 
-def bookmarks(actions: DataFrame, dims: Dims, track_join: str = "left", grain: str | None = None) -> DataFrame:
+def bookmarks(actions: DataFrame, content: Content, grain: str | None = None) -> DataFrame:
     """Bookmarks of sessions."""
     counts = item_counts(actions, "bookmarkButton", grain)
-    return enforce_schema(_credit_sessions(counts, dims, track_join, "num_bookmarks"), "sessions_bookmarked")
+    enabled = content.sessions.filter("item_off = 0")
+    return enforce_schema(
+        credit(counts, enabled, "itemid", "sum(n * fanout)", "num_bookmarks"), "sessions_bookmarked"
+    )
 
 
-def views(facts: DataFrame, dims: Dims, track_join: str = "left", grain: str | None = None) -> DataFrame:
+def views(facts: DataFrame, content: Content, grain: str | None = None) -> DataFrame:
     """Views of sessions."""
     counts = item_counts(facts, "item", grain)
-    return enforce_schema(_credit_sessions(counts, dims, track_join, "num_views"), "sessions_viewed")
+    enabled = content.sessions.filter("item_off = 0")
+    return enforce_schema(credit(counts, enabled, "itemid", "sum(n * fanout)", "num_views"), "sessions_viewed")
 
 
-def speaker_bookmarks(actions: DataFrame, dims: Dims, track_join: str = "left", grain: str | None = None) -> DataFrame:
+def speaker_bookmarks(actions: DataFrame, content: Content, grain: str | None = None) -> DataFrame:
     """Bookmarks of speakers, credited to every session of the speaker."""
     counts = item_counts(actions, "bookmarkButton", grain)
-    credited = _credit_speakers(counts, dims, track_join, "num_bookmarks", F.col("n") * F.col("fanout"))
-    return enforce_schema(credited, "sessions_speakers_bookmarked")
+    return enforce_schema(
+        credit(counts, content.speakers, "speakerid", "sum(n * fanout)", "num_bookmarks"),
+        "sessions_speakers_bookmarked",
+    )
 
 
 def _rows_per(df: DataFrame, key: Column, name: str) -> DataFrame:
@@ -76,10 +75,9 @@ def _rows_per(df: DataFrame, key: Column, name: str) -> DataFrame:
 
 def speaker_views(
     facts: DataFrame,
-    dims: Dims,
+    content: Content,
     users: DataFrame,
     details: DataFrame,
-    track_join: str = "left",
     user_match: str = "inner",
     grain: str | None = None,
 ) -> DataFrame:
@@ -100,16 +98,15 @@ def speaker_views(
         .withColumn("user_key", F.lower("global_user_id"))
         .join(known.select("user_key", "weight"), "user_key")
     )
-    credited = _credit_speakers(counts, dims, track_join, "num_views", F.col("n") * F.col("weight") * F.col("fanout"))
+    credited = credit(counts, content.speakers, "speakerid", "sum(n * weight * fanout)", "num_views")
     return enforce_schema(credited, "sessions_speakers_viewed")
 
 
 def checkins(
     checkin: DataFrame,
     notes: DataFrame,
-    dims: Dims,
+    content: Content,
     users: DataFrame,
-    track_join: str = "left",
     grain: str | None = None,
 ) -> DataFrame:
     """Check-in notes per person and session.
@@ -127,10 +124,10 @@ def checkins(
         F.count(F.lit(1)).alias("accounts")
     )
     credited = (
-        per_person.join(sessions(dims, track_join, disabled_flag="topic"), "itemid")
+        per_person.join(content.sessions.filter("topic_off = 0"), "itemid")
         .join(accounts, "userid")
         .groupBy("applicationid", "global_user_id", "created", *SESSION_COLUMNS)
-        .agg(F.sum(F.col("n") * F.col("fanout") * F.col("accounts")).alias("num_checkins"))
+        .agg(F.expr("sum(n * fanout * accounts)").alias("num_checkins"))
         .withColumn("applicationid", F.lower("applicationid"))
     )
     return enforce_schema(credited, "sessions_checkins_status")
@@ -155,7 +152,7 @@ def audience_coverage(
     ends_to: str,
 ) -> DataFrame:
     """Viewing users and views of sessions, per implemented application that ends between two dates."""
-    items = enabled_items(dims, 2).groupBy("itemid").agg(F.count(F.lit(1)).alias("fanout"))
+    items = items_of(dims, SESSION).filter("item_off = 0").groupBy("itemid").agg(F.count(F.lit(1)).alias("fanout"))
     viewed = (
         facts.filter(F.col("identifier") == "item")
         .select("application_id", F.lower("global_user_id").alias("user_key"), item_id().alias("itemid"))

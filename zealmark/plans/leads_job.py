@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from zealmark.functions.columns import parse_as_of
 from zealmark.operators import dwell as dw
 from zealmark.operators import touchpoints as tp
-from zealmark.operators.catalog import Dims
+from zealmark.operators.catalog import Dims, content, stored
 from zealmark.operators.combine import STAGES, combine, stamp_actions, touchpoint
 from zealmark.operators.leads import leads
 from zealmark.operators.scoring import lead_scores
@@ -44,14 +44,15 @@ def extracts(
 ) -> dict[str, DataFrame]:
     """The seven touchpoint extracts over whatever facts ``src`` holds; both dwell extracts share ``steps``."""
     steps = dw.event_dwell(src.views, src.session_events) if steps is None else steps
+    about = stored(content(src.dims, track_join))
     return {
-        "bookmarks": tp.bookmarks(src.actions, src.dims, track_join, grain),
-        "views": tp.views(src.views, src.dims, track_join, grain),
-        "speaker_bookmarks": tp.speaker_bookmarks(src.actions, src.dims, track_join, grain),
-        "speaker_views": tp.speaker_views(src.views, src.dims, src.users, src.details, track_join, user_match, grain),
-        "checkins": tp.checkins(src.checkins, src.checkin_notes, src.dims, src.users, track_join, grain),
-        "session_dwell": dw.session_dwell(steps, src.dims, track_join, grain),
-        "speaker_dwell": dw.speaker_dwell(steps, src.dims, track_join, grain),
+        "bookmarks": tp.bookmarks(src.actions, about, grain),
+        "views": tp.views(src.views, about, grain),
+        "speaker_bookmarks": tp.speaker_bookmarks(src.actions, about, grain),
+        "speaker_views": tp.speaker_views(src.views, about, src.users, src.details, user_match, grain),
+        "checkins": tp.checkins(src.checkins, src.checkin_notes, about, src.users, grain),
+        "session_dwell": dw.session_dwell(steps, about, grain),
+        "speaker_dwell": dw.speaker_dwell(steps, about, grain),
     }
 
 

@@ -214,7 +214,7 @@ _KEYS = ("application_id", "global_user_id", "created", "session_track", "itemid
 
 
 def _metric_sum(metric: str, of: str) -> str:
-    return f"sum({of})" if metric.endswith("timespent") else f"cast(sum({of}) as bigint)"
+    return f"round(sum({of}), 6)" if metric.endswith("timespent") else f"cast(sum({of}) as bigint)"
 
 
 def combine_sql(hours: int, as_of: str = AS_OF, prefix: str = "c", upto: int = 6) -> dict[str, str]:
@@ -497,7 +497,9 @@ def oracle_sql() -> dict[str, str]:
         f"""from ({bookmarks_sql("and e.batch_id <= 15", "(select * from session_tracks where track_id is not null)")})
             union all by name from ({bookmarks_sql("and e.batch_id > 15")})"""
     )
-    out["csv_roundtrip"] = statement("from score_pairs")
+    out["csv_roundtrip"] = statement(
+        "select vec_id, round(svd_social, 6) as svd_social, round(svd_content, 6) as svd_content from score_pairs"
+    )
     out["run_counter"] = statement(
         "select run as batchid, (select count(*) from x_bookmarks) as rows from (values (1::bigint), (2::bigint)) v(run)", x
     )

@@ -17,7 +17,7 @@ from zealmark.operators import leads as le
 from zealmark.operators import scoring as sc
 from zealmark.operators import topics as to
 from zealmark.operators import touchpoints as tp
-from zealmark.operators.catalog import Dims
+from zealmark.operators.catalog import Content, Dims, content
 from zealmark.operators.combine import combine_stages, stamp_actions
 from zealmark.plans.experiment_job import interest_of
 from zealmark.plans.health_job import event_health, weekly_messages
@@ -55,6 +55,10 @@ def dims(p: Platform) -> Dims:
     )
 
 
+def about(p: Platform, track_join: str = "left") -> Content:
+    return content(dims(p), track_join)
+
+
 def sources(p: Platform) -> Sources:
     return Sources(
         p.fact_actions_live,
@@ -74,34 +78,34 @@ def sources(p: Platform) -> Sources:
 
 @query
 def sessions_bookmarked(p: Platform) -> DataFrame:
-    return tp.bookmarks(p.fact_actions_live, dims(p), grain=GRAIN)
+    return tp.bookmarks(p.fact_actions_live, about(p), GRAIN)
 
 
 @query
 def sessions_bookmarked_inner(p: Platform) -> DataFrame:
-    return tp.bookmarks(p.fact_actions_live, dims(p), "inner", GRAIN)
+    return tp.bookmarks(p.fact_actions_live, about(p, "inner"), GRAIN)
 
 
 @query
 def sessions_viewed(p: Platform) -> DataFrame:
-    return tp.views(p.fact_views_live, dims(p), grain=GRAIN)
+    return tp.views(p.fact_views_live, about(p), GRAIN)
 
 
 @query
 def sessions_speakers_bookmarked(p: Platform) -> DataFrame:
-    return tp.speaker_bookmarks(p.fact_actions_live, dims(p), grain=GRAIN)
+    return tp.speaker_bookmarks(p.fact_actions_live, about(p), GRAIN)
 
 
 @query
 def sessions_speakers_viewed(p: Platform) -> DataFrame:
     return tp.speaker_views(
-        p.fact_views_live, dims(p), p.authdb_is_users, p.ratings_globaluserdetails, grain=GRAIN
+        p.fact_views_live, about(p), p.authdb_is_users, p.ratings_globaluserdetails, grain=GRAIN
     )
 
 
 @query
 def sessions_checkins(p: Platform) -> DataFrame:
-    return tp.checkins(p.ratings_usercheckins, p.ratings_usercheckinnotes, dims(p), p.authdb_is_users, grain=GRAIN)
+    return tp.checkins(p.ratings_usercheckins, p.ratings_usercheckinnotes, about(p), p.authdb_is_users, GRAIN)
 
 
 @query
@@ -151,12 +155,12 @@ def dwell_events(p: Platform) -> DataFrame:
 
 @query
 def sessions_timespent(p: Platform) -> DataFrame:
-    return dw.session_dwell(_steps(p), dims(p), grain=GRAIN)
+    return dw.session_dwell(_steps(p), about(p), GRAIN)
 
 
 @query
 def speakers_timespent(p: Platform) -> DataFrame:
-    return dw.speaker_dwell(_steps(p), dims(p), grain=GRAIN)
+    return dw.speaker_dwell(_steps(p), about(p), GRAIN)
 
 
 # --- loads ---------------------------------------------------------------------------------
@@ -165,16 +169,16 @@ def speakers_timespent(p: Platform) -> DataFrame:
 @query
 def incremental_actions(p: Platform) -> DataFrame:
     """Bookmarks after a target that was loaded up to the twentieth."""
-    target = tp.bookmarks(p.fact_actions_live.filter(F.col("batch_id") <= 20), dims(p), grain=GRAIN)
+    target = tp.bookmarks(p.fact_actions_live.filter(F.col("batch_id") <= 20), about(p), GRAIN)
     fresh = state.since(p.fact_actions_live, "batch_id", state.high_water(target, "batchid"))
-    return tp.bookmarks(fresh, dims(p), grain=GRAIN)
+    return tp.bookmarks(fresh, about(p), GRAIN)
 
 
 @query
 def incremental_checkins(p: Platform) -> DataFrame:
     loaded = p.ratings_usercheckins.filter(F.col("created") <= F.lit("2024-01-21 00:00:00").cast("timestamp_ntz"))
     fresh = state.since(p.ratings_usercheckins, "created", state.high_water(loaded, "created"))
-    return tp.checkins(fresh, p.ratings_usercheckinnotes, dims(p), p.authdb_is_users, grain=GRAIN)
+    return tp.checkins(fresh, p.ratings_usercheckinnotes, about(p), p.authdb_is_users, GRAIN)
 
 
 @query
@@ -196,7 +200,7 @@ def run_counter(p: Platform) -> DataFrame:
     path = scratch_path(p.spark, "stamped")
     for _ in range(2):
         run = marks.next_run()
-        extract = tp.bookmarks(p.fact_actions_live, dims(p), grain=GRAIN)
+        extract = tp.bookmarks(p.fact_actions_live, about(p), GRAIN)
         state.replace_batch(extract.withColumn("batchid", F.lit(run).cast("bigint")), path)
         marks.advance(run=run + 1)
     stamped = p.spark.read.schema(TABLES["sessions_bookmarked"]).parquet(path)
@@ -221,8 +225,8 @@ def rolling_replace(p: Platform) -> DataFrame:
 def batch_replace(p: Platform) -> DataFrame:
     """Bookmarks loaded without trackless sessions, then later batches replaced with all sessions, twice."""
     path = scratch_path(p.spark, "sessions_bookmarked")
-    state.replace_batch(tp.bookmarks(p.fact_actions_live, dims(p), "inner", GRAIN), path)
-    again = tp.bookmarks(p.fact_actions_live.filter(F.col("batch_id") > 15), dims(p), "left", GRAIN)
+    state.replace_batch(tp.bookmarks(p.fact_actions_live, about(p, "inner"), GRAIN), path)
+    again = tp.bookmarks(p.fact_actions_live.filter(F.col("batch_id") > 15), about(p), GRAIN)
     for _ in range(2):
         state.replace_batch(again, path)
     return enforce_schema(
@@ -241,7 +245,7 @@ def csv_roundtrip(p: Platform) -> DataFrame:
 def sink_append(p: Platform) -> DataFrame:
     """Two appends by column name to one batch-partitioned table."""
     path = scratch_path(p.spark, "appended")
-    extract = tp.bookmarks(p.fact_actions_live, dims(p), grain=GRAIN)
+    extract = tp.bookmarks(p.fact_actions_live, about(p), GRAIN)
     for half in (F.col("batchid") <= 15, F.col("batchid") > 15):
         shuffled_columns = extract.filter(half).select(*reversed(extract.columns))
         tables.append(shuffled_columns, path, "sessions_bookmarked", "batchid")
@@ -258,12 +262,12 @@ def sink_overwrite(p: Platform) -> DataFrame:
 
 @query
 def schema_contract(p: Platform) -> DataFrame:
-    return enforce_schema(tp.views(p.fact_views_live, dims(p), grain=GRAIN), "sessions_viewed")
+    return enforce_schema(tp.views(p.fact_views_live, about(p), GRAIN), "sessions_viewed")
 
 
 @query
 def stream_bookmarks(p: Platform) -> DataFrame:
-    return loads.stream_bookmarks(_stream(p).fact_actions_live, dims(p), grain=GRAIN)
+    return loads.stream_bookmarks(_stream(p).fact_actions_live, about(p), GRAIN)
 
 
 @query
@@ -274,8 +278,8 @@ def stream_batch_replace(p: Platform) -> DataFrame:
 class _StreamPlatform(Platform):
     """The same tables with the events arriving as a file stream."""
 
-    def _read(self, name: str) -> DataFrame:
-        schema = super()._read(name).schema
+    def _scan(self, name: str) -> DataFrame:
+        schema = super()._scan(name).schema
         return loads.file_stream(self.spark, self.sf_dir, schema, f"{name}.parquet")
 
 

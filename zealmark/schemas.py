@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 S, L, D, N = T.StringType(), T.LongType(), T.DoubleType(), T.TimestampNTZType()
@@ -133,4 +132,4 @@ def enforce_schema(df: DataFrame, schema: T.StructType | str) -> DataFrame:
     missing = [f.name for f in schema if f.name not in df.columns]
     if missing:
         raise SchemaMismatch(f"missing columns: {', '.join(missing)}")
-    return df.select([F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+    return df.selectExpr(*[f"cast(`{f.name}` as {f.dataType.simpleString()}) as `{f.name}`" for f in schema])

@@ -21,8 +21,14 @@ class Platform:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._scans: dict[str, DataFrame] = {}
 
     def _read(self, name: str) -> DataFrame:
+        if name not in self._scans:
+            self._scans[name] = self._scan(name)
+        return self._scans[name]
+
+    def _scan(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property

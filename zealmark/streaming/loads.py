@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zealmark.functions.columns import at_grain, item_id
-from zealmark.operators.catalog import Dims, sessions
+from zealmark.operators.catalog import Content
+from zealmark.operators.touchpoints import credit
 from zealmark.schemas import enforce_schema
 from zealmark.session import scratch_path
 
@@ -20,18 +21,21 @@ def file_stream(spark: SparkSession, directory: str, schema: T.StructType, files
 
 
 def bookmark_counts(facts: DataFrame, grain: str | None = None, watermark: str = WATERMARK) -> DataFrame:
-    """Running bookmark counts per person, time, batch and item of a fact stream."""
+    """Running bookmark counts per person, time, batch and item of a fact stream.
+
+    The grouped time carries the watermark, so counts older than it leave the state.
+    """
     return (
-        facts.filter(F.col("identifier") == "bookmarkButton")
-        .withWatermark("created", watermark)
+        facts.filter("identifier = 'bookmarkButton'")
         .select(
             "application_id",
             "global_user_id",
-            at_grain("created", grain).alias("created"),
+            at_grain("created", grain).cast("timestamp").alias("created"),
             F.col("batch_id").alias("batchid"),
             item_id().alias("itemid"),
         )
-        .filter(F.col("itemid").isNotNull())
+        .filter("itemid is not null")
+        .withWatermark("created", watermark)
         .groupBy("application_id", "global_user_id", "created", "batchid", "itemid")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -64,7 +68,7 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     query.awaitTermination()
 
 
-def stream_bookmarks(facts: DataFrame, dims: Dims, track_join: str = "left", grain: str | None = None) -> DataFrame:
+def stream_bookmarks(facts: DataFrame, content: Content, grain: str | None = None) -> DataFrame:
     """Same rows as the batch extract, from a stream of facts.
 
     Update mode hands over each changed count; the last one per key counts, and
@@ -76,11 +80,8 @@ def stream_bookmarks(facts: DataFrame, dims: Dims, track_join: str = "left", gra
     run_available(bookmark_counts(facts, grain), path, checkpoint, "update")
     keys = ["application_id", "global_user_id", "created", "batchid", "itemid"]
     counts = spark.read.parquet(path).groupBy(*keys).agg(F.max("n").alias("n"))
-    credited = (
-        counts.join(sessions(dims, track_join), "itemid")
-        .withColumn("num_bookmarks", F.col("n") * F.col("fanout"))
-        .withColumn("application_id", F.lower("application_id"))
-    )
+    enabled = content.sessions.filter("item_off = 0")
+    credited = credit(counts, enabled, "itemid", "sum(n * fanout)", "num_bookmarks")
     return enforce_schema(credited, "sessions_bookmarked")
 
 
@@ -89,4 +90,4 @@ def stream_batch_replace(stream: DataFrame) -> DataFrame:
     spark = stream.sparkSession
     path, checkpoint = scratch_path(spark, "stream-table"), scratch_path(spark, "stream-marks")
     run_available(stream, path, checkpoint)
-    return spark.read.schema(stream.schema).parquet(path)
+    return spark.read.parquet(path).select(stream.columns)
