@@ -15,8 +15,6 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zealmark.session import stage
-
 SESSION, SPEAKER = 2, 4  # list types
 SESSION_COLUMNS = ("itemid", "session_name", "filterid", "session_track")
 
@@ -69,8 +67,3 @@ def content(dims: Dims, track_join: str = "left") -> Content:
         .agg(F.sum("fanout").alias("fanout"))
     )
     return Content(sessions, speakers)
-
-
-def stored(of: Content) -> Content:
-    """The content written once, for runs that use it in many places."""
-    return Content(*(stage(df, "content") for df in of))

@@ -13,7 +13,7 @@ from zealmark.schemas import enforce_schema
 
 VISIT = ["application_id", "global_user_id", "session_id"]
 ORDER = ["created", "event_id"]
-_SECONDS = "sum(us * fanout) / 1e6D"  # whole microseconds are added, then scaled once
+_SECONDS = "sum({0} * fanout) / 1e6D"  # whole microseconds are added, then scaled once
 _FACT_COLUMNS = [*VISIT, "created", "identifier", "metadata", "batch_id", "event_id"]
 
 
@@ -67,9 +67,10 @@ def event_dwell(views: DataFrame, session_events: DataFrame, group_limit: int =
     return timed.withColumn("dwell_us", micros_between("created", "next_created")).drop(CHUNK)
 
 
-def _per_item(dwell: DataFrame, grain: str | None) -> DataFrame:
+def dwell_per_item(dwell: DataFrame, grain: str | None = None) -> DataFrame:
+    """Microseconds per person, time, batch and item: of all kept events (``us``) and of item views (``view_us``)."""
     return (
-        dwell.filter(F.col("itemid").isNotNull())
+        dwell.filter("itemid is not null")
         .groupBy(
             "application_id",
             "global_user_id",
@@ -77,16 +78,28 @@ def _per_item(dwell: DataFrame, grain: str | None) -> DataFrame:
             F.col("batch_id").alias("batchid"),
             "itemid",
         )
-        .agg(F.sum("dwell_us").alias("us"))
+        .agg(
+            F.sum("dwell_us").alias("us"),
+            F.expr("sum(dwell_us) filter (where identifier = 'item')").alias("view_us"),
+            F.expr("count_if(identifier = 'item')").alias("views"),
+        )
     )
 
 
+def session_seconds(per_item: DataFrame, content: Content) -> DataFrame:
+    enabled = content.sessions.filter("item_off = 0").drop("filterid").withColumnRenamed("trackid", "filterid")
+    credited = credit(per_item.filter("views > 0"), enabled, "itemid", _SECONDS.format("view_us"), "timespent")
+    return enforce_schema(credited.withColumnRenamed("batchid", "batch_id"), "sessions_viewed_timespent")
+
+
+def speaker_seconds(per_item: DataFrame, content: Content) -> DataFrame:
+    credited = credit(per_item, content.speakers, "speakerid", _SECONDS.format("us"), "timespent")
+    return enforce_schema(credited, "sessions_speakers_viewed_timespent")
+
+
 def session_dwell(dwell: DataFrame, content: Content, grain: str | None = None) -> DataFrame:
     """Seconds spent on sessions, from item views only, by the id of the track itself."""
-    spent = _per_item(dwell.filter("identifier = 'item'"), grain)
-    enabled = content.sessions.filter("item_off = 0").drop("filterid").withColumnRenamed("trackid", "filterid")
-    credited = credit(spent, enabled, "itemid", _SECONDS, "timespent").withColumnRenamed("batchid", "batch_id")
-    return enforce_schema(credited, "sessions_viewed_timespent")
+    return session_seconds(dwell_per_item(dwell, grain), content)
 
 
 def speaker_dwell(dwell: DataFrame, content: Content, grain: str | None = None) -> DataFrame:
@@ -94,5 +107,4 @@ def speaker_dwell(dwell: DataFrame, content: Content, grain: str | None = None)
 
     Any kept event that names a speaker counts here, not only item views.
     """
-    credited = credit(_per_item(dwell, grain), content.speakers, "speakerid", _SECONDS, "timespent")
-    return enforce_schema(credited, "sessions_speakers_viewed_timespent")
+    return speaker_seconds(dwell_per_item(dwell, grain), content)

@@ -44,35 +44,55 @@ def credit(per_item: DataFrame, content: DataFrame, key: str, value: str, metric
     )
 
 
+def bookmarked_sessions(counts: DataFrame, content: Content) -> DataFrame:
+    enabled = content.sessions.filter("item_off = 0")
+    return enforce_schema(credit(counts, enabled, "itemid", "sum(n * fanout)", "num_bookmarks"), "sessions_bookmarked")
+
+
+def viewed_sessions(counts: DataFrame, content: Content) -> DataFrame:
+    enabled = content.sessions.filter("item_off = 0")
+    return enforce_schema(credit(counts, enabled, "itemid", "sum(n * fanout)", "num_views"), "sessions_viewed")
+
+
+def bookmarked_speakers(counts: DataFrame, content: Content) -> DataFrame:
+    credited = credit(counts, content.speakers, "speakerid", "sum(n * fanout)", "num_bookmarks")
+    return enforce_schema(credited, "sessions_speakers_bookmarked")
+
+
 def bookmarks(actions: DataFrame, content: Content, grain: str | None = None) -> DataFrame:
     """Bookmarks of sessions."""
-    counts = item_counts(actions, "bookmarkButton", grain)
-    enabled = content.sessions.filter("item_off = 0")
-    return enforce_schema(
-        credit(counts, enabled, "itemid", "sum(n * fanout)", "num_bookmarks"), "sessions_bookmarked"
-    )
+    return bookmarked_sessions(item_counts(actions, "bookmarkButton", grain), content)
 
 
 def views(facts: DataFrame, content: Content, grain: str | None = None) -> DataFrame:
     """Views of sessions."""
-    counts = item_counts(facts, "item", grain)
-    enabled = content.sessions.filter("item_off = 0")
-    return enforce_schema(credit(counts, enabled, "itemid", "sum(n * fanout)", "num_views"), "sessions_viewed")
+    return viewed_sessions(item_counts(facts, "item", grain), content)
 
 
 def speaker_bookmarks(actions: DataFrame, content: Content, grain: str | None = None) -> DataFrame:
     """Bookmarks of speakers, credited to every session of the speaker."""
-    counts = item_counts(actions, "bookmarkButton", grain)
-    return enforce_schema(
-        credit(counts, content.speakers, "speakerid", "sum(n * fanout)", "num_bookmarks"),
-        "sessions_speakers_bookmarked",
-    )
+    return bookmarked_speakers(item_counts(actions, "bookmarkButton", grain), content)
 
 
 def _rows_per(df: DataFrame, key: Column, name: str) -> DataFrame:
     return df.groupBy(key.alias("user_key")).agg(F.count(F.lit(1)).alias(name))
 
 
+def viewed_speakers(
+    counts: DataFrame, content: Content, users: DataFrame, details: DataFrame, user_match: str = "inner"
+) -> DataFrame:
+    accounts = _rows_per(users, F.lower("globaluserid"), "k")
+    profiles = _rows_per(details, F.lower("globaluserid"), "d")
+    known = accounts.join(profiles, "user_key").withColumn(
+        "weight", F.lit(1) if user_match == "semi" else F.expr("k * d")
+    )
+    known_counts = counts.withColumn("user_key", F.lower("global_user_id")).join(
+        known.select("user_key", "weight"), "user_key"
+    )
+    credited = credit(known_counts, content.speakers, "speakerid", "sum(n * weight * fanout)", "num_views")
+    return enforce_schema(credited, "sessions_speakers_viewed")
+
+
 def speaker_views(
     facts: DataFrame,
     content: Content,
@@ -88,18 +108,7 @@ def speaker_views(
     views are joined with one row per user. ``user_match="semi"`` counts each
     view once.
     """
-    accounts = _rows_per(users, F.lower("globaluserid"), "k")
-    profiles = _rows_per(details, F.lower("globaluserid"), "d")
-    known = accounts.join(profiles, "user_key").withColumn(
-        "weight", F.lit(1) if user_match == "semi" else F.col("k") * F.col("d")
-    )
-    counts = (
-        item_counts(facts, "item", grain)
-        .withColumn("user_key", F.lower("global_user_id"))
-        .join(known.select("user_key", "weight"), "user_key")
-    )
-    credited = credit(counts, content.speakers, "speakerid", "sum(n * weight * fanout)", "num_views")
-    return enforce_schema(credited, "sessions_speakers_viewed")
+    return viewed_speakers(item_counts(facts, "item", grain), content, users, details, user_match)
 
 
 def checkins(

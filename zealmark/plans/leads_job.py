@@ -5,18 +5,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zealmark.functions.columns import parse_as_of
 from zealmark.operators import dwell as dw
 from zealmark.operators import touchpoints as tp
-from zealmark.operators.catalog import Dims, content, stored
+from zealmark.operators.catalog import Content, Dims, content
 from zealmark.operators.combine import STAGES, combine, stamp_actions, touchpoint
 from zealmark.operators.leads import leads
 from zealmark.operators.scoring import lead_scores
 from zealmark.schemas import METRICS, TABLES, enforce_schema
+from zealmark.session import stage_all
 from zealmark.sources import state
 
 
@@ -36,23 +36,32 @@ class Sources:
 
 
 def extracts(
-    src: Sources,
-    grain: str | None = None,
-    track_join: str = "left",
-    user_match: str = "inner",
-    steps: DataFrame | None = None,
+    src: Sources, grain: str | None = None, track_join: str = "left", user_match: str = "inner"
 ) -> dict[str, DataFrame]:
-    """The seven touchpoint extracts over whatever facts ``src`` holds; both dwell extracts share ``steps``."""
-    steps = dw.event_dwell(src.views, src.session_events) if steps is None else steps
-    about = stored(content(src.dims, track_join))
+    """The seven touchpoint extracts over whatever facts ``src`` holds.
+
+    Each fact table is read once: what two extracts share (item counts, dwell
+    per item, the content) is grouped first and stored.
+    """
+    about = content(src.dims, track_join)
+    shared = stage_all(
+        {
+            "bookmarked": tp.item_counts(src.actions, "bookmarkButton", grain),
+            "viewed": tp.item_counts(src.views, "item", grain),
+            "dwelt": dw.dwell_per_item(dw.event_dwell(src.views, src.session_events), grain),
+            "sessions": about.sessions,
+            "speakers": about.speakers,
+        }
+    )
+    about = Content(shared["sessions"], shared["speakers"])
     return {
-        "bookmarks": tp.bookmarks(src.actions, about, grain),
-        "views": tp.views(src.views, about, grain),
-        "speaker_bookmarks": tp.speaker_bookmarks(src.actions, about, grain),
-        "speaker_views": tp.speaker_views(src.views, about, src.users, src.details, user_match, grain),
+        "bookmarks": tp.bookmarked_sessions(shared["bookmarked"], about),
+        "views": tp.viewed_sessions(shared["viewed"], about),
+        "speaker_bookmarks": tp.bookmarked_speakers(shared["bookmarked"], about),
+        "speaker_views": tp.viewed_speakers(shared["viewed"], about, src.users, src.details, user_match),
         "checkins": tp.checkins(src.checkins, src.checkin_notes, about, src.users, grain),
-        "session_dwell": dw.session_dwell(steps, about, grain),
-        "speaker_dwell": dw.speaker_dwell(steps, about, grain),
+        "session_dwell": dw.session_seconds(shared["dwelt"], about),
+        "speaker_dwell": dw.speaker_seconds(shared["dwelt"], about),
     }
 
 
@@ -122,14 +131,12 @@ class LeadsJob:
 
     def load_touchpoints(self) -> None:
         fresh, now = self._new_facts()
-        steps = dw.event_dwell(fresh.views, fresh.session_events).persist(StorageLevel.MEMORY_AND_DISK)
-        built = extracts(fresh, self.grain, steps=steps)
+        built = extracts(fresh, self.grain)
         for name, (table, batch) in TARGETS.items():
             if batch:
                 state.replace_batch(enforce_schema(built[name], table), self.path(table), batch)
         seen = self._checkins_seen() or datetime(1970, 1, 1)
         state.replace_window(self.spark, self.path("sessions_checkins_status"), built["checkins"], "created", seen)
-        steps.unpersist()
         self.marks.advance(**now)
 
     def combine(self, as_of: str | datetime, lookback_hours: float = 72, min_views: int = 2) -> None:

@@ -25,7 +25,7 @@ from zealmark.plans.leads_job import Sources, extracts
 from zealmark.schemas import METRICS, TABLES, enforce_schema
 from zealmark.session import scratch_path, stage
 from zealmark.sources import state, tables
-from zealmark.sources.fixtures import AS_OF, Platform
+from zealmark.sources.fixtures import AS_OF, SCHEMAS, Platform
 from zealmark.streaming import loads
 
 GRAIN = "day"
@@ -279,8 +279,7 @@ class _StreamPlatform(Platform):
     """The same tables with the events arriving as a file stream."""
 
     def _scan(self, name: str) -> DataFrame:
-        schema = super()._scan(name).schema
-        return loads.file_stream(self.spark, self.sf_dir, schema, f"{name}.parquet")
+        return loads.file_stream(self.spark, self.sf_dir, SCHEMAS[name], f"{name}.parquet")
 
 
 def _stream(p: Platform) -> Platform:

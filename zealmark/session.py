@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,3 +67,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_all(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """``stage`` for frames that do not depend on each other, as jobs that run side by side."""
+    with ThreadPoolExecutor(max_workers=len(frames)) as pool:
+        done = [pool.submit(stage, df, name) for name, df in frames.items()]
+        return {name: job.result() for name, job in zip(frames, done)}

@@ -16,7 +16,7 @@ WATERMARK = "72 hours"  # older rows never re-enter the combine, so they may be
 EPOCH = "epoch"
 
 
-def file_stream(spark: SparkSession, directory: str, schema: T.StructType, files: str = "*.parquet") -> DataFrame:
+def file_stream(spark: SparkSession, directory: str, schema: T.StructType | str, files: str = "*.parquet") -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(directory)
 
 
