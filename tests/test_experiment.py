@@ -118,3 +118,15 @@ def test_merge_variables(frame):
     tags = F.create_map(F.lit("PERCENT"), percent_text(F.col("p")), F.lit("USER_NAME"), F.col("name"))
     got = [(v["name"], v["content"]) for v in df.select(merge_vars(tags).alias("v")).first()["v"]]
     assert got == [("PERCENT", "83.3%"), ("USER_NAME", "Ann")]
+
+
+def test_intervals_lie_end_to_end(frame):
+    rows = [("a", f"t{i}", i % 5 + 1) for i in range(3000)] + [("b", "x", 2)]
+    laid = ex._laid_out(frame(rows, "applicationid string, topic_1 string, n bigint"), "applicationid", ["topic_1"], "n")
+    spans = sorted((r.applicationid, r.start, r.stop, r.n) for r in laid.collect())
+    assert all(stop - start == n for _, start, stop, n in spans)
+    ends = {"a": 0, "b": 0}
+    for app, start, stop, _ in spans:
+        assert start == ends[app]
+        ends[app] = stop
+    assert ends == {"a": 9000, "b": 2}

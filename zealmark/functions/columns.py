@@ -41,8 +41,10 @@ def hours_before(as_of: str | datetime, hours: float) -> Column:
     return moment(parse_as_of(as_of) - timedelta(hours=hours))
 
 
-def micros_between(start: str, end: str) -> Column:
-    return F.timestamp_diff("MICROSECOND", F.col(start), F.col(end))
+def micros_between(start: Column, end: Column) -> Column:
+    """Whole microseconds between two timestamps without zone; no clock change of the session's zone enters."""
+    seconds = (end - start).cast("interval second").cast("decimal(24,6)")
+    return (seconds * 1_000_000).cast("bigint")
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

@@ -64,7 +64,7 @@ def event_dwell(views: DataFrame, session_events: DataFrame, group_limit: int =
     lagged, cut = _with_previous(views, session_events, group_limit)
     kept = lagged.filter(counts_as_step()).drop("previous")
     timed = with_next_time(kept, VISIT, ORDER, "created", "next_created", cut)
-    return timed.withColumn("dwell_us", micros_between("created", "next_created")).drop(CHUNK)
+    return timed.withColumn("dwell_us", micros_between(F.col("created"), F.col("next_created"))).drop(CHUNK)
 
 
 def dwell_per_item(dwell: DataFrame, grain: str | None = None) -> DataFrame:

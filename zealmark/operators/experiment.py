@@ -96,8 +96,10 @@ def _spread(intervals: DataFrame, group: str, names: list[str]) -> DataFrame:
     per_group = intervals.groupBy(group).agg(
         F.max("stop").alias("total"), (F.count(F.lit(1)) * 4).alias("cells")
     )
+
     def cell(x):
         return F.floor(x * F.col("cells") / F.col("total"))
+
     return (
         intervals.join(per_group, group)
         .withColumn("cell", F.explode(F.sequence(cell(F.col("start")), cell(F.col("stop") - 1))))
@@ -116,10 +118,27 @@ def _draw(people: DataFrame, intervals: DataFrame, group: str, names: list[str])
     )
 
 
-def _running(df: DataFrame, group: list[str], order: str, n: str) -> DataFrame:
-    """Add [start, stop) of each row, laid end to end per group. One row per topic, however many people."""
-    over = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("stop", F.sum(n).over(over)).withColumn("start", F.col("stop") - F.col(n))
+def _laid_out(df: DataFrame, group: str, names: list[str], n: str) -> DataFrame:
+    """Give each row an interval [start, stop) of length ``n``, end to end per group in the order of a hash.
+
+    Running totals go over the first hash digits and then inside each of them,
+    so a group with very many rows is spread over 4096 windows.
+    """
+    hashed = df.withColumn("_hash", F.md5(F.concat_ws("|", *names))).withColumn("_bucket", F.substring("_hash", 1, 3))
+    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        hashed.groupBy(group, "_bucket")
+        .agg(F.sum(n).alias("_n"))
+        .select(group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    )
+    inside = Window.partitionBy(group, "_bucket").orderBy("_hash").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        hashed.withColumn("stop", F.sum(n).over(inside))
+        .join(offsets, [group, "_bucket"])
+        .withColumn("stop", F.col("stop") + F.col("_offset"))
+        .withColumn("start", F.col("stop") - F.col(n))
+        .drop("_hash", "_bucket", "_offset")
+    )
 
 
 def contrast_topic(top: DataFrame, seed: int = SPLIT_SEED) -> DataFrame:
@@ -129,8 +148,8 @@ def contrast_topic(top: DataFrame, seed: int = SPLIT_SEED) -> DataFrame:
     application are thought of as laid out by topic; the draw picks a place
     outside the person's own topic. People without an alternative drop out.
     """
-    per_topic = top.groupBy("applicationid", "topic_1").agg(F.count(F.lit(1)).alias("n"))
-    laid_out = _running(per_topic, ["applicationid"], "topic_1", "n")
+    per_topic = top.filter("topic_1 is not null").groupBy("applicationid", "topic_1").agg(F.count(F.lit(1)).alias("n"))
+    laid_out = _laid_out(per_topic, "applicationid", ["topic_1"], "n")
     totals = laid_out.groupBy("applicationid").agg(F.max("stop").alias("everyone"))
     own = laid_out.select("applicationid", "topic_1", F.col("start").alias("own_start"), F.col("n").alias("own_n"))
     people = (
@@ -149,23 +168,9 @@ def contrast_topic(top: DataFrame, seed: int = SPLIT_SEED) -> DataFrame:
 
 
 def random_pair(people: DataFrame, pairs: DataFrame, seed: int = SPLIT_SEED) -> DataFrame:
-    """Give each distinct person one topic pair of the application's identified people, each equally likely.
-
-    Pairs are laid out by first topic and, inside it, by second topic, so that no
-    window is longer than the list of topics.
-    """
+    """Give each distinct person one topic pair of the application's identified people, each equally likely."""
     counted = pairs.groupBy("applicationid", "topic_1", "topic_2").agg(F.count(F.lit(1)).alias("n"))
-    first = _running(
-        counted.groupBy("applicationid", "topic_1").agg(F.sum("n").alias("n_1")), ["applicationid"], "topic_1", "n_1"
-    ).select("applicationid", "topic_1", F.col("start").alias("offset"))
-    inside = _running(counted, ["applicationid", "topic_1"], "topic_2", "n")
-    intervals = inside.join(first, ["applicationid", "topic_1"]).select(
-        "applicationid",
-        "topic_1",
-        "topic_2",
-        (F.col("offset") + F.col("start")).alias("start"),
-        (F.col("offset") + F.col("stop")).alias("stop"),
-    )
+    intervals = _laid_out(counted, "applicationid", ["topic_1", "topic_2"], "n")
     totals = intervals.groupBy("applicationid").agg(F.max("stop").alias("everyone"))
     placed = (
         people.select(*PERSON, F.lower("applicationid").alias("_app"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zealmark.functions.columns import title_bucket
 from zealmark.schemas import enforce_schema
-from zealmark.sources.state import current_batch
+from zealmark.sources.state import current_batch, high_water, since
 
 
 def titles(details: DataFrame) -> DataFrame:
@@ -48,6 +48,14 @@ def leads(
     return enforce_schema(_enriched(scores, details, applications, user_join), "leads")
 
 
+def new_leads(
+    scores: DataFrame, target: DataFrame, details: DataFrame, applications: DataFrame, bootstrap: bool = False
+) -> DataFrame:
+    """Leads of all batches newer than those in ``target``, to be appended to it."""
+    fresh = since(scores, "batchid", high_water(target, "batchid"), bootstrap=bootstrap)
+    return leads(fresh, details, applications, latest_only=False)
+
+
 def topic_leads(
     scores: DataFrame,
     details: DataFrame,

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from zealmark.functions.columns import micros_between, moment
 from zealmark.session import stage
 
 CHUNK = "_chunk"
@@ -27,7 +28,7 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
 
 
 def _minute(ts: str) -> Column:
-    return F.floor(F.timestamp_diff("MINUTE", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts)))
+    return F.floor(micros_between(moment("1970-01-01 00:00:00"), F.col(ts)) / 60e6)
 
 
 def attach(df: DataFrame, side: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

@@ -16,7 +16,7 @@ from zealmark.operators.combine import STAGES, combine, stamp_actions, touchpoin
 from zealmark.operators.leads import leads
 from zealmark.operators.scoring import lead_scores
 from zealmark.schemas import METRICS, TABLES, enforce_schema
-from zealmark.session import stage_all
+from zealmark.session import release_staged, stage_all
 from zealmark.sources import state
 
 
@@ -36,10 +36,14 @@ class Sources:
 
 
 def extracts(
-    src: Sources, grain: str | None = None, track_join: str = "left", user_match: str = "inner"
+    src: Sources, grain: str | None = "day", track_join: str = "left", user_match: str = "inner"
 ) -> dict[str, DataFrame]:
     """The seven touchpoint extracts over whatever facts ``src`` holds.
 
+    At day grain a person and item have one row per day and batch, however many
+    events stand behind it; that is what bounds the pairs the combine makes.
+    ``grain=None`` keeps exact times.
+
     Each fact table is read once: what two extracts share (item counts, dwell
     per item, the content) is grouped first and stored.
     """
@@ -84,7 +88,7 @@ class LeadsJob:
     tables they describe, so a run that failed half-way is simply run again.
     """
 
-    def __init__(self, spark: SparkSession, src: Sources, root: str, grain: str | None = None, bootstrap: bool = True):
+    def __init__(self, spark: SparkSession, src: Sources, root: str, grain: str | None = "day", bootstrap: bool = True):
         self.spark, self.src, self.root, self.grain, self.bootstrap = spark, src, root.rstrip("/"), grain, bootstrap
         self.marks = state.Marks(spark, f"{self.root}/run_marks")
 
@@ -101,20 +105,19 @@ class LeadsJob:
 
     def _new_facts(self) -> tuple[Sources, dict[str, int]]:
         """Facts after the marks, bounded by what is there now, so that late writers wait for the next run."""
-        now = {
-            "actions": state.high_water(self.src.actions, "batch_id"),
-            "views": state.high_water(self.src.views, "batch_id"),
-            "sessions": state.high_water(self.src.session_events, "batch_id"),
-        }
-
-        def part(df: DataFrame, name: str) -> DataFrame:
-            return state.since(df, "batch_id", self.marks.read(name), now[name], self.bootstrap)
+        facts = {"actions": self.src.actions, "views": self.src.views, "sessions": self.src.session_events}
+        now = {}
+        for name, df in facts.items():
+            # only what lies after the mark is looked at, never the whole history
+            facts[name] = state.since(df, "batch_id", self.marks.read(name), bootstrap=self.bootstrap)
+            now[name] = state.high_water(facts[name], "batch_id")
+            facts[name] = state.since(facts[name], "batch_id", None, now[name], bootstrap=True)
 
         seen = self._checkins_seen()
         fresh = Sources(
-            actions=part(self.src.actions, "actions"),
-            views=part(self.src.views, "views"),
-            session_events=part(self.src.session_events, "sessions"),
+            actions=facts["actions"],
+            views=facts["views"],
+            session_events=facts["sessions"],
             checkins=state.since(self.src.checkins, "created", seen, bootstrap=self.bootstrap),
             checkin_notes=self.src.checkin_notes,
             users=self.src.users,
@@ -177,4 +180,5 @@ class LeadsJob:
         self.combine(as_of, lookback_hours)
         run = self.score(as_of, lookback_hours)
         self.marks.advance(run=run + 1)  # last: a failed run repeats its id
+        release_staged(self.spark)
         return run

@@ -384,7 +384,7 @@ def experiment_sql(actions: str) -> dict[str, str]:
             select userid, applicationid, topic as topic_1 from interest
             qualify row_number() over (partition by userid, applicationid order by grade_score, score desc, topic) = 1""",
         "laid": f"""
-            select applicationid, topic_1, n, {spans.format('applicationid', 'topic_1')}
+            select applicationid, topic_1, n, {spans.format('applicationid', 'md5(topic_1)')}
             from (select applicationid, topic_1, count(*) as n from top group by all)""",
         "chosen": f"""
             select t.userid, t.applicationid, t.topic_1,
@@ -409,8 +409,8 @@ def experiment_sql(actions: str) -> dict[str, str]:
             from split s join popular p on lower(p.applicationid) = lower(s.applicationid) where s.half = 2""",
         "pair_spans": """
             select applicationid, topic_1, topic_2,
-                   sum(n) over (partition by applicationid order by topic_1, topic_2) - n as first,
-                   sum(n) over (partition by applicationid order by topic_1, topic_2) as past
+                   sum(n) over (partition by applicationid order by md5(topic_1 || '|' || topic_2)) - n as first,
+                   sum(n) over (partition by applicationid order by md5(topic_1 || '|' || topic_2)) as past
             from (select applicationid, topic_1, topic_2, count(*) as n from identified group by all)""",
         "by_chance": f"""
             select s.userid, s.applicationid, p.topic_1, p.topic_2

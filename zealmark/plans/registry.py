@@ -23,7 +23,7 @@ from zealmark.plans.experiment_job import interest_of
 from zealmark.plans.health_job import event_health, weekly_messages
 from zealmark.plans.leads_job import Sources, extracts
 from zealmark.schemas import METRICS, TABLES, enforce_schema
-from zealmark.session import scratch_path, stage
+from zealmark.session import scratch_path, stage, tune
 from zealmark.sources import state, tables
 from zealmark.sources.fixtures import AS_OF, SCHEMAS, Platform
 from zealmark.streaming import loads
@@ -35,7 +35,7 @@ _REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(fn: Callable[[Platform], DataFrame]) -> Callable[[Platform], DataFrame]:
-    _REGISTRY[fn.__name__] = lambda spark, sf_dir: rounded(fn(Platform(spark, sf_dir)))
+    _REGISTRY[fn.__name__] = lambda spark, sf_dir: rounded(fn(Platform(tune(spark), sf_dir)))
     return fn
 
 

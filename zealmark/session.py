@@ -9,6 +9,23 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+_STAGED: list[str] = []
+
+# Runtime settings the jobs rely on. Skewed join partitions are split even where the
+# split costs the aggregate after the join one more shuffle.
+SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Put the runtime settings into a session that was built elsewhere."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -22,10 +39,6 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         SparkSession.builder.appName("zealmark")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.parquet.aggregatePushdown", "true")
     )
     if master:
         builder = builder.master(master)
@@ -33,7 +46,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return tune(builder.getOrCreate())
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -65,6 +78,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    _STAGED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -74,3 +88,10 @@ def stage_all(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
     with ThreadPoolExecutor(max_workers=len(frames)) as pool:
         done = [pool.submit(stage, df, name) for name, df in frames.items()]
         return {name: job.result() for name, job in zip(frames, done)}
+
+
+def release_staged(spark: SparkSession) -> None:
+    """Delete what ``stage`` has written so far, once a job's own tables are written."""
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -20,7 +20,7 @@ CREATED_DATE = "created_date"
 
 
 def high_water(df: DataFrame, column: str) -> Any:
-    """Highest value of ``column``: one row to the driver, read from parquet footers where possible."""
+    """Highest value of ``column``: one row to the driver."""
     return df.agg(F.max(column)).first()[0]
 
 
@@ -82,10 +82,21 @@ def windowed(existing: DataFrame, new: DataFrame, ts_col: str, cut: Any) -> Data
     return existing.filter(F.col(ts_col) <= _constant(cut)).unionByName(new)
 
 
+def sized_files(df: DataFrame, partition_col: str) -> DataFrame:
+    """Lay rows out by the partition they are written to.
+
+    AQE cuts a large partition into tasks of the advisory size and merges small
+    ones, so a table gets neither one file per task and partition nor one task
+    that writes a whole batch.
+    """
+    return df.hint("rebalance", partition_col)
+
+
 def replace_batch(df: DataFrame, path: str, batch_col: str = "batchid") -> None:
     """Replace exactly the batches present in ``df``; running it again changes nothing."""
     (
-        df.write.mode("overwrite")
+        sized_files(df, batch_col)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(batch_col)
         .parquet(path)
@@ -101,7 +112,7 @@ def replace_window(spark: SparkSession, path: str, new: DataFrame, ts_col: str,
     """
     new = new.withColumn(CREATED_DATE, F.col(ts_col).cast("date"))
     if not table_exists(spark, path):
-        new.write.partitionBy(CREATED_DATE).parquet(path)
+        sized_files(new, CREATED_DATE).write.partitionBy(CREATED_DATE).parquet(path)
         return
     fields = new.schema
     table = spark.read.schema(fields).parquet(path)
@@ -109,7 +120,13 @@ def replace_window(spark: SparkSession, path: str, new: DataFrame, ts_col: str,
     kept = table.filter((F.col(CREATED_DATE) == edge) & (F.col(ts_col) <= _constant(cut)))
     # staged, so that the overwritten day is not read while it is replaced
     fresh = stage(kept.unionByName(new), "window")
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(CREATED_DATE).parquet(path)
+    (
+        sized_files(fresh, CREATED_DATE)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(CREATED_DATE)
+        .parquet(path)
+    )
     written = {str(r[0]) for r in fresh.select(CREATED_DATE).distinct().collect()}  # one row per day after the cut
     for day, folder in _days(spark, path):
         if day >= cut.date().isoformat() and day not in written:

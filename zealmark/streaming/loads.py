@@ -23,20 +23,23 @@ def file_stream(spark: SparkSession, directory: str, schema: T.StructType | str,
 def bookmark_counts(facts: DataFrame, grain: str | None = None, watermark: str = WATERMARK) -> DataFrame:
     """Running bookmark counts per person, time, batch and item of a fact stream.
 
-    The grouped time carries the watermark, so counts older than it leave the state.
+    The grouped time carries the watermark (``seen_at``, the same time as a
+    timestamp with zone, which watermarks need), so older counts leave the state.
     """
+    when = at_grain("created", grain)
     return (
         facts.filter("identifier = 'bookmarkButton'")
         .select(
             "application_id",
             "global_user_id",
-            at_grain("created", grain).cast("timestamp").alias("created"),
+            when.alias("created"),
+            when.cast("timestamp").alias("seen_at"),
             F.col("batch_id").alias("batchid"),
             item_id().alias("itemid"),
         )
         .filter("itemid is not null")
-        .withWatermark("created", watermark)
-        .groupBy("application_id", "global_user_id", "created", "batchid", "itemid")
+        .withWatermark("seen_at", watermark)
+        .groupBy("application_id", "global_user_id", "created", "seen_at", "batchid", "itemid")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
