@@ -23,7 +23,7 @@ from zealmark.plans.experiment_job import interest_of
 from zealmark.plans.health_job import event_health, weekly_messages
 from zealmark.plans.leads_job import Sources, extracts
 from zealmark.schemas import METRICS, TABLES, enforce_schema
-from zealmark.session import scratch_path, stage, tune
+from zealmark.session import scratch_path, stage, stage_all, tune
 from zealmark.sources import state, tables
 from zealmark.sources.fixtures import AS_OF, SCHEMAS, Platform
 from zealmark.streaming import loads
@@ -73,6 +73,11 @@ def sources(p: Platform) -> Sources:
     )
 
 
+def stored_extracts(p: Platform) -> dict[str, DataFrame]:
+    """The seven extracts as tables, which is how a run hands them to the combine."""
+    return stage_all(extracts(sources(p), GRAIN))
+
+
 # --- extracts ------------------------------------------------------------------------------
 
 
@@ -210,7 +215,7 @@ def run_counter(p: Platform) -> DataFrame:
 @query
 def rolling_replace(p: Platform) -> DataFrame:
     """Combined bookmarks and check-ins of two days ago with the last 72 hours recomputed, twice."""
-    facts = extracts(sources(p), GRAIN)
+    facts = stored_extracts(p)
     early = combine_stages(facts, "2024-01-29 00:00:00", DENSE, upto=1)
     late = combine_stages(facts, AS_OF, RECENT, upto=1)
     path = scratch_path(p.spark, "combine_1")
@@ -291,7 +296,7 @@ def _stream(p: Platform) -> Platform:
 
 def _combine_query(upto: int) -> None:
     def fn(p: Platform) -> DataFrame:
-        return combine_stages(extracts(sources(p), GRAIN), AS_OF, DENSE, upto)
+        return combine_stages(stored_extracts(p), AS_OF, DENSE, upto)
 
     fn.__name__ = f"combine_{upto}"
     query(fn)
@@ -303,17 +308,17 @@ for _upto in range(1, 7):
 
 @query
 def combine_6_recent(p: Platform) -> DataFrame:
-    return combine_stages(extracts(sources(p), GRAIN), AS_OF, RECENT)
+    return combine_stages(stored_extracts(p), AS_OF, RECENT)
 
 
 @query
 def combine_6_full(p: Platform) -> DataFrame:
-    return combine_stages(extracts(sources(p), GRAIN), AS_OF, DENSE, last_join="full")
+    return combine_stages(stored_extracts(p), AS_OF, DENSE, last_join="full")
 
 
 def _actions(p: Platform, hours: int = DENSE, batch: int = 1) -> DataFrame:
     """Stored action set of one run."""
-    combined = combine_stages(extracts(sources(p), GRAIN), AS_OF, hours)
+    combined = combine_stages(stored_extracts(p), AS_OF, hours)
     return stage(stamp_actions(combined, batch, AS_OF, hours), "actions")
 
 

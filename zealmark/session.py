@@ -39,6 +39,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         SparkSession.builder.appName("zealmark")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        # no stack walk per column expression while plans are built
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
