@@ -72,10 +72,10 @@ def test_replace_window(frame, spark, collected):
     expected = [("before",), ("edge",), ("new",), ("new, cut day",)]
     for _ in range(2):
         state.replace_window(spark, path, fresh, "created", cut)
-        assert collected(state.read_window_table(spark, path, df.schema), "x") == expected
+        assert collected(state.read_dated(spark, path, df.schema), "x") == expected
     assert collected(state.windowed(frame(old, schema), fresh, "created", cut), "x") == expected
     state.replace_window(spark, path, frame([], schema), "created", cut)
-    assert collected(state.read_window_table(spark, path, df.schema), "x") == [("before",), ("edge",)]
+    assert collected(state.read_dated(spark, path, df.schema), "x") == [("before",), ("edge",)]
 
 
 def test_contract(frame):

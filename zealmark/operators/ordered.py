@@ -52,6 +52,7 @@ def cut_hot_groups(df: DataFrame, keys: list[str], ts: str, limit: int = GROUP_L
     hot = df.groupBy(*keys).count().filter(F.col("count") > limit).drop("count")
     if hot.isEmpty():
         return df.withColumn(CHUNK, F.lit(None).cast("bigint")), False
+    hot = stage(hot, "hot-groups")  # at most rows / limit of them, and their size is known from here on
     timed = df.withColumn("_minute", _minute(ts))
     per_minute = (
         timed.join(hot, _same(timed, hot, keys), "left_semi").groupBy(*keys, "_minute").agg(F.count(F.lit(1)).alias("n"))

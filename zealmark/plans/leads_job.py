@@ -6,9 +6,8 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from zealmark.functions.columns import parse_as_of
+from zealmark.functions.columns import hours_before, parse_as_of
 from zealmark.operators import dwell as dw
 from zealmark.operators import touchpoints as tp
 from zealmark.operators.catalog import Content, Dims, content
@@ -81,6 +80,10 @@ TARGETS = {
 }
 
 
+# tables split by day
+DATED = {*(table for table, _ in TARGETS.values()), *(f"combine_{place + 1}" for place in range(len(STAGES)))}
+
+
 class LeadsJob:
     """Incremental lead run over tables under ``root``, a folder all executors share.
 
@@ -95,12 +98,12 @@ class LeadsJob:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def table(self, name: str) -> DataFrame:
-        """Table as written so far; empty before its first load."""
+    def table(self, name: str, after: datetime | None = None) -> DataFrame:
+        """Table as written so far, or its rows after a time; empty before its first load."""
         if not state.table_exists(self.spark, self.path(name)):
             return self.spark.createDataFrame([], TABLES[name])
-        if name == "sessions_checkins_status" or name.startswith("combine_"):
-            return enforce_schema(state.read_window_table(self.spark, self.path(name), TABLES[name]), name)
+        if name in DATED:
+            return state.read_dated(self.spark, self.path(name), TABLES[name], after)
         return enforce_schema(self.spark.read.schema(TABLES[name]).parquet(self.path(name)), name)
 
     def _new_facts(self) -> tuple[Sources, dict[str, int]]:
@@ -129,7 +132,11 @@ class LeadsJob:
 
     def _checkins_seen(self) -> datetime | None:
         """Time up to which check-ins are loaded for good; at day grain the newest day is loaded again as a whole."""
-        seen = state.high_water(self.table("sessions_checkins_status"), "created")
+        name = "sessions_checkins_status"
+        newest_day = state.last_day(self.spark, self.path(name))
+        if newest_day is None:
+            return None
+        seen = state.high_water(self.table(name, newest_day - timedelta(microseconds=1)), "created")
         return seen - timedelta(microseconds=1) if seen and self.grain == "day" else seen
 
     def load_touchpoints(self) -> None:
@@ -137,7 +144,7 @@ class LeadsJob:
         built = extracts(fresh, self.grain)
         for name, (table, batch) in TARGETS.items():
             if batch:
-                state.replace_batch(enforce_schema(built[name], table), self.path(table), batch)
+                state.replace_batch(enforce_schema(built[name], table), self.path(table), batch, "created")
         seen = self._checkins_seen() or datetime(1970, 1, 1)
         state.replace_window(self.spark, self.path("sessions_checkins_status"), built["checkins"], "created", seen)
         self.marks.advance(**now)
@@ -145,32 +152,29 @@ class LeadsJob:
     def combine(self, as_of: str | datetime, lookback_hours: float = 72, min_views: int = 2) -> None:
         """Six stages, each recomputed for the look-back window and stored."""
         cut = parse_as_of(as_of) - timedelta(hours=lookback_hours)
-        recent = {name: self.table(table) for name, (table, _) in TARGETS.items()}
-        out = touchpoint(recent["bookmarks"], "num_bookmarks", "num_bookmarks", F.lit(str(cut)).cast("timestamp_ntz"))
+        recent = {name: self.table(table, cut) for name, (table, _) in TARGETS.items()}
+        after = hours_before(as_of, lookback_hours)
+        out = touchpoint(recent["bookmarks"], "num_bookmarks", "num_bookmarks", after)
         for place, step in enumerate(STAGES):
-            right = touchpoint(
-                recent[step.source],
-                step.value,
-                step.metric,
-                F.lit(str(cut)).cast("timestamp_ntz"),
-                min_views if step.metric == "sessions_viewed" else None,
-            )
+            least = min_views if step.metric == "sessions_viewed" else None
+            right = touchpoint(recent[step.source], step.value, step.metric, after, least)
             table = f"combine_{place + 1}"
-            carried = list(METRICS[: place + 1]) if place else []
+            carried = METRICS[: place + 1] if place else ()
             summed = () if place else ("num_bookmarks",)
-            stage_rows = enforce_schema(combine(out, right, step.metric, carried, step.how, summed), table)
-            state.replace_window(self.spark, self.path(table), stage_rows, "created", cut)
-            out = self.table(table).filter(F.col("created") > F.lit(str(cut)).cast("timestamp_ntz"))
+            combined = enforce_schema(combine(out, right, step.metric, carried, step.how, summed), table)
+            state.replace_window(self.spark, self.path(table), combined, "created", cut)
+            out = self.table(table, cut)
 
     def score(self, as_of: str | datetime, lookback_hours: float = 72, zero_range: str = "reference") -> int:
         """Stamp, score and enrich one batch; running it again replaces the batch."""
         run = self.marks.next_run()
-        actions = stamp_actions(self.table("combine_6"), run, as_of, lookback_hours)
+        recent = self.table("combine_6", parse_as_of(as_of) - timedelta(hours=lookback_hours))
+        actions = stamp_actions(recent, run, as_of, lookback_hours)
         state.replace_batch(actions, self.path("actions_stag"))
-        batch = self.table("actions_stag").filter(F.col("batchid") == run)
+        batch = self.table("actions_stag").filter(f"batchid = {run}")
         if not batch.isEmpty():
             state.replace_batch(lead_scores(batch, zero_range), self.path("scores"))
-            scored = self.table("scores").filter(F.col("batchid") == run)
+            scored = self.table("scores").filter(f"batchid = {run}")
             people = leads(scored, self.src.details, self.src.applications, latest_only=False)
             state.replace_batch(people, self.path("leads"))
         return run

@@ -223,7 +223,7 @@ def rolling_replace(p: Platform) -> DataFrame:
     cut = parse_as_of(AS_OF) - timedelta(hours=RECENT)
     for _ in range(2):
         state.replace_window(p.spark, path, late, "created", cut)
-    return state.read_window_table(p.spark, path, TABLES["combine_1"])
+    return state.read_dated(p.spark, path, TABLES["combine_1"])
 
 
 @query

@@ -82,23 +82,30 @@ def windowed(existing: DataFrame, new: DataFrame, ts_col: str, cut: Any) -> Data
     return existing.filter(F.col(ts_col) <= _constant(cut)).unionByName(new)
 
 
-def sized_files(df: DataFrame, partition_col: str) -> DataFrame:
+def sized_files(df: DataFrame, *partition_cols: str) -> DataFrame:
     """Lay rows out by the partition they are written to.
 
     AQE cuts a large partition into tasks of the advisory size and merges small
     ones, so a table gets neither one file per task and partition nor one task
     that writes a whole batch.
     """
-    return df.hint("rebalance", partition_col)
+    return df.hint("rebalance", *partition_cols)
 
 
-def replace_batch(df: DataFrame, path: str, batch_col: str = "batchid") -> None:
-    """Replace exactly the batches present in ``df``; running it again changes nothing."""
+def replace_batch(df: DataFrame, path: str, batch_col: str = "batchid", ts_col: str | None = None) -> None:
+    """Replace exactly the batches present in ``df``; running it again changes nothing.
+
+    With ``ts_col`` each batch is also split by the day of that time, so that a
+    look back over a few days opens no older file.
+    """
+    parts = [batch_col]
+    if ts_col:
+        df, parts = df.withColumn(CREATED_DATE, F.col(ts_col).cast("date")), [batch_col, CREATED_DATE]
     (
-        sized_files(df, batch_col)
+        sized_files(df, *parts)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(batch_col)
+        .partitionBy(*parts)
         .parquet(path)
     )
 
@@ -133,11 +140,13 @@ def replace_window(spark: SparkSession, path: str, new: DataFrame, ts_col: str,
             _filesystem(spark, path).delete(folder, True)
 
 
-def read_window_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Table written by ``replace_window``, without its partition column."""
-    return spark.read.schema(T.StructType([*schema.fields, T.StructField(CREATED_DATE, T.DateType())])).parquet(
-        path
-    ).drop(CREATED_DATE)
+def read_dated(spark: SparkSession, path: str, schema: T.StructType, after: datetime | None = None, ts_col: str = "created") -> DataFrame:
+    """Table split by day, without its partition column; ``after`` opens only the days from that time on."""
+    dated = spark.read.schema(T.StructType([*schema.fields, T.StructField(CREATED_DATE, T.DateType())])).parquet(path)
+    if after is not None:
+        edge = F.lit(after.date().isoformat()).cast("date")
+        dated = dated.filter((F.col(CREATED_DATE) >= edge) & (F.col(ts_col) > _constant(after)))
+    return dated.select([f.name for f in schema])
 
 
 def _path(spark: SparkSession, path: str):
@@ -159,3 +168,9 @@ def _days(spark: SparkSession, path: str) -> list[tuple[str, Any]]:
         if name.startswith(f"{CREATED_DATE}="):
             found.append((name.split("=", 1)[1], status.getPath()))
     return found
+
+
+def last_day(spark: SparkSession, path: str) -> datetime | None:
+    """Newest day of a table split by day, from its folder names."""
+    days = [day for day, _ in _days(spark, path)] if table_exists(spark, path) else []
+    return datetime.fromisoformat(max(days)) if days else None
