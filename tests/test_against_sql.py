@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as contract
 from tests.compare import connect, difference
 
-SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 QUERIES, STATEMENTS = contract.queries(), contract.oracle_sql()
 
 

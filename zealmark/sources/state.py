@@ -165,7 +165,7 @@ def _days(spark: SparkSession, path: str) -> list[tuple[str, Any]]:
     found = []
     for status in _filesystem(spark, path).listStatus(_path(spark, path)):
         name = status.getPath().getName()
-        if name.startswith(f"{CREATED_DATE}="):
+        if name.startswith(f"{CREATED_DATE}=2") or name.startswith(f"{CREATED_DATE}=1"):  # not the NULL partition
             found.append((name.split("=", 1)[1], status.getPath()))
     return found
 
