@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows of one Arrow batch: bounds what a Python worker holds at once when texts are long.
-BATCH_ROWS = 1000
+BATCH_ROWS = 4000
+# Places of a one-hash filter, and how many of them one row of Spark's bitmap functions covers
+BITMAP_BITS, BITMAP_PART = 1 << 22, 32_768
 # White space of the word rules: space and tab to carriage return. ``bytes.split`` splits on exactly these.
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -43,6 +45,24 @@ def byte_list(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+def seen_bitmap(values: DataFrame, column: str) -> dict[int, bytes]:
+    """A one-hash filter of ``column``: BITMAP_BITS bits at most, however many rows there are; it may pass values that are not there."""
+    spot = F.lit(1) + bitmap_spot(column)
+    rows = values.select(F.bitmap_bucket_number(spot).alias("part"), F.bitmap_bit_position(spot).alias("bit"))
+    return {row.part: bytes(row.bits) for row in rows.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()}
+
+
+def bitmap_spot(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
+
+
+def in_bitmap(bitmap: dict[int, bytes], spot: int) -> bool:
+    """Whether the place of a value, its ``bitmap_spot``, is marked."""
+    part, bit = divmod(spot, BITMAP_PART)
+    bits = bitmap.get(part + 1)  # Spark counts the parts of positive numbers from 1
+    return bits is not None and bool(bits[bit // 8] >> (bit % 8) & 1)
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Words between white space, A-Z in lower case (bytes.lower leaves all other code points alone)."""
     return text.lower().split()

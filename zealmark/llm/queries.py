@@ -6,25 +6,125 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from zealmark.llm.common import table
+from zealmark.llm.chat_format import ASSISTANT, format_conversations, read_back
+from zealmark.llm.common import remainder, table
+from zealmark.llm.decontaminate import find_benchmark
+from zealmark.llm.fingerprint import fingerprint_documents
+from zealmark.llm.jaccard_join import near_duplicates
+from zealmark.llm.language import identify_language, learn_languages
+from zealmark.llm.main_text import extract_main_text
+from zealmark.llm.mixture import mix_sources
 from zealmark.llm.token_files import tokenize_corpus
+from zealmark.llm.toxicity import learn_toxicity, score_toxicity
 from zealmark.llm.warc import archive_pages
 
 TOKENIZER = "word_bpe_49k.json"
+# The conversation whose texts are nothing but control strings of a chat template
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = learn_toxicity(docs.where(remainder("doc_id", 4) != 2), table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "evidence")
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learn_languages(docs.select("doc_id", "text", "lang").where(remainder("doc_id", 5) != 0))
+    return identify_language(docs, model).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
+
+
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, ASSISTANT, CONTROL_TEXT)], "conv_id bigint, turn bigint, role string, text string")
+    return read_back(format_conversations(turns.unionByName(probe)))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "spans")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize_corpus(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(spark, table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_token_files": op8_token_files, "op10_warc": op10_warc}
+    found = (
+        op1_main_text,
+        op2_toxicity,
+        op3_language,
+        op4_mixture,
+        op5_fingerprint,
+        op6_chat_format,
+        op7_decontaminate,
+        op8_token_files,
+        op9_jaccard_join,
+        op10_warc,
+    )
+    return {query.__name__: query for query in found}
+
+
+# DuckDB statements of the operators that SQL expresses over whole tables; its regular expressions work on code points.
+WINDOW_HITS = """
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS words FROM documents),
+bw AS (SELECT cast(item_id AS varchar) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS words FROM benchmark),
+win AS (SELECT DISTINCT item, least(len(words), 10) AS n, list_slice(words, i, i + least(len(words), 10) - 1) AS win
+  FROM bw, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS t(i) WHERE len(words) > 0),
+sizes AS (SELECT DISTINCT n FROM win),
+spots AS (SELECT doc_id, s.n, i, list_slice(words, i, i + s.n - 1) AS win FROM w, sizes s, unnest(range(1, len(words) - s.n + 2)) AS t(i)),
+hits AS (SELECT spots.doc_id, spots.i, spots.n, win.item FROM spots JOIN win ON spots.n = win.n AND spots.win = win.win),
+hit AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hits, unnest(range(0, n)) AS t(k) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT w.doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+SHINGLE_CLASSES = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [words]
+  ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: list_slice(words, i, i + 4))) END AS s FROM w),
+named AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN sha256(cast(list_sort(s) AS varchar)) END AS node, s FROM sets),
+one AS (SELECT node, any_value(n) AS n, any_value(s) AS s FROM named WHERE node IS NOT NULL GROUP BY node),
+tokens AS (SELECT node, n, unnest(s) AS t FROM one),
+common AS (SELECT a.node AS a, b.node AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS both FROM tokens a JOIN tokens b ON a.t = b.t AND a.node < b.node GROUP BY a.node, b.node),
+links AS (SELECT a, b FROM common WHERE 100 * both >= 75 * (na + nb - both)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT node, node FROM one UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+least AS (SELECT reach.a AS node, min(named.doc_id) AS component_id FROM reach JOIN named ON named.node = reach.b GROUP BY reach.a)
+SELECT doc_id, n AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM named LEFT JOIN least USING (node)
+"""
+ARCHIVE = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY sha1(payload)) AS kept FROM p),
+b AS (SELECT *, list_transform(range(0, 32), lambda i: CAST('0x' || substr(hex || '0000000000', CAST(floor(i * 5 / 4) AS integer) + 1, 2) AS integer)) AS pairs FROM d)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((pairs[i + 1] >> (3 - (i * 5) % 4)) & 31) + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to
+FROM b
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_decontaminate": WINDOW_HITS, "op9_jaccard_join": SHINGLE_CLASSES, "op10_warc": ARCHIVE}

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,22 +25,28 @@ from zealmark.llm.common import narrowed, opened, partitions, prepare
 from zealmark.session import scratch_path
 
 NULL_ID = -(2**63)
-CACHED_WORDS = 200_000
+CACHED_PIECES = 600_000  # about 200 bytes each; a worker starts anew beyond that
 READ_IDS = 1 << 20
 SHARDS = "shard bigint, name string, n_docs bigint, n_ids bigint, id_bytes bigint"
 
 
-class Encoder:
-    """Ids of whole texts, put together from the ids of their words.
+# Pieces of a text whose ids can be found one by one: a word that ends with an ASCII letter, the punctuation that ends
+# its run of non-space, or else the whole run. Quotes and the brackets of control tokens never part.
+_TAIL = rb"[!-&(-/:;=?@\[-`{}~]"
+PIECES = re.compile(rb"[A-Za-z\x80-\xff]*[A-Za-z](?=" + _TAIL + rb"*(?:[ \t\n\r]|\Z))|" + _TAIL + rb"+(?=[ \t\n\r]|\Z)|[^ \t\n\r]+")
+_ENCODERS: dict[tuple[str, int], Encoder] = {}  # one per Python worker, kept from task to task
 
-    For a tokenizer that never joins across white space (``word_bpe_49k``: its
-    splitting pattern matches no white space) the ids of a text are those of
-    its words in a row, so each word is encoded once per worker and then looked
-    up.  Text is cut at space, tab and line ends only, which every rule of the
-    tokenizer counts as white space.
-    """
 
-    CUTS = bytes.maketrans(b"\t\n\r", b"   ")
+class Encoder:
+    """Ids of whole texts, put together from the ids of their pieces.
+
+    For a tokenizer that never joins across white space or from a letter to
+    punctuation (``word_bpe_49k``: its splitting pattern takes letters, digits and
+    the rest apart) the ids of a text are those of its pieces in a row, so a piece is encoded once per
+    worker and then looked up.  Text is cut at space, tab and line ends only,
+    which every rule of the tokenizer counts as white space.  ASCII words
+    differ by case in no id.
+    """
 
     def __init__(self, path: str, id_bytes: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,20 +54,34 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype(f"<u{id_bytes}")
-        self.known: dict[bytes, bytes] = {b"": b""}
+        self.known: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def of(path: str, id_bytes: int) -> Encoder:
+        if (path, id_bytes) not in _ENCODERS:
+            _ENCODERS[path, id_bytes] = Encoder(path, id_bytes)
+        return _ENCODERS[path, id_bytes]
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        new = {p for p in pieces if p not in self.known}
+        if len(self.known) + 2 * len(new) > CACHED_PIECES:
+            self.known.clear()
+            new = set(pieces)
+        folded = {p: p.lower() if p.isascii() and p.isalpha() else p for p in new}
+        wanted = [p for p in {*folded.values()} if p not in self.known]
+        for at in range(0, len(wanted), 10_000):
+            part = wanted[at : at + 10_000]
+            found = self.tokenizer.encode_batch([p.decode() for p in part], add_special_tokens=False)
+            self.known.update((p, np.array(x.ids, self.kind).tobytes()) for p, x in zip(part, found, strict=True))
+        self.known.update((p, self.known[key]) for p, key in folded.items())
 
     def encode(self, text: bytes) -> bytes:
-        words = text.translate(self.CUTS).split(b" ")
-        known = self.known
-        if new := list({word for word in words if word not in known}):
-            if len(known) + len(new) > CACHED_WORDS:
-                known = self.known = {b"": b""}
-                new = list({word for word in words if word})
-            for at in range(0, len(new), 10_000):
-                part = new[at : at + 10_000]
-                found = self.tokenizer.encode_batch([word.decode() for word in part], add_special_tokens=False)
-                known.update((word, np.array(x.ids, self.kind).tobytes()) for word, x in zip(part, found, strict=True))
-        return b"".join(map(known.__getitem__, words))
+        pieces = PIECES.findall(text)
+        try:
+            return b"".join(map(self.known.__getitem__, pieces))
+        except KeyError:
+            self._learn(pieces)
+            return b"".join(map(self.known.__getitem__, pieces))
 
 
 def id_width(tokenizer_path: str, end_id: int) -> int:
@@ -73,7 +94,7 @@ def id_width(tokenizer_path: str, end_id: int) -> int:
 
 def _writer(folder: str, tokenizer_path: str, end_id: int, id_bytes: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path, id_bytes)
+        encoder = Encoder.of(tokenizer_path, id_bytes)
         end = np.array([end_id], f"<u{id_bytes}").tobytes()
         fs, root = opened(folder)
         shard, name, files, n_docs, n_ids = TaskContext.get().partitionId(), "", [], 0, 0
