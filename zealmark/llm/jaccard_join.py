@@ -60,6 +60,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_PLACES = _mixed(np.arange(1, SHINGLE + 1, dtype=np.uint64) * _A) | np.uint64(1)  # odd factors of a shingle's words
 _WORDS: dict[bytes, int] = {}  # hashes of words, kept by a Python worker
 
 
@@ -78,10 +79,12 @@ def shingles(text: bytes) -> np.ndarray:
         _WORDS.update((word, xxhash.xxh3_64_intdigest(word)) for word in new)
         h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     n = min(SHINGLE, len(words))
-    out = np.full(len(words) - n + 1, n, np.uint64)
-    for i in range(n):
-        out = _mixed(out * _A + h[i : len(words) - n + 1 + i])
-    return np.unique(out)
+    out = h[: len(words) - n + 1] * _PLACES[0] + np.uint64(n)
+    for i in range(1, n):
+        out += h[i : len(words) - n + 1 + i] * _PLACES[i]
+    out = _mixed(out)
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def node_of(hashes: np.ndarray) -> int:

@@ -108,8 +108,8 @@ sets AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THE
 named AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN sha256(cast(list_sort(s) AS varchar)) END AS node, s FROM sets),
 one AS (SELECT node, any_value(n) AS n, any_value(s) AS s FROM named WHERE node IS NOT NULL GROUP BY node),
 tokens AS (SELECT node, n, unnest(s) AS t FROM one),
-common AS (SELECT a.node AS a, b.node AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS both FROM tokens a JOIN tokens b ON a.t = b.t AND a.node < b.node GROUP BY a.node, b.node),
-links AS (SELECT a, b FROM common WHERE 100 * both >= 75 * (na + nb - both)),
+common AS (SELECT a.node AS a, b.node AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS n_both FROM tokens a JOIN tokens b ON a.t = b.t AND a.node < b.node GROUP BY a.node, b.node),
+links AS (SELECT a, b FROM common WHERE 100 * n_both >= 75 * (na + nb - n_both)),
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(a, b) AS (SELECT node, node FROM one UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
 least AS (SELECT reach.a AS node, min(named.doc_id) AS component_id FROM reach JOIN named ON named.node = reach.b GROUP BY reach.a)
