@@ -8,9 +8,9 @@ Per size band a set is cut into segments by a hash of the shingle, and each
 segment keeps the XOR of its shingles' hashes: a parity sketch.  A shingle in one set only
 changes one segment, so the number of segments that differ is at most D, and of any
 D + 1 segments of a set one agrees.  Sets therefore meet by their first D + 1 segments that are
-not empty (and some spare ones, see below).  A further parity sketch of 1,024 single
-bits, whose Hamming distance is at most D too, rejects most chance meetings; what is
-left is verified on the texts.
+not empty (and some spare ones, see below).  A further parity sketch of single bits, a few
+per shingle, whose Hamming distance is at most D too, rejects nearly all chance meetings; what
+is left is verified on the texts.
 
 Copies.  Equal sets are one node, so exact copies never meet each other.  Nodes
 that meet in a key are not paired with each other: a few of them stand for the
@@ -27,27 +27,26 @@ other there.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zealmark.llm.common import bitmap_spot, in_bitmap, narrowed, partitions, prepare, seen_bitmap, words_of
+from zealmark.llm.common import bitmap_spot, in_bitmap, narrowed, partitions, prepare, seen_bitmap
 from zealmark.llm.components import connected
 from zealmark.session import stage
 
 SHINGLE = 5
 LIKE = (75, 100)
-BITS = 1024
 HOT_NODES = 64
 SPARE = 0.08  # spare segments per shingle
 DENSITY = 1.6  # shingles per segment for the largest sets of a band
 LEAST_SEGMENTS = 64
 REPS = (1, 8, 64)  # nodes that stand for a key, by round; the last holds from then on
-CACHED_WORDS = 200_000
 SEEN_NODES = 500_000
 OUT_ROWS = 50_000
 
@@ -61,27 +60,49 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 _PLACES = _mixed(np.arange(1, SHINGLE + 1, dtype=np.uint64) * _A) | np.uint64(1)  # odd factors of a shingle's words
-_WORDS: dict[bytes, int] = {}  # hashes of words, kept by a Python worker
+SLICE = 1 << 20  # bytes of a text that are hashed at once, up to the next white space
+_SPACE = re.compile(rb"[ \t-\r]")
+_INSIDE = bytes(0 if c == 0x20 or 0x09 <= c <= 0x0D else 1 for c in range(256))
+_FIRST_BYTES = np.array([0, *((1 << 8 * n) - 1 for n in range(1, 8)), 2**64 - 1], np.uint64)  # mask of a word's first n bytes
+LONG_WORD = 1024
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash for each word between white space, A-Z in lower case."""
+    parts, at = [], 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + SLICE)
+        end = cut.start() if cut else len(text)
+        piece = text[at:end].lower()
+        at = end
+        inside = np.frombuffer(piece.translate(_INSIDE), np.int8)
+        edges = np.flatnonzero(np.diff(inside, prepend=0, append=0))
+        starts, lengths = edges[::2], edges[1::2] - edges[::2]
+        if not len(starts):
+            continue
+        eights = np.ndarray((len(piece) + 1,), "<u8", piece + bytes(8), strides=(1,))  # the eight bytes from each place on
+        h = _mixed((eights[starts] & _FIRST_BYTES[np.minimum(lengths, 8)]) + lengths.astype(np.uint64) * _B)
+        done, more = 8, np.flatnonzero(lengths > 8)
+        while len(more) and done < LONG_WORD:
+            rest = eights[starts[more] + done] & _FIRST_BYTES[np.minimum(lengths[more] - done, 8)]
+            h[more] = _mixed(h[more] * _A + rest)
+            done += 8
+            more = more[lengths[more] > done]
+        for k in more.tolist():
+            h[k] = xxhash.xxh3_64_intdigest(piece[starts[k] : starts[k] + lengths[k]])
+        parts.append(h)
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
 def shingles(text: bytes) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct 5-word shingles; fewer words are one shingle, none are an empty set."""
-    words = words_of(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    try:
-        h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        new = {word for word in words if word not in _WORDS}
-        if len(_WORDS) + len(new) > CACHED_WORDS:
-            _WORDS.clear()
-            new = set(words)
-        _WORDS.update((word, xxhash.xxh3_64_intdigest(word)) for word in new)
-        h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    n = min(SHINGLE, len(words))
-    out = h[: len(words) - n + 1] * _PLACES[0] + np.uint64(n)
+    h = word_hashes(text)
+    if not len(h):
+        return h
+    n = min(SHINGLE, len(h))
+    out = h[: len(h) - n + 1] * _PLACES[0] + np.uint64(n)
     for i in range(1, n):
-        out += h[i : len(words) - n + 1 + i] * _PLACES[i]
+        out += h[i : len(h) - n + 1 + i] * _PLACES[i]
     out = _mixed(out)
     out.sort()
     return out[np.append(True, out[1:] != out[:-1])]
@@ -93,11 +114,23 @@ def node_of(hashes: np.ndarray) -> int:
 
 
 def bit_sketch(hashes: np.ndarray) -> list[int]:
-    """Parity of the shingles that fall on each of 1,024 bits, as 16 numbers."""
-    odd = np.bincount((_mixed(hashes ^ _B) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    """Parity of the shingles that fall on each bit, as 64-bit numbers; a power of two of bits, two to four per shingle."""
+    bits = max(64, 1 << (2 * len(hashes) - 1).bit_length())
+    odd = np.bincount((_mixed(hashes ^ _B) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
+def hamming(a: str, b: str) -> Column:
+    """Differing bits of two sketches; of sizes that may link one is at most twice as long, and is folded to the other's length."""
+
+    def folded(own: str, other: str) -> Column:
+        half = (F.size(own) / 2).cast("int")
+        halves = F.zip_with(F.slice(own, F.lit(1), half), F.slice(own, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(own) > F.size(other), halves).otherwise(F.col(own))
+
+    return F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+
+
 def most_apart(size: int) -> int:
     """Greatest symmetric difference from any set that links with one of this size."""
     return (size + size * LIKE[1] // LIKE[0]) * (LIKE[1] - LIKE[0]) // (LIKE[0] + LIKE[1])
@@ -320,11 +353,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         filtered = pairs.join(about.selectExpr("node as u", "size as size_u", "sketch as sketch_u"), "u").join(
             about.selectExpr("node as v", "size as size_v", "sketch as sketch_v"), "v"
         )
-        apart = F.aggregate(F.zip_with("sketch_u", "sketch_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-        filtered = filtered.where(
-            (F.least("size_u", "size_v") * LIKE[1] >= F.greatest("size_u", "size_v") * LIKE[0])
-            & (apart * (LIKE[0] + LIKE[1]) <= (F.col("size_u") + F.col("size_v")) * (LIKE[1] - LIKE[0]))
-        )
+        filtered = filtered.where(F.least("size_u", "size_v") * LIKE[1] >= F.greatest("size_u", "size_v") * LIKE[0])
+        filtered = filtered.where(hamming("sketch_u", "sketch_v") * (LIKE[0] + LIKE[1]) <= (F.col("size_u") + F.col("size_v")) * (LIKE[1] - LIKE[0]))
         candidates = stage(filtered.select("u", "v"), "candidates")
         links = stage(_links(rows, firsts, candidates), "verified")
         if not links.isEmpty():
