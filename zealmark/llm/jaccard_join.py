@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zealmark.llm.common import bitmap_spot, in_bitmap, narrowed, partitions, prepare, seen_bitmap
+from zealmark.llm.common import bitmap_spot, byte_list, in_bitmap, narrowed, partitions, prepare, seen_bitmap
 from zealmark.llm.components import connected
 from zealmark.session import stage
 
@@ -65,47 +65,71 @@ _SPACE = re.compile(rb"[ \t-\r]")
 _INSIDE = bytes(0 if c == 0x20 or 0x09 <= c <= 0x0D else 1 for c in range(256))
 _FIRST_BYTES = np.array([0, *((1 << 8 * n) - 1 for n in range(1, 8)), 2**64 - 1], np.uint64)  # mask of a word's first n bytes
 LONG_WORD = 1024
+_TRUE = np.ones(1, bool)
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash for each word between white space, A-Z in lower case."""
-    parts, at = [], 0
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash for each word between white space, A-Z in lower case, and where the word begins."""
+    hashes, places, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
     while at < len(text):
         cut = _SPACE.search(text, at + SLICE)
         end = cut.start() if cut else len(text)
         piece = text[at:end].lower()
-        at = end
         inside = np.frombuffer(piece.translate(_INSIDE), np.int8)
         edges = np.flatnonzero(np.diff(inside, prepend=0, append=0))
         starts, lengths = edges[::2], edges[1::2] - edges[::2]
-        if not len(starts):
-            continue
-        eights = np.ndarray((len(piece) + 1,), "<u8", piece + bytes(8), strides=(1,))  # the eight bytes from each place on
-        h = _mixed((eights[starts] & _FIRST_BYTES[np.minimum(lengths, 8)]) + lengths.astype(np.uint64) * _B)
-        done, more = 8, np.flatnonzero(lengths > 8)
-        while len(more) and done < LONG_WORD:
-            rest = eights[starts[more] + done] & _FIRST_BYTES[np.minimum(lengths[more] - done, 8)]
-            h[more] = _mixed(h[more] * _A + rest)
-            done += 8
-            more = more[lengths[more] > done]
-        for k in more.tolist():
-            h[k] = xxhash.xxh3_64_intdigest(piece[starts[k] : starts[k] + lengths[k]])
-        parts.append(h)
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        if len(starts):
+            eights = np.ndarray((len(piece) + 1,), "<u8", piece + bytes(8), strides=(1,))  # the eight bytes from each place on
+            h = _mixed((eights[starts] & _FIRST_BYTES[np.minimum(lengths, 8)]) + lengths.astype(np.uint64) * _B)
+            done, more = 8, np.flatnonzero(lengths > 8)
+            while len(more) and done < LONG_WORD:
+                rest = eights[starts[more] + done] & _FIRST_BYTES[np.minimum(lengths[more] - done, 8)]
+                h[more] = _mixed(h[more] * _A + rest)
+                done += 8
+                more = more[lengths[more] > done]
+            for k in more.tolist():
+                h[k] = xxhash.xxh3_64_intdigest(piece[starts[k] : starts[k] + lengths[k]])
+            hashes.append(h)
+            places.append(starts + at)
+        at = end
+    return np.concatenate(hashes), np.concatenate(places)
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct 5-word shingles; fewer words are one shingle, none are an empty set."""
-    h = word_hashes(text)
-    if not len(h):
-        return h
-    n = min(SHINGLE, len(h))
+def _sums(h: np.ndarray, n: int) -> np.ndarray:
     out = h[: len(h) - n + 1] * _PLACES[0] + np.uint64(n)
     for i in range(1, n):
         out += h[i : len(h) - n + 1 + i] * _PLACES[i]
-    out = _mixed(out)
-    out.sort()
-    return out[np.append(True, out[1:] != out[:-1])]
+    return _mixed(out)
+
+
+def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """For each text the sorted 64-bit hashes of its distinct 5-word shingles; fewer words are one shingle, none are an empty set.
+
+    Texts are hashed together, about SLICE bytes at a time.
+    """
+    at = 0
+    while at < len(texts):
+        upto, size = at, 0
+        while upto < len(texts) and (upto == at or size + len(texts[upto]) < SLICE):
+            size += len(texts[upto])
+            upto += 1
+        part = texts[at:upto]
+        at = upto
+        h, places = word_hashes(b"\n".join(part))
+        ends = np.searchsorted(places, np.cumsum([len(text) + 1 for text in part])).tolist()
+        sums = _sums(h, SHINGLE) if len(h) >= SHINGLE else h[:0]
+        begin = 0
+        for end in ends:
+            if end - begin >= SHINGLE:
+                out = np.sort(sums[begin : end - SHINGLE + 1])
+                yield out[np.concatenate((_TRUE, out[1:] != out[:-1]))]
+            else:
+                yield _sums(h[begin:end], end - begin) if end > begin else h[:0]
+            begin = end
+
+
+def shingles(text: bytes) -> np.ndarray:
+    return next(shingle_sets([text]))
 
 
 def node_of(hashes: np.ndarray) -> int:
@@ -152,10 +176,11 @@ def band_keys(hashes: np.ndarray, band: int) -> tuple[np.ndarray, int]:
     segments = max(LEAST_SEGMENTS, int(4 ** (band + 1) * LIKE[1] / LIKE[0] / DENSITY))
     salted = _mixed(hashes + np.uint64((band + 1) * int(_B) % 2**64))
     of = (salted % np.uint64(segments)).astype(np.int64)
-    order = np.argsort(of, kind="stable")
-    first = np.flatnonzero(np.diff(of[order], prepend=-1))
-    parity = np.bitwise_xor.reduceat(_mixed(salted[order] + _A), first)
-    filled = of[order][first].astype(np.uint64)
+    order = np.argsort(of)
+    of = of[order]
+    first = np.flatnonzero(np.concatenate((_TRUE, of[1:] != of[:-1])))
+    parity = np.bitwise_xor.reduceat(salted[order], first)
+    filled = of[first].astype(np.uint64)
     apart = most_apart(size)
     least = -(-size * LIKE[0] // LIKE[1])
     sure = min(1 + spare(least), len(filled) - apart)
@@ -173,8 +198,7 @@ PROFILE = "doc_id bigint, text_key bigint, n_shingles bigint, node bigint, sketc
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, nodes, sketches = [], [], []
-        for text in batch.column("text").cast(pa.binary()):
-            hashes = shingles(text.as_py())
+        for hashes in shingle_sets(byte_list(batch, "text")):
             sizes.append(len(hashes))
             nodes.append(node_of(hashes) if len(hashes) else None)
             sketches.append(bit_sketch(hashes) if len(hashes) else None)
@@ -198,8 +222,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for batch in batches:
-        for text in batch.column("text").cast(pa.binary()):
-            hashes = shingles(text.as_py())
+        for hashes in shingle_sets(byte_list(batch, "text")):
             if not len(hashes) or (node := node_of(hashes)) in seen:
                 continue
             if len(seen) >= SEEN_NODES:
@@ -292,7 +315,7 @@ def _wanted(bitmap):
         for batch in batches:
             rows = [k for k, spot in enumerate(batch.column("spot").to_pylist()) if in_bitmap(marked, spot)]
             texts = batch.column("text").take(pa.array(rows, pa.int64())).cast(pa.binary()).to_pylist()
-            nodes = [node_of(h) if len(h := shingles(text)) else None for text in texts]
+            nodes = [node_of(h) if len(h) else None for h in shingle_sets(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([t.decode() for t in texts], pa.string())], names=["node", "text"])
 
     return pick
