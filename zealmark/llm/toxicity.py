@@ -107,30 +107,39 @@ def build_index(examples: list[tuple[int | None, int, dict[int, int]]], terms: d
     )
 
 
+def _scores(index: Index, entries: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Cosines of all examples over the postings of some (term, block) entries."""
+    begin, n = index.posting_starts[entries], index.posting_starts[entries + 1] - index.posting_starts[entries]
+    places = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+    return np.bincount(index.examples[places], index.weights[places] * np.repeat(weights, n), len(index.ids))
+
+
 def nearest(index: Index, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` examples of the highest cosine above 0 and their cosines, exactly; equal cosines by place in the index."""
-    spans = [slice(index.block_starts[t], index.block_starts[t + 1]) for t in terms.tolist()]
-    if not spans:
+    """The ``k`` examples of the highest cosine above 0 and their cosines, exactly; equal cosines by place in the index.
+
+    The blocks of the highest bounds give k cosines to beat; of the others only
+    those are read whose bound reaches the least of these.
+    """
+    begin, n = index.block_starts[terms], index.block_starts[terms + 1] - index.block_starts[terms]
+    entries = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+    if not len(entries):
         return np.zeros(0, np.int64), np.zeros(0)
-    blocks = np.concatenate([index.blocks[s] for s in spans])
-    bounds = np.bincount(blocks, np.concatenate([index.maxima[s] * w for s, w in zip(spans, weights.tolist(), strict=True)]))
-    order = np.argsort(-bounds, kind="stable")
-    order = order[bounds[order] > 0]
-    scores = np.zeros(len(index.ids))
-    found: np.ndarray = np.zeros(0, np.int64)
-    step = max(2, -(-2 * k // BLOCK))
-    for at in range(0, len(order), step):
-        if len(found) >= k and bounds[order[at]] < scores[found[-1]] - 1e-9:
-            break
-        for block in order[at : at + step].tolist():
-            for s, w in zip(spans, weights.tolist(), strict=True):
-                here = s.start + np.searchsorted(index.blocks[s], block)
-                if here < s.stop and index.blocks[here] == block:
-                    postings = slice(index.posting_starts[here], index.posting_starts[here + 1])
-                    scores[index.examples[postings]] += w * index.weights[postings]
-            found = np.append(found, np.arange(block * BLOCK, min(len(scores), (block + 1) * BLOCK)))
-        found = found[scores[found] > 0]
-        found = found[np.lexsort((found, -np.round(scores[found], 9)))][:k]
+    weights = np.repeat(weights, n)
+    blocks = index.blocks[entries]
+    bounds = np.bincount(blocks, index.maxima[entries] * weights)
+    best = -(-2 * k // BLOCK) + 1
+    if len(bounds) > best:
+        first = bounds >= np.partition(bounds, -best)[-best]
+        some = first[blocks]
+        scores = _scores(index, entries[some], weights[some])
+        beat = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
+        some = bounds[blocks] >= beat - 1e-9
+        entries, weights = entries[some], weights[some]
+    scores = _scores(index, entries, weights)
+    found = np.flatnonzero(scores > 0)
+    if len(found) > k:
+        found = found[scores[found] >= np.partition(scores[found], -k)[-k] - 1e-9]
+    found = found[np.lexsort((found, -np.round(scores[found], 9)))][:k]
     return found, scores[found]
 
 
