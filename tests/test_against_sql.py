@@ -6,11 +6,11 @@ import os
 
 import pytest
 
-import __spark_entry__ as contract
 from tests.compare import connect, difference
+from zealmark.plans import oracles, registry
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
-QUERIES, STATEMENTS = contract.queries(), contract.oracle_sql()
+QUERIES, STATEMENTS = registry.queries(), oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")

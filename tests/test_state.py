@@ -126,11 +126,11 @@ def test_lead_run_in_two_loads(spark, collected):
     """A run over everything equals two runs that load one after the other, as far as loads are concerned."""
     src = sources(Platform(spark, SF))
     root = scratch_path(spark, "job")
-    first = LeadsJob(spark, facts_up_to(src, 28), root, grain="day")
+    first = LeadsJob(spark, facts_up_to(src, 28), root)
     assert first.run("2024-01-29 00:00:00", 240) == 1
-    second = LeadsJob(spark, src, root, grain="day")
+    second = LeadsJob(spark, src, root)
     assert second.run("2024-01-31 00:00:00", 240) == 2
-    whole = LeadsJob(spark, src, scratch_path(spark, "job"), grain="day")
+    whole = LeadsJob(spark, src, scratch_path(spark, "job"))
     whole.load_touchpoints()
     for table in ("sessions_bookmarked", "sessions_viewed", "sessions_checkins_status", "sessions_speakers_viewed"):
         assert collected(second.table(table)) == collected(whole.table(table))

@@ -15,19 +15,6 @@ def item_id(metadata: str = "metadata") -> Column:
     return F.get_json_object(F.col(metadata), "$.ItemId").try_cast("bigint")
 
 
-def at_grain(created: str, grain: str | None) -> Column:
-    """``created`` itself, or its calendar day.
-
-    At day grain one person and item have at most one row per day after the
-    extract, which bounds the rows per key that the combine stages can pair.
-    """
-    if grain is None:
-        return F.col(created)
-    if grain == "day":
-        return F.col(created).cast("date").cast("timestamp_ntz")
-    raise ValueError(f"unknown grain {grain!r}")
-
-
 def parse_as_of(as_of: str | datetime) -> datetime:
     return as_of if isinstance(as_of, datetime) else datetime.fromisoformat(as_of)
 

@@ -79,9 +79,8 @@ def combine(
     * A missing track or filter never matches, so such rows stay apart.
     * ``created`` is not matched: each pair of rows of one key counts, and its
       row carries the earlier time. Sums over several rows of one key are
-      therefore larger than the plain totals. Inputs at day grain hold one row
-      per key, batch and day, which bounds the pairs of a key by the days looked
-      back, however many events stood behind it.
+      therefore larger than the plain totals, and a key with n and m rows gives n times m.
+      ``combine_summed`` adds up the same touchpoints without pairs.
     * ``carried`` metrics of the left side are part of the row's identity; only
       the new metric (and ``summed``) is added up.
 
@@ -136,6 +135,44 @@ def combine_stages(
     return enforce_schema(out, f"combine_{upto}")
 
 
+def combine_summed(
+    extracts: dict[str, DataFrame], as_of: str | datetime, lookback_hours: float = 72, min_views: int = 2, last_join: str = "left"
+) -> DataFrame:
+    """All recent touchpoints of one person, item and track in one row: plain totals, in time linear in the extracts.
+
+    The extracts are stacked and grouped once, partly before the only shuffle.
+    ``created`` is the earliest time. Rows without track or filter match no
+    other extract, so they are added up within their own one. A group of
+    session dwell alone drops out unless ``last_join="full"``.
+    """
+    cut = hours_before(as_of, lookback_hours)
+    parts = [touchpoint(extracts["bookmarks"], "num_bookmarks", "num_bookmarks", cut).withColumn("_part", F.lit("num_bookmarks"))]
+    for step in STAGES:
+        least = min_views if step.metric == "sessions_viewed" else None
+        part = touchpoint(extracts[step.source], step.value, step.metric, cut, least)
+        parts.append(part.withColumn("_part", F.lit(step.metric)))
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    unmatched = F.col("session_track").isNull() | F.col("filterid").isNull() | F.col("itemid").isNull()
+    alone = F.when(unmatched, F.col("_part"))
+    out = (
+        _matchable(stacked)
+        .withColumn("_alone", alone)
+        .groupBy(*MATCH, "_alone")
+        .agg(
+            F.min("global_user_id").alias("global_user_id"),
+            F.min("created").alias("created"),
+            F.min("session_track").alias("session_track"),
+            F.min("session_name").alias("session_name"),
+            *[total(m) for m in METRICS],
+            F.bool_or(F.col("_part") != STAGES[-1].metric).alias("_more"),
+        )
+        .withColumn("application_id", F.col("_app"))
+    )
+    return enforce_schema(out if last_join == "full" else out.filter("_more"), f"combine_{len(STAGES)}")
+
+
 def stamp_actions(combined: DataFrame, batchid: int, as_of: str | datetime, lookback_hours: float = 72) -> DataFrame:
     """The run's action set: recent combined rows with the run's batch id."""
     recent = combined.filter(F.col("created") > hours_before(as_of, lookback_hours))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zealmark.functions.columns import at_grain, item_id, micros_between
+from zealmark.functions.columns import item_id, micros_between
 from zealmark.operators.catalog import Content
 from zealmark.operators.ordered import CHUNK, GROUP_LIMIT, cut_hot_groups, with_next_time, with_previous
 from zealmark.operators.touchpoints import credit
@@ -67,14 +67,14 @@ def event_dwell(views: DataFrame, session_events: DataFrame, group_limit: int =
     return timed.withColumn("dwell_us", micros_between(F.col("created"), F.col("next_created"))).drop(CHUNK)
 
 
-def dwell_per_item(dwell: DataFrame, grain: str | None = None) -> DataFrame:
+def dwell_per_item(dwell: DataFrame) -> DataFrame:
     """Microseconds per person, time, batch and item: of all kept events (``us``) and of item views (``view_us``)."""
     return (
         dwell.filter("itemid is not null")
         .groupBy(
             "application_id",
             "global_user_id",
-            at_grain("created", grain).alias("created"),
+            "created",
             F.col("batch_id").alias("batchid"),
             "itemid",
         )
@@ -97,14 +97,14 @@ def speaker_seconds(per_item: DataFrame, content: Content) -> DataFrame:
     return enforce_schema(credited, "sessions_speakers_viewed_timespent")
 
 
-def session_dwell(dwell: DataFrame, content: Content, grain: str | None = None) -> DataFrame:
+def session_dwell(dwell: DataFrame, content: Content) -> DataFrame:
     """Seconds spent on sessions, from item views only, by the id of the track itself."""
-    return session_seconds(dwell_per_item(dwell, grain), content)
+    return session_seconds(dwell_per_item(dwell), content)
 
 
-def speaker_dwell(dwell: DataFrame, content: Content, grain: str | None = None) -> DataFrame:
+def speaker_dwell(dwell: DataFrame, content: Content) -> DataFrame:
     """Seconds spent on speakers, credited to each of their sessions.
 
     Any kept event that names a speaker counts here, not only item views.
     """
-    return speaker_seconds(dwell_per_item(dwell, grain), content)
+    return speaker_seconds(dwell_per_item(dwell), content)

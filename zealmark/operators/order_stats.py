@@ -7,7 +7,6 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-IN_ONE_BUFFER = 1_000_000  # rows up to which one aggregation buffer may hold every value
 BUCKETS = 4096
 
 
@@ -46,18 +45,16 @@ def values_at(df: DataFrame, column: str, ranks: list[int], weight: str | None =
     return found
 
 
-def quantiles(df: DataFrame, column: str, probs: list[float], in_one_buffer: int = IN_ONE_BUFFER) -> list[float | None]:
+def quantiles(df: DataFrame, column: str, probs: list[float]) -> list[float | None]:
     """Interpolated quantiles (position (n-1)p between neighbours), ignoring NULL."""
     values = df.select(column).filter(F.col(column).isNotNull())
     n = values.count()
     if n == 0:
         return [None] * len(probs)
-    if n <= in_one_buffer:
-        return list(values.agg(F.percentile(column, F.array(*[F.lit(p) for p in probs]))).first()[0])
     positions = [(n - 1) * p for p in probs]
     at = values_at(values, column, [r for h in positions for r in (math.floor(h), math.ceil(h))])
     out = []
     for h in positions:
-        low, high, part = at[math.floor(h)], at[math.ceil(h)], h - math.floor(h)
-        out.append(low if low == high else low * (1 - part) + high * part)
+        low, high = at[math.floor(h)], at[math.ceil(h)]
+        out.append(low if low == high else (math.ceil(h) - h) * low + (h - math.floor(h)) * high)
     return out

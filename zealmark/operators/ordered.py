@@ -16,7 +16,6 @@ from zealmark.session import stage
 
 CHUNK = "_chunk"
 GROUP_LIMIT = 5_000_000
-SMALL_ROWS = 200_000  # rows of a boundary table that may be broadcast
 
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -32,10 +31,8 @@ def _minute(ts: str) -> Column:
 
 
 def attach(df: DataFrame, side: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Left join on NULL-safe keys; ``side`` is broadcast only if it was counted to be small."""
+    """Left join on NULL-safe keys; ``side`` is a stored table, so Spark knows its bytes and chooses the join."""
     side = side.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *values)
-    if side.count() <= SMALL_ROWS:
-        side = F.broadcast(side)
     condition = F.lit(True)
     for key in keys:
         condition = condition & df[key].eqNullSafe(side[f"_k_{key}"])

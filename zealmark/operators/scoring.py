@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zealmark.operators.order_stats import IN_ONE_BUFFER, quantiles
+from zealmark.operators.order_stats import quantiles
 from zealmark.schemas import METRICS, enforce_schema
 
 # lower and upper cut of the grades
@@ -68,10 +68,9 @@ def grade(
     score: str,
     cuts: tuple[float, float],
     out: str = "grade_score",
-    in_one_buffer: int = IN_ONE_BUFFER,
 ) -> DataFrame:
     """C up to the lower quantile of the score, B up to the upper one, A above; NULL without a score."""
-    low, high = quantiles(df, score, list(cuts), in_one_buffer)
+    low, high = quantiles(df, score, list(cuts))
     s = F.col(score)
     letter = F.when(s <= F.lit(low), "C").when(s <= F.lit(high), "B").when(s.isNotNull(), "A")
     return df.withColumn(out, letter)

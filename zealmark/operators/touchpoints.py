@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zealmark.functions.columns import at_grain, item_id, moment
+from zealmark.functions.columns import item_id, moment
 from zealmark.operators.catalog import SESSION, SESSION_COLUMNS, Content, Dims, items_of
 from zealmark.schemas import enforce_schema
 
 PERSON = ("application_id", "global_user_id", "created")
 
 
-def item_counts(facts: DataFrame, identifier: str, grain: str | None) -> DataFrame:
+def item_counts(facts: DataFrame, identifier: str) -> DataFrame:
     """Events per person, time, batch and item; the only shuffle of the fact table."""
     return (
         facts.filter(F.col("identifier") == identifier)
         .select(
             "application_id",
             "global_user_id",
-            at_grain("created", grain).alias("created"),
+            "created",
             F.col("batch_id").alias("batchid"),
             item_id().alias("itemid"),
         )
@@ -59,19 +59,19 @@ def bookmarked_speakers(counts: DataFrame, content: Content) -> DataFrame:
     return enforce_schema(credited, "sessions_speakers_bookmarked")
 
 
-def bookmarks(actions: DataFrame, content: Content, grain: str | None = None) -> DataFrame:
+def bookmarks(actions: DataFrame, content: Content) -> DataFrame:
     """Bookmarks of sessions."""
-    return bookmarked_sessions(item_counts(actions, "bookmarkButton", grain), content)
+    return bookmarked_sessions(item_counts(actions, "bookmarkButton"), content)
 
 
-def views(facts: DataFrame, content: Content, grain: str | None = None) -> DataFrame:
+def views(facts: DataFrame, content: Content) -> DataFrame:
     """Views of sessions."""
-    return viewed_sessions(item_counts(facts, "item", grain), content)
+    return viewed_sessions(item_counts(facts, "item"), content)
 
 
-def speaker_bookmarks(actions: DataFrame, content: Content, grain: str | None = None) -> DataFrame:
+def speaker_bookmarks(actions: DataFrame, content: Content) -> DataFrame:
     """Bookmarks of speakers, credited to every session of the speaker."""
-    return bookmarked_speakers(item_counts(actions, "bookmarkButton", grain), content)
+    return bookmarked_speakers(item_counts(actions, "bookmarkButton"), content)
 
 
 def _rows_per(df: DataFrame, key: Column, name: str) -> DataFrame:
@@ -99,7 +99,6 @@ def speaker_views(
     users: DataFrame,
     details: DataFrame,
     user_match: str = "inner",
-    grain: str | None = None,
 ) -> DataFrame:
     """Views of speakers by known users, credited to every session of the speaker.
 
@@ -108,7 +107,7 @@ def speaker_views(
     views are joined with one row per user. ``user_match="semi"`` counts each
     view once.
     """
-    return viewed_speakers(item_counts(facts, "item", grain), content, users, details, user_match)
+    return viewed_speakers(item_counts(facts, "item"), content, users, details, user_match)
 
 
 def checkins(
@@ -116,7 +115,6 @@ def checkins(
     notes: DataFrame,
     content: Content,
     users: DataFrame,
-    grain: str | None = None,
 ) -> DataFrame:
     """Check-in notes per person and session.
 
@@ -126,7 +124,7 @@ def checkins(
     noted = notes.groupBy("checkinid").agg(F.count(F.lit(1)).alias("notes"))
     per_person = (
         checkin.join(noted, "checkinid")
-        .groupBy("applicationid", "userid", at_grain("created", grain).alias("created"), "itemid")
+        .groupBy("applicationid", "userid", "created", "itemid")
         .agg(F.sum("notes").alias("n"))
     )
     accounts = users.groupBy("userid", F.col("globaluserid").alias("global_user_id")).agg(

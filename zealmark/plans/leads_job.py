@@ -15,7 +15,7 @@ from zealmark.operators.combine import STAGES, combine, stamp_actions, touchpoin
 from zealmark.operators.leads import leads
 from zealmark.operators.scoring import lead_scores
 from zealmark.schemas import METRICS, TABLES, enforce_schema
-from zealmark.session import release_staged, stage_all
+from zealmark.session import job_scratch, stage_all
 from zealmark.sources import state
 
 
@@ -35,23 +35,20 @@ class Sources:
 
 
 def extracts(
-    src: Sources, grain: str | None = "day", track_join: str = "left", user_match: str = "inner"
+    src: Sources, track_join: str = "left", user_match: str = "inner"
 ) -> dict[str, DataFrame]:
     """The seven touchpoint extracts over whatever facts ``src`` holds.
 
-    At day grain a person and item have one row per day and batch, however many
-    events stand behind it; that is what bounds the pairs the combine makes.
-    ``grain=None`` keeps exact times.
-
-    Each fact table is read once: what two extracts share (item counts, dwell
+    Times are the events' own, so a look back by hours cuts where it says.
+    What two extracts share (item counts, dwell
     per item, the content) is grouped first and stored.
     """
     about = content(src.dims, track_join)
     shared = stage_all(
         {
-            "bookmarked": tp.item_counts(src.actions, "bookmarkButton", grain),
-            "viewed": tp.item_counts(src.views, "item", grain),
-            "dwelt": dw.dwell_per_item(dw.event_dwell(src.views, src.session_events), grain),
+            "bookmarked": tp.item_counts(src.actions, "bookmarkButton"),
+            "viewed": tp.item_counts(src.views, "item"),
+            "dwelt": dw.dwell_per_item(dw.event_dwell(src.views, src.session_events)),
             "sessions": about.sessions,
             "speakers": about.speakers,
         }
@@ -62,7 +59,7 @@ def extracts(
         "views": tp.viewed_sessions(shared["viewed"], about),
         "speaker_bookmarks": tp.bookmarked_speakers(shared["bookmarked"], about),
         "speaker_views": tp.viewed_speakers(shared["viewed"], about, src.users, src.details, user_match),
-        "checkins": tp.checkins(src.checkins, src.checkin_notes, about, src.users, grain),
+        "checkins": tp.checkins(src.checkins, src.checkin_notes, about, src.users),
         "session_dwell": dw.session_seconds(shared["dwelt"], about),
         "speaker_dwell": dw.speaker_seconds(shared["dwelt"], about),
     }
@@ -91,8 +88,8 @@ class LeadsJob:
     tables they describe, so a run that failed half-way is simply run again.
     """
 
-    def __init__(self, spark: SparkSession, src: Sources, root: str, grain: str | None = "day", bootstrap: bool = True):
-        self.spark, self.src, self.root, self.grain, self.bootstrap = spark, src, root.rstrip("/"), grain, bootstrap
+    def __init__(self, spark: SparkSession, src: Sources, root: str, bootstrap: bool = True):
+        self.spark, self.src, self.root, self.bootstrap = spark, src, root.rstrip("/"), bootstrap
         self.marks = state.Marks(spark, f"{self.root}/run_marks")
 
     def path(self, table: str) -> str:
@@ -131,24 +128,29 @@ class LeadsJob:
         return fresh, {name: mark for name, mark in now.items() if mark is not None}
 
     def _checkins_seen(self) -> datetime | None:
-        """Time up to which check-ins are loaded for good; at day grain the newest day is loaded again as a whole."""
+        """Time of the newest check-in that is loaded."""
         name = "sessions_checkins_status"
         newest_day = state.last_day(self.spark, self.path(name))
         if newest_day is None:
             return None
-        seen = state.high_water(self.table(name, newest_day - timedelta(microseconds=1)), "created")
-        return seen - timedelta(microseconds=1) if seen and self.grain == "day" else seen
+        return state.high_water(self.table(name, newest_day - timedelta(microseconds=1)), "created")
 
     def load_touchpoints(self) -> None:
         fresh, now = self._new_facts()
-        built = extracts(fresh, self.grain)
+        built = extracts(fresh)
+        batches = sorted(set().union(*map(self._batches, (fresh.actions, fresh.views, fresh.session_events))))
         for name, (table, batch) in TARGETS.items():
             if batch:
-                state.replace_batch(enforce_schema(built[name], table), self.path(table), batch, "created")
+                state.replace_batch(enforce_schema(built[name], table), self.path(table), batch, "created", batches)
         seen = self._checkins_seen() or datetime(1970, 1, 1)
         state.replace_window(self.spark, self.path("sessions_checkins_status"), built["checkins"], "created", seen)
         self.marks.advance(**now)
 
+    @staticmethod
+    def _batches(facts: DataFrame) -> set[int]:
+        """Ids of the batches in newly arrived facts: one row per batch."""
+        return {row[0] for row in facts.select("batch_id").distinct().collect() if row[0] is not None}
+
     def combine(self, as_of: str | datetime, lookback_hours: float = 72, min_views: int = 2) -> None:
         """Six stages, each recomputed for the look-back window and stored."""
         cut = parse_as_of(as_of) - timedelta(hours=lookback_hours)
@@ -170,19 +172,22 @@ class LeadsJob:
         run = self.marks.next_run()
         recent = self.table("combine_6", parse_as_of(as_of) - timedelta(hours=lookback_hours))
         actions = stamp_actions(recent, run, as_of, lookback_hours)
-        state.replace_batch(actions, self.path("actions_stag"))
+        state.replace_batch(actions, self.path("actions_stag"), batches=[run])
         batch = self.table("actions_stag").filter(f"batchid = {run}")
-        if not batch.isEmpty():
-            state.replace_batch(lead_scores(batch, zero_range), self.path("scores"))
-            scored = self.table("scores").filter(f"batchid = {run}")
-            people = leads(scored, self.src.details, self.src.applications, latest_only=False)
-            state.replace_batch(people, self.path("leads"))
+        if batch.isEmpty():  # what an earlier attempt of this run wrote goes as well
+            for table in ("scores", "leads"):
+                state.drop_batches(self.spark, self.path(table), [run])
+            return run
+        state.replace_batch(lead_scores(batch, zero_range), self.path("scores"), batches=[run])
+        scored = self.table("scores").filter(f"batchid = {run}")
+        people = leads(scored, self.src.details, self.src.applications, latest_only=False)
+        state.replace_batch(people, self.path("leads"), batches=[run])
         return run
 
     def run(self, as_of: str | datetime, lookback_hours: float = 72) -> int:
-        self.load_touchpoints()
-        self.combine(as_of, lookback_hours)
-        run = self.score(as_of, lookback_hours)
-        self.marks.advance(run=run + 1)  # last: a failed run repeats its id
-        release_staged(self.spark)
+        with job_scratch(self.spark):
+            self.load_touchpoints()
+            self.combine(as_of, lookback_hours)
+            run = self.score(as_of, lookback_hours)
+            self.marks.advance(run=run + 1)  # last: a failed run repeats its id
         return run

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from zealmark.schemas import METRICS
 
-AS_OF = "timestamp '2024-01-31 00:00:00'"
+AS_OF = "timestamp '2024-01-30 18:30:00'"
 
 FIXTURES: dict[str, str] = {
     "ev": """
-        select event_id, user_id, event_type, value, ts as created,
+        select event_id, user_id, event_type, value,
+               case when event_type = 'view' then date_trunc('day', ts) + to_hours(cast(floor(extract(hour from ts) / 6.0) * 6 as integer))
+                    else ts end as created,
                (cast(json_extract_string(props, '$.k') as bigint) % 20) * 5 + user_id % 5 as k,
                cast(extract(day from ts) as bigint) as batch_id,
                cast(user_id as varchar) || '-w' || cast(cast(floor(extract(day from ts) / 7.0) as bigint) as varchar) as session_id,
@@ -112,12 +114,11 @@ FIXTURES: dict[str, str] = {
 }
 
 _ITEM = "cast(json_extract_string({0}.metadata, '$.ItemId') as bigint)"
-_DAY = "cast(date_trunc('day', {0}.created) as timestamp)"
 
 
 def _touch(fact: str, metric: str, identifier: str, content: str, key: str, joins: str = "", where: str = "") -> str:
     return f"""
-        select lower(e.application_id) as application_id, e.global_user_id, {_DAY.format('e')} as created,
+        select lower(e.application_id) as application_id, e.global_user_id, e.created,
                c.session_track, cast(count(*) as bigint) as {metric}, c.itemid, c.filterid, c.session_name,
                e.batch_id as batchid
         from {fact} e join {content} c on c.{key} = {_ITEM.format('e')} {joins}
@@ -135,7 +136,7 @@ def views_sql(where: str = "") -> str:
 
 def checkins_sql(where: str = "") -> str:
     return f"""
-        select lower(e.applicationid) as applicationid, u.globaluserid as global_user_id, {_DAY.format('e')} as created,
+        select lower(e.applicationid) as applicationid, u.globaluserid as global_user_id, e.created,
                c.session_track, cast(count(*) as bigint) as num_checkins, c.itemid, c.filterid, c.session_name
         from ratings_usercheckins e join ratings_usercheckinnotes n on n.checkinid = e.checkinid
         join session_tracks c on c.itemid = e.itemid and c.topic_off = 0
@@ -169,13 +170,13 @@ def dwell_sql(kept: str) -> str:
 
 
 SESSION_DWELL = f"""
-    select lower(e.application_id) as application_id, e.global_user_id, {_DAY.format('e')} as created, c.session_track,
+    select lower(e.application_id) as application_id, e.global_user_id, e.created, c.session_track,
            cast(sum(e.dwell_us) as bigint) / 1000000.0::double as timespent, c.itemid, c.track_id as filterid,
            c.session_name, e.batch_id
     from dwell e join session_tracks c on c.itemid = e.itemid and c.item_off = 0
     where e.identifier = 'item' group by all"""
 SPEAKER_DWELL = f"""
-    select lower(e.application_id) as application_id, e.global_user_id, {_DAY.format('e')} as created, c.session_track,
+    select lower(e.application_id) as application_id, e.global_user_id, e.created, c.session_track,
            cast(sum(e.dwell_us) as bigint) / 1000000.0::double as timespent, c.itemid, c.filterid,
            c.session_name, e.batch_id as batchid
     from dwell e join speaker_tracks c on c.speakerid = e.itemid group by all"""
@@ -217,7 +218,7 @@ def _metric_sum(metric: str, of: str) -> str:
     return f"round(sum({of}), 6)" if metric.endswith("timespent") else f"cast(sum({of}) as bigint)"
 
 
-def combine_sql(hours: int, as_of: str = AS_OF, prefix: str = "c", upto: int = 6) -> dict[str, str]:
+def combine_sql(hours: int, as_of: str = AS_OF, prefix: str = "c", upto: int = 6, min_views: int = 2) -> dict[str, str]:
     """CTEs ``<prefix>1`` .. ``<prefix><upto>``."""
     recent = f"created > {as_of} - interval '{hours} hours'"
     out = {}
@@ -225,7 +226,7 @@ def combine_sql(hours: int, as_of: str = AS_OF, prefix: str = "c", upto: int = 6
     for place, (extract, app, value, metric, how) in enumerate(_STAGES[:upto]):
         if place:
             left = f"(select *, itemid as item_text, filterid as filter_text from {prefix}{place})"
-        more = " and num_views > 1" if extract == "x_views" else ""
+        more = f" and num_views >= {min_views}" if extract == "x_views" else ""
         carried = METRICS[: place + 1] if place else ()
         adds = [*(["num_bookmarks"] if place == 0 else [])]
         out[f"{prefix}{place + 1}"] = f"""
@@ -248,6 +249,26 @@ def combine_sql(hours: int, as_of: str = AS_OF, prefix: str = "c", upto: int = 6
     return out
 
 
+def summed_sql(hours: int, last_join: str) -> dict[str, str]:
+    """CTE ``summed``: all recent touchpoints of one person, item and track in one row."""
+    sources = (("x_bookmarks", "application_id", "num_bookmarks", "num_bookmarks"), *(stage[:4] for stage in _STAGES))
+    parts = " union all by name ".join(
+        f"""select lower({app}) as application_id, global_user_id, created, session_track, cast(itemid as varchar) as itemid,
+                   cast(filterid as varchar) as filterid, session_name, {value} as {metric}, '{metric}' as part
+            from {extract} where created > {AS_OF} - interval '{hours} hours' {"and num_views > 1" if extract == "x_views" else ""}"""
+        for extract, app, value, metric in sources
+    )
+    kept = "" if last_join == "full" else "having bool_or(part <> 'sessions_timespent')"
+    return {
+        "summed": f"""
+            select application_id, min(global_user_id) as global_user_id, min(created) as created, min(session_track) as session_track,
+                   itemid, filterid, min(session_name) as session_name, {', '.join(f'{_metric_sum(m, m)} as {m}' for m in METRICS)}
+            from ({parts})
+            group by application_id, lower(global_user_id), itemid, filterid, lower(session_track),
+                     case when session_track is null or filterid is null or itemid is null then part end {kept}"""
+    }
+
+
 def _score(source: str, metrics: tuple[str, ...], undefined: str) -> str:
     """Ranges and score of ``source``'s rows; a metric without range makes the score undefined or infinite."""
     low_high = ", ".join(f"max({m}) as hi_{m}, min({m}) as lo_{m}" for m in metrics)
@@ -287,7 +308,8 @@ _TITLE = """case
     when title ilike '%manager%' then 'Manager'
     when title ilike '%director%' then 'Director'
     when title ilike '%engineer%' then 'Engineer'
-    when title ilike '%chief%' or regexp_matches(title, 'C[EMCORTF]O') then 'C-Level exec'
+    when title ilike '%chief%' or title like '%CEO%' or title like '%CMO%' or title like '%CCO%' or title like '%COO%'
+        or title like '%CRO%' or title like '%CTO%' or title like '%CFO%' then 'C-Level exec'
     else 'Individual Contributor' end"""
 
 
@@ -515,6 +537,13 @@ def oracle_sql() -> dict[str, str]:
     full = combine_sql(720, prefix="f")
     full["f6"] = full["f6"].replace("left join", "full join")
     out["combine_6_full"] = statement("from f6", x, full)
+    single = combine_sql(72, prefix="o", min_views=1)
+    out["combine_6_single_views"] = statement("from o6", x, single)
+    for name, how in (("combine_summed_6", "left"), ("combine_summed_full", "full")):
+        out[name] = statement("from summed", x, summed_sql(720, how))
+    out["lead_scores_summed"] = statement(
+        "select * replace (round(zscore, 6) as zscore) from scores", x, summed_sql(720, "left"), scores_sql("summed", "")
+    )
     out["actions_stag"] = statement("select *, cast(1 as bigint) as batchid from c6", x, dense)
     scored = scores_sql("c6", "")
     out["range_score"] = statement("select * exclude (score), round(score, 6) as zscore from scored", x, dense, scored)
@@ -528,6 +557,7 @@ def oracle_sql() -> dict[str, str]:
     out["leads"] = statement(leads_sql("scores", "inner", zscore), x, dense, scored)
     second = {**scores_sql("s6", "", 2)}
     out["latest_batch_leads"] = statement(leads_sql("scores", "inner", zscore), x, sparse, second)
+    out["new_leads"] = out["latest_batch_leads"]
     # topics
     actions = {"actions": "select *, cast(1 as bigint) as batchid from c6"}
     semantic = semantic_sql("actions")
@@ -606,6 +636,7 @@ def oracle_sql() -> dict[str, str]:
     # experiment
     ex = (x, dense, actions, experiment_sql("actions"))
     out["experiment_base"] = statement("from base", *ex)
+    out["experiment_base_apps"] = statement("from base where applicationid in ('app-1', 'app-3')", *ex)
     out["topic_interest"] = statement("select * replace (round(score, 6) as score) from interest", *ex)
     out["top_topic"] = statement("from top", *ex)
     out["topic_pairs"] = statement("from identified", *ex)

@@ -1,4 +1,4 @@
-"""Registered queries: every operator over the whole test tables, at day grain."""
+"""Registered queries: every operator over the whole test tables, at the events' own times."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from zealmark.operators import scoring as sc
 from zealmark.operators import topics as to
 from zealmark.operators import touchpoints as tp
 from zealmark.operators.catalog import Content, Dims, content
-from zealmark.operators.combine import combine_stages, stamp_actions
+from zealmark.operators.combine import STAGES, combine_stages, combine_summed, stamp_actions
 from zealmark.plans.experiment_job import interest_of
 from zealmark.plans.health_job import event_health, weekly_messages
 from zealmark.plans.leads_job import Sources, extracts
@@ -28,7 +28,6 @@ from zealmark.sources import state, tables
 from zealmark.sources.fixtures import AS_OF, SCHEMAS, Platform
 from zealmark.streaming import loads
 
-GRAIN = "day"
 DENSE, RECENT = 720, 72  # hours looked back
 
 _REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,9 +72,10 @@ def sources(p: Platform) -> Sources:
     )
 
 
-def stored_extracts(p: Platform) -> dict[str, DataFrame]:
-    """The seven extracts as tables, which is how a run hands them to the combine."""
-    return stage_all(extracts(sources(p), GRAIN))
+def stored_extracts(p: Platform, upto: int = len(STAGES)) -> dict[str, DataFrame]:
+    """The extracts that the first ``upto`` stages read, as tables, which is how a run hands them to the combine."""
+    built = extracts(sources(p))
+    return stage_all({name: built[name] for name in ("bookmarks", *(step.source for step in STAGES[:upto]))})
 
 
 # --- extracts ------------------------------------------------------------------------------
@@ -83,34 +83,34 @@ def stored_extracts(p: Platform) -> dict[str, DataFrame]:
 
 @query
 def sessions_bookmarked(p: Platform) -> DataFrame:
-    return tp.bookmarks(p.fact_actions_live, about(p), GRAIN)
+    return tp.bookmarks(p.fact_actions_live, about(p))
 
 
 @query
 def sessions_bookmarked_inner(p: Platform) -> DataFrame:
-    return tp.bookmarks(p.fact_actions_live, about(p, "inner"), GRAIN)
+    return tp.bookmarks(p.fact_actions_live, about(p, "inner"))
 
 
 @query
 def sessions_viewed(p: Platform) -> DataFrame:
-    return tp.views(p.fact_views_live, about(p), GRAIN)
+    return tp.views(p.fact_views_live, about(p))
 
 
 @query
 def sessions_speakers_bookmarked(p: Platform) -> DataFrame:
-    return tp.speaker_bookmarks(p.fact_actions_live, about(p), GRAIN)
+    return tp.speaker_bookmarks(p.fact_actions_live, about(p))
 
 
 @query
 def sessions_speakers_viewed(p: Platform) -> DataFrame:
     return tp.speaker_views(
-        p.fact_views_live, about(p), p.authdb_is_users, p.ratings_globaluserdetails, grain=GRAIN
+        p.fact_views_live, about(p), p.authdb_is_users, p.ratings_globaluserdetails
     )
 
 
 @query
 def sessions_checkins(p: Platform) -> DataFrame:
-    return tp.checkins(p.ratings_usercheckins, p.ratings_usercheckinnotes, about(p), p.authdb_is_users, GRAIN)
+    return tp.checkins(p.ratings_usercheckins, p.ratings_usercheckinnotes, about(p), p.authdb_is_users)
 
 
 @query
@@ -160,12 +160,12 @@ def dwell_events(p: Platform) -> DataFrame:
 
 @query
 def sessions_timespent(p: Platform) -> DataFrame:
-    return dw.session_dwell(_steps(p), about(p), GRAIN)
+    return dw.session_dwell(_steps(p), about(p))
 
 
 @query
 def speakers_timespent(p: Platform) -> DataFrame:
-    return dw.speaker_dwell(_steps(p), about(p), GRAIN)
+    return dw.speaker_dwell(_steps(p), about(p))
 
 
 # --- loads ---------------------------------------------------------------------------------
@@ -174,16 +174,16 @@ def speakers_timespent(p: Platform) -> DataFrame:
 @query
 def incremental_actions(p: Platform) -> DataFrame:
     """Bookmarks after a target that was loaded up to the twentieth."""
-    target = tp.bookmarks(p.fact_actions_live.filter(F.col("batch_id") <= 20), about(p), GRAIN)
+    target = tp.bookmarks(p.fact_actions_live.filter(F.col("batch_id") <= 20), about(p))
     fresh = state.since(p.fact_actions_live, "batch_id", state.high_water(target, "batchid"))
-    return tp.bookmarks(fresh, about(p), GRAIN)
+    return tp.bookmarks(fresh, about(p))
 
 
 @query
 def incremental_checkins(p: Platform) -> DataFrame:
     loaded = p.ratings_usercheckins.filter(F.col("created") <= F.lit("2024-01-21 00:00:00").cast("timestamp_ntz"))
     fresh = state.since(p.ratings_usercheckins, "created", state.high_water(loaded, "created"))
-    return tp.checkins(fresh, p.ratings_usercheckinnotes, about(p), p.authdb_is_users, GRAIN)
+    return tp.checkins(fresh, p.ratings_usercheckinnotes, about(p), p.authdb_is_users)
 
 
 @query
@@ -205,7 +205,7 @@ def run_counter(p: Platform) -> DataFrame:
     path = scratch_path(p.spark, "stamped")
     for _ in range(2):
         run = marks.next_run()
-        extract = tp.bookmarks(p.fact_actions_live, about(p), GRAIN)
+        extract = tp.bookmarks(p.fact_actions_live, about(p))
         state.replace_batch(extract.withColumn("batchid", F.lit(run).cast("bigint")), path)
         marks.advance(run=run + 1)
     stamped = p.spark.read.schema(TABLES["sessions_bookmarked"]).parquet(path)
@@ -215,7 +215,7 @@ def run_counter(p: Platform) -> DataFrame:
 @query
 def rolling_replace(p: Platform) -> DataFrame:
     """Combined bookmarks and check-ins of two days ago with the last 72 hours recomputed, twice."""
-    facts = stored_extracts(p)
+    facts = stored_extracts(p, 1)
     early = combine_stages(facts, "2024-01-29 00:00:00", DENSE, upto=1)
     late = combine_stages(facts, AS_OF, RECENT, upto=1)
     path = scratch_path(p.spark, "combine_1")
@@ -230,8 +230,8 @@ def rolling_replace(p: Platform) -> DataFrame:
 def batch_replace(p: Platform) -> DataFrame:
     """Bookmarks loaded without trackless sessions, then later batches replaced with all sessions, twice."""
     path = scratch_path(p.spark, "sessions_bookmarked")
-    state.replace_batch(tp.bookmarks(p.fact_actions_live, about(p, "inner"), GRAIN), path)
-    again = tp.bookmarks(p.fact_actions_live.filter(F.col("batch_id") > 15), about(p), GRAIN)
+    state.replace_batch(tp.bookmarks(p.fact_actions_live, about(p, "inner")), path)
+    again = tp.bookmarks(p.fact_actions_live.filter(F.col("batch_id") > 15), about(p))
     for _ in range(2):
         state.replace_batch(again, path)
     return enforce_schema(
@@ -250,7 +250,7 @@ def csv_roundtrip(p: Platform) -> DataFrame:
 def sink_append(p: Platform) -> DataFrame:
     """Two appends by column name to one batch-partitioned table."""
     path = scratch_path(p.spark, "appended")
-    extract = tp.bookmarks(p.fact_actions_live, about(p), GRAIN)
+    extract = tp.bookmarks(p.fact_actions_live, about(p))
     for half in (F.col("batchid") <= 15, F.col("batchid") > 15):
         shuffled_columns = extract.filter(half).select(*reversed(extract.columns))
         tables.append(shuffled_columns, path, "sessions_bookmarked", "batchid")
@@ -267,12 +267,12 @@ def sink_overwrite(p: Platform) -> DataFrame:
 
 @query
 def schema_contract(p: Platform) -> DataFrame:
-    return enforce_schema(tp.views(p.fact_views_live, about(p), GRAIN), "sessions_viewed")
+    return enforce_schema(tp.views(p.fact_views_live, about(p)), "sessions_viewed")
 
 
 @query
 def stream_bookmarks(p: Platform) -> DataFrame:
-    return loads.stream_bookmarks(_stream(p).fact_actions_live, about(p), GRAIN)
+    return loads.stream_bookmarks(_stream(p).fact_actions_live, about(p))
 
 
 @query
@@ -296,7 +296,7 @@ def _stream(p: Platform) -> Platform:
 
 def _combine_query(upto: int) -> None:
     def fn(p: Platform) -> DataFrame:
-        return combine_stages(stored_extracts(p), AS_OF, DENSE, upto)
+        return combine_stages(stored_extracts(p, upto), AS_OF, DENSE, upto)
 
     fn.__name__ = f"combine_{upto}"
     query(fn)
@@ -316,6 +316,27 @@ def combine_6_full(p: Platform) -> DataFrame:
     return combine_stages(stored_extracts(p), AS_OF, DENSE, last_join="full")
 
 
+@query
+def combine_6_single_views(p: Platform) -> DataFrame:
+    return combine_stages(stored_extracts(p), AS_OF, RECENT, min_views=1)
+
+
+@query
+def combine_summed_6(p: Platform) -> DataFrame:
+    return combine_summed(stored_extracts(p), AS_OF, DENSE)
+
+
+@query
+def combine_summed_full(p: Platform) -> DataFrame:
+    return combine_summed(stored_extracts(p), AS_OF, DENSE, last_join="full")
+
+
+@query
+def lead_scores_summed(p: Platform) -> DataFrame:
+    combined = combine_summed(stored_extracts(p), AS_OF, DENSE)
+    return sc.lead_scores(stage(stamp_actions(combined, 1, AS_OF, DENSE), "actions"))
+
+
 def _actions(p: Platform, hours: int = DENSE, batch: int = 1) -> DataFrame:
     """Stored action set of one run."""
     combined = combine_stages(stored_extracts(p), AS_OF, hours)
@@ -355,8 +376,25 @@ def leads(p: Platform) -> DataFrame:
 @query
 def latest_batch_leads(p: Platform) -> DataFrame:
     """Leads of the second of two runs."""
-    runs = sc.lead_scores(_actions(p, DENSE, 1)).unionByName(sc.lead_scores(_actions(p, RECENT, 2)))
-    return le.leads(stage(runs, "scores"), p.ratings_globaluserdetails, p.authdb_applications)
+    return le.leads(_two_runs(p), p.ratings_globaluserdetails, p.authdb_applications)
+
+
+def _two_runs(p: Platform) -> DataFrame:
+    """Stored scores of two runs over the same extracts."""
+    facts = stored_extracts(p)
+    runs = [
+        sc.lead_scores(stage(stamp_actions(combine_stages(facts, AS_OF, hours), batch, AS_OF, hours), "actions"))
+        for batch, hours in ((1, DENSE), (2, RECENT))
+    ]
+    return stage(runs[0].unionByName(runs[1]), "scores")
+
+
+@query
+def new_leads(p: Platform) -> DataFrame:
+    """Leads that a target with the first run's leads lacks."""
+    scores, people = _two_runs(p), (p.ratings_globaluserdetails, p.authdb_applications)
+    target = le.leads(scores.filter("batchid = 1"), *people)
+    return le.new_leads(scores, target, *people)
 
 
 # --- topics --------------------------------------------------------------------------------
@@ -490,6 +528,11 @@ def experiment_base(p: Platform) -> DataFrame:
     return _base(p)
 
 
+@query
+def experiment_base_apps(p: Platform) -> DataFrame:
+    return ex.experiment_base(_actions(p), p.session_topics_manual, p.authdb_is_users, app_ids=["APP-1", "app-3"])
+
+
 def _interest(p: Platform) -> DataFrame:
     return interest_of(_actions(p), p.session_topics_manual, p.authdb_is_users)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from zealmark.operators.leads import topic_leads
 from zealmark.operators.topics import semantic_actions, semantic_gate, topic_scores, topic_validation
@@ -17,15 +18,29 @@ def run_topic_scores(
     details: DataFrame,
     applications: DataFrame,
     root: str,
+    batch: int | None = None,
 ) -> None:
-    """Tag, gate, score and enrich the newest batch; each table's batch is replaced."""
+    """Tag, gate, score and enrich one batch of ``actions`` (the newest by default); each table's batch is replaced.
+
+    A batch of which nothing passes the gate leaves no rows in any of the tables.
+    """
     root = root.rstrip("/")
-    gated = semantic_gate(semantic_actions(actions, tags))
-    state.replace_batch(gated, f"{root}/actions_semantic")
-    stored = state.current_batch(spark.read.schema(TABLES["actions_semantic"]).parquet(f"{root}/actions_semantic"))
-    state.replace_batch(topic_scores(stored), f"{root}/scores_semantic")
-    scored = spark.read.schema(TABLES["scores_semantic"]).parquet(f"{root}/scores_semantic")
-    state.replace_batch(topic_leads(scored, details, applications), f"{root}/leads_semantic")
+    batch = state.high_water(actions, "batchid") if batch is None else batch
+    if batch is None:
+        return
+    gated = semantic_gate(semantic_actions(actions.filter(F.col("batchid") == batch), tags))
+    state.replace_batch(gated, f"{root}/actions_semantic", batches=[batch])
+
+    def stored(table: str) -> DataFrame:
+        return spark.read.schema(TABLES[table]).parquet(f"{root}/{table}").filter(F.col("batchid") == batch)
+
+    if stored("actions_semantic").isEmpty():
+        for table in ("scores_semantic", "leads_semantic"):
+            state.drop_batches(spark, f"{root}/{table}", [batch])
+        return
+    state.replace_batch(topic_scores(stored("actions_semantic")), f"{root}/scores_semantic", batches=[batch])
+    people = topic_leads(stored("scores_semantic"), details, applications)
+    state.replace_batch(people, f"{root}/leads_semantic", batches=[batch])
 
 
 def run_topic_validation(manual: DataFrame, generated: DataFrame, path: str) -> None:

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
-_STAGED: list[str] = []
+# paths that the job under way has staged; None outside a job
+_JOB_PATHS: ContextVar[list[str] | None] = ContextVar("job_paths", default=None)
 
 # Runtime settings the jobs rely on. Skewed join partitions are split even where the
 # split costs the aggregate after the join one more shuffle.
@@ -80,7 +84,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    _STAGED.append(path)
+    if (paths := _JOB_PATHS.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -88,12 +93,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def stage_all(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """``stage`` for frames that do not depend on each other, as jobs that run side by side."""
     with ThreadPoolExecutor(max_workers=len(frames)) as pool:
-        done = [pool.submit(stage, df, name) for name, df in frames.items()]
+        done = [pool.submit(copy_context().run, stage, df, name) for name, df in frames.items()]
         return {name: job.result() for name, job in zip(frames, done)}
 
 
-def release_staged(spark: SparkSession) -> None:
-    """Delete what ``stage`` has written so far, once a job's own tables are written."""
-    while _STAGED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def job_scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete what the job inside has staged, once its own tables are written; other jobs of the process keep theirs."""
+    paths: list[str] = []
+    token = _JOB_PATHS.set(paths)
+    try:
+        yield
+    finally:
+        _JOB_PATHS.reset(token)
+        for name in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

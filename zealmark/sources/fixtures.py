@@ -11,7 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-AS_OF = "2024-01-31 00:00:00"
+AS_OF = "2024-01-30 18:30:00"
+VIEW_HOURS = 6  # views are logged at this width, so that one person views an item more than once at a time
 ITEMS_PER_EVENT = 20
 EVENTS = 5
 
@@ -46,12 +47,14 @@ class Platform:
     def ev(self) -> DataFrame:
         k = F.get_json_object("props", "$.k").cast("bigint")
         day = F.dayofmonth("ts")
+        hours = f"cast(floor(hour(ts) / {VIEW_HOURS}) * {VIEW_HOURS} as int)"
+        viewed = F.expr(f"cast(cast(ts as date) as timestamp_ntz) + make_dt_interval(0, {hours}, 0, 0)")
         return self._read("events").select(
             "event_id",
             "user_id",
             "event_type",
             "value",
-            F.col("ts").alias("created"),
+            F.when(F.col("event_type") == "view", viewed).otherwise(F.col("ts")).alias("created"),
             ((k % ITEMS_PER_EVENT) * EVENTS + F.col("user_id") % EVENTS).alias("k"),
             day.cast("bigint").alias("batch_id"),
             F.concat(

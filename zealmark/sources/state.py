@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 from typing import Any
 
@@ -92,8 +93,12 @@ def sized_files(df: DataFrame, *partition_cols: str) -> DataFrame:
     return df.hint("rebalance", *partition_cols)
 
 
-def replace_batch(df: DataFrame, path: str, batch_col: str = "batchid", ts_col: str | None = None) -> None:
-    """Replace exactly the batches present in ``df``; running it again changes nothing.
+def replace_batch(
+    df: DataFrame, path: str, batch_col: str = "batchid", ts_col: str | None = None, batches: Sequence[int] | None = None
+) -> None:
+    """Replace ``batches`` (without them those present in ``df``); running it again changes nothing.
+
+    A batch that has lost all its rows, or all of a day, loses its old files too.
 
     With ``ts_col`` each batch is also split by the day of that time, so that a
     look back over a few days opens no older file.
@@ -108,6 +113,27 @@ def replace_batch(df: DataFrame, path: str, batch_col: str = "batchid", ts_col:
         .partitionBy(*parts)
         .parquet(path)
     )
+    spark = df.sparkSession
+    # one row per batch and day
+    fresh = {tuple(str(v) for v in row) for row in df.select(*parts).distinct().collect()}
+    replaced = {str(b) for b in batches} if batches is not None else {row[0] for row in fresh}
+    if not ts_col:
+        drop_batches(spark, path, sorted(replaced - {row[0] for row in fresh}), batch_col)
+        return
+    for batch in sorted(replaced):
+        folder = f"{path}/{batch_col}={batch}"
+        if table_exists(spark, folder):
+            for day, old in _days(spark, folder):
+                if (batch, day) not in fresh:
+                    _filesystem(spark, path).delete(old, True)
+
+
+def drop_batches(spark: SparkSession, path: str, batches: Sequence[int | str], batch_col: str = "batchid") -> None:
+    """Delete whole batches from the table at ``path``."""
+    for batch in batches:
+        folder = f"{path}/{batch_col}={batch}"
+        if table_exists(spark, folder):
+            _filesystem(spark, path).delete(_path(spark, folder), True)
 
 
 def replace_window(spark: SparkSession, path: str, new: DataFrame, ts_col: str, cut: datetime) -> None:

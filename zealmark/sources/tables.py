@@ -32,7 +32,9 @@ def load_jdbc(
     """
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
     if split_on:
-        low, high = bounds or (0, 1)
+        if bounds is None:
+            raise ValueError("split_on needs the bounds of its values, else one task reads nearly all rows")
+        low, high = bounds
         reader = reader.options(
             partitionColumn=split_on, lowerBound=str(low), upperBound=str(high), numPartitions=str(num_partitions)
         )

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zealmark.functions.columns import at_grain, item_id
 from zealmark.operators.catalog import Content
-from zealmark.operators.touchpoints import credit
+from zealmark.operators.touchpoints import credit, item_counts
 from zealmark.schemas import enforce_schema
 from zealmark.session import scratch_path
+from zealmark.sources.state import table_exists
 
-WATERMARK = "72 hours"  # older rows never re-enter the combine, so they may be dropped here as well
 EPOCH = "epoch"
 
 
@@ -20,36 +21,17 @@ def file_stream(spark: SparkSession, directory: str, schema: T.StructType | str,
     return spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(directory)
 
 
-def bookmark_counts(facts: DataFrame, grain: str | None = None, watermark: str = WATERMARK) -> DataFrame:
-    """Running bookmark counts per person, time, batch and item of a fact stream.
+def bookmark_counts(facts: DataFrame) -> DataFrame:
+    """Bookmarks per person, time, batch and item of the facts of one micro-batch (or of a table)."""
+    return item_counts(facts, "bookmarkButton")
 
-    The grouped time carries the watermark (``seen_at``, the same time as a
-    timestamp with zone, which watermarks need), so older counts leave the state.
-    """
-    when = at_grain("created", grain)
-    return (
-        facts.filter("identifier = 'bookmarkButton'")
-        .select(
-            "application_id",
-            "global_user_id",
-            when.alias("created"),
-            when.cast("timestamp").alias("seen_at"),
-            F.col("batch_id").alias("batchid"),
-            item_id().alias("itemid"),
-        )
-        .filter("itemid is not null")
-        .withWatermark("seen_at", watermark)
-        .groupBy("application_id", "global_user_id", "created", "seen_at", "batchid", "itemid")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
 
-
-def _into_epoch(path: str):
-    """Writer of a micro-batch into its own partition; a repeated delivery replaces it."""
+def _into_epoch(path: str, shape: Callable[[DataFrame], DataFrame]):
+    """Writer of a micro-batch's rows, as ``shape`` makes them, into its own partition; a repeated delivery replaces it."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         (
-            batch.withColumn(EPOCH, F.lit(epoch).cast("bigint"))
+            shape(batch).withColumn(EPOCH, F.lit(epoch).cast("bigint"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(EPOCH)
@@ -59,11 +41,11 @@ def _into_epoch(path: str):
     return write
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+def run_available(stream: DataFrame, path: str, checkpoint: str, shape: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> None:
     """Process what has arrived, then stop."""
     query = (
-        stream.writeStream.foreachBatch(_into_epoch(path))
-        .outputMode(mode)
+        stream.writeStream.foreachBatch(_into_epoch(path, shape))
+        .outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -71,26 +53,32 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     query.awaitTermination()
 
 
-def stream_bookmarks(facts: DataFrame, content: Content, grain: str | None = None) -> DataFrame:
-    """Same rows as the batch extract, from a stream of facts.
+def stream_bookmarks(facts: DataFrame, content: Content) -> DataFrame:
+    """Same rows as the batch extract, from a stream of facts in any order.
 
-    Update mode hands over each changed count; the last one per key counts, and
-    as counts only grow it is the highest. Sessions and tracks are joined to the
-    counts afterwards, so the state holds one row per item, not per track.
+    Each micro-batch leaves its own counts and the counts are added up when they
+    are read, so no state is held and no late row is lost. Sessions and tracks
+    are joined to the counts afterwards.
     """
     spark = facts.sparkSession
     path, checkpoint = scratch_path(spark, "stream-counts"), scratch_path(spark, "stream-marks")
-    run_available(bookmark_counts(facts, grain), path, checkpoint, "update")
+    run_available(facts, path, checkpoint, bookmark_counts)
     keys = ["application_id", "global_user_id", "created", "batchid", "itemid"]
-    counts = spark.read.parquet(path).groupBy(*keys).agg(F.max("n").alias("n"))
+    counted = T.StructType([*bookmark_counts(facts).schema.fields, T.StructField(EPOCH, T.LongType())])
+    counts = read_epochs(spark, path, counted).groupBy(*keys).agg(F.sum("n").alias("n"))
     enabled = content.sessions.filter("item_off = 0")
     credited = credit(counts, enabled, "itemid", "sum(n * fanout)", "num_bookmarks")
     return enforce_schema(credited, "sessions_bookmarked")
 
 
+def read_epochs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What has arrived so far; empty before the first micro-batch."""
+    return spark.read.schema(schema).parquet(path) if table_exists(spark, path) else spark.createDataFrame([], schema)
+
+
 def stream_batch_replace(stream: DataFrame) -> DataFrame:
     """Append a stream to a table exactly once, by epoch partitions."""
     spark = stream.sparkSession
     path, checkpoint = scratch_path(spark, "stream-table"), scratch_path(spark, "stream-marks")
     run_available(stream, path, checkpoint)
-    return spark.read.parquet(path).select(stream.columns)
+    return read_epochs(spark, path, stream.schema).select(stream.columns)
