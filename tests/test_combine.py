@@ -104,3 +104,10 @@ def test_row_order_and_partitions_do_not_matter(frame):
         ("num_bookmarks",),
     )
     assert pick(once) == pick(again)
+
+
+def test_look_back_cuts_at_the_hour_and_not_at_the_day(frame):
+    rows = [("a", "u", f"2024-01-01 {hour:02d}:00:00", "t", 1, item, 1, "name") for hour, item in ((11, 1), (13, 2))]
+    df = frame(rows, EXTRACT.format("num_bookmarks"))
+    kept = touchpoint(df, "num_bookmarks", "num_bookmarks", F.lit("2024-01-01 12:00:00").cast("timestamp_ntz"))
+    assert [r.itemid for r in kept.collect()] == ["2"]

@@ -142,3 +142,31 @@ def test_lead_run_in_two_loads(spark, collected):
     assert second.score("2024-01-31 00:00:00", 240) == 2
     assert collected(second.table("scores").filter("batchid = 2")) == before
     assert second.table("scores").filter("batchid = 2").count() == second.table("actions_stag").filter("batchid = 2").count()
+
+
+def batch_rows(frame, *rows):
+    return frame([(b, f"2024-01-{day:02d} 10:00:00", v) for b, day, v in rows], "batchid bigint, created timestamp_ntz, v bigint")
+
+
+def test_replaced_batch_loses_days_and_rows_that_are_gone(frame, spark):
+    path = scratch_path(spark, "batches")
+    state.replace_batch(batch_rows(frame, (5, 1, 1), (5, 2, 2), (6, 1, 9)), path, ts_col="created")
+    state.replace_batch(batch_rows(frame, (5, 2, 3)), path, ts_col="created")
+    assert sorted((r.batchid, r.v) for r in spark.read.parquet(path).collect()) == [(5, 3), (6, 9)]
+    state.replace_batch(batch_rows(frame), path, ts_col="created", batches=[5])
+    assert sorted((r.batchid, r.v) for r in spark.read.parquet(path).collect()) == [(6, 9)]
+    plain = scratch_path(spark, "batches")
+    state.replace_batch(batch_rows(frame, (1, 1, 1), (2, 1, 2)), plain)
+    state.replace_batch(batch_rows(frame), plain, batches=[2])
+    assert [r.batchid for r in spark.read.parquet(plain).collect()] == [1]
+
+
+def test_job_scratch_deletes_only_what_its_job_staged(frame, spark):
+    from zealmark.session import job_scratch, stage
+
+    outside = stage(frame([(1,)], "a int"), "outside")
+    with job_scratch(spark):
+        inside = stage(frame([(2,)], "a int"), "inside")
+        assert inside.count() == 1
+    assert outside.count() == 1
+    assert not state.table_exists(spark, inside.inputFiles()[0])

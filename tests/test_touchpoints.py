@@ -39,7 +39,7 @@ def shown(df, metric):
 
 def test_every_track_gets_full_credit_and_copies_count_twice(frame, dims):
     facts = frame([fact(1), fact(1), fact(2), fact(3), fact(9), fact(8), fact(1, "list"), fact('"x"')], FACT)
-    got = tp.views(facts, content(dims), "day")
+    got = tp.views(facts, content(dims))
     assert shown(got, "num_views") == [(1, 100, "red", 2), (1, 101, "blue", 4), (2, 999, None, 1)]
     assert {r.application_id for r in got.collect()} == {"app"}
     inner = tp.views(facts, content(dims, "inner"))
@@ -68,7 +68,7 @@ def test_checkins_count_notes_and_look_at_the_topic_flag(frame, dims):
     made = frame([(1, 7, "APP", i, "2024-01-01 10:00:00") for i in (2, 3, 4)] + [(5, 7, "APP", 2, "2024-01-01 11:00:00")], schema)
     notes = frame([(1,), (1,)], "checkinid bigint")
     users = frame([(7, "u7"), (8, "u8")], "userid bigint, globaluserid string")
-    got = tp.checkins(made, notes, content(dims), users, "day")
+    got = tp.checkins(made, notes, content(dims), users)
     assert shown(got, "num_checkins") == [(2, 999, None, 2), (3, None, None, 2)]
 
 

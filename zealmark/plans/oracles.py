@@ -356,7 +356,7 @@ HEALTH: dict[str, str] = {
         "null",
     ),
     "health": """
-        select s.*, case when score <= q[1] and enddate between date '2024-01-31' and date '2024-01-31' + 6 then 'C'
+        select s.*, case when score <= q[1] and enddate between date '2024-01-30' and date '2024-01-30' + 6 then 'C'
                          when users <= 50 then 'B' when score <= q[2] then 'B' when score is not null then 'A' end as grade_score
         from health_scored s, (select quantile_cont(score, [0.33, 0.66]) as q from health_scored)""",
     "headline": f"""
