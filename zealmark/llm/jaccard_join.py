@@ -46,7 +46,7 @@ HOT_NODES = 64
 SPARE = 0.08  # spare segments per shingle
 DENSITY = 1.6  # shingles per segment for the largest sets of a band
 LEAST_SEGMENTS = 64
-REPS = (1, 8, 64)  # nodes that stand for a key, by round; the last holds from then on
+REPS_GROWTH = 16  # nodes that stand for a key: one in the first round, then so many times more each round
 SEEN_NODES = 500_000
 OUT_ROWS = 50_000
 
@@ -350,7 +350,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = None
     turn = 0
     while True:
-        reps = REPS[min(turn, len(REPS) - 1)]
+        reps = REPS_GROWTH**turn
         placed = groups.withColumn("root", F.col("node"))
         if roots is not None:
             placed = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
