@@ -235,7 +235,7 @@ def test_token_files(spark, frame):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
     rng = random.Random(6)
-    parts = ["a", "B", "é", "H̱", "Σ", " ", "\n", "'s", "'", "<|endoftext|>", "<", "|", ".", "%%", "1", "́", "😀", "日", "\x1f", "İ"]
+    parts = ["a", "B", "é", "É", "ü,", "Ñ", "ß", "µ", "H̱", "Σ", " ", "\n", "'s", "'", "<|endoftext|>", "<", "|", ".", "%%", "1", "́", "😀", "日", "\x1f", "İ"]
     encoder = token_files.Encoder(path, 4)
     for _ in range(3000):
         text = "".join(rng.choices(parts, k=rng.randint(0, 12)))

@@ -25,7 +25,7 @@ from zealmark.llm.common import narrowed, opened, partitions, prepare
 from zealmark.session import scratch_path
 
 NULL_ID = -(2**63)
-CACHED_PIECES = 600_000  # about 200 bytes each; a worker starts anew beyond that
+CACHED_PIECES = 1_000_000  # about 200 bytes each; a worker starts anew beyond that
 READ_IDS = 1 << 20
 SHARDS = "shard bigint, name string, n_docs bigint, n_ids bigint, id_bytes bigint"
 
@@ -33,10 +33,22 @@ SHARDS = "shard bigint, name string, n_docs bigint, n_ids bigint, id_bytes bigin
 # Pieces of a text whose ids can be found one by one: a word that ends with an ASCII letter, the punctuation that ends
 # its run of non-space, or else the whole run. Quotes and the brackets of control tokens never part.
 _TAIL = rb"[!-&(-/:;=?@\[-`{}~]"
+_TAIL_BYTES = bytes(c for c in range(128) if re.fullmatch(_TAIL, bytes([c])))
 PIECES = re.compile(rb"[A-Za-z\x80-\xff]*[A-Za-z](?=" + _TAIL + rb"*(?:[ \t\n\r]|\Z))|" + _TAIL + rb"+(?=[ \t\n\r]|\Z)|[^ \t\n\r]+")
 _ENCODERS: dict[tuple[str, int], Encoder] = {}  # one per Python worker, kept from task to task
 
 
+def _parts(piece: bytes) -> list[bytes]:
+    """What a new piece is encoded as: words of Latin-1 letters in lower case, apart from the punctuation that ends them."""
+    if piece.isascii():
+        return [piece.lower() if piece.isalpha() else piece]
+    head = piece.rstrip(_TAIL_BYTES)
+    text = head.decode()
+    if not text.isalpha() or max(text) > "\xff":
+        return [piece]
+    return [text.lower().encode(), *([piece[len(head) :]] if len(head) < len(piece) else [])]
+
+
 class Encoder:
     """Ids of whole texts, put together from the ids of their pieces.
 
@@ -44,8 +56,8 @@ class Encoder:
     punctuation (``word_bpe_49k``: its splitting pattern takes letters, digits and
     the rest apart) the ids of a text are those of its pieces in a row, so a piece is encoded once per
     worker and then looked up.  Text is cut at space, tab and line ends only,
-    which every rule of the tokenizer counts as white space.  ASCII words
-    differ by case in no id.
+    which every rule of the tokenizer counts as white space.  Latin-1
+    words differ by case in no id.
     """
 
     def __init__(self, path: str, id_bytes: int) -> None:
@@ -67,13 +79,13 @@ class Encoder:
         if len(self.known) + 2 * len(new) > CACHED_PIECES:
             self.known.clear()
             new = set(pieces)
-        folded = {p: p.lower() if p.isascii() and p.isalpha() else p for p in new}
-        wanted = [p for p in {*folded.values()} if p not in self.known]
+        folded = {p: _parts(p) for p in new}
+        wanted = [p for p in {part for parts in folded.values() for part in parts} if p not in self.known]
         for at in range(0, len(wanted), 10_000):
             part = wanted[at : at + 10_000]
             found = self.tokenizer.encode_batch([p.decode() for p in part], add_special_tokens=False)
             self.known.update((p, np.array(x.ids, self.kind).tobytes()) for p, x in zip(part, found, strict=True))
-        self.known.update((p, self.known[key]) for p, key in folded.items())
+        self.known.update({p: b"".join(map(self.known.__getitem__, parts)) for p, parts in folded.items()})
 
     def encode(self, text: bytes) -> bytes:
         pieces = PIECES.findall(text)
