@@ -80,7 +80,9 @@ def test_nearest_is_exact():
         assert places.tolist() == wanted[full[wanted] > 0].tolist() and np.allclose(cosines, full[places])
 
 
-def test_toxicity_learns_and_keeps_clean_rows(spark, frame):
+@pytest.mark.parametrize("per_class", [3000, 120])  # all examples of the rarer label fit the index, of the other not
+def test_toxicity_learns_and_keeps_clean_rows(spark, frame, monkeypatch, per_class):
+    monkeypatch.setattr(toxicity, "PER_CLASS", per_class)
     rng = random.Random(5)
     common = [f"w{i}" for i in range(300)]
     texts = [" ".join(rng.choices(common, k=40) + (["vile"] * (i % 4 == 0))) for i in range(600)]

@@ -224,11 +224,11 @@ def labelled_examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col:
     known = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
     known = known.groupBy("id").agg(F.max("label").alias("label"))  # conflicting labels of an id: 1
     known = stage(known.join(ids, "id", "left_semi").withColumn("draw", F.xxhash64(F.lit(SEED), "id")), "tox-labels")
-    indexed = [known.where(F.col("label") == label).orderBy("draw", "id").limit(PER_CLASS) for label in (0, 1)]
+    # a quarter of the ids calibrates, by the labels' own proportions; the index draws from the rest, label by label
+    pool = F.pmod(F.col("draw"), F.lit(4))
+    indexed = [known.where((pool != 0) & (F.col("label") == label)).orderBy("draw", "id").limit(PER_CLASS) for label in (0, 1)]
     chosen = indexed[0].unionByName(indexed[1]).select("id", "label", F.lit(0).alias("role"))
-    chosen = stage(chosen, "tox-indexed")
-    # another draw, by the labels' own proportions
-    rest = known.join(chosen.select("id"), "id", "left_anti").orderBy(F.xxhash64(F.lit(SEED + 1), "id"), "id").limit(CALIBRATION)
+    rest = known.where(pool == 0).orderBy("draw", "id").limit(CALIBRATION)
     sample = stage(chosen.unionByName(rest.select("id", "label", F.lit(1).alias("role"))), "tox-sample")
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # the sample has at most 2 * PER_CLASS + CALIBRATION rows of three numbers
@@ -264,7 +264,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     found = rows.select("id", "label", "role", "text").mapInArrow(known, "id bigint, label int, role int, counts binary").collect()
     sample = [(row.id, row.label, row.role, pickle.loads(row.counts)) for row in found]
     index = build_index([(i, label, counts) for i, label, role, counts in sample if role == 0], terms)
-    rest = sorted((x for x in sample if x[2] == 1), key=lambda x: x[0]) or sorted(sample, key=lambda x: x[0])
+    rest = sorted((x for x in sample if x[2] == 1), key=lambda x: x[0])
+    if len({x[1] for x in rest}) < 2:  # too few rows to set any aside
+        rest = sorted(sample, key=lambda x: x[0])
     votes = np.array([_vote_of(index, counts)[0] for _, _, _, counts in rest])
     return Model(index, calibrate(votes, np.array([x[1] for x in rest], float)))
 
