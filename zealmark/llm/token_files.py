@@ -25,7 +25,8 @@ from zealmark.llm.common import narrowed, opened, partitions, prepare
 from zealmark.session import scratch_path
 
 NULL_ID = -(2**63)
-CACHED_PIECES = 1_000_000  # about 200 bytes each; a worker starts anew beyond that
+CACHED_PIECES = 1_500_000  # about 200 bytes each; a worker starts anew beyond that
+JOINED = 500  # words that are encoded as one text
 READ_IDS = 1 << 20
 SHARDS = "shard bigint, name string, n_docs bigint, n_ids bigint, id_bytes bigint"
 
@@ -35,6 +36,7 @@ SHARDS = "shard bigint, name string, n_docs bigint, n_ids bigint, id_bytes bigin
 _TAIL = rb"[!-&(-/:;=?@\[-`{}~]"
 _TAIL_BYTES = bytes(c for c in range(128) if re.fullmatch(_TAIL, bytes([c])))
 PIECES = re.compile(rb"[A-Za-z\x80-\xff]*[A-Za-z](?=" + _TAIL + rb"*(?:[ \t\n\r]|\Z))|" + _TAIL + rb"+(?=[ \t\n\r]|\Z)|[^ \t\n\r]+")
+_ONLY_CUTS = bytes.maketrans(b"\t\n\r", b"   ")
 _ENCODERS: dict[tuple[str, int], Encoder] = {}  # one per Python worker, kept from task to task
 
 
@@ -54,10 +56,10 @@ class Encoder:
 
     For a tokenizer that never joins across white space or from a letter to
     punctuation (``word_bpe_49k``: its splitting pattern takes letters, digits and
-    the rest apart) the ids of a text are those of its pieces in a row, so a piece is encoded once per
-    worker and then looked up.  Text is cut at space, tab and line ends only,
-    which every rule of the tokenizer counts as white space.  Latin-1
-    words differ by case in no id.
+    the rest apart) the ids of a text are those of its pieces in a row.  Text is cut into runs at
+    space, tab and line ends only, which every rule of the tokenizer counts as white space; a run
+    that is new to the worker is cut into pieces, these are encoded, and both are looked
+    up from then on.  Latin-1 words differ by case in no id.
     """
 
     def __init__(self, path: str, id_bytes: int) -> None:
@@ -67,6 +69,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype(f"<u{id_bytes}")
         self.known: dict[bytes, bytes] = {}
+        self.stop = self.tokenizer.encode(".", add_special_tokens=False).ids
 
     @staticmethod
     def of(path: str, id_bytes: int) -> Encoder:
@@ -74,26 +77,42 @@ class Encoder:
             _ENCODERS[path, id_bytes] = Encoder(path, id_bytes)
         return _ENCODERS[path, id_bytes]
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        new = {p for p in pieces if p not in self.known}
-        if len(self.known) + 2 * len(new) > CACHED_PIECES:
+    def _apart(self, pieces: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch([p.decode() for p in pieces], add_special_tokens=False)
+        return [np.array(x.ids, self.kind).tobytes() for x in found]
+
+    def _joined(self, words: list[bytes]) -> list[bytes]:
+        """Ids of ASCII words, encoded as one text with a full stop after each."""
+        text = " . ".join([w.decode() for w in words]) + " ."
+        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+        stops = np.flatnonzero(ids == self.stop[0]) if len(self.stop) == 1 else ids[:0]
+        if len(stops) != len(words):
+            return self._apart(words)
+        ends, data, width = (stops * self.kind.itemsize).tolist(), ids.tobytes(), self.kind.itemsize
+        return [data[begin:end] for begin, end in zip([0, *(end + width for end in ends[:-1])], ends, strict=True)]
+
+    def _learn(self, runs: list[bytes]) -> None:
+        new = set(runs).difference(self.known)
+        if len(self.known) + 3 * len(new) > CACHED_PIECES:
             self.known.clear()
-            new = set(pieces)
-        folded = {p: _parts(p) for p in new}
+            new = set(runs)
+        folded = {r: [part for piece in PIECES.findall(r) for part in _parts(piece)] for r in new}
         wanted = [p for p in {part for parts in folded.values() for part in parts} if p not in self.known]
-        for at in range(0, len(wanted), 10_000):
-            part = wanted[at : at + 10_000]
-            found = self.tokenizer.encode_batch([p.decode() for p in part], add_special_tokens=False)
-            self.known.update((p, np.array(x.ids, self.kind).tobytes()) for p, x in zip(part, found, strict=True))
-        self.known.update({p: b"".join(map(self.known.__getitem__, parts)) for p, parts in folded.items()})
+        words = [p for p in wanted if p.isalpha()]
+        for at in range(0, len(words), JOINED):
+            part = words[at : at + JOINED]
+            self.known.update(zip(part, self._joined(part), strict=True))
+        others = [p for p in wanted if not p.isalpha()]
+        self.known.update(zip(others, self._apart(others), strict=True))
+        self.known.update({r: b"".join(map(self.known.__getitem__, parts)) for r, parts in folded.items()})
 
     def encode(self, text: bytes) -> bytes:
-        pieces = PIECES.findall(text)
+        runs = text.translate(_ONLY_CUTS).split(b" ")
         try:
-            return b"".join(map(self.known.__getitem__, pieces))
+            return b"".join(map(self.known.__getitem__, runs))
         except KeyError:
-            self._learn(pieces)
-            return b"".join(map(self.known.__getitem__, pieces))
+            self._learn(runs)
+            return b"".join(map(self.known.__getitem__, runs))
 
 
 def id_width(tokenizer_path: str, end_id: int) -> int:
