@@ -18,11 +18,12 @@ key, the others are compared with those, and only nodes that are still in differ
 are compared further, until none are left.  No link between components is lost,
 as every node that has stood for a key has been compared with all of that key.
 
-Frequent keys.  A key of more than HOT_NODES nodes comes from a passage that many
-documents share.  Sets emit spare segments, so a set with few such keys is
-sure to meet its partners in others; its frequent keys are dropped.  Sets made
-mostly of frequent keys (large groups of near copies) keep them, and meet each
-other there.
+Frequent keys.  A frequent key comes from a passage that many documents share.
+Sets emit spare segments, so any two that link share s keys at least, s being known from
+the size.  Each set therefore drops its s - 1 most frequent keys, in one order that holds for all sets:
+what two sets have dropped of their shared keys are two beginnings of the same list,
+the longer of which leaves one key at least.  A set with fewer than s keys that others have
+too links with nothing and drops all.
 """
 
 from __future__ import annotations
@@ -183,7 +184,7 @@ def band_keys(hashes: np.ndarray, band: int) -> tuple[np.ndarray, int]:
     filled = of[first].astype(np.uint64)
     apart = most_apart(size)
     least = -(-size * LIKE[0] // LIKE[1])
-    sure = min(1 + spare(least), len(filled) - apart)
+    sure = min(1 + spare(least), len(filled) - apart)  # the smaller partner may end its list first, so its spare segments count
     upto = apart + 1 + spare(size)
     keys = _mixed(parity[:upto] + filled[:upto] * _B + np.uint64(band))
     if sure <= 0:  # all filled segments may differ: such sets meet by a key of their own
@@ -241,11 +242,11 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-SHARED = "key bigint, node bigint, info int, hot boolean"
+SHARED = "key bigint, node bigint, info int, n_nodes int"
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and node, those whose key has several nodes; hot if it has more than HOT_NODES."""
+    """Of rows sorted by key and node, those whose key has several nodes, and how many; null if more than HOT_NODES."""
     held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]  # the last key's rows so far, HOT_NODES + 1 at most
     hot_key: int | None = None  # a key that is known to be hot and whose rows so far are out
 
@@ -257,7 +258,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not keep.any():
             return None
         hot = (of > HOT_NODES) | (key == hot_key)
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, node, info, hot)], names=["key", "node", "info", "hot"])
+        counts = pa.array(of[keep].astype(np.int32), mask=hot[keep])
+        return pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in (key, node, info)), counts], names=["key", "node", "info", "n_nodes"])
 
     for batch in batches:
         new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "info")]
@@ -289,10 +291,12 @@ def meeting_keys(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     laid = rows.select("text").mapInArrow(_keys, KEYS).repartition(partitions(spark), "key").sortWithinPartitions("key", "node")
     shared = stage(laid.mapInArrow(_shared, SHARED), "shared-keys")
-    # sets with so many frequent keys that a partner may share no other
-    crowded = shared.where("hot").groupBy("node", "info").agg(F.count("*").alias("n")).where(F.col("n") >= F.floor(F.col("info") / 32))
-    kept = shared.where("hot").join(crowded.select("node", "info"), ["node", "info"], "left_semi")
-    return stage(shared.where("not hot").unionByName(kept).select("key", "node"), "meeting-keys")
+    hot = shared.where("n_nodes is null").drop("n_nodes")
+    counted = hot.join(hot.groupBy("key").agg(F.count("*").alias("n_nodes")), "key")
+    weighed = shared.where("n_nodes is not null").unionByName(counted)
+    # a window holds the keys of one set, so no more rows than its text has shingles
+    placed = weighed.withColumn("place", F.expr("row_number() over (partition by node, info order by n_nodes desc, key)"))
+    return stage(placed.where(F.col("place") >= F.floor(F.col("info") / 32)).select("key", "node"), "meeting-keys")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
