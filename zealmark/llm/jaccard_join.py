@@ -47,7 +47,7 @@ HOT_NODES = 64
 SPARE = 0.08  # spare segments per shingle
 DENSITY = 1.6  # shingles per segment for the largest sets of a band
 LEAST_SEGMENTS = 64
-REPS_GROWTH = 16  # nodes that stand for a key: one in the first round, then so many times more each round
+REPS_GROWTH = 4  # nodes that stand for a key: one in the first round, then so many times more each round
 SEEN_NODES = 500_000
 OUT_ROWS = 50_000
 
