@@ -15,7 +15,9 @@ is left is verified on the texts.
 Copies.  Equal sets are one node, so exact copies never meet each other.  Nodes
 that meet in a key are not paired with each other: a few of them stand for the
 key, the others are compared with those, and only nodes that are still in different components
-are compared further, until none are left.  No link between components is lost,
+are compared further, until none are left.  From the second round on a key's nodes are dealt over
+blocks of bounded size, where sizes and folded sketches are compared as arrays, so that only those that may link
+become pairs.  No link between components is lost,
 as every node that has stood for a key has been compared with all of that key.
 
 Frequent keys.  A frequent key comes from a passage that many documents share.
@@ -47,7 +49,10 @@ HOT_NODES = 64
 SPARE = 0.08  # spare segments per shingle
 DENSITY = 1.6  # shingles per segment for the largest sets of a band
 LEAST_SEGMENTS = 64
-REPS_GROWTH = 4  # nodes that stand for a key: one in the first round, then so many times more each round
+REPS_GROWTH = 64  # nodes that stand for a key: one in the first round, then so many times more each round
+SHORT_WORDS = 16  # 64-bit numbers of a folded sketch, by which nodes of a key are told apart before they become pairs
+BLOCK_REPS, BLOCK_NODES = 1024, 4096  # of one key, how many that stand for it and how many others meet in one block
+COMPARED = 1 << 20  # numbers of sketches that are compared at once
 SEEN_NODES = 500_000
 OUT_ROWS = 50_000
 
@@ -156,6 +161,13 @@ def hamming(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
 
 
+def short_sketch(sketch: str) -> Column:
+    """A sketch folded to SHORT_WORDS numbers at most; the Hamming distance of folded sketches is a lower bound too."""
+    every = lambda i: F.filter(sketch, lambda _, k: k % SHORT_WORDS == i)
+    folded = F.transform(F.sequence(F.lit(0), F.lit(SHORT_WORDS - 1)), lambda i: F.aggregate(every(i), F.lit(0).cast("bigint"), lambda x, y: x.bitwiseXOR(y)))
+    return F.when(F.size(sketch) <= SHORT_WORDS, F.col(sketch)).otherwise(folded)
+
+
 def most_apart(size: int) -> int:
     """Greatest symmetric difference from any set that links with one of this size."""
     return (size + size * LIKE[1] // LIKE[0]) * (LIKE[1] - LIKE[0]) // (LIKE[0] + LIKE[1])
@@ -299,6 +311,72 @@ def meeting_keys(rows: DataFrame) -> DataFrame:
     return stage(placed.where(F.col("place") >= F.floor(F.col("info") / 32)).select("key", "node"), "meeting-keys")
 
 
+def _may_link(u: dict[str, np.ndarray], v: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the nodes ``u`` and ``v`` that may link, by size and sketch, and are not in one component; sketches are as long as a row is wide."""
+    width = min(u["sketch"].shape[1], v["sketch"].shape[1])
+    a, b = (np.bitwise_xor.reduce(x["sketch"].reshape(len(x["sketch"]), -1, width), axis=1) for x in (u, v))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    step = max(1, COMPARED // (len(b) * width))
+    for at in range(0, len(a), step):
+        size_u, size_v = u["size"][at : at + step, None], v["size"][None, :]
+        apart = np.bitwise_count(a[at : at + step, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int64)
+        near = apart * (LIKE[0] + LIKE[1]) <= (size_u + size_v) * (LIKE[1] - LIKE[0])
+        near &= np.minimum(size_u, size_v) * LIKE[1] >= np.maximum(size_u, size_v) * LIKE[0]
+        near &= u["root"][at : at + step, None] != v["root"][None, :]
+        left, right = np.nonzero(near)
+        found.append((left + at, right))
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (u, v) that may link, of rows sorted by block with those that stand for the key, BLOCK_REPS at most, first."""
+    block: tuple[int, ...] | None = None
+    standing: list[tuple[int, dict[str, np.ndarray]]] = []  # of the block under way, by length of the sketch
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "part", "chunk", "other", "node", "root", "size")}
+        lists = batch.column("sketch")
+        words, ends = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+        lengths = np.diff(ends, prepend=0)
+        same = [columns[c][1:] == columns[c][:-1] for c in ("key", "part", "chunk", "other")]
+        starts = np.flatnonzero(np.append(True, ~np.logical_and.reduce(same))).tolist()
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for begin, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            here = tuple(int(columns[c][begin]) for c in ("key", "part", "chunk"))
+            if here != block:
+                block, standing = here, []
+            for width in np.unique(lengths[begin:end]).tolist():
+                rows = begin + np.flatnonzero(lengths[begin:end] == width)
+                places = (ends[rows] - width)[:, None] + np.arange(width)
+                nodes = {c: columns[c][rows] for c in ("node", "root", "size")} | {"sketch": words[places]}
+                if not columns["other"][begin]:
+                    standing.append((width, nodes))
+                    continue
+                for _, first in standing:
+                    left, right = _may_link(nodes, first)
+                    us.append(nodes["node"][left])
+                    vs.append(first["node"][right])
+        u, v = np.concatenate(us), np.concatenate(vs)
+        pairs = np.unique(np.stack((np.maximum(u, v), np.minimum(u, v))), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+
+
+def _blocks(open_: DataFrame, standing: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(u, v) of one key where u stands for it and both may link: a key's nodes are dealt over blocks of bounded size, compared there."""
+    spark = open_.sparkSession
+    about = firsts.join(open_.select("node").distinct(), "node", "left_semi").select("node", "size", short_sketch("sketch").alias("sketch"))
+    counts = open_.groupBy("key").agg(F.count("*").alias("n")).join(standing.groupBy("key").agg(F.count("*").alias("n_reps")), "key")
+    blocks = counts.selectExpr("key", f"cast(ceil(n / {BLOCK_NODES}) as int) as parts", f"cast(ceil(n_reps / {BLOCK_REPS}) as int) as chunks")
+    nodes = open_.join(blocks, "key").withColumn("part", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
+    nodes = nodes.withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).withColumn("other", F.lit(1))
+    reps = standing.selectExpr("key", "v as node", "root_v as root", f"cast(floor((place - 1) / {BLOCK_REPS}) as int) as chunk").join(blocks, "key")
+    reps = reps.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("other", F.lit(0))
+    laid = nodes.select("key", "part", "chunk", "other", "node", "root").unionByName(reps.select("key", "part", "chunk", "other", "node", "root")).join(about, "node")
+    laid = laid.repartition(partitions(spark), "key", "part", "chunk").sortWithinPartitions("key", "part", "chunk", "other", "node")
+    return laid.mapInArrow(_meet, "u bigint, v bigint")
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
     for batch in batches:
@@ -370,11 +448,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             part = F.pmod(F.xxhash64("node"), F.lit(64))
             ranked = open_.withColumn("part", part).withColumn("place", F.expr("row_number() over (partition by key, part order by node)"))
             ranked = ranked.where(F.col("place") <= reps).withColumn("place", F.expr("row_number() over (partition by key order by node)"))
-            standing = stage(ranked.where(F.col("place") <= reps).select("key", F.col("node").alias("v"), F.col("root").alias("root_v")), "standing")
-            # of two that stand for a key, the greater is compared with the lesser
-            pairs = open_.join(standing, "key").where("root <> root_v and node <> v").select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v"))
+            standing = stage(ranked.where(F.col("place") <= reps).select("key", F.col("node").alias("v"), F.col("root").alias("root_v"), "place"), "standing")
+            if standing.isEmpty():
+                break
+            pairs = _blocks(open_, standing, firsts)
         pairs = stage(pairs.distinct(), "pairs")
-        if pairs.isEmpty():
+        if reps == 1 and pairs.isEmpty():
             break
         about = firsts.select("node", "size", "sketch")
         filtered = pairs.join(about.selectExpr("node as u", "size as size_u", "sketch as sketch_u"), "u").join(
