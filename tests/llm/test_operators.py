@@ -295,6 +295,30 @@ def test_near_duplicates_against_all_pairs(frame, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root)) and kept.columns == documents(frame).columns
 
 
+def test_near_duplicates_in_many_blocks(frame, monkeypatch):
+    """Variants of one text, many of which link with a few others only, and of one whose sketches have to be folded."""
+    for name, value in (("HOT_NODES", 4), ("BLOCK_REPS", 3), ("BLOCK_NODES", 7)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(12)
+    texts = []
+    for length, copies, edits in ((60, 60, 4), (900, 8, 60)):
+        base = [f"v{length}w{i}" for i in range(length)]
+        for _ in range(copies):
+            copy = list(base)
+            for _ in range(rng.randint(0, edits)):
+                copy[rng.randrange(length)] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    sizes, root = classes(texts)
+    assert len(set(root)) > 5  # some stay apart, so several nodes have to stand for a key
+    dealt, blocks = [], jaccard_join._blocks
+    monkeypatch.setattr(jaccard_join, "_blocks", lambda open_, standing, firsts: (dealt.append((open_.count(), standing.groupBy("key").count().agg({"count": "max"}).first()[0])), blocks(open_, standing, firsts))[1])
+    got = {r.doc_id: r for r in jaccard_join.near_duplicates(documents(frame, *texts)).collect()}
+    assert [got[i].n_shingles for i in range(len(texts))] == sizes
+    assert [got[i].component_id for i in range(len(texts))] == root
+    assert dealt and max(n for _, n in dealt) > 7  # several chunks and parts
+
+
 def test_bounds_of_the_sketches():
     rng = random.Random(9)
     for _ in range(300):
