@@ -49,6 +49,18 @@ def test_main_text(frame):
     assert main_text.extract_main_text(frame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def texts_of(frame, *pages):
+    rows = [(i, "u", page) for i, page in enumerate(pages)]
+    return [r.text for r in main_text.extract_main_text(frame(rows, "page_id bigint, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_articles_in_furniture_are_no_labels(frame):
+    body = " ".join(f"word{i}" for i in range(40))
+    comments = f'<p>{body}</p><div id="comments"><article class="comment-body"><p>a reader wrote this</p></article></div>'
+    teaser = f"<p>{body}</p><aside><article>Read this too</article></aside>"
+    assert texts_of(frame, comments, teaser, f"<p>{body}</p>", PAGE)[:3] == [body] * 3
+
+
 def test_best_region_against_all_regions():
     rng = random.Random(1)
     for _ in range(300):

@@ -80,8 +80,8 @@ def _furnished(name: str, attributes: str) -> bool:
     return bool(HIDDEN.search(attributes))
 
 
-def tokens(page: str) -> list[Run]:
-    """Words and tags of a page in order, in time linear in its length."""
+def tokens(page: str) -> tuple[list[Run], bool]:
+    """Words and tags of a page in order, in time linear in its length, and whether an article is marked outside furniture."""
     out: list[Run] = []
     held: list[tuple[str, bool]] = []  # open elements that matter, and whether they are furniture
     furniture = links = articles = 0
@@ -159,9 +159,9 @@ def tokens(page: str) -> list[Run]:
             articles += name in ARTICLE
             marked |= name in ARTICLE and not furniture
     if marked:
-        return out
+        return out, True
     shift = {OUTSIDE: UNMARKED, OUTSIDE_LINK: UNMARKED_LINK}
-    return [run._replace(place=shift.get(run.place, run.place)) for run in out]
+    return [run._replace(place=shift.get(run.place, run.place)) for run in out], False
 
 
 def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +170,8 @@ def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     outside: Counter[str] = Counter()
     for batch in batches:
         for page in batch.column("html").to_pylist():
-            runs = tokens(page)
-            if not any(run.tag in ARTICLE for run in runs):
+            runs, marked = tokens(page)
+            if not marked:  # also where the only article stands in furniture: its page tells nothing of the places
                 continue
             depth = 0
             for run in runs:
@@ -238,7 +238,7 @@ def main_text(page: str | None, weights: Weights) -> str:
     """Blocks of the best region joined by a space; white space inside a block becomes one space."""
     if not page:
         return ""
-    runs = tokens(page)
+    runs, _ = tokens(page)
     by_place, by_tag, other = weights
     begin, end = best_region([by_tag.get(r.tag.removeprefix("/"), other) if r.tag else r.words * by_place[r.place] for r in runs])
     blocks: list[str] = []
