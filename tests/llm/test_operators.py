@@ -61,6 +61,12 @@ def test_articles_in_furniture_are_no_labels(frame):
     assert texts_of(frame, comments, teaser, f"<p>{body}</p>", PAGE)[:3] == [body] * 3
 
 
+def test_links_of_text_blocks_are_kept(frame):
+    inside = "<div><p>See <a href=x>the report</a> for details</p></div>"
+    edges = "<ul><li><a href=n>News</a></li></ul><p><a href=x>This report</a> has all the many details of it<br>and so has <a href=y>that one</a></p>"
+    assert texts_of(frame, inside, edges, PAGE)[:2] == ["See the report for details", "This report has all the many details of it and so has that one"]
+
+
 def test_best_region_against_all_regions():
     rng = random.Random(1)
     for _ in range(300):

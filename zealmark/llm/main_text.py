@@ -3,8 +3,8 @@
 A page is read once into tokens: runs of words and tags.  Words score positive
 where labelled pages hold them in their article and negative where they hold
 them in page furniture; every tag costs, the more the rarer it is inside
-articles.  One linear scan finds the best contiguous region, whose content words are
-the main text.  Weights come from the pages that mark their article
+articles.  One linear scan finds the best contiguous region; it is widened to whole
+text blocks, and all its words outside furniture are the main text, links too.  Weights come from the pages that mark their article
 (``<article>`` or ``<main>``); places that no labelled page shows fall back to priors.
 """
 
@@ -33,6 +33,7 @@ INLINE = {
     "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "acronym", "ruby", "rb", "rt", "rp",
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+FLOWING = INLINE | {"br", "wbr"}  # what a text block goes on over
 # Elements whose place in the tree matters for what their words are
 HOLDERS = FURNITURE | ARTICLE | {"a", "div", "section", "ul", "ol", "dl", "table", "body", "html", "blockquote", "figure", "details"}
 # Words of class, id and role that name furniture
@@ -234,6 +235,17 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return begin, end
 
 
+def whole_blocks(runs: list[Run], begin: int, end: int) -> tuple[int, int]:
+    """A region that is not empty, widened to the borders of the text blocks it begins and ends in."""
+    flows = lambda run: not run.tag or run.tag.removeprefix("/") in FLOWING
+    if begin < end:
+        while begin and flows(runs[begin]) and flows(runs[begin - 1]):
+            begin -= 1
+        while end < len(runs) and flows(runs[end - 1]) and flows(runs[end]):
+            end += 1
+    return begin, end
+
+
 def main_text(page: str | None, weights: Weights) -> str:
     """Blocks of the best region joined by a space; white space inside a block becomes one space."""
     if not page:
@@ -241,11 +253,12 @@ def main_text(page: str | None, weights: Weights) -> str:
     runs, _ = tokens(page)
     by_place, by_tag, other = weights
     begin, end = best_region([by_tag.get(r.tag.removeprefix("/"), other) if r.tag else r.words * by_place[r.place] for r in runs])
+    begin, end = whole_blocks(runs, begin, end)
     blocks: list[str] = []
     block: list[str] = []
     for run in runs[begin:end]:
         if not run.tag:
-            if not run.words or by_place[run.place] > 0:
+            if run.place != FURNISHED:
                 block.append(run.text)
         elif run.tag.removeprefix("/") not in INLINE:
             blocks.append(" ".join("".join(block).split()))
