@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -67,6 +68,42 @@ def test_links_of_text_blocks_are_kept(frame):
     assert texts_of(frame, inside, edges, PAGE)[:2] == ["See the report for details", "This report has all the many details of it and so has that one"]
 
 
+BODY = " ".join(f"word{i}" for i in range(40))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<nav>Menu</nav><article class="post category-privacy"><p>{BODY}</p></article>',
+        f'<main><article class="post category-privacy"><p>{BODY}</p></article></main>',
+        f'<div class="layout has-sidebar"><article><p>{BODY}</p></article><div class="sidebar">Other things</div></div>',
+        f'<div class="layout has-sidebar"><div><p>{BODY}</p></div><div class="sidebar">Other things</div></div>',
+        f'<div id="search-results"><p>{BODY}</p></div>',
+        f"<body><form><nav>Menu</nav><div><p>{BODY}</p></div><footer>All rights</footer></form></body>",
+        f'<div class="overflow-hidden rounded"><p>{BODY}</p></div><p hidden>Not this</p>',
+        f'<div aria-hidden="false"><p>{BODY}</p></div><div aria-hidden="true">Nor this</div><div style="color:red; display: none">or this</div>',
+        f'<p>{BODY}</p><div id="comments"><article class="comment-body">a reader wrote this</article></div>',
+        f'<article><p>{BODY}</p></article><article class="comment">a reader wrote this</article><div class="comments">and this</div>',
+    ],
+)
+def test_names_of_furniture_are_no_veto(page):
+    runs, _ = main_text.tokens(page)
+    assert " ".join(r.text for r in runs if r.place < main_text.FURNISHED and r.words).split()[:40] == BODY.split()
+    counts = {}
+    for batch in main_text._label_counts(iter([pa.RecordBatch.from_pydict({"html": [page, PAGE]})])):
+        counts = {t: (a, b) for t, a, b in zip(*batch.to_pydict().values(), strict=True)}
+    assert main_text.main_text(page, main_text._weights(counts)) == BODY
+
+
+def test_learned_names():
+    """Where labelled pages show a name beside their article, words under it are no main text of other pages, be they the most."""
+    short, long = "word " * 30, "reply " * 60
+    pages = [f'<main>{short}</main><div class="comments">{long}</div>', f'<div>{short}</div><div class="comments"><p>{long}</p></div>']
+    (batch,) = main_text._label_counts(iter([pa.RecordBatch.from_pydict({"html": pages})]))
+    weights = main_text._weights({t: (a, b) for t, a, b in zip(*batch.to_pydict().values(), strict=True)})
+    assert [main_text.main_text(page, weights) for page in pages] == [short.strip()] * 2
+
+
 def test_best_region_against_all_regions():
     rng = random.Random(1)
     for _ in range(300):

@@ -6,6 +6,10 @@ them in page furniture; every tag costs, the more the rarer it is inside
 articles.  One linear scan finds the best contiguous region; it is widened to whole
 text blocks, and all its words outside furniture are the main text, links too.  Weights come from the pages that mark their article
 (``<article>`` or ``<main>``); places that no labelled page shows fall back to priors.
+
+Names of furniture (class, id, role) and forms are evidence, no veto: an article, what holds
+``<main>`` and what holds most of the page's words are not furniture for their name.  How words
+under such names count is learned from the labelled pages as well.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from zealmark.llm.common import prepare
 NEVER_TEXT = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "audio", "video", "textarea", "title"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template"}
 FURNITURE = {"head", "nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "fieldset", "label", "option"}
+WRAPPERS = {"form", "fieldset"}  # furniture, but also put around whole pages
 ARTICLE = {"article", "main"}
 INLINE = {
     "a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark",
@@ -56,9 +61,10 @@ LEAST_TAG_COST, MAX_TAG_COST = 0.01, 2.0
 NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 # attributes up to the closing bracket; quotes may hold brackets
 QUOTED_END = re.compile(r"""[^"'>]*+(?:"[^"]*+"[^"'>]*+|'[^']*+'[^"'>]*+)*+>""")
-NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+TELLING = re.compile(r"class|id|role|aria-|hidden|style", re.I)  # some attribute may tell something
 NOT_WORD = re.compile(r"[^a-z0-9]+")
-HIDDEN = re.compile(r"""\bhidden(?=[\s/>=]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 
 
 class Run(NamedTuple):
@@ -68,43 +74,102 @@ class Run(NamedTuple):
     text: str
     place: int
     words: int
-
-
-def _furnished(name: str, attributes: str) -> bool:
-    if name in FURNITURE:
-        return True
-    if not attributes or name in ("html", "body", "main"):  # a word there describes the whole page
-        return False
-    for groups in NAMED.findall(attributes):
-        if not FURNITURE_WORDS.isdisjoint(NOT_WORD.split("".join(groups).lower())):
-            return True
-    return bool(HIDDEN.search(attributes))
+    named: str = ""  # furniture name of what holds the run, where that is no furniture all the same
+
+
+class Element(NamedTuple):
+    """An element that matters for what its words are."""
+
+    name: str
+    parent: int  # -1: none
+    off: bool  # furniture or no text, whatever it holds
+    named: str  # the name that makes it furniture, unless what it holds speaks against it
+
+
+def _judged(name: str, attributes: str) -> tuple[bool, str]:
+    """Whether an element is surely no part of the main text, and the name that speaks against it."""
+    off, named = name in NEVER_TEXT or name in FURNITURE and name not in WRAPPERS, name if name in WRAPPERS else ""
+    if off or name in ("html", "body", "main") or not TELLING.search(attributes):  # a word there describes the whole page
+        return off, named
+    for key, *values in ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), "".join(values)
+        if key in ("class", "id", "role", "aria-label"):
+            named = named or next((word for word in NOT_WORD.split(value.lower()) if word in FURNITURE_WORDS), "")
+        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and NOT_SHOWN.search(value):
+            return True, ""
+    return False, named
+
+
+def _places(elements: list[Element], words: list[int], loose: int) -> tuple[list[tuple[int, str]], bool]:
+    """Place and furniture name of the words right in each element, and whether the page marks an article.
+
+    ``words`` has the words right in each element, ``loose`` is the number of those in none.
+    """
+    held, holds_main = words.copy(), [False] * len(elements)
+    for i in range(len(elements) - 1, -1, -1):  # an element comes after its parent
+        name, parent, off, _ = elements[i]
+        if off:
+            held[i] = 0
+        elif parent >= 0:
+            held[parent] += held[i]
+            holds_main[parent] |= holds_main[i] or name == "main"
+        else:
+            loose += held[i]
+    most = [2 * n > loose for n in held]
+    off, under = [False] * len(elements), [False] * len(elements)  # furniture; within a furniture name that does not count
+    for i, (name, parent, never, named) in enumerate(elements):
+        lifted = not named or most[i] or holds_main[i] or name in ARTICLE
+        off[i] = never or not lifted or parent >= 0 and off[parent]
+        under[i] = parent >= 0 and under[parent] or bool(named) and named not in WRAPPERS and name not in ARTICLE
+    # beside an article without such a name, one with it is what the name says, if it is the smaller part
+    articles = {i for i, e in enumerate(elements) if e.name == "article" and not off[i]}
+    if any(not elements[i].named and not under[i] for i in articles):
+        for i, (_, parent, _, named) in enumerate(elements):
+            off[i] |= parent >= 0 and off[parent] or i in articles and bool(named) and not most[i]
+    # an article marks the page if nothing names it furniture, or if it is the only one and most of the page
+    marks = {i for i in articles if not off[i] and (not (under[i] or elements[i].named) or most[i] and len(articles) == 1)}
+    marks |= {i for i, e in enumerate(elements) if e.name == "main" and not off[i]}
+    inside, link, names = [False] * len(elements), [False] * len(elements), [""] * len(elements)
+    out: list[tuple[int, str]] = []
+    for i, (name, parent, _, named) in enumerate(elements):
+        inside[i] = i in marks or parent >= 0 and inside[parent]
+        link[i] = name == "a" or parent >= 0 and link[parent]
+        names[i] = named or (names[parent] if parent >= 0 else "")
+        place = FURNISHED if off[i] else (CONTENT if inside[i] else OUTSIDE if marks else UNMARKED) + link[i]
+        out.append((place, "" if off[i] else names[i]))
+    return out, bool(marks)
 
 
 def tokens(page: str) -> tuple[list[Run], bool]:
     """Words and tags of a page in order, in time linear in its length, and whether an article is marked outside furniture."""
-    out: list[Run] = []
-    held: list[tuple[str, bool]] = []  # open elements that matter, and whether they are furniture
-    furniture = links = articles = 0
-    at, end, quotes_close, marked = 0, len(page), True, False
+    out: list[tuple[str, str, int, int]] = []  # tag, text, words, home: the element they are right in (-1: none)
+    elements: list[Element] = []
+    words: list[int] = []  # by element, right in it
+    held: list[int] = []  # open elements
+    loose = links = 0
+    at, end, quotes_close = 0, len(page), True
     lowered = page.lower() if len(page.lower()) == len(page) else None  # places must agree; else raw ends are matched by case
 
     def leave(upto: int) -> None:
-        nonlocal furniture, links, articles
-        for name, off in held[upto:]:
-            furniture -= off
-            links -= name == "a"
-            articles -= name in ARTICLE
+        nonlocal links
+        links -= sum(elements[i].name == "a" for i in held[upto:])
         del held[upto:]
 
+    def add(tag: str, text: str = "", n: int = 0) -> None:
+        nonlocal loose
+        if held:
+            words[held[-1]] += n
+        else:
+            loose += n
+        out.append((tag, text, n, held[-1] if held else -1))
+
     def text(raw: str) -> None:
         if not raw or raw.isspace():
             if raw:
-                out.append(Run("", " ", CONTENT, 0))
+                add("", " ")
             return
         plain = html.unescape(raw)
-        place = FURNISHED if furniture else (CONTENT if articles else OUTSIDE) + bool(links)
-        out.append(Run("", plain, place, len(plain.split())))
+        add("", plain, len(plain.split()))
 
     while at < end:
         begin = page.find("<", at)
@@ -135,34 +200,32 @@ def tokens(page: str) -> tuple[list[Run], bool]:
             at = stop.end()
         name, attributes = match[1].lower(), page[match.end() : at - 1]
         if following == "/":
-            out.append(Run("/" + name, "", CONTENT, 0))
+            add("/" + name)
             for place in range(len(held) - 1, -1, -1):
-                if held[place][0] == name:
+                if elements[held[place]].name == name:
                     leave(place)
                     break
             continue
-        out.append(Run(name, "", CONTENT, 0))
+        add(name)
         if name in RAW:
             close = (lowered or page).find(f"</{name}", at)
             at = end if close < 0 else close
             continue
         if name in VOID or attributes.endswith("/"):
             continue
-        if held and held[-1][0] == "p" and name not in INLINE:
+        if held and elements[held[-1]].name == "p" and name not in INLINE:
             leave(len(held) - 1)  # a block ends an open paragraph
         if name == "a" and links:  # links do not nest
-            leave(next(i for i, (other, _) in enumerate(held) if other == "a"))
-        off = name in NEVER_TEXT or _furnished(name, attributes)
-        if off or name in HOLDERS:
-            held.append((name, off))
-            furniture += off
+            leave(next(i for i, other in enumerate(held) if elements[other].name == "a"))
+        off, named = _judged(name, attributes)
+        if off or named or name in HOLDERS:
+            elements.append(Element(name, held[-1] if held else -1, off, named))
+            words.append(0)
+            held.append(len(elements) - 1)
             links += name == "a"
-            articles += name in ARTICLE
-            marked |= name in ARTICLE and not furniture
-    if marked:
-        return out, True
-    shift = {OUTSIDE: UNMARKED, OUTSIDE_LINK: UNMARKED_LINK}
-    return [run._replace(place=shift.get(run.place, run.place)) for run in out], False
+    places, marked = _places(elements, words, loose)
+    places.append((OUTSIDE if marked else UNMARKED, ""))  # of what is in no element
+    return [Run(tag, text, places[home][0], n, places[home][1]) for tag, text, n, home in out], marked
 
 
 def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,44 +237,49 @@ def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             runs, marked = tokens(page)
             if not marked:  # also where the only article stands in furniture: its page tells nothing of the places
                 continue
-            depth = 0
             for run in runs:
+                counted = inside if run.place in (CONTENT, CONTENT_LINK) else outside
                 if run.tag:
-                    depth += (run.tag in ARTICLE) - (run.tag[1:] in ARTICLE and run.tag[0] == "/")
                     name = run.tag.removeprefix("/")
-                    (inside if depth > 0 else outside)["<" + (name if name in INLINE | VOID | HOLDERS | NEVER_TEXT or name in COMMON else "?")] += 1
+                    counted["<" + (name if name in KNOWN else "?")] += 1
                 elif run.words:
-                    (inside if depth > 0 and run.place != FURNISHED else outside)[PLACES[run.place]] += run.words
+                    counted[PLACES[run.place]] += run.words
+                    if run.named:
+                        counted["@" + run.named] += run.words
     keys = sorted({*inside, *outside})
     if keys:
         yield pa.RecordBatch.from_pydict({"token": keys, "n_in": [inside[k] for k in keys], "n_out": [outside[k] for k in keys]})
 
 
 COMMON = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "td", "th", "thead", "tbody", "dt", "dd", "pre", "hr", "br", "figcaption", "caption", "summary"}
+KNOWN = INLINE | VOID | HOLDERS | NEVER_TEXT | COMMON
 
 
 class Weights(NamedTuple):
     words: tuple[float, ...]  # by place
     tags: dict[str, float]
     other_tag: float
+    names: dict[str, float]  # words under furniture names that are no furniture, of pages that mark no article
 
 
 def _weights(counts: dict[str, tuple[int, int]]) -> Weights:
     """Log ratios of how much of the article and of the rest a token makes up; tags always cost."""
+    ratio = lambda n_in, n_out: max(-MAX_WEIGHT, min(MAX_WEIGHT, log(n_in / n_out)))
     words = []
     for place in PLACES:
         n_in, n_out = counts.get(place, (0, 0))
         a, b = PRIOR[place]
-        words.append(max(-MAX_WEIGHT, min(MAX_WEIGHT, log((n_in + a) / (n_out + b)))))
+        words.append(ratio(n_in + a, n_out + b))
+    names = {k[1:]: ratio(n_in + 1, n_out + 1) for k, (n_in, n_out) in counts.items() if k[0] == "@"}
     all_in = sum(n for k, (n, _) in counts.items() if k[0] == "<") + 1
     all_out = sum(n for k, (_, n) in counts.items() if k[0] == "<") + 1
     cost = lambda n_in, n_out: -max(LEAST_TAG_COST, min(MAX_TAG_COST, log(((n_out + 1) / all_out) / ((n_in + 1) / all_in))))
     tags = {k[1:]: cost(*n) for k, n in counts.items() if k[0] == "<" and k != "<?"}
-    return Weights(tuple(words), tags, cost(*counts.get("<?", (0, 0))))
+    return Weights(tuple(words), tags, cost(*counts.get("<?", (0, 0))), names)
 
 
 def learn_weights(pages: DataFrame, html_col: str = "html") -> Weights:
-    """Weights from all pages that mark their article; at most one row per known tag and place comes to the driver."""
+    """Weights from all pages that mark their article; at most one row per known tag, place and furniture name comes to the driver."""
     counted = (
         pages.select(F.col(html_col).cast("string").alias("html"))
         .where("html is not null")
@@ -250,9 +318,18 @@ def main_text(page: str | None, weights: Weights) -> str:
     """Blocks of the best region joined by a space; white space inside a block becomes one space."""
     if not page:
         return ""
-    runs, _ = tokens(page)
-    by_place, by_tag, other = weights
-    begin, end = best_region([by_tag.get(r.tag.removeprefix("/"), other) if r.tag else r.words * by_place[r.place] for r in runs])
+    runs, marked = tokens(page)
+    by_place, by_tag, other, by_name = weights
+
+    def score(run: Run) -> float:
+        if run.tag:
+            return by_tag.get(run.tag.removeprefix("/"), other)
+        weight = by_place[run.place]
+        if run.named and not marked:
+            weight = min(weight, by_name.get(run.named, weight))
+        return run.words * weight
+
+    begin, end = best_region([score(run) for run in runs])
     begin, end = whole_blocks(runs, begin, end)
     blocks: list[str] = []
     block: list[str] = []
