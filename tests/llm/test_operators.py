@@ -153,6 +153,23 @@ def test_toxicity_learns_and_keeps_clean_rows(spark, frame, monkeypatch, per_cla
     assert toxicity.score_toxicity(docs.limit(0), nothing).count() == 0
 
 
+def test_rare_words_are_terms(frame):
+    """Toxic words that few examples hold still lead to the examples that hold them."""
+    rng = random.Random(9)
+    common = [f"w{i}" for i in range(300)]
+    toxic = lambda i: [f"foul{i // 8 % 20}"] * 2  # noqa: E731  # each in some five labelled texts
+    texts = [" ".join(rng.choices(common, k=12) + (toxic(i) if i % 4 == 0 else [])) for i in range(800)]
+    docs = documents(frame, *texts)
+    labels = frame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id bigint, toxic int")
+    model = toxicity.learn_toxicity(docs.where("doc_id < 600"), labels)
+    words = {word for i in range(600) for word in texts[i].encode().split()}
+    index = {word for word in words if b"=" + word in model.index.terms}
+    assert all(b"=" + word.encode() in model.index.terms for word in {t for i in range(0, 160, 4) for t in toxic(i)}) and len(index) > 300
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
+    assert sum(got[i].predicted == (i % 4 == 0) for i in range(600, 800)) >= 190
+    assert all(got[i].evidence[0] % 4 == 0 for i in range(600, 800, 4))
+
+
 # --- language ------------------------------------------------------------------------------
 
 

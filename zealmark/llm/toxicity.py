@@ -7,29 +7,31 @@ order of that bound, and reading stops when the next bound is below the worst
 neighbour.  Neighbours vote with weights that grow as their distance falls, and the votes
 become probabilities by a monotone fit on labelled texts outside the index.
 
-Terms are whole words and their beginnings, of which those are kept whose presence
-goes with the label by a chi-squared test on the examples.
+Terms are all whole words of the examples and their beginnings.  A term's weight is its
+TF-IDF, raised by how far its presence goes with the label (chi-squared on the examples); no
+term is left out, so rare words count as well.
 """
 
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from typing import NamedTuple
+from functools import lru_cache
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zealmark.llm.common import prepare
-from zealmark.session import stage
+from zealmark.llm.common import opened, prepare
+from zealmark.session import scratch_path, stage
 
 PER_CLASS = 3000  # indexed examples of each label at most
 CALIBRATION = 4000  # further labelled texts that the probabilities are fitted on
-MAX_TERMS = 20_000
-MIN_DOCS, MIN_CHI2 = 4, 20.0
+TELLING = 0.7  # power of chi-squared in a term's weight
 NEIGHBOURS = 15
 BLOCK = 64
 EVIDENCE = 3
@@ -54,7 +56,7 @@ class Index(NamedTuple):
     ids: list[int | None]  # by example
     labels: np.ndarray
     terms: dict[bytes, int]
-    idf: np.ndarray
+    idf: np.ndarray  # times how far the term goes with the label
     # postings by term: of term t those in [starts[t], starts[t + 1])
     starts: np.ndarray
     examples: np.ndarray
@@ -66,32 +68,49 @@ class Index(NamedTuple):
     posting_starts: np.ndarray
 
 
-def _weighted(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms and unit TF-IDF weights."""
-    terms = np.array(sorted(counts), np.int64)
-    w = (1 + np.log(np.array([counts[t] for t in terms.tolist()], float))) * idf[terms]
+Bag = tuple[np.ndarray, np.ndarray]  # rising terms and their counts
+
+
+def _bag(counts: dict[int, int] | Bag) -> Bag:
+    if isinstance(counts, tuple):
+        return counts
+    terms = sorted(counts)
+    return np.array(terms, np.int64), np.array([counts[t] for t in terms], np.int64)
+
+
+def _weighted(counts: dict[int, int] | Bag, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and unit weights."""
+    terms, n = _bag(counts)
+    w = (1 + np.log(n)) * idf[terms]
     return terms, w / np.sqrt((w * w).sum())
 
 
-def build_index(examples: list[tuple[int | None, int, dict[int, int]]], terms: dict[bytes, int]) -> Index:
+def telling(n0: np.ndarray, n1: np.ndarray, all0: int, all1: int) -> np.ndarray:
+    """How far terms in n0 and n1 of the examples of each label go with it: 1 at least."""
+    below = (n0 + n1) * (all0 + all1 - n0 - n1) * float(all0) * all1
+    chi2 = np.divide((all0 + all1) * (n1 * (all0 - n0) - n0 * (all1 - n1)) ** 2, below, out=np.zeros(len(n0)), where=below > 0)
+    return (1 + chi2) ** TELLING  # a term that tells nothing has 1
+
+
+def build_index(examples: list[tuple[int | None, int, dict[int, int] | Bag]], terms: dict[bytes, int]) -> Index:
     """Index of (id, label, counts by term) examples; those without terms can be nobody's neighbour and are left out."""
-    held = [x for x in examples if x[2]]
-    held.sort(key=lambda x: (x[1], min(x[2]), x[0] is None, x[0] or 0))  # like examples share blocks
-    df = np.zeros(len(terms))
-    for _, _, counts in held:
-        df[list(counts)] += 1
-    idf = np.log((len(held) + 1) / (df + 1)) + 1
-    rows = []
-    for place, (_, _, counts) in enumerate(held):
-        for t, w in zip(*_weighted(counts, idf), strict=True):
-            rows.append((int(t), place, w))
-    rows.sort()
-    term = np.array([r[0] for r in rows], np.int64)
-    example = np.array([r[1] for r in rows], np.int64)
-    weight = np.array([r[2] for r in rows], float)
+    held = [(i, label, *_bag(counts)) for i, label, counts in examples]
+    held = [x for x in held if len(x[2])]
+    held.sort(key=lambda x: (x[1], x[2][0], x[0] is None, x[0] or 0))  # like examples share blocks
+    df = np.zeros((2, len(terms)))
+    for _, label, found, _ in held:
+        df[int(label), found] += 1
+    n1 = sum(bool(x[1]) for x in held)
+    idf = (np.log((len(held) + 1) / (df.sum(0) + 1)) + 1) * telling(df[0], df[1], len(held) - n1, n1)
+    none = np.zeros(0, np.int64)
+    term = np.concatenate([none, *(x[2] for x in held)])
+    example = np.repeat(np.arange(len(held), dtype=np.int32), [len(x[2]) for x in held])
+    weight = np.concatenate([np.zeros(0), *(_weighted((x[2], x[3]), idf)[1] for x in held)])
+    order = np.argsort(term, kind="stable")  # within a term by example
+    term, example, weight = term[order], example[order], weight[order]
     key = term * (len(held) // BLOCK + 1) + example // BLOCK
-    first = np.flatnonzero(np.diff(key, prepend=-1)) if len(rows) else np.zeros(0, np.int64)
-    maxima = np.maximum.reduceat(weight, first) if len(rows) else np.zeros(0)
+    first = np.flatnonzero(np.diff(key, prepend=-1)) if len(term) else none
+    maxima = np.maximum.reduceat(weight, first) if len(term) else np.zeros(0)
     return Index(
         ids=[x[0] for x in held],
         labels=np.array([x[1] for x in held], float),
@@ -99,11 +118,11 @@ def build_index(examples: list[tuple[int | None, int, dict[int, int]]], terms: d
         idf=idf,
         starts=np.searchsorted(term, np.arange(len(terms) + 1)),
         examples=example,
-        weights=weight,
+        weights=weight.astype(np.float32),
         block_starts=np.searchsorted(term[first], np.arange(len(terms) + 1)),
         blocks=example[first] // BLOCK,
-        maxima=maxima,
-        posting_starts=np.append(first, len(rows)),
+        maxima=np.nextafter(maxima.astype(np.float32), np.float32(np.inf)),  # no weight as stored is above
+        posting_starts=np.append(first, len(term)).astype(np.int64 if len(term) >= 1 << 31 else np.int32),
     )
 
 
@@ -187,8 +206,9 @@ class Scorer:
     def __init__(self, terms: dict[bytes, int]) -> None:
         self.terms, self.words = terms, {}
 
-    def counts(self, text: str) -> Counter[int]:
-        found: Counter[int] = Counter()
+    def counts(self, text: str) -> Bag:
+        found: list[int] = []
+        ns: list[int] = []
         known = self.words
         for word, n in Counter(tox_words(text)).items():
             places = known.get(word)
@@ -196,14 +216,32 @@ class Scorer:
                 if len(known) >= CACHED_WORDS:
                     known.clear()
                 places = known[word] = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
-            for t in places:
-                found[t] += n
-        return found
+            found += places
+            ns += [n] * len(places)
+        terms, at = np.unique(np.array(found, np.int64), return_inverse=True)
+        return terms, np.bincount(at, ns, len(terms)).astype(np.int64)
 
 
 class Model(NamedTuple):
     index: Index
     calibration: Calibration
+    path: str  # of the index in the shared folder
+
+
+def _shared(spark: SparkSession, name: str, value: Any) -> str:
+    """Path of a value in the shared folder: one copy, where a broadcast leaves one with each executor and worker."""
+    path = scratch_path(spark, name)
+    files, place = opened(path)
+    with files.open_output_stream(place) as out:
+        out.write(zlib.compress(pickle.dumps(value, 5), 1))
+    return path
+
+
+@lru_cache(maxsize=1)
+def _loaded(path: str) -> Any:
+    files, place = opened(path)
+    with files.open_input_stream(place) as held:
+        return pickle.loads(zlib.decompress(held.read()))
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,36 +281,44 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     prepare(docs.sparkSession)
     rows = labelled_examples(docs, labels, id_col, text_col, label_col)
-    counted = rows.where("role = 0").select("text", "label").mapInArrow(_term_counts, "term binary, n0 bigint, n1 bigint")
-    counted = counted.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= MIN_DOCS)
-    totals = {row.label: row.n for row in rows.where("role = 0").groupBy("label").agg(F.count("*").alias("n")).collect()}
-    all0, all1 = float(totals.get(0, 0)), float(totals.get(1, 0))
-    chi2 = F.expr(
-        f"({all0}D + {all1}D) * pow(n1 * ({all0}D - n0) - n0 * ({all1}D - n1), 2) / "
-        f"nullif((n0 + n1) * ({all0}D + {all1}D - n0 - n1) * {all0}D * {all1}D, 0)"
-    )
-    kept = counted.withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2).orderBy(F.col("chi2").desc(), "term").limit(MAX_TERMS)
-    terms = {bytes(row.term): i for i, row in enumerate(kept.select("term").collect())}
-    shipped = docs.sparkSession.sparkContext.broadcast(terms)
+    indexed = rows.where("role = 0")
+    counted = indexed.select("text", "label").mapInArrow(_term_counts, "term binary, n0 bigint, n1 bigint")
+    found = counted.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # terms of 2 * PER_CLASS texts at most
+    all1, all0 = (indexed.where(F.col("label") == label).count() for label in (1, 0))
+    n0, n1 = (found.column(name).to_numpy().astype(float) for name in ("n0", "n1"))
+    names = found.column("term").to_pylist()
+    first = telling(n0, n1, all0, all1)
+    terms = {names[i]: place for place, i in enumerate(sorted(range(len(names)), key=lambda i: (-first[i], names[i])))}
+    terms_path = _shared(docs.sparkSession, "tox-terms", terms)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shipped.value)
+        scorer = Scorer(_loaded(terms_path))
+        for batch in batches:
+            bags = [scorer.counts(text) for text in batch.column("text").to_pylist()]
+            columns = [pa.array([part.astype(np.int32).tobytes() for part in parts], pa.binary()) for parts in (zip(*bags, strict=True) if bags else ((), ()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), *columns], names=["id", "label", "terms", "counts"])
+
+    read = lambda part: np.frombuffer(part, np.int32).astype(np.int64)
+    sample = indexed.select("id", "label", "text").mapInArrow(known, "id bigint, label int, terms binary, counts binary").collect()
+    index = build_index([(row.id, row.label, (read(row.terms), read(row.counts))) for row in sample], terms)
+    path = _shared(docs.sparkSession, "tox-index", index)
+
+    def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _loaded(path)
+        scorer = Scorer(held.terms)
         for batch in batches:
-            counts = [pickle.dumps(dict(scorer.counts(text))) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), batch.column("role"), pa.array(counts, pa.binary())], names=["id", "label", "role", "counts"])
+            votes = [_vote_of(held, scorer.counts(text))[0] for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(votes, pa.float64())], names=["label", "vote"])
 
-    found = rows.select("id", "label", "role", "text").mapInArrow(known, "id bigint, label int, role int, counts binary").collect()
-    sample = [(row.id, row.label, row.role, pickle.loads(row.counts)) for row in found]
-    index = build_index([(i, label, counts) for i, label, role, counts in sample if role == 0], terms)
-    rest = sorted((x for x in sample if x[2] == 1), key=lambda x: x[0])
-    if len({x[1] for x in rest}) < 2:  # too few rows to set any aside
-        rest = sorted(sample, key=lambda x: x[0])
-    votes = np.array([_vote_of(index, counts)[0] for _, _, _, counts in rest])
-    return Model(index, calibrate(votes, np.array([x[1] for x in rest], float)))
+    calibrating = rows.where("role = 1")
+    if calibrating.select("label").distinct().count() < 2:  # too few rows to set any aside
+        calibrating = rows
+    rest = calibrating.select("label", "text").mapInArrow(voted, "label int, vote double").collect()
+    return Model(index, calibrate(np.array([row.vote for row in rest], float), np.array([row.label for row in rest], float)), path)
 
 
-def _vote_of(index: Index, counts: dict[int, int]) -> tuple[float, list]:
-    if not counts or not len(index.ids):
+def _vote_of(index: Index, counts: Bag) -> tuple[float, list]:
+    if not len(counts[0]) or not len(index.ids):
         return -1.0, []
     places, cosines = nearest(index, *_weighted(counts, index.idf))
     return vote(index.labels[places], cosines), [index.ids[p] for p in places[:EVIDENCE].tolist()]
@@ -284,14 +330,14 @@ OUT = "doc_id bigint, score double, predicted int, evidence array<bigint>"
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 from ``threshold`` on), evidence (ids of the nearest examples) of every whole text; null is empty."""
     prepare(docs.sparkSession)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * PER_CLASS examples of MAX_TERMS terms
+    path, calibration = model.path, model.calibration
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shipped.value
-        scorer = Scorer(held.index.terms)
+        held = _loaded(path)
+        scorer = Scorer(held.terms)
         for batch in batches:
-            found = [_vote_of(held.index, scorer.counts(text)) for text in batch.column("text").to_pylist()]
-            scores = held.calibration.score(np.array([v for v, _ in found], float))
+            found = [_vote_of(held, scorer.counts(text)) for text in batch.column("text").to_pylist()]
+            scores = calibration.score(np.array([v for v, _ in found], float))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -308,14 +354,14 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the texts scored at ``threshold`` or more: decided row by row, so all columns and repeated rows stay whole."""
-    spark = prepare(docs.sparkSession)
-    shipped = spark.sparkContext.broadcast(model)
+    prepare(docs.sparkSession)
+    path, calibration = model.path, model.calibration
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shipped.value
-        scorer = Scorer(held.index.terms)
+        held = _loaded(path)
+        scorer = Scorer(held.terms)
         for batch in batches:
-            votes = [_vote_of(held.index, scorer.counts(text or ""))[0] for text in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array(held.calibration.score(np.array(votes, float)) < threshold))
+            votes = [_vote_of(held, scorer.counts(text or ""))[0] for text in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(calibration.score(np.array(votes, float)) < threshold))
 
     return docs.mapInArrow(keep, docs.schema)
