@@ -170,6 +170,16 @@ def test_rare_words_are_terms(frame):
     assert all(got[i].evidence[0] % 4 == 0 for i in range(600, 800, 4))
 
 
+@pytest.mark.parametrize("toxic", [20, 40, 120])  # of 4000: 0.5, 1 and 3 %
+def test_rare_label_keeps_its_rate(toxic):
+    rng = np.random.default_rng(2)
+    labels = np.repeat([1.0, 0.0], [toxic, 4000 - toxic])
+    votes = np.where(labels == 1, rng.uniform(0.7, 1, 4000), rng.uniform(0, 0.5, 4000) * (rng.random(4000) < 0.3))
+    curve = toxicity.calibrate(votes, labels)
+    scores = curve.score(np.array([0.0, 0.2, 0.49, 0.72, 0.85, 1.0]))
+    assert (scores[:3] < 0.05).all() and (scores[3:] > 0.8).all() and (np.diff(scores) >= 0).all()
+
+
 # --- language ------------------------------------------------------------------------------
 
 

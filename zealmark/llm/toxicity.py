@@ -181,23 +181,24 @@ class Calibration(NamedTuple):
         return np.where(votes < 0, self.none, np.interp(votes, self.votes, self.rates))
 
 
-def calibrate(votes: np.ndarray, labels: np.ndarray, bins: int = 20) -> Calibration:
-    """Monotone fit of label rates to votes: bins of like size, pooled wherever a rate would fall (pool adjacent violators)."""
+def calibrate(votes: np.ndarray, labels: np.ndarray) -> Calibration:
+    """Monotone fit of label rates to distinct votes, pooled wherever a rate would fall (pool adjacent violators).
+
+    A pool's rate holds from its least to its greatest vote, so a few rows of a
+    rare label at the top keep their own rate however many other rows there are.
+    """
     none = votes < 0
     prior = (labels.sum() + 0.5) / (len(labels) + 1)
     none_rate = (labels[none].sum() + prior) / (none.sum() + 1)
-    order = np.argsort(votes[~none], kind="stable")
-    v, y = votes[~none][order], labels[~none][order]
-    pooled: list[list[float]] = []  # sum of votes, sum of labels, number
-    for part_v, part_y in zip(np.array_split(v, min(bins, max(1, len(v)))), np.array_split(y, min(bins, max(1, len(v)))), strict=True):
-        if len(part_v):
-            pooled.append([part_v.sum(), part_y.sum(), len(part_v)])
-            while len(pooled) > 1 and pooled[-2][1] / pooled[-2][2] >= pooled[-1][1] / pooled[-1][2]:
-                last = pooled.pop()
-                pooled[-1] = [a + b for a, b in zip(pooled[-1], last, strict=True)]
-    return Calibration(
-        np.array([p[0] / p[2] for p in pooled]), np.array([(p[1] + prior) / (p[2] + 1) for p in pooled]), float(none_rate)
-    )
+    distinct, at = np.unique(np.round(votes[~none], 9), return_inverse=True)
+    pooled: list[list[float]] = []  # sum of labels, number, least and greatest vote
+    for vote, y, n in zip(distinct, np.bincount(at, labels[~none], len(distinct)), np.bincount(at, minlength=len(distinct)), strict=True):
+        pooled.append([y, n, vote, vote])
+        while len(pooled) > 1 and pooled[-2][0] / pooled[-2][1] >= pooled[-1][0] / pooled[-1][1]:
+            y, n, _, high = pooled.pop()
+            pooled[-1] = [pooled[-1][0] + y, pooled[-1][1] + n, pooled[-1][2], high]
+    rates = np.maximum.accumulate([(y + prior) / (n + 1) for y, n, _, _ in pooled])  # a small pool is drawn to the prior
+    return Calibration(np.array([v for p in pooled for v in p[2:]]), np.repeat(rates, 2), float(none_rate))
 
 
 class Scorer:
