@@ -104,3 +104,16 @@ def test_late_rows_are_counted(frame, spark):
         run_available(file_stream(spark, folder, df.schema), out, marks, bookmark_counts)
     days = sorted(r.created.day for r in spark.read.parquet(out).collect())
     assert days == [1, 20, 21]
+
+
+def test_batch_delivered_again_is_replaced(frame, spark, collected):
+    from zealmark.session import scratch_path
+    from zealmark.streaming.loads import file_stream, replace_available
+
+    folder, out, marks = (scratch_path(spark, n) for n in ("facts", "table", "marks"))
+    schema = "batch_id bigint, event_id bigint, metadata string"
+    for rows in ([(1, 10, "a"), (1, 11, "a"), (2, 20, "a")], [(1, 10, "corrected")], [(3, 30, "a"), (2, 20, "a")]):
+        frame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        replace_available(file_stream(spark, folder, schema), out, marks)
+    kept = collected(spark.read.schema(schema).parquet(out), "batch_id", "event_id", "metadata")
+    assert kept == [(1, 10, "corrected"), (2, 20, "a"), (3, 30, "a")]

@@ -12,7 +12,7 @@ from zealmark.operators.catalog import Content
 from zealmark.operators.touchpoints import credit, item_counts
 from zealmark.schemas import enforce_schema
 from zealmark.session import scratch_path
-from zealmark.sources.state import table_exists
+from zealmark.sources.state import replace_batch, table_exists
 
 EPOCH = "epoch"
 
@@ -41,10 +41,33 @@ def _into_epoch(path: str, shape: Callable[[DataFrame], DataFrame]):
     return write
 
 
+def _into_batches(path: str, batch_col: str):
+    """Writer of a micro-batch's rows that replaces the batches they are of, so a batch delivered again stands once."""
+
+    def write(rows: DataFrame, epoch: int) -> None:
+        replace_batch(rows, path, batch_col)
+
+    return write
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str, shape: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> None:
     """Process what has arrived, then stop."""
+    _run(stream, checkpoint, _into_epoch(path, shape))
+
+
+def replace_available(stream: DataFrame, path: str, checkpoint: str, batch_col: str = "batch_id") -> None:
+    """Put what has arrived into the table at ``path``, split by batch, then stop: the newest delivery of a batch is what stays.
+
+    A micro-batch holds its batches whole, as a run takes all files that have
+    arrived; a stream with a rate limit (``maxFilesPerTrigger``) must not cut a batch.
+    Two deliveries of a batch that arrive before the same run are not told apart.
+    """
+    _run(stream, checkpoint, _into_batches(path, batch_col))
+
+
+def _run(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> None:
     query = (
-        stream.writeStream.foreachBatch(_into_epoch(path, shape))
+        stream.writeStream.foreachBatch(write)
         .outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -76,9 +99,11 @@ def read_epochs(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return spark.read.schema(schema).parquet(path) if table_exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def stream_batch_replace(stream: DataFrame) -> DataFrame:
-    """Append a stream to a table exactly once, by epoch partitions."""
-    spark = stream.sparkSession
-    path, checkpoint = scratch_path(spark, "stream-table"), scratch_path(spark, "stream-marks")
-    run_available(stream, path, checkpoint)
-    return read_epochs(spark, path, stream.schema).select(stream.columns)
+def stream_batch_replace(*deliveries: DataFrame, batch_col: str = "batch_id") -> DataFrame:
+    """Table of the newest delivery of each batch, from streams that arrive one after the other."""
+    first = deliveries[0]
+    spark = first.sparkSession
+    path = scratch_path(spark, "stream-table")
+    for stream in deliveries:
+        replace_available(stream, path, scratch_path(spark, "stream-marks"), batch_col)
+    return read_epochs(spark, path, first.schema).select(first.columns)
