@@ -97,6 +97,12 @@ def stage_all(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
         return {name: job.result() for name, job in zip(frames, done)}
 
 
+def discard(spark: SparkSession, name: str) -> None:
+    """Delete a folder under the scratch folder, once nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def job_scratch(spark: SparkSession) -> Iterator[None]:
     """Delete what the job inside has staged, once its own tables are written; other jobs of the process keep theirs."""
@@ -107,5 +113,4 @@ def job_scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         _JOB_PATHS.reset(token)
         for name in paths:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            discard(spark, name)
