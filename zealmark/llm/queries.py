@@ -16,6 +16,9 @@ from zealmark.llm.jaccard_join import near_duplicates
 from zealmark.llm.language import identify_language, learn_languages
 from zealmark.llm.main_text import extract_main_text
 from zealmark.llm.mixture import mix_sources
+from zealmark.llm.quality_rules import judge_quality
+from zealmark.llm.sharded_lloyd import cluster_vectors
+from zealmark.llm.spelling import group_spellings
 from zealmark.llm.token_files import tokenize_corpus
 from zealmark.llm.toxicity import learn_toxicity, score_toxicity
 from zealmark.llm.warc import archive_pages
@@ -71,6 +74,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(spark, table(spark, sf_dir, "pages"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(table(spark, sf_dir, "documents"))
+
+
+def op13_sharded_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_main_text,
@@ -83,6 +98,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_token_files,
         op9_jaccard_join,
         op10_warc,
+        op11_quality_rules,
+        op12_spelling,
+        op13_sharded_lloyd,
     )
     return {query.__name__: query for query in found}
 
@@ -125,6 +143,71 @@ SELECT page_id, payload_bytes,
 FROM b
 """
 
+QUALITY = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM t),
+win AS (SELECT r, i, list_slice(words, i, i + 7) AS win FROM w, unnest(range(1, len(words) - 6)) AS u(i)),
+again AS (SELECT r, win FROM win GROUP BY r, win HAVING count(*) > 1),
+rep AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM win JOIN again USING (r, win), unnest(range(0, 8)) AS u(k) GROUP BY r),
+f AS (SELECT w.*, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) AS n_lines,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (r)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed
+  OR word_chars < 3 * n_words OR word_chars > 10 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
+  OR 10 * len(list_filter(words, lambda x: NOT regexp_matches(x, '\p{L}'))) > 2 * n_words
+  OR 2 * len(regexp_extract_all(text, '\p{Lu}')) > len(regexp_extract_all(text, '\p{L}'))
+  OR 5 * len(list_filter(range(1, len(words)), lambda i: words[i] = words[i + 1])) > n_words
+  OR 10 * len(list_filter(lines, lambda l: regexp_matches(l, '(\.\.\.|…)[\x20\x09-\x0D]*\z'))) > 3 * n_lines
+  OR 10 * len(list_filter(lines, lambda l: regexp_matches(l, '\A[\x20\x09-\x0D]*[-*•●][\x20\x09-\x0D]'))) > 9 * n_lines
+  OR contains(lower(text), 'lorem ipsum')) AS kept FROM b
+"""
+SPELLINGS = """
+WITH RECURSIVE t AS (SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{C0}-\\x{FF}]+')) AS run FROM documents),
+each AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(cast(doc_id AS varchar), '') || ':' || run)) AS hex FROM runs GROUP BY ALL),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, len(hex) // 2), lambda i: CAST('0x' || substr(hex, 2 * i + 1, 2) AS bigint))),
+  lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]))) AS h FROM each, t),
+kept AS (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS bigint) AS n FROM kept WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+d AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM v, unnest(range(0, length(word))) AS u(i)),
+near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT v.word, d.word, d.n FROM v JOIN d ON d.rest = v.word UNION SELECT d.word, v.word, v.n FROM v JOIN d ON d.rest = v.word),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, encode(near)) AS top, max(near_n) AS top_n FROM near GROUP BY word),
+form AS MATERIALIZED (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 2 * n THEN top END AS form, CASE WHEN top_n >= 2 * n THEN top_n END AS form_n FROM v LEFT JOIN best USING (word)),
+walk(word, here) AS (SELECT word, word FROM form UNION ALL SELECT walk.word, form.form FROM walk JOIN form ON walk.here = form.word WHERE form.form IS NOT NULL),
+ends AS (SELECT walk.word, walk.here AS root FROM walk JOIN form ON walk.here = form.word WHERE form.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM form JOIN ends USING (word)
+"""
+
+
+def clusters(k: int = 8, rounds: int = 10, dims: int = 64, seed: int = 3) -> str:
+    """Lloyd's rounds written out one after the other, in whole numbers."""
+    whole = f"len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    parts = [
+        f"x AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS double)) AS bigint)) AS v FROM embeddings WHERE {whole})",
+        "f AS MATERIALIZED (SELECT r, i, v[i] AS x FROM x, unnest(range(1, len(v) + 1)) AS u(i))",
+        f"first AS (SELECT v, row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(cast(vec_id AS varchar), '')), v) - 1 AS c FROM x QUALIFY c < {k})",
+        "c0 AS MATERIALIZED (SELECT c, i, v[i] AS x FROM first, unnest(range(1, len(v) + 1)) AS u(i))",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"d{n} AS (SELECT r, c, CAST(sum((f.x - c{n}.x) * (f.x - c{n}.x)) AS bigint) AS d FROM f JOIN c{n} USING (i) GROUP BY r, c)")
+        parts.append(f"a{n} AS MATERIALIZED (SELECT r, c, d FROM d{n} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)")
+        if n < rounds:
+            parts.append(f"s{n} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM a{n} JOIN f USING (r) GROUP BY c, i)")
+            parts.append(f"c{n + 1} AS MATERIALIZED (SELECT c, i, coalesce(CAST((s - ((s % n) + n) % n) // n AS bigint), x) AS x FROM c{n} LEFT JOIN s{n} USING (c, i))")
+    parts.append(f"h AS (SELECT c, sha256(string_agg(cast(x AS varchar), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)")
+    return "WITH " + ",\n".join(parts) + (
+        "\nSELECT vec_id, CAST(c AS integer) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS bigint) AS cluster_inertia, CAST(sum(d) OVER () AS bigint) AS inertia, centroid_sha256"
+        f" FROM a{rounds} JOIN x USING (r) JOIN h USING (c)"
+    )
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontaminate": WINDOW_HITS, "op9_jaccard_join": SHINGLE_CLASSES, "op10_warc": ARCHIVE}
+    return {
+        "op7_decontaminate": WINDOW_HITS,
+        "op9_jaccard_join": SHINGLE_CLASSES,
+        "op10_warc": ARCHIVE,
+        "op11_quality_rules": QUALITY,
+        "op12_spelling": SPELLINGS,
+        "op13_sharded_lloyd": clusters(),
+    }
