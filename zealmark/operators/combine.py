@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zealmark.functions.columns import hours_before
+from zealmark.operators.hot_keys import count_hot, split_outer_join
 from zealmark.schemas import DWELL_METRICS, METRICS, enforce_schema
+from zealmark.session import stage
 
 KEYS = ("application_id", "global_user_id", "created", "session_track", "itemid", "filterid", "session_name")
 # how a person, item and track are matched: upper and lower case are the same
@@ -73,6 +75,7 @@ def combine(
     carried: Sequence[str],
     how: str = "full",
     summed: Sequence[str] = (),
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Join ``right``'s metric to ``left`` by person, item and track.
 
@@ -86,26 +89,29 @@ def combine(
 
     The result keeps lowercase match columns and is laid out by them, so a chain
     of these joins shuffles each side once per stage.
+
+    With ``hot_rows`` keys of more rows than that on a side are split over many
+    tasks (``hot_keys``); both sides are then read more than once and should be stored.
     """
     either = [f"coalesce(a.{k}, b.{k}) as {k}" for k in (*KEYS[1:], "_app", "_user", "_track") if k != "created"]
-    joined = (
-        _matchable(left)
-        .alias("a")
-        .join(_matchable(right).alias("b"), F.expr(" and ".join(f"a.{k} = b.{k}" for k in MATCH)), how)
-        .selectExpr(
-            "coalesce(a.application_id, lower(b.application_id)) as application_id",
-            *either,
-            "least(a.created, b.created) as created",
-            *[f"a.{c}" for c in (*carried, *summed)],
-            f"b.{metric}",
-        )
-    )
-    # grouping by a superset of the match columns needs no further shuffle, nor does the next stage's left side
-    return (
-        joined.repartition(*MATCH)
-        .groupBy(*KEYS, "_app", "_user", "_track", *carried)
-        .agg(*[total(c) for c in (*summed, metric)])
+    sides = _matchable(left), _matchable(right)
+    hot = None if hot_rows is None else count_hot(*sides, MATCH, hot_rows)
+    crowded = hot is not None and not hot.isEmpty()
+    if crowded:
+        pairs = split_outer_join(*sides, MATCH, how, hot_rows, hot)
+    else:
+        pairs = sides[0].alias("a").join(sides[1].alias("b"), F.expr(" and ".join(f"a.{k} = b.{k}" for k in MATCH)), how)
+    joined = pairs.selectExpr(
+        "coalesce(a.application_id, lower(b.application_id)) as application_id",
+        *either,
+        "least(a.created, b.created) as created",
+        *[f"a.{c}" for c in (*carried, *summed)],
+        f"b.{metric}",
     )
+    # grouping by a superset of the match columns needs no further shuffle, nor does the next stage's left side;
+    # the rows of a hot key are added up where they are and then dealt by all columns of their group
+    laid_out = joined if crowded else joined.repartition(*MATCH)
+    return laid_out.groupBy(*KEYS, "_app", "_user", "_track", *carried).agg(*[total(c) for c in (*summed, metric)])
 
 
 def combine_stages(
@@ -115,12 +121,14 @@ def combine_stages(
     upto: int = 6,
     min_views: int = 2,
     last_join: str = "left",
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Stages 1..``upto`` of the combine over the rows of the last ``lookback_hours``.
 
     ``extracts`` holds bookmarks, checkins, speaker_bookmarks, speaker_views,
     speaker_dwell, views and session_dwell. The time filter sits before each
-    join, because it cannot be pushed through an outer join.
+    join, because it cannot be pushed through an outer join.  With ``hot_rows``
+    each stage is stored and the next one splits the keys that have grown hot.
     """
     cut = hours_before(as_of, lookback_hours)
     out = touchpoint(extracts["bookmarks"], "num_bookmarks", "num_bookmarks", cut)
@@ -130,7 +138,9 @@ def combine_stages(
         right = touchpoint(extracts[step.source], step.value, step.metric, cut, least)
         how = last_join if place == len(STAGES) - 1 else step.how
         summed = ("num_bookmarks",) if place == 0 else ()
-        out = combine(out, right, step.metric, carried, how, summed)
+        out = combine(out, right, step.metric, carried, how, summed, hot_rows)
+        if hot_rows is not None and place + 1 < upto:
+            out = stage(out, f"combine-{place + 1}")
         carried = list(METRICS[: place + 2])
     return enforce_schema(out, f"combine_{upto}")
 

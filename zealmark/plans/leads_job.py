@@ -12,6 +12,7 @@ from zealmark.operators import dwell as dw
 from zealmark.operators import touchpoints as tp
 from zealmark.operators.catalog import Content, Dims, content
 from zealmark.operators.combine import STAGES, combine, stamp_actions, touchpoint
+from zealmark.operators.hot_keys import HOT_ROWS
 from zealmark.operators.leads import leads
 from zealmark.operators.scoring import lead_scores
 from zealmark.schemas import METRICS, TABLES, enforce_schema
@@ -163,7 +164,7 @@ class LeadsJob:
             table = f"combine_{place + 1}"
             carried = METRICS[: place + 1] if place else ()
             summed = () if place else ("num_bookmarks",)
-            combined = enforce_schema(combine(out, right, step.metric, carried, step.how, summed), table)
+            combined = enforce_schema(combine(out, right, step.metric, carried, step.how, summed, HOT_ROWS), table)
             state.replace_window(self.spark, self.path(table), combined, "created", cut)
             out = self.table(table, cut)
 

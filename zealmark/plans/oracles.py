@@ -537,6 +537,7 @@ def oracle_sql() -> dict[str, str]:
     full = combine_sql(720, prefix="f")
     full["f6"] = full["f6"].replace("left join", "full join")
     out["combine_6_full"] = statement("from f6", x, full)
+    out["combine_6_split"] = out["combine_6_full"]
     single = combine_sql(72, prefix="o", min_views=1)
     out["combine_6_single_views"] = statement("from o6", x, single)
     for name, how in (("combine_summed_6", "left"), ("combine_summed_full", "full")):

@@ -308,6 +308,12 @@ for _upto in range(1, 7):
     _combine_query(_upto)
 
 
+@query
+def combine_6_split(p: Platform) -> DataFrame:
+    """All stages; keys of more than eight rows on a side are split."""
+    return combine_stages(stored_extracts(p), AS_OF, DENSE, last_join="full", hot_rows=8)
+
+
 @query
 def combine_6_recent(p: Platform) -> DataFrame:
     return combine_stages(stored_extracts(p), AS_OF, RECENT)
