@@ -18,6 +18,7 @@ from zealmark.operators.scoring import lead_scores
 from zealmark.schemas import METRICS, TABLES, enforce_schema
 from zealmark.session import job_scratch, stage_all
 from zealmark.sources import state
+from zealmark.sources.versions import VersionedTable
 
 
 @dataclass
@@ -78,31 +79,38 @@ TARGETS = {
 }
 
 
-# tables split by day
-DATED = {*(table for table, _ in TARGETS.values()), *(f"combine_{place + 1}" for place in range(len(STAGES)))}
+# how each table is split; those with a day are split by the day of ``created`` as well
+SPLIT: dict[str, tuple[tuple[str, ...], str | None]] = {
+    **{table: ((batch,) if batch else (), "created") for table, batch in TARGETS.values()},
+    **{f"combine_{place + 1}": ((), "created") for place in range(len(STAGES))},
+    **{table: (("batchid",), None) for table in ("actions_stag", "scores", "leads")},
+}
 
 
 class LeadsJob:
     """Incremental lead run over tables under ``root``, a folder all executors share.
 
-    Every write is by batch or by time window, and marks are advanced after the
-    tables they describe, so a run that failed half-way is simply run again.
+    Every write replaces batches or a time window in one step (``versions``), and
+    marks are advanced after the tables they describe, so a run that failed
+    half-way is simply run again; it gets an id of its own.
     """
 
     def __init__(self, spark: SparkSession, src: Sources, root: str, bootstrap: bool = True):
         self.spark, self.src, self.root, self.bootstrap = spark, src, root.rstrip("/"), bootstrap
         self.marks = state.Marks(spark, f"{self.root}/run_marks")
 
-    def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
+    def stored(self, name: str) -> VersionedTable:
+        parts, day_of = SPLIT[name]
+        return VersionedTable(self.spark, f"{self.root}/{name}", parts, day_of)
 
     def table(self, name: str, after: datetime | None = None) -> DataFrame:
         """Table as written so far, or its rows after a time; empty before its first load."""
-        if not state.table_exists(self.spark, self.path(name)):
-            return self.spark.createDataFrame([], TABLES[name])
-        if name in DATED:
-            return state.read_dated(self.spark, self.path(name), TABLES[name], after)
-        return enforce_schema(self.spark.read.schema(TABLES[name]).parquet(self.path(name)), name)
+        return self.stored(name).read_after(TABLES[name], after)
+
+    def vacuum(self, keep: int = 3) -> None:
+        """Delete what the newest ``keep`` versions of no table hold; for times without a run."""
+        for name in SPLIT:
+            self.stored(name).vacuum(keep)
 
     def _new_facts(self) -> tuple[Sources, dict[str, int]]:
         """Facts after the marks, bounded by what is there now, so that late writers wait for the next run."""
@@ -131,7 +139,7 @@ class LeadsJob:
     def _checkins_seen(self) -> datetime | None:
         """Time of the newest check-in that is loaded."""
         name = "sessions_checkins_status"
-        newest_day = state.last_day(self.spark, self.path(name))
+        newest_day = self.stored(name).last_day()
         if newest_day is None:
             return None
         return state.high_water(self.table(name, newest_day - timedelta(microseconds=1)), "created")
@@ -142,9 +150,9 @@ class LeadsJob:
         batches = sorted(set().union(*map(self._batches, (fresh.actions, fresh.views, fresh.session_events))))
         for name, (table, batch) in TARGETS.items():
             if batch:
-                state.replace_batch(enforce_schema(built[name], table), self.path(table), batch, "created", batches)
+                self.stored(table).replace_batches(enforce_schema(built[name], table), batches)
         seen = self._checkins_seen() or datetime(1970, 1, 1)
-        state.replace_window(self.spark, self.path("sessions_checkins_status"), built["checkins"], "created", seen)
+        self.stored("sessions_checkins_status").replace_window(built["checkins"], seen)
         self.marks.advance(**now)
 
     @staticmethod
@@ -165,30 +173,30 @@ class LeadsJob:
             carried = METRICS[: place + 1] if place else ()
             summed = () if place else ("num_bookmarks",)
             combined = enforce_schema(combine(out, right, step.metric, carried, step.how, summed, HOT_ROWS), table)
-            state.replace_window(self.spark, self.path(table), combined, "created", cut)
+            self.stored(table).replace_window(combined, cut)
             out = self.table(table, cut)
 
-    def score(self, as_of: str | datetime, lookback_hours: float = 72, zero_range: str = "reference") -> int:
+    def score(self, as_of: str | datetime, lookback_hours: float = 72, zero_range: str = "reference", run: int | None = None) -> int:
         """Stamp, score and enrich one batch; running it again replaces the batch."""
-        run = self.marks.next_run()
+        run = self.marks.next_run() if run is None else run
         recent = self.table("combine_6", parse_as_of(as_of) - timedelta(hours=lookback_hours))
         actions = stamp_actions(recent, run, as_of, lookback_hours)
-        state.replace_batch(actions, self.path("actions_stag"), batches=[run])
+        self.stored("actions_stag").replace_batches(actions, [run])
         batch = self.table("actions_stag").filter(f"batchid = {run}")
         if batch.isEmpty():  # what an earlier attempt of this run wrote goes as well
             for table in ("scores", "leads"):
-                state.drop_batches(self.spark, self.path(table), [run])
+                self.stored(table).drop_batches([run])
             return run
-        state.replace_batch(lead_scores(batch, zero_range), self.path("scores"), batches=[run])
+        self.stored("scores").replace_batches(lead_scores(batch, zero_range), [run])
         scored = self.table("scores").filter(f"batchid = {run}")
         people = leads(scored, self.src.details, self.src.applications, latest_only=False)
-        state.replace_batch(people, self.path("leads"), batches=[run])
+        self.stored("leads").replace_batches(people, [run])
         return run
 
     def run(self, as_of: str | datetime, lookback_hours: float = 72) -> int:
         with job_scratch(self.spark):
             self.load_touchpoints()
             self.combine(as_of, lookback_hours)
-            run = self.score(as_of, lookback_hours)
-            self.marks.advance(run=run + 1)  # last: a failed run repeats its id
+            run = self.score(as_of, lookback_hours, run=self.marks.claim_run())
+            self.marks.advance(run=run + 1)
         return run

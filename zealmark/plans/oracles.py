@@ -519,6 +519,9 @@ def oracle_sql() -> dict[str, str]:
         f"""from ({bookmarks_sql("and e.batch_id <= 15", "(select * from session_tracks where track_id is not null)")})
             union all by name from ({bookmarks_sql("and e.batch_id > 15")})"""
     )
+    # a replace that was not put in place leaves the old rows
+    out["rolling_replace_cut_short"] = statement("from e1", x, early)
+    out["batch_replace_cut_short"] = out["sessions_bookmarked_inner"]
     out["csv_roundtrip"] = statement(
         "select vec_id, round(svd_social, 6) as svd_social, round(svd_content, 6) as svd_content from score_pairs"
     )

@@ -26,6 +26,7 @@ from zealmark.schemas import METRICS, TABLES, enforce_schema
 from zealmark.session import scratch_path, stage, stage_all, tune
 from zealmark.sources import state, tables
 from zealmark.sources.fixtures import AS_OF, SCHEMAS, Platform
+from zealmark.sources.versions import VersionedTable
 from zealmark.streaming import loads
 
 DENSE, RECENT = 720, 72  # hours looked back
@@ -204,7 +205,7 @@ def run_counter(p: Platform) -> DataFrame:
     marks = state.Marks(p.spark, scratch_path(p.spark, "runs"))
     path = scratch_path(p.spark, "stamped")
     for _ in range(2):
-        run = marks.next_run()
+        run = marks.claim_run()
         extract = tp.bookmarks(p.fact_actions_live, about(p))
         state.replace_batch(extract.withColumn("batchid", F.lit(run).cast("bigint")), path)
         marks.advance(run=run + 1)
@@ -212,31 +213,56 @@ def run_counter(p: Platform) -> DataFrame:
     return stamped.groupBy("batchid").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query
-def rolling_replace(p: Platform) -> DataFrame:
-    """Combined bookmarks and check-ins of two days ago with the last 72 hours recomputed, twice."""
+def _rolling(p: Platform, finish: bool) -> DataFrame:
+    """Combined bookmarks and check-ins of two days ago with the last 72 hours recomputed, twice; the last time put in place or not."""
     facts = stored_extracts(p, 1)
     early = combine_stages(facts, "2024-01-29 00:00:00", DENSE, upto=1)
     late = combine_stages(facts, AS_OF, RECENT, upto=1)
-    path = scratch_path(p.spark, "combine_1")
-    state.replace_window(p.spark, path, early, "created", datetime(1970, 1, 1))
+    table = VersionedTable(p.spark, scratch_path(p.spark, "combine_1"), (), "created")
+    table.replace_window(early, datetime(1970, 1, 1))
     cut = parse_as_of(AS_OF) - timedelta(hours=RECENT)
-    for _ in range(2):
-        state.replace_window(p.spark, path, late, "created", cut)
-    return state.read_dated(p.spark, path, TABLES["combine_1"])
+    prepared = table.prepare_window(late, cut)
+    if finish:
+        table.commit(prepared)
+        table.replace_window(late, cut)
+    return table.read(TABLES["combine_1"])
+
+
+@query
+def rolling_replace(p: Platform) -> DataFrame:
+    return _rolling(p, True)
+
+
+@query
+def rolling_replace_cut_short(p: Platform) -> DataFrame:
+    """A window replace that ended before its version was put in place: the old rows, whole."""
+    return _rolling(p, False)
+
+
+def _batches_table(p: Platform) -> VersionedTable:
+    """Bookmarks loaded without trackless sessions."""
+    table = VersionedTable(p.spark, scratch_path(p.spark, "sessions_bookmarked"), ["batchid"], "created")
+    table.replace_batches(tp.bookmarks(p.fact_actions_live, about(p, "inner")))
+    return table
 
 
 @query
 def batch_replace(p: Platform) -> DataFrame:
     """Bookmarks loaded without trackless sessions, then later batches replaced with all sessions, twice."""
-    path = scratch_path(p.spark, "sessions_bookmarked")
-    state.replace_batch(tp.bookmarks(p.fact_actions_live, about(p, "inner")), path)
+    table = _batches_table(p)
     again = tp.bookmarks(p.fact_actions_live.filter(F.col("batch_id") > 15), about(p))
     for _ in range(2):
-        state.replace_batch(again, path)
-    return enforce_schema(
-        p.spark.read.schema(TABLES["sessions_bookmarked"]).parquet(path), "sessions_bookmarked"
-    )
+        table.replace_batches(again)
+    table.vacuum(1)
+    return table.read(TABLES["sessions_bookmarked"])
+
+
+@query
+def batch_replace_cut_short(p: Platform) -> DataFrame:
+    """The same, ended before the later batches were put in place."""
+    table = _batches_table(p)
+    table.prepare(tp.bookmarks(p.fact_actions_live.filter(F.col("batch_id") > 15), about(p)), lambda values: False)
+    return table.read(TABLES["sessions_bookmarked"])
 
 
 @query

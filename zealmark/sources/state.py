@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 from datetime import datetime
 from typing import Any
@@ -11,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zealmark.functions.columns import moment
-from zealmark.schemas import TABLES
 from zealmark.session import stage
+from zealmark.sources.claims import claim, claim_next, claimed, drop_claims, read_text
+from zealmark.sources.files import filesystem, hadoop_path, partition_folders, table_exists
 
 CREATED_DATE = "created_date"
 
@@ -52,28 +55,50 @@ def current_batch(df: DataFrame, column: str = "batchid") -> DataFrame:
 
 
 class Marks:
-    """Small table of (source, mark) rows, one row per source and run; the highest row is the mark."""
+    """Marks by source, as numbered files of which the newest holds them all.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    Each change is the next number, which one writer gets; who comes second reads
+    the first one's marks and tries again, so no change is lost. Old files are deleted.
+    """
 
-    def _rows(self) -> DataFrame:
-        if not table_exists(self.spark, self.path):
-            return self.spark.createDataFrame([], TABLES["run_marks"])
-        return self.spark.read.schema(TABLES["run_marks"]).parquet(self.path)
+    KEPT = 8
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _all(self) -> tuple[int, dict[str, int]]:
+        while True:
+            newest = max(claimed(self.spark, self.path), default=0)
+            try:
+                return newest, json.loads(read_text(self.spark, self.path, newest)) if newest else {}
+            except Exception:
+                # folded meanwhile by other writers; there is a newer one then
+                if max(claimed(self.spark, self.path), default=0) == newest:
+                    raise
 
     def read(self, source: str) -> int | None:
-        return high_water(self._rows().filter(F.col("source") == source), "mark")
+        return self._all()[1].get(source)
 
     def advance(self, **marks: int) -> None:
-        """Append marks. Called after the tables they describe are written, so a failed run repeats."""
-        rows = self.spark.createDataFrame(list(marks.items()), TABLES["run_marks"])
-        rows.coalesce(1).write.mode("append").parquet(self.path)
+        """Raise marks. Called after the tables they describe are written, so a failed run repeats."""
+        while True:
+            newest, held = self._all()
+            raised = held | {source: max(mark, held.get(source, mark)) for source, mark in marks.items()}
+            if claim(self.spark, self.path, newest + 1, json.dumps(raised)):
+                drop_claims(self.spark, self.path, newest + 1 - self.KEPT)
+                return
 
     def next_run(self, source: str = "run", first: int = 1) -> int:
         """Id of the run under way; ``advance(run=id + 1)`` ends it."""
         return self.read(source) or first
 
+    def claim_run(self, source: str = "run", first: int = 1) -> int:
+        """Id for a run that begins: of runs that begin at once, each gets its own. The id of a run that failed is not given again."""
+        root = f"{self.path}/_{source}_ids"
+        run = claim_next(self.spark, root, self.next_run(source, first))
+        drop_claims(self.spark, root, run - self.KEPT)
+        return run
+
 
 # --- replaces ------------------------------------------------------------------------------
 
@@ -106,26 +131,24 @@ def replace_batch(
     parts = [batch_col]
     if ts_col:
         df, parts = df.withColumn(CREATED_DATE, F.col(ts_col).cast("date")), [batch_col, CREATED_DATE]
-    (
-        sized_files(df, *parts)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*parts)
-        .parquet(path)
-    )
-    spark = df.sparkSession
-    # one row per batch and day
-    fresh = {tuple(str(v) for v in row) for row in df.select(*parts).distinct().collect()}
-    replaced = {str(b) for b in batches} if batches is not None else {row[0] for row in fresh}
-    if not ts_col:
-        drop_batches(spark, path, sorted(replaced - {row[0] for row in fresh}), batch_col)
-        return
-    for batch in sorted(replaced):
-        folder = f"{path}/{batch_col}={batch}"
-        if table_exists(spark, folder):
-            for day, old in _days(spark, folder):
-                if (batch, day) not in fresh:
-                    _filesystem(spark, path).delete(old, True)
+    spark, fs = df.sparkSession, filesystem(df.sparkSession, path)
+    # the plan runs once; the folders that it leaves say which partitions there are
+    staging = f"{path}/_staging-{uuid.uuid4().hex}"
+    sized_files(df, *parts).write.partitionBy(*parts).parquet(staging)
+    fresh = dict(partition_folders(spark, staging, parts))
+    for values, folder in fresh.items():
+        place = hadoop_path(spark, "/".join([path, *(f"{part}={value}" for part, value in zip(parts, values))]))
+        fs.delete(place, True)
+        fs.mkdirs(place.getParent())
+        if not fs.rename(folder, place):
+            raise OSError(f"cannot move {folder}")
+    fs.delete(hadoop_path(spark, staging), True)
+    replaced = {str(b) for b in batches} if batches is not None else {values[0] for values in fresh}
+    held = {values[0] for values in fresh}
+    drop_batches(spark, path, sorted(replaced - held), batch_col)
+    for values, folder in partition_folders(spark, path, parts) if ts_col else ():
+        if values[0] in replaced and values not in fresh:
+            fs.delete(folder, True)
 
 
 def drop_batches(spark: SparkSession, path: str, batches: Sequence[int | str], batch_col: str = "batchid") -> None:
@@ -133,7 +156,7 @@ def drop_batches(spark: SparkSession, path: str, batches: Sequence[int | str], b
     for batch in batches:
         folder = f"{path}/{batch_col}={batch}"
         if table_exists(spark, folder):
-            _filesystem(spark, path).delete(_path(spark, folder), True)
+            filesystem(spark, path).delete(hadoop_path(spark, folder), True)
 
 
 def replace_window(spark: SparkSession, path: str, new: DataFrame, ts_col: str, cut: datetime) -> None:
@@ -163,7 +186,7 @@ def replace_window(spark: SparkSession, path: str, new: DataFrame, ts_col: str,
     written = {str(r[0]) for r in fresh.select(CREATED_DATE).distinct().collect()}  # one row per day after the cut
     for day, folder in _days(spark, path):
         if day >= cut.date().isoformat() and day not in written:
-            _filesystem(spark, path).delete(folder, True)
+            filesystem(spark, path).delete(folder, True)
 
 
 def read_dated(spark: SparkSession, path: str, schema: T.StructType, after: datetime | None = None, ts_col: str = "created") -> DataFrame:
@@ -175,21 +198,9 @@ def read_dated(spark: SparkSession, path: str, schema: T.StructType, after: date
     return dated.select([f.name for f in schema])
 
 
-def _path(spark: SparkSession, path: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(path)
-
-
-def _filesystem(spark: SparkSession, path: str):
-    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def table_exists(spark: SparkSession, path: str) -> bool:
-    return _filesystem(spark, path).exists(_path(spark, path))
-
-
 def _days(spark: SparkSession, path: str) -> list[tuple[str, Any]]:
     found = []
-    for status in _filesystem(spark, path).listStatus(_path(spark, path)):
+    for status in filesystem(spark, path).listStatus(hadoop_path(spark, path)):
         name = status.getPath().getName()
         if name.startswith(f"{CREATED_DATE}=2") or name.startswith(f"{CREATED_DATE}=1"):  # not the NULL partition
             found.append((name.split("=", 1)[1], status.getPath()))
