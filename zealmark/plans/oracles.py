@@ -532,7 +532,12 @@ def oracle_sql() -> dict[str, str]:
     out["sink_overwrite"] = statement("from fact_actions_live")
     out["schema_contract"] = out["sessions_viewed"]
     out["stream_bookmarks"] = out["sessions_bookmarked"]
+    out["stream_bookmarks_redelivered"] = out["sessions_bookmarked"]
     out["stream_batch_replace"] = statement("from fact_actions_live")
+    out["stream_batch_corrected"] = statement(
+        """select * replace (case when batch_id % 5 = 0 then 'final' else session_id end as session_id)
+           from fact_actions_live where batch_id % 5 = 0 or batch_id % 2 <> 0 or identifier <> 'likeButton'"""
+    )
     # combine, scores, leads
     for place in range(1, 7):
         out[f"combine_{place}"] = statement(f"from c{place}", x, dense)

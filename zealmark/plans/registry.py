@@ -308,6 +308,29 @@ def stream_batch_replace(p: Platform) -> DataFrame:
     return loads.stream_batch_replace(facts, facts.filter(F.col("batch_id") % 2 == 0))
 
 
+@query
+def stream_bookmarks_redelivered(p: Platform) -> DataFrame:
+    """The facts twice over and their even batches a third time, each time in a feed of its own."""
+    facts = _stream(p).fact_actions_live
+    return loads.stream_bookmarks(facts, about(p), facts, facts.filter(F.col("batch_id") % 2 == 0))
+
+
+@query
+def stream_batch_corrected(p: Platform) -> DataFrame:
+    """Three deliveries of which two meet in one run: all batches, those of even number without their likes, and every fifth once more, stamped."""
+    facts, spark = p.fact_actions_live, p.spark
+    arrived, path, marks = (scratch_path(spark, name) for name in ("arrived", "stream-table", "stream-marks"))
+    even, fifth = F.col("batch_id") % 2 == 0, F.col("batch_id") % 5 == 0
+    corrected = facts.filter(even & (F.col("identifier") != "likeButton"))
+    final = facts.filter(fifth).withColumn("session_id", F.lit("final"))
+    for run in ({"0001": facts, "0002": corrected}, {"0003": final}):
+        for name, rows in run.items():
+            tables.overwrite(rows, f"{arrived}/{name}")
+        stream = loads.file_stream(spark, f"{arrived}/*", facts.schema, delivery="folder")
+        loads.replace_available(stream, path, marks, versioned=True)
+    return loads.read_batches(spark, path, facts.schema)
+
+
 class _StreamPlatform(Platform):
     """The same tables with the events arriving as a file stream."""
 
