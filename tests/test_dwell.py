@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from zealmark.operators.dwell import event_dwell, event_lag
+from zealmark.operators.ordered import CHUNK, cut_hot_groups
 
 SCHEMA = (
     "application_id string, global_user_id string, session_id string, created timestamp_ntz, identifier string, "
@@ -106,3 +107,20 @@ def test_cut_groups_give_the_same_neighbours(frame, collected):
     views = frame([e for e in events if e[4] != "session"], SCHEMA)
     other = frame([e for e in events if e[4] == "session"], SCHEMA)
     assert collected(event_lag(views, other, group_limit=9)) == collected(event_lag(views, other))
+
+
+@pytest.mark.parametrize("limit", [1, 4, 40])
+def test_one_time_is_no_limit(frame, limit):
+    """Three hundred events of one visit at one time, with ids near and far apart, and a few minutes around them."""
+    rng = random.Random(limit)
+    ids = rng.sample(range(-500, 500), 200) + [rng.randrange(-(2**62), 2**62) for _ in range(100)]
+    events = [event(no, 30, rng.choice(["item", "list"]), rng.randint(1, 3), session="s") for no in ids]
+    events += [event(10**6 + no, minute, "item", 1, session="s") for no, minute in enumerate([0, 10, 20, 40, 50])]
+    assert kept(frame, events, group_limit=limit) == _by_hand(events)
+
+
+def test_no_chunk_is_much_larger_than_the_limit(frame):
+    events = [event(no, 30 if no % 3 else no, "item", 1, session="s") for no in range(400)]
+    cut, any_cut = cut_hot_groups(frame(events, SCHEMA), ["session_id"], "created", 20, "event_id")
+    sizes = [r["count"] for r in cut.groupBy("session_id", CHUNK).count().collect()]
+    assert any_cut and sum(sizes) == 400 and max(sizes) < 40

@@ -23,7 +23,7 @@ def _timeline(views: DataFrame, session_events: DataFrame) -> DataFrame:
 
 
 def _with_previous(views: DataFrame, session_events: DataFrame, group_limit: int) -> tuple[DataFrame, bool]:
-    timeline, cut = cut_hot_groups(_timeline(views, session_events), VISIT, "created", group_limit)
+    timeline, cut = cut_hot_groups(_timeline(views, session_events), VISIT, "created", group_limit, "event_id")
     return with_previous(timeline, VISIT, ORDER, ["identifier", "itemid"], "previous", cut), cut
 
 

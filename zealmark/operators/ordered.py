@@ -1,9 +1,13 @@
 """Neighbour lookups in time order that survive a group too large for one task.
 
 A plain window sorts each group in one task. Groups above ``limit`` rows are cut
-into consecutive chunks of about ``limit`` rows on minute borders; the window
-then runs per (group, chunk), and one boundary row per chunk carries the
-neighbour across the cut. The results are the same as without cutting.
+into consecutive chunks of about ``limit`` rows; the window then runs per (group,
+chunk), and one boundary row per chunk carries the neighbour across the cut. The
+results are the same as without cutting.
+
+Borders are found by counting, coarse first: rows per minute, and of a minute that
+alone exceeds the limit per second, millisecond, microsecond and then by digits of the
+row's id, so that only rows that agree in time and id share a chunk without bound.
 """
 
 from __future__ import annotations
@@ -26,8 +30,16 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return condition
 
 
-def _minute(ts: str) -> Column:
-    return F.floor(micros_between(moment("1970-01-01 00:00:00"), F.col(ts)) / 60e6)
+def _digits(ts: str, tie: str | None) -> list[Column]:
+    """The order by (``ts``, ``tie``) as digits, coarse first; a NULL comes first, as it does in a window."""
+    micros = micros_between(moment("1970-01-01 00:00:00"), F.col(ts))
+    within = F.pmod(micros, F.lit(60_000_000))
+    digits = [F.floor(micros / 60e6), F.floor(within / 1e6), F.pmod(F.floor(within / 1e3), F.lit(1000)), F.pmod(within, F.lit(1000))]
+    if tie is not None:
+        # signed order as unsigned: the sign bit is turned over
+        unsigned = F.col(tie).cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))
+        digits += [F.shiftrightunsigned(unsigned, shift).bitwiseAND(F.lit(0xFFFF)) for shift in (48, 32, 16, 0)]
+    return [F.coalesce(digit.cast("bigint"), F.lit(-(1 << 62))) for digit in digits]
 
 
 def attach(df: DataFrame, side: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -39,29 +51,43 @@ def attach(df: DataFrame, side: DataFrame, keys: list[str], values: list[str]) -
     return df.join(side, condition, "left").drop(*[f"_k_{k}" for k in keys])
 
 
-def cut_hot_groups(df: DataFrame, keys: list[str], ts: str, limit: int = GROUP_LIMIT) -> tuple[DataFrame, bool]:
+def cut_hot_groups(df: DataFrame, keys: list[str], ts: str, limit: int = GROUP_LIMIT, tie: str | None = None) -> tuple[DataFrame, bool]:
     """Add the chunk number: NULL for an ordinary group. Returns (frame, whether any group was cut).
 
-    Counting the groups costs one pass with partial aggregation. The chunk map
-    holds one row per minute of a hot group and is staged, so every later use
-    sees the same borders, also after a retry.
+    ``tie`` is the whole-number column that orders rows of equal ``ts``. Counting the groups costs one pass
+    with partial aggregation. The chunk map holds one row per minute of a hot group, and for each cell
+    above the limit (at most rows / limit of them) what it is made of on the next level. It is staged, so every
+    later use sees the same borders, also after a retry. A chunk has less than twice ``limit`` rows.
     """
     hot = df.groupBy(*keys).count().filter(F.col("count") > limit).drop("count")
     if hot.isEmpty():
         return df.withColumn(CHUNK, F.lit(None).cast("bigint")), False
-    hot = stage(hot, "hot-groups")  # at most rows / limit of them, and their size is known from here on
-    timed = df.withColumn("_minute", _minute(ts))
-    per_minute = (
-        timed.join(hot, _same(timed, hot, keys), "left_semi").groupBy(*keys, "_minute").agg(F.count(F.lit(1)).alias("n"))
-    )
-    before = Window.partitionBy(*keys).orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = stage(
-        per_minute.select(
-            *keys, "_minute", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / limit).alias(CHUNK)
-        ),
-        "chunks",
-    )
-    return attach(timed, chunks, [*keys, "_minute"], [CHUNK]).drop("_minute"), True
+    crowded = stage(hot, "hot-groups")  # at most rows / limit of them, and their size is known from here on
+    digits = {f"_digit{n}": digit for n, digit in enumerate(_digits(ts, tie))}
+    timed, names = df.withColumns(digits), list(digits)
+    cells: list[DataFrame] = []
+    for level, name in enumerate(names):
+        path = [*keys, *names[:level]]
+        counted = timed.join(crowded, _same(timed, crowded, path), "left_semi").groupBy(*path, name).agg(F.count(F.lit(1)).alias("n"))
+        counted = stage(counted.withColumn("_level", F.lit(level)), "cells")
+        above = counted.filter(F.col("n") > limit)
+        last = level + 1 == len(names) or above.isEmpty()
+        cells.append(counted if last else counted.filter(F.col("n") <= limit))
+        if last:
+            break
+        crowded = above.select(*path, name)
+    whole = cells[0]
+    for finer in cells[1:]:
+        whole = whole.unionByName(finer, allowMissingColumns=True)
+    used = names[: len(cells)]
+    before = Window.partitionBy(*keys).orderBy(*used).rowsBetween(Window.unboundedPreceding, -1)
+    chunk = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / limit)
+    chunks = stage(whole.select(*keys, *used, "_level", chunk.alias(CHUNK)), "chunks")
+    for level in range(len(cells)):
+        side = chunks.filter(F.col("_level") == level).withColumnRenamed(CHUNK, f"_chunk{level}")
+        timed = attach(timed, side, [*keys, *used[: level + 1]], [f"_chunk{level}"])
+    found = [f"_chunk{level}" for level in range(len(cells))]
+    return timed.withColumn(CHUNK, F.coalesce(*found)).drop(*names, *found), True
 
 
 def _across(df: DataFrame, keys: list[str], edge: Column, name: str, step) -> DataFrame:

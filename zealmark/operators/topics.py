@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zealmark.functions.columns import ratio
+from zealmark.functions.student import t_quantile
 from zealmark.operators.scoring import TOPIC_CUTS, grade, range_score, zero_missing
 from zealmark.schemas import METRICS, enforce_schema
 from zealmark.sources.state import current_batch
@@ -152,18 +153,39 @@ def linear_fit(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def fit_band(df: DataFrame, fit: DataFrame, x: str) -> DataFrame:
-    """Fitted value and standard error at each distinct ``x``; ``fit`` is the one row of ``linear_fit``."""
-    row = fit.first()
-    away = F.col(x) - F.lit(row["x_mean"])
+BAND_POINTS = 80
+
+
+def fit_band(fit: DataFrame, low: float, high: float, level: float = 0.95, points: int = BAND_POINTS) -> DataFrame:
+    """The fitted line at ``points`` equal steps from ``low`` to ``high``, with its standard error and the band of confidence ``level``.
+
+    ``fit`` is the one row of ``linear_fit``. With fewer than three rows, or no range, there is no band: no rows.
+    """
+    row, spark = fit.first(), fit.sparkSession
+    schema = "point int, x double, fitted double, fitted_se double, lower double, upper double"
+    if row["residual_se"] is None or not row["sxx"]:
+        return spark.createDataFrame([], schema)
+    reach = t_quantile((1 + level) / 2, row["n"] - 2)
+    x = F.lit(low) + F.lit(high - low) * F.col("point") / F.lit(points - 1)
+    away = F.col("x") - F.lit(row["x_mean"])
     return (
-        df.select(x)
-        .distinct()
-        .withColumn("fitted", F.lit(row["intercept"]) + F.lit(row["slope"]) * F.col(x))
-        .withColumn("fitted_se", F.lit(row["residual_se"]) * F.sqrt(1 / F.lit(row["n"]) + away * away / F.lit(row["sxx"])))
+        spark.range(points)
+        .select(F.col("id").cast("int").alias("point"))
+        .withColumn("x", x)
+        .withColumn("fitted", F.lit(row["intercept"]) + F.lit(row["slope"]) * F.col("x"))
+        .withColumn("fitted_se", F.lit(row["residual_se"]) * F.sqrt(1 / F.lit(float(row["n"])) + away * away / F.lit(row["sxx"])))
+        .withColumn("lower", F.col("fitted") - F.lit(reach) * F.col("fitted_se"))
+        .withColumn("upper", F.col("fitted") + F.lit(reach) * F.col("fitted_se"))
     )
 
 
+def fit_with_band(df: DataFrame, x: str, y: str, level: float = 0.95, points: int = BAND_POINTS) -> DataFrame:
+    """Line of ``y`` on ``x`` with its band over the range of ``x`` among the rows that have both. Hand over a stored frame."""
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    low, high = both.agg(F.min(x), F.max(x)).first()
+    return fit_band(linear_fit(both, x, y), low, high, level, points)
+
+
 def score_profile(pairs: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, spread and range of each score column, with the correlation of the first two."""
     per_column = F.explode(

@@ -507,6 +507,8 @@ def oracle_sql() -> dict[str, str]:
                                   where created <= timestamp '2024-01-21 00:00:00')"""
         )
     )
+    out["dwell_events_cut"] = out["dwell_events"]
+    out["event_lag_cut"] = out["event_lag"]
     out["incremental_bounded"] = statement(
         "from dwell", {"lagged": lag_sql(10), "kept": kept_sql("lagged"), "dwell": dwell_sql("kept")}
     )
@@ -612,6 +614,40 @@ def oracle_sql() -> dict[str, str]:
                         regr_avgx("precision", recall) as x_mean from validation)""",
         VALIDATION,
     )
+    # Student's t by its finite sums for whole degrees of freedom, inverted by halving
+    band = {
+        "fit": """
+            select regr_slope("precision", recall) as slope, regr_intercept("precision", recall) as intercept,
+                   regr_r2("precision", recall) as r2, cast(regr_count("precision", recall) as bigint) as n,
+                   regr_sxx("precision", recall) as sxx, regr_syy("precision", recall) as syy, regr_avgx("precision", recall) as x_mean,
+                   min(recall) as low, max(recall) as high
+            from validation where recall is not null and "precision" is not null""",
+        "terms": """
+            select n - 2 as freedom, list(k order by k) as ks, list(c order by k) as cs
+            from (select n, k, exp(sum(case when k = 0 then 0 when n % 2 = 0 then ln((2.0 * k - 1) / (2.0 * k)) else ln(2.0 * k / (2.0 * k + 1)) end)
+                                   over (order by k)) as c
+                  from fit, unnest(range(0, greatest(cast(floor((n - 2) / 2) as bigint), 1))) t(k))
+            group by n""",
+        "halving": """
+            select 0 as step, 0.0::double as low, 64.0::double as high
+            union all
+            select step + 1, case when share < 0.95 then middle else h.low end, case when share < 0.95 then h.high else middle end
+            from (select step, h.low, h.high, (h.low + h.high) / 2 as middle, atan((h.low + h.high) / 2 / sqrt(freedom)) as theta,
+                         case when freedom % 2 = 0 then sin(theta) * list_sum(list_transform(ks, lambda k: cs[k + 1] * pow(cos(theta), 2 * k)))
+                              when freedom = 1 then 2 / pi() * theta
+                              else 2 / pi() * (theta + sin(theta) * cos(theta) * list_sum(list_transform(ks, lambda k: cs[k + 1] * pow(cos(theta), 2 * k))))
+                         end as share
+                  from halving h, terms where step < 80) h""",
+    }
+    out["pr_fit_band"] = statement(
+        """select cast(i as integer) as point, round(x, 6) as x, round(fitted, 6) as fitted, round(fitted_se, 6) as fitted_se,
+                  round(fitted - t * fitted_se, 6) as lower, round(fitted + t * fitted_se, 6) as upper
+           from (select i, low + (high - low) * i / 79 as x, intercept + slope * x as fitted,
+                        sqrt(syy * (1 - r2) / (n - 2)) * sqrt(1 / n + (x - x_mean) * (x - x_mean) / sxx) as fitted_se, t
+                 from fit, unnest(range(0, 80)) u(i), (select high as t from halving order by step desc limit 1))""",
+        VALIDATION,
+        band,
+    ).replace("with ", "with recursive ", 1)
     out["score_profile"] = statement(
         """select measure, count(v) as n, round(avg(v), 6) as mean, round(stddev_samp(v), 6) as sd, round(min(v), 6) as low,
                   round(max(v), 6) as high, (select round(corr(svd_social, svd_content), 6) from score_pairs) as correlation

@@ -159,6 +159,17 @@ def dwell_events(p: Platform) -> DataFrame:
     return _steps(p)
 
 
+@query
+def dwell_events_cut(p: Platform) -> DataFrame:
+    """Dwell with visits of more than two events cut into chunks, inside a minute and inside one time where need be."""
+    return dw.event_dwell(p.fact_views_live, p.fact_sessions_live, group_limit=2)
+
+
+@query
+def event_lag_cut(p: Platform) -> DataFrame:
+    return dw.event_lag(p.fact_views_live, p.fact_sessions_live, group_limit=3)
+
+
 @query
 def sessions_timespent(p: Platform) -> DataFrame:
     return dw.session_dwell(_steps(p), about(p))
@@ -525,6 +536,11 @@ def pr_linear_fit(p: Platform) -> DataFrame:
     return to.linear_fit(to.topic_validation(*_sides(p)), "recall", "precision")
 
 
+@query
+def pr_fit_band(p: Platform) -> DataFrame:
+    return to.fit_with_band(stage(to.topic_validation(*_sides(p)), "validation"), "recall", "precision")
+
+
 @query
 def score_profile(p: Platform) -> DataFrame:
     return to.score_profile(p.score_pairs, ["svd_social", "svd_content"])
