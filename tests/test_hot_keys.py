@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tests.test_combine import row, side
 from zealmark.operators.combine import MATCH, combine
 from zealmark.operators.hot_keys import count_hot, split_outer_join
+from zealmark.operators.touchpoints import meet
 from zealmark.session import stage
 
 ON = ["k", "t"]
@@ -76,6 +77,29 @@ def test_no_task_holds_much_more_than_the_others(spark):
             spark.conf.set(key, value)
 
 
+def test_an_item_of_half_the_rows_is_no_hot_task(spark):
+    """The content is not broadcast; the rows of one item come from all tasks, and only its content is copied."""
+    per_item = stage(spark.range(4000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("itemid"), F.col("id").alias("n")), "per-item")
+    content = stage(spark.range(4000).select(F.col("id").alias("itemid"), F.lit("s").alias("session_name")).unionByName(spark.sql("select 7L as itemid, 't' as session_name")), "content")
+    settings = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+
+        def per_task(df):
+            return sorted(r[1] for r in df.where("itemid = 7").groupBy(F.spark_partition_id()).count().collect())
+
+        split = meet(per_item, content, "itemid", 20)
+        tasks = per_task(split)
+        assert sum(tasks) == 4002 and len(tasks) == 8 and max(tasks) <= 2 * statistics.median(tasks)
+        assert per_task(meet(per_item, content, "itemid")) == [4002]
+        assert sorted(map(str, split.collect())) == sorted(map(str, meet(per_item, content, "itemid").collect()))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_combine_is_the_same_with_split_keys(frame):
     left = [row(1 + d % 27, d) for d in range(1, 40)] + [row(2, 3, item=2), row(3, 4, track=None)] + [row(4, 5, item=3) for _ in range(9)]
     right = [row(1 + d % 25, d) for d in range(1, 20)] + [row(9, 1, item=4) for _ in range(8)] + [row(5, 6, track=None)]

@@ -29,10 +29,13 @@ class Dims(NamedTuple):
 
 class Content(NamedTuple):
     """``sessions``: every session and track with the item's and the topic's disabled flag.
-    ``speakers``: enabled speakers with the enabled sessions linked to them."""
+    ``speakers``: enabled speakers with the enabled sessions linked to them.
+    ``hot_rows``: items with more event rows than this are dealt over many tasks when they
+    meet the content (None: left to Spark, which does so for what is too large to broadcast as far as its partitions show)."""
 
     sessions: DataFrame
     speakers: DataFrame
+    hot_rows: int | None = None
 
 
 def items_of(dims: Dims, listtype: int) -> DataFrame:

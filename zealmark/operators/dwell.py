@@ -88,12 +88,12 @@ def dwell_per_item(dwell: DataFrame) -> DataFrame:
 
 def session_seconds(per_item: DataFrame, content: Content) -> DataFrame:
     enabled = content.sessions.filter("item_off = 0").drop("filterid").withColumnRenamed("trackid", "filterid")
-    credited = credit(per_item.filter("views > 0"), enabled, "itemid", _SECONDS.format("view_us"), "timespent")
+    credited = credit(per_item.filter("views > 0"), enabled, "itemid", _SECONDS.format("view_us"), "timespent", content.hot_rows)
     return enforce_schema(credited.withColumnRenamed("batchid", "batch_id"), "sessions_viewed_timespent")
 
 
 def speaker_seconds(per_item: DataFrame, content: Content) -> DataFrame:
-    credited = credit(per_item, content.speakers, "speakerid", _SECONDS.format("us"), "timespent")
+    credited = credit(per_item, content.speakers, "speakerid", _SECONDS.format("us"), "timespent", content.hot_rows)
     return enforce_schema(credited, "sessions_speakers_viewed_timespent")
 
 

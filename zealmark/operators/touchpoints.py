@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from zealmark.functions.columns import item_id, moment
 from zealmark.operators.catalog import SESSION, SESSION_COLUMNS, Content, Dims, items_of
+from zealmark.operators.hot_keys import split_outer_join
 from zealmark.schemas import enforce_schema
+from zealmark.session import stage
 
 PERSON = ("application_id", "global_user_id", "created")
 
@@ -29,15 +31,26 @@ def item_counts(facts: DataFrame, identifier: str) -> DataFrame:
     )
 
 
-def credit(per_item: DataFrame, content: DataFrame, key: str, value: str, metric: str) -> DataFrame:
+def meet(per_item: DataFrame, content: DataFrame, key: str, hot_rows: int | None = None) -> DataFrame:
+    """Rows of items with the content rows of ``key``.
+
+    With ``hot_rows`` the items are counted first (``per_item`` is then read twice and should be stored); the rows of an item
+    above it are dealt over many tasks, and only such items' content is copied to each of them.
+    """
+    if hot_rows is None:
+        return per_item.join(content, key)
+    more = [F.col(f"b.`{c}`").alias(c) for c in content.columns if c != key]
+    return split_outer_join(per_item, content, [key], "inner", hot_rows).select("a.*", *more)
+
+
+def credit(per_item: DataFrame, content: DataFrame, key: str, value: str, metric: str, hot_rows: int | None = None) -> DataFrame:
     """Add up ``value`` per person, batch and session, over the sessions each item counts for.
 
     Items of a session are already laid out by their person or by the item, both
     part of the grouping, so crediting sessions needs no further shuffle.
     """
     return (
-        per_item.withColumnRenamed("itemid", key)
-        .join(content, key)
+        meet(per_item.withColumnRenamed("itemid", key), content, key, hot_rows)
         .groupBy(*PERSON, "batchid", *SESSION_COLUMNS)
         .agg(F.expr(value).alias(metric))
         .withColumn("application_id", F.lower("application_id"))
@@ -46,16 +59,16 @@ def credit(per_item: DataFrame, content: DataFrame, key: str, value: str, metric
 
 def bookmarked_sessions(counts: DataFrame, content: Content) -> DataFrame:
     enabled = content.sessions.filter("item_off = 0")
-    return enforce_schema(credit(counts, enabled, "itemid", "sum(n * fanout)", "num_bookmarks"), "sessions_bookmarked")
+    return enforce_schema(credit(counts, enabled, "itemid", "sum(n * fanout)", "num_bookmarks", content.hot_rows), "sessions_bookmarked")
 
 
 def viewed_sessions(counts: DataFrame, content: Content) -> DataFrame:
     enabled = content.sessions.filter("item_off = 0")
-    return enforce_schema(credit(counts, enabled, "itemid", "sum(n * fanout)", "num_views"), "sessions_viewed")
+    return enforce_schema(credit(counts, enabled, "itemid", "sum(n * fanout)", "num_views", content.hot_rows), "sessions_viewed")
 
 
 def bookmarked_speakers(counts: DataFrame, content: Content) -> DataFrame:
-    credited = credit(counts, content.speakers, "speakerid", "sum(n * fanout)", "num_bookmarks")
+    credited = credit(counts, content.speakers, "speakerid", "sum(n * fanout)", "num_bookmarks", content.hot_rows)
     return enforce_schema(credited, "sessions_speakers_bookmarked")
 
 
@@ -89,7 +102,9 @@ def viewed_speakers(
     known_counts = counts.withColumn("user_key", F.lower("global_user_id")).join(
         known.select("user_key", "weight"), "user_key"
     )
-    credited = credit(known_counts, content.speakers, "speakerid", "sum(n * weight * fanout)", "num_views")
+    if content.hot_rows is not None:
+        known_counts = stage(known_counts, "known-views")
+    credited = credit(known_counts, content.speakers, "speakerid", "sum(n * weight * fanout)", "num_views", content.hot_rows)
     return enforce_schema(credited, "sessions_speakers_viewed")
 
 
@@ -127,11 +142,13 @@ def checkins(
         .groupBy("applicationid", "userid", "created", "itemid")
         .agg(F.sum("notes").alias("n"))
     )
+    if content.hot_rows is not None:
+        per_person = stage(per_person, "checked-in")
     accounts = users.groupBy("userid", F.col("globaluserid").alias("global_user_id")).agg(
         F.count(F.lit(1)).alias("accounts")
     )
     credited = (
-        per_person.join(content.sessions.filter("topic_off = 0"), "itemid")
+        meet(per_person, content.sessions.filter("topic_off = 0"), "itemid", content.hot_rows)
         .join(accounts, "userid")
         .groupBy("applicationid", "global_user_id", "created", *SESSION_COLUMNS)
         .agg(F.expr("sum(n * fanout * accounts)").alias("num_checkins"))

@@ -37,13 +37,13 @@ class Sources:
 
 
 def extracts(
-    src: Sources, track_join: str = "left", user_match: str = "inner"
+    src: Sources, track_join: str = "left", user_match: str = "inner", hot_rows: int | None = None
 ) -> dict[str, DataFrame]:
     """The seven touchpoint extracts over whatever facts ``src`` holds.
 
     Times are the events' own, so a look back by hours cuts where it says.
     What two extracts share (item counts, dwell
-    per item, the content) is grouped first and stored.
+    per item, the content) is grouped first and stored. With ``hot_rows`` items of more rows are split.
     """
     about = content(src.dims, track_join)
     shared = stage_all(
@@ -55,7 +55,7 @@ def extracts(
             "speakers": about.speakers,
         }
     )
-    about = Content(shared["sessions"], shared["speakers"])
+    about = Content(shared["sessions"], shared["speakers"], hot_rows)
     return {
         "bookmarks": tp.bookmarked_sessions(shared["bookmarked"], about),
         "views": tp.viewed_sessions(shared["viewed"], about),
@@ -146,7 +146,7 @@ class LeadsJob:
 
     def load_touchpoints(self) -> None:
         fresh, now = self._new_facts()
-        built = extracts(fresh)
+        built = extracts(fresh, hot_rows=HOT_ROWS)
         batches = sorted(set().union(*map(self._batches, (fresh.actions, fresh.views, fresh.session_events))))
         for name, (table, batch) in TARGETS.items():
             if batch:

@@ -507,6 +507,17 @@ def oracle_sql() -> dict[str, str]:
                                   where created <= timestamp '2024-01-21 00:00:00')"""
         )
     )
+    # items that are split come out as they do whole
+    for extract, whole in (
+        ("bookmarks", "sessions_bookmarked"),
+        ("views", "sessions_viewed"),
+        ("speaker_bookmarks", "sessions_speakers_bookmarked"),
+        ("speaker_views", "sessions_speakers_viewed"),
+        ("checkins", "sessions_checkins"),
+        ("session_dwell", "sessions_timespent"),
+        ("speaker_dwell", "speakers_timespent"),
+    ):
+        out[f"extract_{extract}_split"] = out[whole]
     out["dwell_events_cut"] = out["dwell_events"]
     out["event_lag_cut"] = out["event_lag"]
     out["incremental_bounded"] = statement(

@@ -114,6 +114,20 @@ def sessions_checkins(p: Platform) -> DataFrame:
     return tp.checkins(p.ratings_usercheckins, p.ratings_usercheckinnotes, about(p), p.authdb_is_users)
 
 
+def _split(name: str) -> Callable[[Platform], DataFrame]:
+    """An extract in which every item of more than three rows is dealt over several tasks."""
+
+    def fn(p: Platform) -> DataFrame:
+        return extracts(sources(p), hot_rows=3)[name]
+
+    fn.__name__ = f"extract_{name}_split"
+    return query(fn)
+
+
+for _name in ("bookmarks", "views", "speaker_bookmarks", "speaker_views", "checkins", "session_dwell", "speaker_dwell"):
+    _split(_name)
+
+
 @query
 def actions_bookmark_scan(p: Platform) -> DataFrame:
     return p.fact_actions_live.filter(F.col("identifier") == "bookmarkButton")
