@@ -1,29 +1,40 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-A bounded sample of labelled texts is indexed: for each term, postings in blocks of
-examples with each block's greatest weight.  A text's neighbours are found exactly:
-the block maxima bound what any example of a block can reach, blocks are read in falling
-order of that bound, and reading stops when the next bound is below the worst
-neighbour.  Neighbours vote with weights that grow as their distance falls, and the votes
-become probabilities by a monotone fit on labelled texts outside the index.
-
-Terms are all whole words of the examples and their beginnings.  A term's weight is its
-TF-IDF, raised by how far its presence goes with the label (chi-squared on the examples); no
-term is left out, so rare words count as well.
+A bounded sample of labelled texts is indexed: for each term its postings by example,
+and for each block of examples the greatest weight of the term in it.  A text's
+neighbours are found exactly: the block maxima bound what any example of a block can
+reach, the blocks of the highest bounds give the cosines to beat, and of the others only
+those are read whose bound reaches them.  Neighbours vote with weights that grow as
+their distance falls, and the votes become probabilities by a monotone fit on labelled
+texts outside the index.
+
+Terms are all whole words of the examples and their beginnings.  The cosine is not the plain one of
+TF-IDF: a term's weight is its TF-IDF times (1 + chi-squared)**0.7, which says how far
+its presence goes with the label on the examples.  No term is left out, so rare words count as well.
+
+Texts are scored in batches.  Frequent terms, which fill their blocks, are stored as
+dense rows and met by one matrix product for each block; the others are short lists.
+The sums of a batch are rounded, so they only choose candidates; the cosines that
+count are added up term by term for each candidate, whatever the batch.
+
+The index is built by one task and read by the others from a file in the shared
+folder; both hold no more than the sample gives.  The driver holds the calibration curve alone.
 """
 
 from __future__ import annotations
 
 import pickle
+import uuid
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from typing import Any, NamedTuple
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zealmark.llm.common import opened, prepare
@@ -33,8 +44,12 @@ PER_CLASS = 3000  # indexed examples of each label at most
 CALIBRATION = 4000  # further labelled texts that the probabilities are fitted on
 TELLING = 0.7  # power of chi-squared in a term's weight
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 32
 EVIDENCE = 3
+# Terms that are stored as dense rows: the most frequent ones, in one of SPARSE examples at least
+FREQUENT, SPARSE = 1500, 24
+TEXTS_AT_ONCE = 128
+ROUNDING = 2e-5  # of single-precision sums of cosines
 STARTS = (4, 5, 6)  # bytes of a word's beginnings that are terms
 CACHED_WORDS = 200_000
 THRESHOLD = 0.3
@@ -61,11 +76,14 @@ class Index(NamedTuple):
     starts: np.ndarray
     examples: np.ndarray
     weights: np.ndarray
-    # block maxima by term: of term t those in [block_starts[t], block_starts[t + 1]), each with where its postings begin
-    block_starts: np.ndarray
-    blocks: np.ndarray
+    # the same by example: terms and weights of example e in [own_starts[e], own_starts[e + 1])
+    own_starts: np.ndarray
+    own_terms: np.ndarray
+    own_weights: np.ndarray
+    # frequent terms: row of each (-1: not frequent), weights by block, row and place in the block, maxima by row and block
+    row_of: np.ndarray
+    dense: np.ndarray
     maxima: np.ndarray
-    posting_starts: np.ndarray
 
 
 Bag = tuple[np.ndarray, np.ndarray]  # rising terms and their counts
@@ -105,12 +123,19 @@ def build_index(examples: list[tuple[int | None, int, dict[int, int] | Bag]], te
     none = np.zeros(0, np.int64)
     term = np.concatenate([none, *(x[2] for x in held)])
     example = np.repeat(np.arange(len(held), dtype=np.int32), [len(x[2]) for x in held])
-    weight = np.concatenate([np.zeros(0), *(_weighted((x[2], x[3]), idf)[1] for x in held)])
+    weight = np.concatenate([np.zeros(0), *(_weighted((x[2], x[3]), idf)[1] for x in held)]).astype(np.float32)
+    own = (np.searchsorted(example, np.arange(len(held) + 1)), term.astype(np.int32), weight)
     order = np.argsort(term, kind="stable")  # within a term by example
     term, example, weight = term[order], example[order], weight[order]
-    key = term * (len(held) // BLOCK + 1) + example // BLOCK
-    first = np.flatnonzero(np.diff(key, prepend=-1)) if len(term) else none
-    maxima = np.maximum.reduceat(weight, first) if len(term) else np.zeros(0)
+    n = np.bincount(term, minlength=len(terms))
+    frequent = np.sort(np.argsort(-n, kind="stable")[:FREQUENT])
+    frequent = frequent[n[frequent] >= max(2, len(held) // SPARSE)]
+    row_of = np.full(len(terms), -1, np.int32)
+    row_of[frequent] = np.arange(len(frequent))
+    blocks = -(-len(held) // BLOCK)
+    dense = np.zeros((blocks, len(frequent), BLOCK), np.float32)
+    met = row_of[term] >= 0
+    dense[example[met] // BLOCK, row_of[term[met]], example[met] % BLOCK] = weight[met]
     return Index(
         ids=[x[0] for x in held],
         labels=np.array([x[1] for x in held], float),
@@ -118,48 +143,93 @@ def build_index(examples: list[tuple[int | None, int, dict[int, int] | Bag]], te
         idf=idf,
         starts=np.searchsorted(term, np.arange(len(terms) + 1)),
         examples=example,
-        weights=weight.astype(np.float32),
-        block_starts=np.searchsorted(term[first], np.arange(len(terms) + 1)),
-        blocks=example[first] // BLOCK,
-        maxima=np.nextafter(maxima.astype(np.float32), np.float32(np.inf)),  # no weight as stored is above
-        posting_starts=np.append(first, len(term)).astype(np.int64 if len(term) >= 1 << 31 else np.int32),
+        weights=weight,
+        own_starts=own[0],
+        own_terms=own[1],
+        own_weights=own[2],
+        row_of=row_of,
+        dense=dense,
+        maxima=np.ascontiguousarray(dense.max(axis=2, initial=0).T),
     )
 
 
-def _scores(index: Index, entries: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Cosines of all examples over the postings of some (term, block) entries."""
-    begin, n = index.posting_starts[entries], index.posting_starts[entries + 1] - index.posting_starts[entries]
-    places = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
-    return np.bincount(index.examples[places], index.weights[places] * np.repeat(weights, n), len(index.ids))
+Query = tuple[np.ndarray, np.ndarray]  # terms and their weights
+
+
+def _spans(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places of spans that begin at ``begin`` and are ``n`` long, one after the other."""
+    return np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _partial(index: Index, queries: list[Query]) -> tuple[np.ndarray, np.ndarray]:
+    """What the terms that are not frequent add to each query and example, and the queries' weights of the frequent ones."""
+    blocks, rows, _ = index.dense.shape
+    frequent = np.zeros((len(queries), rows), np.float32)
+    owner = np.repeat(np.arange(len(queries)), [len(terms) for terms, _ in queries])
+    terms, weights = (np.concatenate(parts) for parts in zip(*queries))
+    row = index.row_of[terms]
+    met = row >= 0
+    frequent[owner[met], row[met]] = weights[met]
+    width = blocks * BLOCK
+    added = np.zeros((len(queries), width), np.float32)
+    # one query at a time, whose postings stay in the cache
+    for n, (terms, weights) in enumerate(queries):
+        some = index.row_of[terms] < 0
+        terms, weights = terms[some], weights[some]
+        begin = index.starts[terms]
+        length = index.starts[terms + 1] - begin
+        places = _spans(begin, length)
+        added[n] = np.bincount(index.examples[places], index.weights[places] * np.repeat(weights.astype(np.float32), length), width)
+    return added, frequent
+
+
+def _read_blocks(index: Index, scores: np.ndarray, frequent: np.ndarray, wanted: np.ndarray) -> None:
+    """Add what the frequent terms give in the wanted (query, block) pairs."""
+    for block in np.flatnonzero(wanted.any(0)):
+        some = np.flatnonzero(wanted[:, block])
+        scores[some, block * BLOCK : (block + 1) * BLOCK] += frequent[some] @ index.dense[block]
+
+
+def _beaten(scores: np.ndarray, read: np.ndarray, k: int) -> np.ndarray:
+    """The k-th highest score of each query among the blocks that are read; 0 where there are not as many."""
+    seen = np.where(np.repeat(read, BLOCK, axis=1), scores, 0)
+    return np.partition(seen, -k, axis=1)[:, -k] if seen.shape[1] >= k else np.zeros(len(seen), np.float32)
+
+
+def nearest_of(index: Index, queries: list[Query], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the ``k`` examples of the highest cosine above 0 and their cosines, exactly; equal cosines by place in the index."""
+    if not queries or not len(index.ids):
+        return [(np.zeros(0, np.int64), np.zeros(0)) for _ in queries]
+    scores, frequent = _partial(index, queries)
+    blocks = index.dense.shape[0]
+    bounds = scores.reshape(len(queries), blocks, BLOCK).max(2) + frequent @ index.maxima
+    best = min(blocks, -(-2 * k // BLOCK) + 1)
+    read = bounds >= np.partition(bounds, -best, axis=1)[:, [-best]]
+    _read_blocks(index, scores, frequent, read)
+    more = ~read & (bounds >= _beaten(scores, read, k)[:, None] - ROUNDING) & (bounds > 0)
+    _read_blocks(index, scores, frequent, more)
+    read |= more
+    least = _beaten(scores, read, k) - ROUNDING
+    near = np.repeat(read, BLOCK, axis=1) & (scores >= least[:, None]) & (scores > 0)
+    near[:, len(index.ids) :] = False
+    weight_of = np.zeros(len(index.idf))
+    out = []
+    for (terms, weights), row in zip(queries, near):
+        found = np.flatnonzero(row)
+        weight_of[terms] = weights
+        begin = index.own_starts[found]
+        n = index.own_starts[found + 1] - begin
+        places = _spans(begin, n)
+        exact = np.add.reduceat(weight_of[index.own_terms[places]] * index.own_weights[places], np.cumsum(n) - n) if len(found) else np.zeros(0)
+        weight_of[terms] = 0
+        chosen = np.lexsort((found, -np.round(exact, 9)))[:k]
+        out.append((found[chosen], exact[chosen]))
+    return out
 
 
 def nearest(index: Index, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` examples of the highest cosine above 0 and their cosines, exactly; equal cosines by place in the index.
-
-    The blocks of the highest bounds give k cosines to beat; of the others only
-    those are read whose bound reaches the least of these.
-    """
-    begin, n = index.block_starts[terms], index.block_starts[terms + 1] - index.block_starts[terms]
-    entries = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
-    if not len(entries):
-        return np.zeros(0, np.int64), np.zeros(0)
-    weights = np.repeat(weights, n)
-    blocks = index.blocks[entries]
-    bounds = np.bincount(blocks, index.maxima[entries] * weights)
-    best = -(-2 * k // BLOCK) + 1
-    if len(bounds) > best:
-        first = bounds >= np.partition(bounds, -best)[-best]
-        some = first[blocks]
-        scores = _scores(index, entries[some], weights[some])
-        beat = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
-        some = bounds[blocks] >= beat - 1e-9
-        entries, weights = entries[some], weights[some]
-    scores = _scores(index, entries, weights)
-    found = np.flatnonzero(scores > 0)
-    if len(found) > k:
-        found = found[scores[found] >= np.partition(scores[found], -k)[-k] - 1e-9]
-    found = found[np.lexsort((found, -np.round(scores[found], 9)))][:k]
-    return found, scores[found]
+    """``nearest_of`` for one query."""
+    return nearest_of(index, [(terms, weights)], k)[0]
 
 
 def vote(labels: np.ndarray, cosines: np.ndarray) -> float:
@@ -202,58 +272,100 @@ def calibrate(votes: np.ndarray, labels: np.ndarray) -> Calibration:
 
 
 class Scorer:
-    """Counts of known terms in texts; a worker keeps which terms a word has."""
-
-    def __init__(self, terms: dict[bytes, int]) -> None:
-        self.terms, self.words = terms, {}
+    """Counts of known terms in texts; a worker keeps which terms a word has. One that ``learns`` takes up every term it meets."""
+
+    def __init__(self, terms: dict[bytes, int], learns: bool = False) -> None:
+        self.terms, self.learns = terms, learns
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words: dict[bytes, int] = {}
+        # terms of word w: those in [starts[w], starts[w + 1])
+        self._flat, self._starts = array("q"), array("q", [0])
+
+    def _take_up(self, word: bytes) -> None:
+        self.words[word] = len(self.words)
+        terms = self.terms
+        if self.learns:
+            self._flat.extend(terms.setdefault(t, len(terms)) for t in terms_of(word))
+        else:
+            self._flat.extend(terms[t] for t in terms_of(word) if t in terms)
+        self._starts.append(len(self._flat))
 
     def counts(self, text: str) -> Bag:
-        found: list[int] = []
-        ns: list[int] = []
-        known = self.words
-        for word, n in Counter(tox_words(text)).items():
-            places = known.get(word)
-            if places is None:
-                if len(known) >= CACHED_WORDS:
-                    known.clear()
-                places = known[word] = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
-            found += places
-            ns += [n] * len(places)
-        terms, at = np.unique(np.array(found, np.int64), return_inverse=True)
-        return terms, np.bincount(at, ns, len(terms)).astype(np.int64)
+        return self.counts_of([text])[0]
+
+    def counts_of(self, texts: list[str]) -> list[Bag]:
+        if len(self.words) >= CACHED_WORDS:
+            self._forget()
+        words = self.words
+        numbers: list[int] = []
+        often: list[int] = []
+        sizes = []
+        for text in texts:
+            found = Counter(tox_words(text))
+            for word in [word for word in found if word not in words]:
+                self._take_up(word)
+            numbers += [words[word] for word in found]
+            often += found.values()
+            sizes.append(len(found))
+        flat, starts = np.array(self._flat, np.int64), np.array(self._starts, np.int64)
+        word = np.array(numbers, np.int64)
+        begin = starts[word]
+        n = starts[word + 1] - begin
+        size = max(len(self.terms), 1)
+        owner = np.repeat(np.repeat(np.arange(len(texts)), sizes), n)
+        keys, at = np.unique(owner * size + flat[_spans(begin, n)], return_inverse=True)
+        counts = np.bincount(at, np.repeat(np.array(often, np.int64), n), len(keys)).astype(np.int64)
+        ends = np.searchsorted(keys, np.arange(len(texts) + 1) * size)
+        return [(keys[low:high] - text * size, counts[low:high]) for text, (low, high) in enumerate(zip(ends[:-1], ends[1:]))]
 
 
 class Model(NamedTuple):
-    index: Index
     calibration: Calibration
     path: str  # of the index in the shared folder
 
-
-def _shared(spark: SparkSession, name: str, value: Any) -> str:
-    """Path of a value in the shared folder: one copy, where a broadcast leaves one with each executor and worker."""
-    path = scratch_path(spark, name)
-    files, place = opened(path)
-    with files.open_output_stream(place) as out:
-        out.write(zlib.compress(pickle.dumps(value, 5), 1))
-    return path
+    @property
+    def index(self) -> Index:
+        return _loaded(self.path)
 
 
 @lru_cache(maxsize=1)
-def _loaded(path: str) -> Any:
+def _loaded(path: str) -> Index:
     files, place = opened(path)
     with files.open_input_stream(place) as held:
         return pickle.loads(zlib.decompress(held.read()))
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
-    for batch in batches:
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-            seen[label].update({t for word in set(tox_words(text)) for t in terms_of(word)})
-    terms = sorted({*seen[0], *seen[1]})
-    for at in range(0, len(terms), 50_000):
-        part = terms[at : at + 50_000]
-        yield pa.RecordBatch.from_pydict({"term": pa.array(part, pa.binary()), "n0": [seen[0][t] for t in part], "n1": [seen[1][t] for t in part]})
+def _builder(folder: str):
+    """Index of the examples that one task is given, written to the shared folder; its path is all that comes back."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("id", "label", "text")))]
+        rows.sort(key=lambda row: (row[0] is None, row[0] or 0))
+        scorer = Scorer({}, learns=True)
+        bags = [bag for at in range(0, len(rows), TEXTS_AT_ONCE) for bag in scorer.counts_of([text for _, _, text in rows[at : at + TEXTS_AT_ONCE]])]
+        n = np.zeros((2, len(scorer.terms)))
+        for (_, label, _), (found, _) in zip(rows, bags):
+            n[int(label), found] += 1
+        alls = np.bincount([int(label) for _, label, _ in rows], minlength=2)
+        first = telling(n[0], n[1], alls[0], alls[1])
+        names = list(scorer.terms)
+        order = sorted(range(len(names)), key=lambda i: (-first[i], names[i]))
+        place = np.empty(len(names), np.int64)
+        place[order] = np.arange(len(names))
+        examples = []
+        for (key, label, _), (found, counts) in zip(rows, bags):
+            turned = np.argsort(place[found])
+            examples.append((key, label, (place[found][turned], counts[turned])))
+        index = build_index(examples, {names[i]: at for at, i in enumerate(order)})
+        # a name of its own: a task that is repeated leaves another file
+        files, path = opened(f"{folder}-{uuid.uuid4().hex}")
+        with files.open_output_stream(path) as out:
+            out.write(zlib.compress(pickle.dumps(index, 5), 1))
+        yield pa.RecordBatch.from_pydict({"path": [path]})
+
+    return build
 
 
 def labelled_examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
@@ -271,7 +383,9 @@ def labelled_examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col:
     sample = stage(chosen.unionByName(rest.select("id", "label", F.lit(1).alias("role"))), "tox-sample")
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # the sample has at most 2 * PER_CLASS + CALIBRATION rows of three numbers
-    return stage(texts.join(F.broadcast(sample), "id").dropDuplicates(["id"]).repartition(8, "id"), "tox-texts")
+    # of the texts of an id that repeats the least one, whatever the order of rows
+    one = texts.join(F.broadcast(sample), "id").groupBy("id", "label", "role").agg(F.min("text").alias("text"))
+    return stage(one.repartition(8, "id"), "tox-texts")
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -282,47 +396,37 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     prepare(docs.sparkSession)
     rows = labelled_examples(docs, labels, id_col, text_col, label_col)
-    indexed = rows.where("role = 0")
-    counted = indexed.select("text", "label").mapInArrow(_term_counts, "term binary, n0 bigint, n1 bigint")
-    found = counted.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # terms of 2 * PER_CLASS texts at most
-    all1, all0 = (indexed.where(F.col("label") == label).count() for label in (1, 0))
-    n0, n1 = (found.column(name).to_numpy().astype(float) for name in ("n0", "n1"))
-    names = found.column("term").to_pylist()
-    first = telling(n0, n1, all0, all1)
-    terms = {names[i]: place for place, i in enumerate(sorted(range(len(names)), key=lambda i: (-first[i], names[i])))}
-    terms_path = _shared(docs.sparkSession, "tox-terms", terms)
-
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(_loaded(terms_path))
-        for batch in batches:
-            bags = [scorer.counts(text) for text in batch.column("text").to_pylist()]
-            columns = [pa.array([part.astype(np.int32).tobytes() for part in parts], pa.binary()) for parts in (zip(*bags, strict=True) if bags else ((), ()))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), *columns], names=["id", "label", "terms", "counts"])
-
-    read = lambda part: np.frombuffer(part, np.int32).astype(np.int64)
-    sample = indexed.select("id", "label", "text").mapInArrow(known, "id bigint, label int, terms binary, counts binary").collect()
-    index = build_index([(row.id, row.label, (read(row.terms), read(row.counts))) for row in sample], terms)
-    path = _shared(docs.sparkSession, "tox-index", index)
+    spark = docs.sparkSession
+    # one task holds the sample, as each task that scores will hold its index
+    built = rows.where("role = 0").select("id", "label", "text").repartition(1).mapInArrow(_builder(scratch_path(spark, "tox-index")), "path string")
+    path = built.first()["path"]
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _loaded(path)
         scorer = Scorer(held.terms)
         for batch in batches:
-            votes = [_vote_of(held, scorer.counts(text))[0] for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(votes, pa.float64())], names=["label", "vote"])
+            found = _votes(held, scorer, batch.column("text").to_pylist(), batch.column("id").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([v for v, _ in found], pa.float64())], names=["label", "vote"])
 
     calibrating = rows.where("role = 1")
     if calibrating.select("label").distinct().count() < 2:  # too few rows to set any aside
         calibrating = rows
-    rest = calibrating.select("label", "text").mapInArrow(voted, "label int, vote double").collect()
-    return Model(index, calibrate(np.array([row.vote for row in rest], float), np.array([row.label for row in rest], float)), path)
+    rest = calibrating.select("id", "label", "text").mapInArrow(voted, "label int, vote double").collect()
+    return Model(calibrate(np.array([row.vote for row in rest], float), np.array([row.label for row in rest], float)), path)
 
 
-def _vote_of(index: Index, counts: Bag) -> tuple[float, list]:
-    if not len(counts[0]) or not len(index.ids):
-        return -1.0, []
-    places, cosines = nearest(index, *_weighted(counts, index.idf))
-    return vote(index.labels[places], cosines), [index.ids[p] for p in places[:EVIDENCE].tolist()]
+def _votes(index: Index, scorer: Scorer, texts: list[str | None], own: list[int | None] | None = None) -> list[tuple[float, list]]:
+    """Vote and evidence of each text; with ``own`` the example of a text's own id is no neighbour of it."""
+    out = []
+    for at in range(0, len(texts), TEXTS_AT_ONCE):
+        bags = scorer.counts_of([text or "" for text in texts[at : at + TEXTS_AT_ONCE]])
+        queries = [_weighted(bag, index.idf) if len(bag[0]) else (np.zeros(0, np.int64), np.zeros(0)) for bag in bags]
+        for n, (places, cosines) in enumerate(nearest_of(index, queries, NEIGHBOURS + (own is not None))):
+            if own is not None:
+                other = np.array([index.ids[p] != own[at + n] for p in places.tolist()], bool)
+                places, cosines = places[other][:NEIGHBOURS], cosines[other][:NEIGHBOURS]
+            out.append((vote(index.labels[places], cosines), [index.ids[p] for p in places[:EVIDENCE].tolist()]))
+    return out
 
 
 OUT = "doc_id bigint, score double, predicted int, evidence array<bigint>"
@@ -337,7 +441,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
         held = _loaded(path)
         scorer = Scorer(held.terms)
         for batch in batches:
-            found = [_vote_of(held, scorer.counts(text)) for text in batch.column("text").to_pylist()]
+            found = _votes(held, scorer, batch.column("text").to_pylist())
             scores = calibration.score(np.array([v for v, _ in found], float))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -362,7 +466,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
         held = _loaded(path)
         scorer = Scorer(held.terms)
         for batch in batches:
-            votes = [_vote_of(held, scorer.counts(text or ""))[0] for text in batch.column("text").to_pylist()]
+            votes = [v for v, _ in _votes(held, scorer, batch.column("text").to_pylist())]
             yield batch.filter(pa.array(calibration.score(np.array(votes, float)) < threshold))
 
     return docs.mapInArrow(keep, docs.schema)
