@@ -35,6 +35,11 @@ def narrowed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``columns`` and, as ``row``, each whole row of ``docs``: whatever its columns are called, they cannot clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[column.alias(name) for name, column in columns.items()])
+
+
 def remainder(key: str, n: int) -> Column:
     """crc32 of a key written as text, modulo n: the fixed folds of the held-out rows."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(n)

@@ -110,31 +110,13 @@ def find_benchmark(
     hits; null or wordless items are found nowhere; item ids are compared as strings and a null id counts
     as the empty one.
     """
-    spark = prepare(docs.sparkSession)
     rows = narrowed(docs, id_col, text_col)
-    shipped = []
-    for part in _slices(benchmark, item_col, item_text_col):
-        items = [(row.item or "", row.text.encode()) for row in part.collect()]
-        vocabulary = spark.sparkContext.broadcast(pickle.dumps({word for _, text in items for word in bench_words(text)}))
-        counted = rows.select("text").mapInArrow(_count_known(vocabulary), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-        rarity = {bytes(row.word): row.n for row in counted.collect()}  # at most the slice's vocabulary
-        shipped.append(spark.sparkContext.broadcast(pickle.dumps(index_windows(items, rarity, window))))
+    find = _finder(rows, benchmark, window, item_col, item_text_col)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, dict] | None = None
+        held = find()
         for batch in batches:
-            texts = byte_list(batch, "text")
-            found: list[tuple[list, set]] = [([], set()) for _ in texts]
-            lengths = [0] * len(texts)
-            for number, slice_ in enumerate(shipped):
-                if held is None or held[0] != number:
-                    held = (number, pickle.loads(slice_.value))
-                for k, (text, (spans, items)) in enumerate(zip(texts, found, strict=True)):
-                    words = bench_words(text)
-                    lengths[k] = len(words)
-                    more, of = find_windows(words, held[1])
-                    spans += more
-                    items |= of
+            lengths, found = held(byte_list(batch, "text"))
             whole = [merged(spans) for spans, _ in found]
             names = [sorted(items) for _, items in found]
             yield pa.RecordBatch.from_pydict(
@@ -153,10 +135,50 @@ def find_benchmark(
     return rows.mapInArrow(search, OUT)
 
 
+def _finder(rows: DataFrame, benchmark: DataFrame, window: int, item_col: str, item_text_col: str):
+    """For a task: the function that gives word counts, and spans with items, of a batch of texts; ``rows`` (text) say how rare words are."""
+    spark = prepare(rows.sparkSession)
+    shipped = []
+    for part in _slices(benchmark, item_col, item_text_col):
+        items = [(row.item or "", row.text.encode()) for row in part.collect()]
+        vocabulary = spark.sparkContext.broadcast(pickle.dumps({word for _, text in items for word in bench_words(text)}))
+        counted = rows.select("text").mapInArrow(_count_known(vocabulary), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+        rarity = {bytes(row.word): row.n for row in counted.collect()}  # at most the slice's vocabulary
+        shipped.append(spark.sparkContext.broadcast(pickle.dumps(index_windows(items, rarity, window))))
+
+    def start():
+        held: list[tuple[int, dict]] = []
+
+        def found_in(texts: list[bytes]) -> tuple[list[int], list[tuple[list, set]]]:
+            found: list[tuple[list, set]] = [([], set()) for _ in texts]
+            lengths = [0] * len(texts)
+            for number, slice_ in enumerate(shipped):
+                if not held or held[0][0] != number:
+                    held[:] = [(number, pickle.loads(slice_.value))]
+                for k, (text, (spans, items)) in enumerate(zip(texts, found, strict=True)):
+                    words = bench_words(text)
+                    lengths[k] = len(words)
+                    more, of = find_windows(words, held[0][1])
+                    spans += more
+                    items |= of
+            return lengths, found
+
+        return found_in
+
+    return start
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark window; rows whose id is null stay unless their text is hit by itself.
+    """``docs`` without the rows whose text holds a benchmark window.
 
-    Ids alone decide for rows that share one: if any of them is hit, all go.
+    Each row is decided by its own text, so columns of any name, repeated and missing ids stay as they are.
     """
-    hit = find_benchmark(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.expr("doc_id <=> __hit"), "left_anti")
+    find = _finder(narrowed(docs, "doc_id", "text"), benchmark, window, "item_id", "text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = find()
+        for batch in batches:
+            _, found = held([text or b"" for text in byte_list(batch, "text")])
+            yield batch.filter(pa.array([not spans for spans, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zealmark.llm.common import bitmap_spot, byte_list, in_bitmap, narrowed, partitions, prepare, seen_bitmap
+from zealmark.llm.common import bitmap_spot, byte_list, in_bitmap, narrowed, packed, partitions, prepare, seen_bitmap
 from zealmark.llm.components import connected
 from zealmark.session import stage
 
@@ -417,7 +417,9 @@ def _links(rows: DataFrame, firsts: DataFrame, candidates: DataFrame) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (least id reachable by links, its own included) and text_key of every row.
+    """doc_id, n_shingles, component_id (least id reachable by links, its own included), text_key and class of every row.
+
+    Rows of one class are linked by a chain; ``class`` is null without words.
 
     Null, empty and wordless texts are empty sets, linked with nothing.  Rows
     that share an id are documents of their own, linked if their texts are;
@@ -485,13 +487,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         placed = placed.withColumn("root", F.col("node"))
     least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
     out = placed.join(least.drop("n"), "root", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "text_key")
+    return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "text_key", F.col("root").alias("class"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class: that of the least id; rows without words all stay, but equal rows of one id stay once."""
-    links = near_duplicates(docs)
-    kept = links.where("doc_id <=> component_id").select("doc_id", "text_key").distinct()
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("text_key"))
-    return keyed.join(kept.withColumnRenamed("doc_id", "__id"), same, "left_semi").dropDuplicates(["doc_id", "__key"]).drop("__key")
+    """``docs`` with one row of each class: that of the least id (null last), of equal ids one text.
+
+    Rows without words are in no class and stay, but rows that agree in id and text stay once.
+    """
+    links = stage(near_duplicates(docs).select("doc_id", "text_key", "class"), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))).alias("first")
+    kept = links.where("class is not null").groupBy("class").agg(first).select("first.doc_id", "first.text_key")
+    kept = kept.unionByName(links.where("class is null").select("doc_id", "text_key").distinct())
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = packed(docs, id=F.col("doc_id").cast("bigint"), key=F.xxhash64(text))
+    met = rows.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left_semi")
+    return met.dropDuplicates(["id", "key"]).select("row.*")

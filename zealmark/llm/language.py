@@ -159,7 +159,7 @@ def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where("text is not null and lang is not null").withColumn("draw", F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1 << 30)))
+    rows = rows.where("text is not null and lang is not null").withColumn("draw", F.pmod(F.xxhash64(F.lit(SEED), "id", "text"), F.lit(1 << 30)))
     sizes = {row.lang: row.n for row in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None

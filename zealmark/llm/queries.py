@@ -35,13 +35,13 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = learn_toxicity(docs.where(remainder("doc_id", 4) != 2), table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "evidence")
+    return score_toxicity(docs, model).select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn_languages(docs.select("doc_id", "text", "lang").where(remainder("doc_id", 5) != 0))
-    return identify_language(docs, model).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+    return identify_language(docs, model).select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key", "class")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -101,10 +102,12 @@ def _clean(value: str | None) -> str:
     return "" if value is None else value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
 
 
-def _header(row: dict) -> bytes:
+def _header(row: dict, written: str) -> bytes:
     lines = [
         f"WARC-Type: {row['record_type']}",
         f"WARC-Record-ID: {_urn(row['page_id'])}",
+        f"WARC-Date: {written}",
+        "Content-Type: text/html; charset=utf-8",
         f"WARC-Payload-Digest: sha1:{base32_sha1(bytes.fromhex(row['sha1']))}",
         f"X-Payload-Length: {row['payload_bytes']}",
     ]
@@ -116,7 +119,7 @@ def _header(row: dict) -> bytes:
     return VERSION + b"\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n"
 
 
-def _writer(folder: str):
+def _writer(folder: str, written: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = opened(folder)
         path, out, member, records = "", None, None, 0
@@ -129,7 +132,7 @@ def _writer(folder: str):
                     out = fs.open_output_stream(f"{root}/{path}", compression=None)
                 if row["chunk_no"] == 0:
                     member = zlib.compressobj(1, zlib.DEFLATED, 31)
-                    out.write(member.compress(_header(row)))
+                    out.write(member.compress(_header(row, written)))
                     records += 1
                 out.write(member.compress(row["data"]))
                 if row["is_last"]:
@@ -141,16 +144,19 @@ def _writer(folder: str):
     return write
 
 
-def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES) -> list[str]:
+def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES, date: str | None = None) -> list[str]:
     """Write one record per page and return the paths of the files that belong to the archive.
 
+    ``date`` is the time that every record carries, by default that of the call (UTC).
+
     A path per file comes back to the driver, so their number is the number of partitions.
     """
     fs, root = opened(folder)
     fs.create_dir(root, recursive=True)
     records = record_table(pages, min_bytes)
     # a task reads its rows in order and explode keeps a record's chunks together and in order
-    written = chunk_table(records, chunk_bytes).mapInArrow(_writer(folder), FILES)
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    written = chunk_table(records, chunk_bytes).mapInArrow(_writer(folder, date), FILES)
     return sorted(row.path for row in written.collect())
 
 
