@@ -13,14 +13,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zealmark.llm.common import prepare, table
+from zealmark.llm.common import packed, prepare, table
 from zealmark.llm.decontaminate import drop_contaminated
 from zealmark.llm.jaccard_join import keep_one_of_each
 from zealmark.llm.mixture import mix_sources
 from zealmark.llm.queries import TOKENIZER
 from zealmark.llm.token_files import tokenize_corpus
 from zealmark.llm.toxicity import drop_toxic, learn_toxicity
-from zealmark.session import stage
+from zealmark.session import job_scratch, stage
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +42,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the number of copies that the mix takes: none, one or two rows each."""
     prepare(spark)
-    mixed = mix_sources(docs)
+    mixed = mix_sources(packed(docs, doc_id=F.col("doc_id"), text=F.col("text"), source=F.col("source")))
     copies = F.explode(F.expr("sequence(1, cast(copies as int))"))
-    return mixed.where("copies > 0").withColumn("__copy", copies).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixed.where("copies > 0").select("row", copies.alias("copy")).select("row.*")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +64,11 @@ ORACLE_SQL = None  # the toxicity model and the tokenizer have no SQL; tests/llm
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, apply in STAGES[:-1]:
-        docs = stage(apply(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    # the last stage has written its files when it returns, so what the others staged can go
+    with job_scratch(spark):
+        for name, apply in STAGES[:-1]:
+            docs = stage(apply(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        return STAGES[-1][1](spark, docs, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
