@@ -452,6 +452,23 @@ def experiment_sql(actions: str) -> dict[str, str]:
     }
 
 
+def two_loads_sql() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
+    """Extracts of facts that were loaded up to the 28th and after it, and the combines of the run on each load."""
+    loads = {}
+    for number, seen in ((1, "<="), (2, ">")):
+        loads[f"lagged_{number}"] = lag_sql(28).replace("batch_id > 28", f"batch_id {seen} 28")
+        loads[f"kept_{number}"] = kept_sql(f"lagged_{number}")
+        loads[f"dwell_{number}"] = dwell_sql(f"kept_{number}")
+    # a dwell ends with the load
+    loads["dwell"] = "from dwell_1 union all by name from dwell_2"
+    extracts = {**{k: v for k, v in EXTRACTS.items() if k not in ("lagged", "kept", "dwell", "x_session_dwell", "x_speaker_dwell")}, **loads}
+    extracts |= {k: EXTRACTS[k] for k in ("x_session_dwell", "x_speaker_dwell")}
+    batch = {"x_session_dwell": "batch_id", "x_checkins": "day(created)"}
+    extracts |= {f"y{k[1:]}": f"from {k} where {batch.get(k, 'batchid')} <= 28" for k, *_ in (("x_bookmarks",), *_STAGES)}
+    first = combine_sql(240, "timestamp '2024-01-29 00:00:00'", "p")
+    return extracts, {k: v.replace("x_", "y_") for k, v in first.items()}, combine_sql(72, prefix="s")
+
+
 def statement(final: str, *ctes: dict[str, str]) -> str:
     """``final`` with the fixtures, the extracts and ``ctes`` before it."""
     parts = {**FIXTURES}
@@ -580,6 +597,26 @@ def oracle_sql() -> dict[str, str]:
     second = {**scores_sql("s6", "", 2)}
     out["latest_batch_leads"] = statement(leads_sql("scores", "inner", zscore), x, sparse, second)
     out["new_leads"] = out["latest_batch_leads"]
+    loaded, first, later = two_loads_sql()
+    out["lead_run_twice"] = statement(
+        f"""{leads_sql("first_scores", "inner", zscore)}
+            union all by name {leads_sql("later_scores", "inner", zscore)}""",
+        loaded, first, later, scores_sql("p6", "first_", 1), scores_sql("s6", "later_", 2),
+    )
+    seen = tuple(m for m in METRICS if m != "num_checkins")
+    flat = scores_sql("(select * replace (cast(0 as bigint) as num_checkins) from c6)", "")
+    out["lead_scores_without_flat"] = statement(
+        "select * replace (round(zscore, 6) as zscore) from scores", x, dense, flat | {"scored": _score("filled", seen, "0.0")}
+    )
+    out["sessions_speakers_viewed_once"] = statement(
+        _touch(
+            "fact_views_live", "num_views", "item", "speaker_tracks", "speakerid",
+            where="""and lower(e.global_user_id) in (select lower(globaluserid) from authdb_is_users)
+                     and lower(e.global_user_id) in (select lower(globaluserid) from ratings_globaluserdetails)""",
+        )
+    )
+    out["incremental_bootstrap"] = out["sessions_bookmarked"]
+    out["csv_inferred"] = out["csv_roundtrip"]
     # topics
     actions = {"actions": "select *, cast(1 as bigint) as batchid from c6"}
     semantic = semantic_sql("actions")
@@ -589,6 +626,7 @@ def oracle_sql() -> dict[str, str]:
     out["topic_leads"] = statement(
         leads_sql("topic_scores", "left", "round(s.V18, 6) as z_score", "s.semantic_topic,"), x, dense, actions, semantic
     )
+    out["topic_run_scores"], out["topic_run_leads"] = out["topic_scores"], out["topic_leads"]
     out["topic_sides"] = statement(
         """select itemid, topic, bool_or(m) as manual, bool_or(not m) as generated from (
              select itemid, lower(topic) as topic, true as m from session_topics_manual
@@ -602,6 +640,7 @@ def oracle_sql() -> dict[str, str]:
     out["topic_validation"] = statement(
         'select * replace (round("precision", 6) as "precision", round(recall, 6) as recall) from validation', VALIDATION
     )
+    out["topic_validation_run"] = out["topic_validation"]
     out["pr_correlation"] = statement(
         """select 'r =  ' || regexp_replace(cast(cast(round_even(corr(recall, "precision"), 2) as double) as varchar), '\\.0$', '') as label
            from validation""",
@@ -703,6 +742,7 @@ def oracle_sql() -> dict[str, str]:
     out["cohort_random"] = statement("from by_chance", *ex)
     out["cohorts"] = statement("from all_cohorts", *ex)
     out["cohorts_named"] = statement("from named", *ex)
+    out["cohort_payload_run"] = out["cohorts_named"]
     out["cohort_slice"] = statement("from named where applicationid = 'app-3'", *ex)
     out["chat_payload_json"] = statement(
         """select '{"userid":' || userid || ',"applicationid":"' || applicationid || '","topic_1":"' || topic_1

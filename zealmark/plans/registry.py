@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,10 @@ from zealmark.operators import topics as to
 from zealmark.operators import touchpoints as tp
 from zealmark.operators.catalog import Content, Dims, content
 from zealmark.operators.combine import STAGES, combine_stages, combine_summed, stamp_actions
-from zealmark.plans.experiment_job import interest_of
+from zealmark.plans.experiment_job import build_cohorts, interest_of, write_payload
 from zealmark.plans.health_job import event_health, weekly_messages
-from zealmark.plans.leads_job import Sources, extracts
+from zealmark.plans.leads_job import LeadsJob, Sources, extracts
+from zealmark.plans.topics_job import run_topic_scores, run_topic_validation, topic_table
 from zealmark.schemas import METRICS, TABLES, enforce_schema
 from zealmark.session import scratch_path, stage, stage_all, tune
 from zealmark.sources import state, tables
@@ -566,6 +568,92 @@ def score_pairs_graded(p: Platform) -> DataFrame:
     return sc.grade(scored, "score", sc.LEAD_CUTS)
 
 
+# --- whole jobs -----------------------------------------------------------------------------
+
+
+def _facts_up_to(src: Sources, batch: int) -> Sources:
+    """What a run on the day of ``batch`` finds."""
+    seen = F.col("batch_id") <= batch
+    checkins_seen = src.checkins.filter(F.dayofmonth("created") <= batch)
+    return replace(src, actions=src.actions.filter(seen), views=src.views.filter(seen), session_events=src.session_events.filter(seen), checkins=checkins_seen)
+
+
+@query
+def lead_run_twice(p: Platform) -> DataFrame:
+    """The leads of two lead runs over overlapping look-backs, of which the second finds two more days of facts."""
+    src, root = sources(p), scratch_path(p.spark, "lead-runs")
+    LeadsJob(p.spark, _facts_up_to(src, 28), root).run("2024-01-29 00:00:00", 240)
+    job = LeadsJob(p.spark, src, root)
+    job.run(AS_OF, RECENT)
+    return job.table("leads")
+
+
+def _topic_run(p: Platform, table: str) -> DataFrame:
+    """A table after two topic runs over one batch, of which the second replaces the first."""
+    actions, root = _actions(p), scratch_path(p.spark, "topic-runs")
+    for _ in range(2):
+        run_topic_scores(p.spark, actions, p.session_tags_v0, p.ratings_globaluserdetails, p.authdb_applications, root)
+    return topic_table(p.spark, root, table)
+
+
+@query
+def topic_run_scores(p: Platform) -> DataFrame:
+    return _topic_run(p, "scores_semantic")
+
+
+@query
+def topic_run_leads(p: Platform) -> DataFrame:
+    return _topic_run(p, "leads_semantic")
+
+
+@query
+def topic_validation_run(p: Platform) -> DataFrame:
+    """The validation table, written over an older one."""
+    path = scratch_path(p.spark, "validation")
+    for generated in (p.session_tags_v0.limit(1), p.session_tags_v0):
+        run_topic_validation(p.session_topics_manual, generated, path)
+    return p.spark.read.schema(TABLES["topic_validation"]).parquet(path)
+
+
+@query
+def cohort_payload_run(p: Platform) -> DataFrame:
+    """The cohorts as the chat service gets them: written as JSON and read back."""
+    path = scratch_path(p.spark, "payload")
+    write_payload(build_cohorts(_actions(p), p.session_topics_manual, p.authdb_is_users, p.authdb_applications), path)
+    return tables.read_json(p.spark, path, "cohorts")
+
+
+# --- choices that the other queries leave at their defaults -----------------------------------
+
+
+@query
+def lead_scores_without_flat(p: Platform) -> DataFrame:
+    """Scores where nobody checked in: the metric without range is left out."""
+    actions = stage(_actions(p).withColumn("num_checkins", F.lit(0).cast("bigint")), "no-checkins")
+    return sc.lead_scores(actions, zero_range="ignore")
+
+
+@query
+def sessions_speakers_viewed_once(p: Platform) -> DataFrame:
+    """Views of speakers, each counted once however many accounts and profiles the viewer has."""
+    return tp.speaker_views(p.fact_views_live, about(p), p.authdb_is_users.unionByName(p.authdb_is_users), p.ratings_globaluserdetails, "semi")
+
+
+@query
+def incremental_bootstrap(p: Platform) -> DataFrame:
+    """Bookmarks of a load that has no mark yet."""
+    empty = tp.bookmarks(p.fact_actions_live.filter(F.lit(False)), about(p))
+    return tp.bookmarks(state.since(p.fact_actions_live, "batch_id", state.high_water(empty, "batchid"), bootstrap=True), about(p))
+
+
+@query
+def csv_inferred(p: Platform) -> DataFrame:
+    """A CSV file read without a schema."""
+    path = scratch_path(p.spark, "inferred")
+    tables.write_csv(p.score_pairs, path)
+    return tables.read_csv(p.spark, path)
+
+
 # --- event health and mailing --------------------------------------------------------------
 
 

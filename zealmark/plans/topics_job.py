@@ -9,6 +9,7 @@ from zealmark.operators.leads import topic_leads
 from zealmark.operators.topics import semantic_actions, semantic_gate, topic_scores, topic_validation
 from zealmark.schemas import TABLES
 from zealmark.sources import state, tables
+from zealmark.sources.versions import VersionedTable
 
 
 def run_topic_scores(
@@ -20,27 +21,35 @@ def run_topic_scores(
     root: str,
     batch: int | None = None,
 ) -> None:
-    """Tag, gate, score and enrich one batch of ``actions`` (the newest by default); each table's batch is replaced.
+    """Tag, gate, score and enrich one batch of ``actions`` (the newest by default); each table's batch is replaced in one step.
 
     A batch of which nothing passes the gate leaves no rows in any of the tables.
     """
-    root = root.rstrip("/")
     batch = state.high_water(actions, "batchid") if batch is None else batch
     if batch is None:
         return
     gated = semantic_gate(semantic_actions(actions.filter(F.col("batchid") == batch), tags))
-    state.replace_batch(gated, f"{root}/actions_semantic", batches=[batch])
+    _table(spark, root, "actions_semantic").replace_batches(gated, [batch])
 
-    def stored(table: str) -> DataFrame:
-        return spark.read.schema(TABLES[table]).parquet(f"{root}/{table}").filter(F.col("batchid") == batch)
+    def stored(name: str) -> DataFrame:
+        return topic_table(spark, root, name).filter(F.col("batchid") == batch)
 
     if stored("actions_semantic").isEmpty():
-        for table in ("scores_semantic", "leads_semantic"):
-            state.drop_batches(spark, f"{root}/{table}", [batch])
+        for name in ("scores_semantic", "leads_semantic"):
+            _table(spark, root, name).drop_batches([batch])
         return
-    state.replace_batch(topic_scores(stored("actions_semantic")), f"{root}/scores_semantic", batches=[batch])
+    _table(spark, root, "scores_semantic").replace_batches(topic_scores(stored("actions_semantic")), [batch])
     people = topic_leads(stored("scores_semantic"), details, applications)
-    state.replace_batch(people, f"{root}/leads_semantic", batches=[batch])
+    _table(spark, root, "leads_semantic").replace_batches(people, [batch])
+
+
+def _table(spark: SparkSession, root: str, name: str) -> VersionedTable:
+    return VersionedTable(spark, f"{root.rstrip('/')}/{name}", ["batchid"])
+
+
+def topic_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Table of the topic runs as written so far; empty before the first run."""
+    return _table(spark, root, name).read(TABLES[name])
 
 
 def run_topic_validation(manual: DataFrame, generated: DataFrame, path: str) -> None:
