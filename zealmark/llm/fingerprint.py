@@ -25,7 +25,7 @@ from zealmark.llm.common import narrowed, partitions, prepare, words_of
 from zealmark.session import stage
 
 SAMPLES = 64
-CACHED_WORDS = 60_000  # words whose draws a worker keeps: 12 bytes per sample each
+CACHED_WORDS = 120_000  # words whose draws a worker keeps: 12 bytes per sample each; when full, the less used half goes
 PIECE = 4096  # words of a text that are compared at once
 EMPTY = 0xFFFF  # all samples of a text without words; no other sample has this value
 SEED = 0x5EED
@@ -56,6 +56,7 @@ class Sampler:
         self.samples, self.place = samples, {}
         self.hash = np.empty(CACHED_WORDS, np.uint64)
         self.r, self.b, self.base = (np.empty((CACHED_WORDS, samples), np.float32) for _ in range(3))
+        self.uses = np.zeros(CACHED_WORDS, np.int64)
         self.lane = np.arange(3 * samples, dtype=np.uint64) * _STEP + np.uint64(SEED)
 
     @staticmethod
@@ -64,12 +65,23 @@ class Sampler:
             Sampler._held[samples] = Sampler(samples)
         return Sampler._held[samples]
 
+    def _make_room(self) -> None:
+        """Keep the draws of the most used half; what a draw is does not depend on it."""
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: CACHED_WORDS // 2])
+        kept = kept[kept < len(self.place)]
+        words = list(self.place)
+        self.place = {words[row]: at for at, row in enumerate(kept.tolist())}
+        for held in (self.hash, self.r, self.b, self.base):
+            held[: len(kept)] = held[kept]
+        self.uses[: len(kept)] = self.uses[kept] // 2
+        self.uses[len(kept) :] = 0
+
     def _places(self, words: list[bytes]) -> np.ndarray:
+        new = [word for word in words if word not in self.place]
+        if len(self.place) + len(new) > CACHED_WORDS:
+            self._make_room()
+            new = [word for word in words if word not in self.place]
         place = self.place
-        new = [word for word in words if word not in place]
-        if len(place) + len(new) > CACHED_WORDS:
-            place.clear()
-            new = words
         if new:
             at = len(place)
             hashes = np.array([xxhash.xxh3_64_intdigest(word) for word in new], np.uint64)
@@ -82,7 +94,9 @@ class Sampler:
             rows = slice(at, at + len(new))
             self.hash[rows], self.r[rows], self.b[rows], self.base[rows] = hashes, r, b, np.log(c) - r * (1 - b)
             place.update(zip(new, range(at, at + len(new)), strict=True))
-        return np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        rows = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        self.uses[rows] += 1
+        return rows
 
     def signature(self, text: bytes) -> np.ndarray:
         """16-bit samples of a text; a text without words has EMPTY throughout."""
