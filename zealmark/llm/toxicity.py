@@ -23,9 +23,9 @@ folder; both hold no more than the sample gives.  The driver holds the calibrati
 
 from __future__ import annotations
 
+import gzip
 import pickle
 import uuid
-import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -51,7 +51,7 @@ FREQUENT, SPARSE = 1500, 24
 TEXTS_AT_ONCE = 128
 ROUNDING = 2e-5  # of single-precision sums of cosines
 STARTS = (4, 5, 6)  # bytes of a word's beginnings that are terms
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 THRESHOLD = 0.3
 SEED = 11
 
@@ -72,19 +72,34 @@ class Index(NamedTuple):
     labels: np.ndarray
     terms: dict[bytes, int]
     idf: np.ndarray  # times how far the term goes with the label
-    # postings by term: of term t those in [starts[t], starts[t + 1])
-    starts: np.ndarray
-    examples: np.ndarray
-    weights: np.ndarray
-    # the same by example: terms and weights of example e in [own_starts[e], own_starts[e + 1])
+    # terms and weights by example: of example e those in [own_starts[e], own_starts[e + 1])
     own_starts: np.ndarray
     own_terms: np.ndarray
     own_weights: np.ndarray
+    kinds: np.ndarray  # of each example the first one with the same terms and counts
+    # postings of the terms that are not frequent: of term t those in [rare_starts[t], rare_starts[t + 1])
+    rare_starts: np.ndarray
+    rare_examples: np.ndarray
+    rare_weights: np.ndarray
     # frequent terms: row of each (-1: not frequent), weights by block, row and place in the block, maxima by row and block
     row_of: np.ndarray
     dense: np.ndarray
     maxima: np.ndarray
 
+    # postings of all terms, put together anew each time: of term t those in [starts[t], starts[t + 1])
+    @property
+    def starts(self) -> np.ndarray:
+        return np.searchsorted(np.sort(self.own_terms), np.arange(len(self.idf) + 1))
+
+    @property
+    def examples(self) -> np.ndarray:
+        owner = np.repeat(np.arange(len(self.ids)), np.diff(self.own_starts))
+        return owner[np.argsort(self.own_terms, kind="stable")]
+
+    @property
+    def weights(self) -> np.ndarray:
+        return self.own_weights[np.argsort(self.own_terms, kind="stable")]
+
 
 Bag = tuple[np.ndarray, np.ndarray]  # rising terms and their counts
 
@@ -124,9 +139,8 @@ def build_index(examples: list[tuple[int | None, int, dict[int, int] | Bag]], te
     term = np.concatenate([none, *(x[2] for x in held)])
     example = np.repeat(np.arange(len(held), dtype=np.int32), [len(x[2]) for x in held])
     weight = np.concatenate([np.zeros(0), *(_weighted((x[2], x[3]), idf)[1] for x in held)]).astype(np.float32)
-    own = (np.searchsorted(example, np.arange(len(held) + 1)), term.astype(np.int32), weight)
-    order = np.argsort(term, kind="stable")  # within a term by example
-    term, example, weight = term[order], example[order], weight[order]
+    firsts: dict[bytes, int] = {}
+    kinds = [firsts.setdefault(x[2].tobytes() + x[3].tobytes(), e) for e, x in enumerate(held)]
     n = np.bincount(term, minlength=len(terms))
     frequent = np.sort(np.argsort(-n, kind="stable")[:FREQUENT])
     frequent = frequent[n[frequent] >= max(2, len(held) // SPARSE)]
@@ -134,19 +148,23 @@ def build_index(examples: list[tuple[int | None, int, dict[int, int] | Bag]], te
     row_of[frequent] = np.arange(len(frequent))
     blocks = -(-len(held) // BLOCK)
     dense = np.zeros((blocks, len(frequent), BLOCK), np.float32)
-    met = row_of[term] >= 0
-    dense[example[met] // BLOCK, row_of[term[met]], example[met] % BLOCK] = weight[met]
+    row = row_of[term]
+    met = row >= 0
+    dense[example[met] // BLOCK, row[met], example[met] % BLOCK] = weight[met]
+    rare = np.flatnonzero(~met)
+    rare = rare[np.argsort(term[rare], kind="stable")]  # within a term by example
     return Index(
         ids=[x[0] for x in held],
         labels=np.array([x[1] for x in held], float),
         terms=terms,
         idf=idf,
-        starts=np.searchsorted(term, np.arange(len(terms) + 1)),
-        examples=example,
-        weights=weight,
-        own_starts=own[0],
-        own_terms=own[1],
-        own_weights=own[2],
+        own_starts=np.searchsorted(example, np.arange(len(held) + 1)),
+        own_terms=term.astype(np.int32),
+        own_weights=weight,
+        kinds=np.array(kinds, np.int64),
+        rare_starts=np.searchsorted(term[rare], np.arange(len(terms) + 1)),
+        rare_examples=example[rare].astype(np.int64),
+        rare_weights=weight[rare].astype(np.float64),
         row_of=row_of,
         dense=dense,
         maxima=np.ascontiguousarray(dense.max(axis=2, initial=0).T),
@@ -158,7 +176,10 @@ Query = tuple[np.ndarray, np.ndarray]  # terms and their weights
 
 def _spans(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The places of spans that begin at ``begin`` and are ``n`` long, one after the other."""
-    return np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+    ends = np.cumsum(n)
+    places = np.repeat(begin - ends + n, n)
+    places += np.arange(len(places))
+    return places
 
 
 def _partial(index: Index, queries: list[Query]) -> tuple[np.ndarray, np.ndarray]:
@@ -176,10 +197,10 @@ def _partial(index: Index, queries: list[Query]) -> tuple[np.ndarray, np.ndarray
     for n, (terms, weights) in enumerate(queries):
         some = index.row_of[terms] < 0
         terms, weights = terms[some], weights[some]
-        begin = index.starts[terms]
-        length = index.starts[terms + 1] - begin
+        begin = index.rare_starts[terms]
+        length = index.rare_starts[terms + 1] - begin
         places = _spans(begin, length)
-        added[n] = np.bincount(index.examples[places], index.weights[places] * np.repeat(weights.astype(np.float32), length), width)
+        added[n] = np.bincount(index.rare_examples[places], index.rare_weights[places] * np.repeat(weights, length), width)
     return added, frequent
 
 
@@ -190,10 +211,9 @@ def _read_blocks(index: Index, scores: np.ndarray, frequent: np.ndarray, wanted:
         scores[some, block * BLOCK : (block + 1) * BLOCK] += frequent[some] @ index.dense[block]
 
 
-def _beaten(scores: np.ndarray, read: np.ndarray, k: int) -> np.ndarray:
-    """The k-th highest score of each query among the blocks that are read; 0 where there are not as many."""
-    seen = np.where(np.repeat(read, BLOCK, axis=1), scores, 0)
-    return np.partition(seen, -k, axis=1)[:, -k] if seen.shape[1] >= k else np.zeros(len(seen), np.float32)
+def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th highest score of each row; 0 where there are not as many."""
+    return np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.zeros(len(scores), scores.dtype)
 
 
 def nearest_of(index: Index, queries: list[Query], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -202,28 +222,34 @@ def nearest_of(index: Index, queries: list[Query], k: int = NEIGHBOURS) -> list[
         return [(np.zeros(0, np.int64), np.zeros(0)) for _ in queries]
     scores, frequent = _partial(index, queries)
     blocks = index.dense.shape[0]
-    bounds = scores.reshape(len(queries), blocks, BLOCK).max(2) + frequent @ index.maxima
+    by_block = scores.reshape(len(queries), blocks, BLOCK)
+    bounds = by_block.max(2) + frequent @ index.maxima
     best = min(blocks, -(-2 * k // BLOCK) + 1)
-    read = bounds >= np.partition(bounds, -best, axis=1)[:, [-best]]
+    first = np.argpartition(bounds, blocks - best, axis=1)[:, blocks - best :]
+    read = np.zeros(bounds.shape, bool)
+    np.put_along_axis(read, first, True, axis=1)
     _read_blocks(index, scores, frequent, read)
-    more = ~read & (bounds >= _beaten(scores, read, k)[:, None] - ROUNDING) & (bounds > 0)
+    # k cosines to beat, from the blocks of the highest bounds
+    beaten = _kth(np.take_along_axis(by_block, first[:, :, None], axis=1).reshape(len(queries), -1), k) - ROUNDING
+    more = ~read & (bounds >= beaten[:, None]) & (bounds > 0)
     _read_blocks(index, scores, frequent, more)
     read |= more
-    least = _beaten(scores, read, k) - ROUNDING
-    near = np.repeat(read, BLOCK, axis=1) & (scores >= least[:, None]) & (scores > 0)
-    near[:, len(index.ids) :] = False
+    near = (by_block >= beaten[:, None, None]) & (by_block > 0) & read[:, :, None]
     weight_of = np.zeros(len(index.idf))
     out = []
-    for (terms, weights), row in zip(queries, near):
-        found = np.flatnonzero(row)
+    for (terms, weights), row, chosen in zip(queries, scores, near.reshape(len(queries), -1)):
+        found = np.flatnonzero(chosen)
+        if len(found) > k:
+            held = row[found]
+            found = found[held >= np.partition(held, -k)[-k] - ROUNDING]
+        # copies of one example have one cosine
+        kinds, kind = np.unique(index.kinds[found], return_inverse=True)
         weight_of[terms] = weights
-        begin = index.own_starts[found]
-        n = index.own_starts[found + 1] - begin
-        places = _spans(begin, n)
-        exact = np.add.reduceat(weight_of[index.own_terms[places]] * index.own_weights[places], np.cumsum(n) - n) if len(found) else np.zeros(0)
+        spans = [slice(*span) for span in zip(index.own_starts[kinds].tolist(), index.own_starts[kinds + 1].tolist())]
+        exact = np.array([weight_of[index.own_terms[span]] @ index.own_weights[span] for span in spans], float)[kind]
         weight_of[terms] = 0
-        chosen = np.lexsort((found, -np.round(exact, 9)))[:k]
-        out.append((found[chosen], exact[chosen]))
+        order = np.lexsort((found, -np.round(exact, 9)))[:k]
+        out.append((found[order], exact[order]))
     return out
 
 
@@ -333,8 +359,8 @@ class Model(NamedTuple):
 @lru_cache(maxsize=1)
 def _loaded(path: str) -> Index:
     files, place = opened(path)
-    with files.open_input_stream(place) as held:
-        return pickle.loads(zlib.decompress(held.read()))
+    with files.open_input_stream(place) as held, gzip.GzipFile(fileobj=held) as plain:
+        return pickle.load(plain)
 
 
 def _builder(folder: str):
@@ -344,25 +370,29 @@ def _builder(folder: str):
         rows = [row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("id", "label", "text")))]
         rows.sort(key=lambda row: (row[0] is None, row[0] or 0))
         scorer = Scorer({}, learns=True)
-        bags = [bag for at in range(0, len(rows), TEXTS_AT_ONCE) for bag in scorer.counts_of([text for _, _, text in rows[at : at + TEXTS_AT_ONCE]])]
+        bags = []
+        for at in range(0, len(rows), TEXTS_AT_ONCE):
+            found = scorer.counts_of([text for _, _, text in rows[at : at + TEXTS_AT_ONCE]])
+            bags += [(terms.astype(np.int32), counts.astype(np.int32)) for terms, counts in found]
+        rows = [(key, label) for key, label, _ in rows]
         n = np.zeros((2, len(scorer.terms)))
-        for (_, label, _), (found, _) in zip(rows, bags):
+        for (_, label), (found, _) in zip(rows, bags):
             n[int(label), found] += 1
-        alls = np.bincount([int(label) for _, label, _ in rows], minlength=2)
+        alls = np.bincount([int(label) for _, label in rows], minlength=2)
         first = telling(n[0], n[1], alls[0], alls[1])
         names = list(scorer.terms)
         order = sorted(range(len(names)), key=lambda i: (-first[i], names[i]))
-        place = np.empty(len(names), np.int64)
-        place[order] = np.arange(len(names))
-        examples = []
-        for (key, label, _), (found, counts) in zip(rows, bags):
+        place = np.empty(len(names), np.int32)
+        place[order] = np.arange(len(names), dtype=np.int32)
+        for at, ((key, label), (found, counts)) in enumerate(zip(rows, bags)):
             turned = np.argsort(place[found])
-            examples.append((key, label, (place[found][turned], counts[turned])))
-        index = build_index(examples, {names[i]: at for at, i in enumerate(order)})
+            bags[at] = (key, label, (place[found][turned], counts[turned]))
+        del scorer, n, first
+        index = build_index(bags, {names[i]: at for at, i in enumerate(order)})
         # a name of its own: a task that is repeated leaves another file
         files, path = opened(f"{folder}-{uuid.uuid4().hex}")
-        with files.open_output_stream(path) as out:
-            out.write(zlib.compress(pickle.dumps(index, 5), 1))
+        with files.open_output_stream(path) as out, gzip.GzipFile(fileobj=out, mode="wb", compresslevel=1) as packed_out:
+            pickle.dump(index, packed_out, 5)
         yield pa.RecordBatch.from_pydict({"path": [path]})
 
     return build
@@ -417,6 +447,13 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def _votes(index: Index, scorer: Scorer, texts: list[str | None], own: list[int | None] | None = None) -> list[tuple[float, list]]:
     """Vote and evidence of each text; with ``own`` the example of a text's own id is no neighbour of it."""
+    if own is None:
+        # a text that repeats among these is scored once
+        numbers: dict[str | None, int] = {}
+        number = [numbers.setdefault(text, len(numbers)) for text in texts]
+        if len(numbers) < len(texts):
+            once = _votes(index, scorer, list(numbers))
+            return [once[n] for n in number]
     out = []
     for at in range(0, len(texts), TEXTS_AT_ONCE):
         bags = scorer.counts_of([text or "" for text in texts[at : at + TEXTS_AT_ONCE]])
@@ -429,6 +466,12 @@ def _votes(index: Index, scorer: Scorer, texts: list[str | None], own: list[int
     return out
 
 
+def _votes_of(index: Index, scorer: Scorer, texts: pa.Array) -> list[tuple[float, list]]:
+    """``_votes`` of a column, of which a part at a time becomes Python strings."""
+    step = 4 * TEXTS_AT_ONCE
+    return [vote for at in range(0, len(texts), step) for vote in _votes(index, scorer, texts.slice(at, step).to_pylist())]
+
+
 OUT = "doc_id bigint, score double, predicted int, evidence array<bigint>"
 
 
@@ -441,7 +484,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
         held = _loaded(path)
         scorer = Scorer(held.terms)
         for batch in batches:
-            found = _votes(held, scorer, batch.column("text").to_pylist())
+            found = _votes_of(held, scorer, batch.column("text"))
             scores = calibration.score(np.array([v for v, _ in found], float))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -466,7 +509,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
         held = _loaded(path)
         scorer = Scorer(held.terms)
         for batch in batches:
-            votes = [v for v, _ in _votes(held, scorer, batch.column("text").to_pylist())]
+            votes = [v for v, _ in _votes_of(held, scorer, batch.column("text"))]
             yield batch.filter(pa.array(calibration.score(np.array(votes, float)) < threshold))
 
     return docs.mapInArrow(keep, docs.schema)
