@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +137,18 @@ def test_a_stage_of_no_rows(spark, frame, name, apply):
 def test_the_pipeline_clears_what_it_staged(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.count() > 0 and got.agg(F.sum("n_tokens")).first()[0] > 0
+
+
+def test_a_pair_is_left_to_the_least_key_it_shares():
+    rng = random.Random(3)
+    full = jaccard_join.NO_KEY
+    lists = []
+    for _ in range(400):
+        keys = sorted(rng.sample(range(30), rng.randint(1, 24)))[: jaccard_join.LEAST_KEYS]
+        lists.append(keys + [full] * (jaccard_join.LEAST_KEYS - len(keys)))
+    u, v = np.array(lists[:200]), np.array(lists[200:])
+    for key in range(30):
+        elsewhere = jaccard_join._met_elsewhere(key, u, v)
+        for a, b, other in zip(u.tolist(), v.tolist(), elsewhere.tolist()):
+            shared = (set(a) & set(b)) - {full}
+            assert other == (bool(shared) and min(shared) != key)

@@ -53,6 +53,8 @@ REPS_GROWTH = 64  # nodes that stand for a key: one in the first round, then so
 SHORT_WORDS = 16  # 64-bit numbers of a folded sketch, by which nodes of a key are told apart before they become pairs
 BLOCK_REPS, BLOCK_NODES = 1024, 4096  # of one key, how many that stand for it and how many others meet in one block
 COMPARED = 1 << 20  # numbers of sketches that are compared at once
+LEAST_KEYS, NO_KEY = 16, (1 << 63) - 1  # open keys that a row of a block carries, and what fills a shorter list
+PAIRS_AT_ONCE = 1 << 15
 SEEN_NODES = 500_000
 OUT_ROWS = 50_000
 
@@ -328,8 +330,25 @@ def _may_link(u: dict[str, np.ndarray], v: dict[str, np.ndarray]) -> tuple[np.nd
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
+def _met_elsewhere(key: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Which pairs of rows of least keys (rising, filled up with NO_KEY) share a key, the least of which is not this one."""
+    out = np.zeros(len(u), bool)
+    for at in range(0, len(u), PAIRS_AT_ONCE):
+        a, b = u[at : at + PAIRS_AT_ONCE], v[at : at + PAIRS_AT_ONCE]
+        shared = ((a[:, :, None] == b[:, None, :]) & (a != NO_KEY)[:, :, None]).any(axis=2)
+        least = np.where(shared, a, NO_KEY).min(axis=1)
+        out[at : at + PAIRS_AT_ONCE] = shared.any(axis=1) & (least != key)
+    return out
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (u, v) that may link, of rows sorted by block with those that stand for the key, BLOCK_REPS at most, first."""
+    """Pairs (u, v) that may link, of rows sorted by block with those that stand for the key, BLOCK_REPS at most, first.
+
+    Two nodes may share many open keys.  Each row carries the least open keys of
+    its node; a pair that shares some of these is left to the least of them.
+    No pair is lost: keys only close and lists only move up, so that key remains the least they
+    share until one of the two stands for it, unless their components have become one.
+    """
     block: tuple[int, ...] | None = None
     standing: list[tuple[int, dict[str, np.ndarray]]] = []  # of the block under way, by length of the sketch
     for batch in batches:
@@ -337,6 +356,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "part", "chunk", "other", "node", "root", "size")}
         lists = batch.column("sketch")
+        least = batch.column("keys").flatten().to_numpy(zero_copy_only=False).reshape(-1, LEAST_KEYS)
         words, ends = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
         lengths = np.diff(ends, prepend=0)
         same = [columns[c][1:] == columns[c][:-1] for c in ("key", "part", "chunk", "other")]
@@ -349,12 +369,14 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for width in np.unique(lengths[begin:end]).tolist():
                 rows = begin + np.flatnonzero(lengths[begin:end] == width)
                 places = (ends[rows] - width)[:, None] + np.arange(width)
-                nodes = {c: columns[c][rows] for c in ("node", "root", "size")} | {"sketch": words[places]}
+                nodes = {c: columns[c][rows] for c in ("node", "root", "size")} | {"sketch": words[places], "keys": least[rows]}
                 if not columns["other"][begin]:
                     standing.append((width, nodes))
                     continue
                 for _, first in standing:
                     left, right = _may_link(nodes, first)
+                    here_only = ~_met_elsewhere(here[0], nodes["keys"][left], first["keys"][right])
+                    left, right = left[here_only], right[here_only]
                     us.append(nodes["node"][left])
                     vs.append(first["node"][right])
         u, v = np.concatenate(us), np.concatenate(vs)
@@ -365,7 +387,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _blocks(open_: DataFrame, standing: DataFrame, firsts: DataFrame) -> DataFrame:
     """(u, v) of one key where u stands for it and both may link: a key's nodes are dealt over blocks of bounded size, compared there."""
     spark = open_.sparkSession
-    about = firsts.join(open_.select("node").distinct(), "node", "left_semi").select("node", "size", short_sketch("sketch").alias("sketch"))
+    # a node has no more keys than its text has shingles
+    least = open_.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("all"))
+    filled = F.slice(F.concat("all", F.array_repeat(F.lit(NO_KEY), LEAST_KEYS)), 1, LEAST_KEYS)
+    about = firsts.join(least.select("node", filled.alias("keys")), "node").select("node", "size", short_sketch("sketch").alias("sketch"), "keys")
     counts = open_.groupBy("key").agg(F.count("*").alias("n")).join(standing.groupBy("key").agg(F.count("*").alias("n_reps")), "key")
     blocks = counts.selectExpr("key", f"cast(ceil(n / {BLOCK_NODES}) as int) as parts", f"cast(ceil(n_reps / {BLOCK_REPS}) as int) as chunks")
     nodes = open_.join(blocks, "key").withColumn("part", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
