@@ -17,7 +17,12 @@ _JOB_PATHS: ContextVar[list[str] | None] = ContextVar("job_paths", default=None)
 
 # Runtime settings the jobs rely on. Skewed join partitions are split even where the
 # split costs the aggregate after the join one more shuffle.
+# A broadcast side goes through the driver whole. Before a run Spark knows only the bytes of the
+# files, and encoded columns unfold to tens of times that, so only tiny files are broadcast on
+# that ground; every other side has to show its unfolded size in a shuffle first.
 SETTINGS = {
+    "spark.sql.autoBroadcastJoinThreshold": "64KB",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "2MB",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -35,9 +40,9 @@ def tune(spark: SparkSession) -> SparkSession:
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """Session with the settings every job here relies on.
 
-    Nothing forces a broadcast: Spark compares a side's measured size with
-    ``spark.sql.autoBroadcastJoinThreshold`` (AQE does so again with the real
-    shuffle sizes) and uses a sort-merge join with skew splitting beyond it.
+    Nothing forces a broadcast: a side whose files are tiny, or whose real size in
+    its shuffle is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``, is
+    broadcast; beyond it Spark uses a sort-merge join with skew splitting.
     """
     builder = (
         SparkSession.builder.appName("zealmark")
