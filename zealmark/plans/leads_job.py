@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,7 +17,7 @@ from zealmark.operators.hot_keys import HOT_ROWS
 from zealmark.operators.leads import leads
 from zealmark.operators.scoring import lead_scores
 from zealmark.schemas import METRICS, TABLES, enforce_schema
-from zealmark.session import job_scratch, stage_all
+from zealmark.session import job_scratch, side_by_side, stage_all
 from zealmark.sources import state
 from zealmark.sources.versions import VersionedTable
 
@@ -148,11 +149,12 @@ class LeadsJob:
         fresh, now = self._new_facts()
         built = extracts(fresh, hot_rows=HOT_ROWS)
         batches = sorted(set().union(*map(self._batches, (fresh.actions, fresh.views, fresh.session_events))))
-        for name, (table, batch) in TARGETS.items():
-            if batch:
-                self.stored(table).replace_batches(enforce_schema(built[name], table), batches)
+        # each extract has a table of its own, so the replaces run at once; marks follow when all are in place
         seen = self._checkins_seen() or datetime(1970, 1, 1)
-        self.stored("sessions_checkins_status").replace_window(built["checkins"], seen)
+        replaces = [
+            partial(self.stored(table).replace_batches, enforce_schema(built[name], table), batches) for name, (table, batch) in TARGETS.items() if batch
+        ]
+        side_by_side([*replaces, partial(self.stored("sessions_checkins_status").replace_window, built["checkins"], seen)])
         self.marks.advance(**now)
 
     @staticmethod

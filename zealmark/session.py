@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from contextvars import ContextVar, copy_context
+from functools import partial
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 _LOCAL_SCRATCH: dict[str, str] = {}
 # paths that the job under way has staged; None outside a job
 _JOB_PATHS: ContextVar[list[str] | None] = ContextVar("job_paths", default=None)
@@ -95,11 +99,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def side_by_side(calls: Sequence[Callable[[], T]]) -> list[T]:
+    """Results of calls that do not depend on each other, as jobs that run at once; an error of one is raised when all have ended."""
+    with ThreadPoolExecutor(max_workers=max(len(calls), 1)) as pool:
+        done = [pool.submit(copy_context().run, call) for call in calls]
+    return [job.result() for job in done]
+
+
 def stage_all(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """``stage`` for frames that do not depend on each other, as jobs that run side by side."""
-    with ThreadPoolExecutor(max_workers=len(frames)) as pool:
-        done = [pool.submit(copy_context().run, stage, df, name) for name, df in frames.items()]
-        return {name: job.result() for name, job in zip(frames, done)}
+    return dict(zip(frames, side_by_side([partial(stage, df, name) for name, df in frames.items()])))
 
 
 def discard(spark: SparkSession, name: str) -> None:
