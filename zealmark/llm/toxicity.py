@@ -23,6 +23,7 @@ folder; both hold no more than the sample gives.  The driver holds the calibrati
 
 from __future__ import annotations
 
+import gc
 import gzip
 import pickle
 import uuid
@@ -363,6 +364,13 @@ def _loaded(path: str) -> Index:
         return pickle.load(plain)
 
 
+def release() -> None:
+    """Give up the index that this worker holds; the next task that needs it loads it again."""
+    _loaded.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def _builder(folder: str):
     """Index of the examples that one task is given, written to the shared folder; its path is all that comes back."""
 
@@ -511,5 +519,8 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
         for batch in batches:
             votes = [v for v, _ in _votes_of(held, scorer, batch.column("text"))]
             yield batch.filter(pa.array(calibration.score(np.array(votes, float)) < threshold))
+        # the worker lives on and serves the stages after this one, which need the memory
+        del held, scorer
+        release()
 
     return docs.mapInArrow(keep, docs.schema)
