@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 
-from zealmark.llm import toxicity
+from zealmark.llm import token_files, toxicity
 
 
 class _Docs:
@@ -27,3 +27,43 @@ def test_the_index_is_given_up_when_a_task_has_filtered_its_texts(spark, frame):
         kept = [row for part in keep(iter([batch])) for row in part.to_pylist()]
         assert {row["doc_id"] for row in kept} >= {2} and 1 not in {row["doc_id"] for row in kept}
         assert toxicity._loaded.cache_info().currsize == 0
+
+
+def _examples():
+    """Bags of six terms of which the first is in every example, and the numbers of the terms."""
+    bags = [(n, n % 2, {0: 1, 1 + n % 5: 1 + n % 3}) for n in range(70)]
+    return bags, {b"=t%d" % t: t for t in range(6)}
+
+
+def test_postings_take_six_bytes_each():
+    index = toxicity.build_index(*_examples())
+    assert len(index.rare_examples) == len(index.rare_weights)
+    assert index.rare_examples.itemsize + index.rare_weights.itemsize <= 6
+    # the narrowest type that holds every place, also beyond its border
+    many = toxicity.build_index([(n, n % 2, {n: 1}) for n in range(40_000)], {b"=t%d" % t: t for t in range(40_000)})
+    assert sorted(many.rare_examples.tolist()) == list(range(40_000))
+
+
+def test_a_worker_never_holds_two_indexes(tmp_path, monkeypatch):
+    rows = pa.RecordBatch.from_pydict({"id": [1, 2], "label": [0, 1], "text": ["kind gentle", "vile filthy"]})
+    paths = [next(toxicity._builder(str(tmp_path / name))(iter([rows]))).column("path")[0].as_py() for name in ("a", "b")]
+    held, load = [], toxicity.pickle.load
+    monkeypatch.setattr(toxicity.pickle, "load", lambda file: held.append(toxicity._loaded.cache_info().currsize) or load(file))
+    toxicity.release()
+    assert [toxicity._loaded(path).ids for path in paths] == [[1, 2], [1, 2]]
+    assert held == [0, 0] and toxicity._loaded.cache_info().currsize == 1
+    toxicity.release()
+
+
+def test_few_texts_at_once_beside_the_index(spark, frame):
+    docs = frame([(n, f"word{n % 7}") for n in range(20)], "doc_id bigint, text string")
+    model = toxicity.learn_toxicity(docs, frame([(n, n % 2) for n in range(20)], "doc_id bigint, toxic int"))
+    for run in (toxicity.drop_toxic, toxicity.score_toxicity):
+        run(docs, model)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1024
+
+
+def test_the_encoder_is_given_up_when_the_files_are_written(monkeypatch):
+    monkeypatch.setattr(token_files, "_ENCODERS", {("path", 2): object()})
+    assert not list(token_files._reader(iter([])))
+    assert not token_files._ENCODERS

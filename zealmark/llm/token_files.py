@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from zealmark.llm.common import narrowed, opened, partitions, prepare
+from zealmark.llm.common import give_back_memory, narrowed, opened, partitions, prepare
 from zealmark.session import scratch_path
 
 NULL_ID = -(2**63)
@@ -188,6 +188,9 @@ READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if _ENCODERS:  # the files are written, so what this worker kept for that can go
+        _ENCODERS.clear()
+        give_back_memory()
     for batch in batches:
         for shard in batch.to_pylist():
             kind = f"<u{shard['id_bytes']}"

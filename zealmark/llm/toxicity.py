@@ -23,7 +23,6 @@ folder; both hold no more than the sample gives.  The driver holds the calibrati
 
 from __future__ import annotations
 
-import gc
 import gzip
 import pickle
 import uuid
@@ -38,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zealmark.llm.common import opened, prepare
+from zealmark.llm.common import give_back_memory, opened, prepare
 from zealmark.session import scratch_path, stage
 
 PER_CLASS = 3000  # indexed examples of each label at most
@@ -50,6 +49,7 @@ EVIDENCE = 3
 # Terms that are stored as dense rows: the most frequent ones, in one of SPARSE examples at least
 FREQUENT, SPARSE = 1500, 24
 TEXTS_AT_ONCE = 128
+BATCH_TEXTS = 8 * TEXTS_AT_ONCE  # of one Arrow batch: the index leaves a worker less room for texts
 ROUNDING = 2e-5  # of single-precision sums of cosines
 STARTS = (4, 5, 6)  # bytes of a word's beginnings that are terms
 CACHED_WORDS = 100_000
@@ -65,7 +65,7 @@ def tox_words(text: str) -> list[bytes]:
 
 def terms_of(word: bytes) -> list[bytes]:
     """The word itself and its beginnings, told apart by a first byte."""
-    return [b"=" + word, *(b"^" + word[:n] for n in STARTS if len(word) > n)]
+    return [b"=" + word] + [b"^" + word[:n] for n in STARTS if len(word) > n]
 
 
 class Index(NamedTuple):
@@ -164,8 +164,8 @@ def build_index(examples: list[tuple[int | None, int, dict[int, int] | Bag]], te
         own_weights=weight,
         kinds=np.array(kinds, np.int64),
         rare_starts=np.searchsorted(term[rare], np.arange(len(terms) + 1)),
-        rare_examples=example[rare].astype(np.int64),
-        rare_weights=weight[rare].astype(np.float64),
+        rare_examples=example[rare].astype(np.min_scalar_type(-len(held) - 1)),  # the narrowest that holds all places
+        rare_weights=weight[rare],
         row_of=row_of,
         dense=dense,
         maxima=np.ascontiguousarray(dense.max(axis=2, initial=0).T),
@@ -308,15 +308,15 @@ class Scorer:
     def _forget(self) -> None:
         self.words: dict[bytes, int] = {}
         # terms of word w: those in [starts[w], starts[w + 1])
-        self._flat, self._starts = array("q"), array("q", [0])
+        self._flat, self._starts = array("i"), array("i", [0])
 
     def _take_up(self, word: bytes) -> None:
         self.words[word] = len(self.words)
         terms = self.terms
         if self.learns:
-            self._flat.extend(terms.setdefault(t, len(terms)) for t in terms_of(word))
+            self._flat.extend([terms.setdefault(t, len(terms)) for t in terms_of(word)])
         else:
-            self._flat.extend(terms[t] for t in terms_of(word) if t in terms)
+            self._flat.extend([terms[t] for t in terms_of(word) if t in terms])
         self._starts.append(len(self._flat))
 
     def counts(self, text: str) -> Bag:
@@ -359,6 +359,7 @@ class Model(NamedTuple):
 
 @lru_cache(maxsize=1)
 def _loaded(path: str) -> Index:
+    _loaded.cache_clear()  # the index before it goes first, so that a worker never holds two
     files, place = opened(path)
     with files.open_input_stream(place) as held, gzip.GzipFile(fileobj=held) as plain:
         return pickle.load(plain)
@@ -367,8 +368,7 @@ def _loaded(path: str) -> Index:
 def release() -> None:
     """Give up the index that this worker holds; the next task that needs it loads it again."""
     _loaded.cache_clear()
-    gc.collect()
-    pa.default_memory_pool().release_unused()
+    give_back_memory()
 
 
 def _builder(folder: str):
@@ -401,6 +401,8 @@ def _builder(folder: str):
         files, path = opened(f"{folder}-{uuid.uuid4().hex}")
         with files.open_output_stream(path) as out, gzip.GzipFile(fileobj=out, mode="wb", compresslevel=1) as packed_out:
             pickle.dump(index, packed_out, 5)
+        del rows, bags, names, order, place, index
+        give_back_memory()
         yield pa.RecordBatch.from_pydict({"path": [path]})
 
     return build
@@ -432,7 +434,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     At most PER_CLASS texts of each label are indexed and CALIBRATION others
     calibrate; labels other than 0 and 1 are ignored.  Without labelled rows every score is 0.5.
     """
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, BATCH_TEXTS)
     rows = labelled_examples(docs, labels, id_col, text_col, label_col)
     spark = docs.sparkSession
     # one task holds the sample, as each task that scores will hold its index
@@ -485,7 +487,7 @@ OUT = "doc_id bigint, score double, predicted int, evidence array<bigint>"
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 from ``threshold`` on), evidence (ids of the nearest examples) of every whole text; null is empty."""
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, BATCH_TEXTS)
     path, calibration = model.path, model.calibration
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -510,7 +512,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the texts scored at ``threshold`` or more: decided row by row, so all columns and repeated rows stay whole."""
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, BATCH_TEXTS)
     path, calibration = model.path, model.calibration
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
