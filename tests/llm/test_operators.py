@@ -315,6 +315,31 @@ def test_benchmark_windows_against_all_places(frame, monkeypatch):
 # --- token files ---------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("cached", [token_files.CACHED_PIECES, 40])  # the second one starts anew with nearly every group
+def test_new_runs_of_a_group_are_learned_together(monkeypatch, cached):
+    monkeypatch.setattr(token_files, "CACHED_PIECES", cached)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, encoder, calls = Tokenizer.from_file(path), token_files.Encoder(path, 2), []
+
+    class Counted:
+        def encode(self, text, **kw):
+            calls.append(text)
+            return plain.encode(text, **kw)
+
+        def encode_batch(self, texts, **kw):
+            calls.append(texts)
+            return plain.encode_batch(texts, **kw)
+
+    encoder.tokenizer = Counted()
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdeéüßñ", k=rng.randint(3, 9))) + rng.choice(["", ".", ",", "!?"])
+    for _ in range(4):
+        texts = [" ".join(word() for _ in range(10)) for _ in range(60)] + ["", "  \n", texts[0] if calls else "12 b4-c <|endoftext|>"]
+        found = encoder.encode_all([text.encode() for text in texts])
+        assert [np.frombuffer(ids, "<u2").tolist() for ids in found] == [plain.encode(text, add_special_tokens=False).ids for text in texts]
+    assert len(calls) <= 8  # not some for each text
+
+
 def test_token_files(spark, frame):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)

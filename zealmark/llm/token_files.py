@@ -26,7 +26,8 @@ from zealmark.session import scratch_path
 
 NULL_ID = -(2**63)
 CACHED_PIECES = 1_500_000  # about 200 bytes each; a worker starts anew beyond that
-JOINED = 500  # words that are encoded as one text
+JOINED = 1000  # words that are encoded as one text
+AT_ONCE = 1 << 18  # bytes of texts whose new runs are learned together
 READ_IDS = 1 << 20
 SHARDS = "shard bigint, name string, n_docs bigint, n_ids bigint, id_bytes bigint"
 
@@ -40,15 +41,21 @@ _ONLY_CUTS = bytes.maketrans(b"\t\n\r", b"   ")
 _ENCODERS: dict[tuple[str, int], Encoder] = {}  # one per Python worker, kept from task to task
 
 
-def _parts(piece: bytes) -> list[bytes]:
-    """What a new piece is encoded as: words of Latin-1 letters in lower case, apart from the punctuation that ends them."""
+def _latin(piece: bytes) -> bool:
+    """Whether a piece is a word of Latin-1 letters alone."""
     if piece.isascii():
-        return [piece.lower() if piece.isalpha() else piece]
-    head = piece.rstrip(_TAIL_BYTES)
-    text = head.decode()
-    if not text.isalpha() or max(text) > "\xff":
-        return [piece]
-    return [text.lower().encode(), *([piece[len(head) :]] if len(head) < len(piece) else [])]
+        return piece.isalpha()
+    text = piece.decode()
+    return text.isalpha() and max(text) <= "\xff"
+
+
+def _parts(run: bytes) -> list[bytes]:
+    """What a new run is encoded as: a word of Latin-1 letters in lower case, apart from the punctuation that ends it, or else its pieces."""
+    head = run.rstrip(_TAIL_BYTES)
+    if not _latin(head):
+        return [piece.decode().lower().encode() if _latin(piece) else piece for piece in PIECES.findall(run)]
+    word = head.lower() if head.isascii() else head.decode().lower().encode()
+    return [word, run[len(head) :]] if len(head) < len(run) else [word]
 
 
 class Encoder:
@@ -57,9 +64,9 @@ class Encoder:
     For a tokenizer that never joins across white space or from a letter to
     punctuation (``word_bpe_49k``: its splitting pattern takes letters, digits and
     the rest apart) the ids of a text are those of its pieces in a row.  Text is cut into runs at
-    space, tab and line ends only, which every rule of the tokenizer counts as white space; a run
-    that is new to the worker is cut into pieces, these are encoded, and both are looked
-    up from then on.  Latin-1 words differ by case in no id.
+    space, tab and line ends only, which every rule of the tokenizer counts as white space; the runs of
+    a group of texts that are new to the worker are cut into pieces, these are encoded, and both
+    are looked up from then on.  Latin-1 words differ by case in no id.
     """
 
     def __init__(self, path: str, id_bytes: int) -> None:
@@ -69,7 +76,6 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype(f"<u{id_bytes}")
         self.known: dict[bytes, bytes] = {}
-        self.stop = self.tokenizer.encode(".", add_special_tokens=False).ids
 
     @staticmethod
     def of(path: str, id_bytes: int) -> Encoder:
@@ -82,37 +88,42 @@ class Encoder:
         return [np.array(x.ids, self.kind).tobytes() for x in found]
 
     def _joined(self, words: list[bytes]) -> list[bytes]:
-        """Ids of ASCII words, encoded as one text with a full stop after each."""
-        text = " . ".join([w.decode() for w in words]) + " ."
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
-        stops = np.flatnonzero(ids == self.stop[0]) if len(self.stop) == 1 else ids[:0]
-        if len(stops) != len(words):
+        """Ids of words of Latin-1 letters, encoded as one text; each is one word of the tokenizer too."""
+        found = self.tokenizer.encode(" ".join([w.decode() for w in words]), add_special_tokens=False)
+        ends = ((np.flatnonzero(np.diff(found.word_ids, append=-1)) + 1) * self.kind.itemsize).tolist()
+        if len(ends) != len(words):
             return self._apart(words)
-        ends, data, width = (stops * self.kind.itemsize).tolist(), ids.tobytes(), self.kind.itemsize
-        return [data[begin:end] for begin, end in zip([0, *(end + width for end in ends[:-1])], ends, strict=True)]
+        data = np.array(found.ids, self.kind).tobytes()
+        return [data[begin:end] for begin, end in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def _learn(self, runs: list[bytes]) -> None:
-        new = set(runs).difference(self.known)
+    def _learn(self, new: set[bytes]) -> None:
         if len(self.known) + 3 * len(new) > CACHED_PIECES:
             self.known.clear()
-            new = set(runs)
-        folded = {r: [part for piece in PIECES.findall(r) for part in _parts(piece)] for r in new}
+        folded = {run: _parts(run) for run in new}
         wanted = [p for p in {part for parts in folded.values() for part in parts} if p not in self.known]
-        words = [p for p in wanted if p.isalpha()]
+        words, others = [], []
+        for part in wanted:
+            (words if _latin(part) else others).append(part)
         for at in range(0, len(words), JOINED):
             part = words[at : at + JOINED]
             self.known.update(zip(part, self._joined(part), strict=True))
-        others = [p for p in wanted if not p.isalpha()]
         self.known.update(zip(others, self._apart(others), strict=True))
-        self.known.update({r: b"".join(map(self.known.__getitem__, parts)) for r, parts in folded.items()})
+        self.known.update({run: b"".join(map(self.known.__getitem__, parts)) for run, parts in folded.items()})
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        runs = [text.translate(_ONLY_CUTS).split(b" ") for text in texts]
+        found = [list(map(self.known.get, held)) for held in runs]
+        gaps = [[at for at, ids in enumerate(of) if ids is None] for of in found]
+        new = {held[at] for held, places in zip(runs, gaps) for at in places}
+        if new:
+            self._learn(new)
+            for held, of, places in zip(runs, found, gaps):
+                for at in places:
+                    of[at] = self.known[held[at]]
+        return [b"".join(of) for of in found]
 
     def encode(self, text: bytes) -> bytes:
-        runs = text.translate(_ONLY_CUTS).split(b" ")
-        try:
-            return b"".join(map(self.known.__getitem__, runs))
-        except KeyError:
-            self._learn(runs)
-            return b"".join(map(self.known.__getitem__, runs))
+        return self.encode_all([text])[0]
 
 
 def id_width(tokenizer_path: str, end_id: int) -> int:
@@ -123,6 +134,19 @@ def id_width(tokenizer_path: str, end_id: int) -> int:
     return 2 if highest < 2**16 else 4
 
 
+def _groups(texts: pa.Array) -> Iterator[list[bytes]]:
+    """Texts in their order, in groups that end with the text that reaches AT_ONCE bytes."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text.as_py())
+        size += len(held[-1])
+        if size >= AT_ONCE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _writer(folder: str, tokenizer_path: str, end_id: int, id_bytes: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer_path, id_bytes)
@@ -135,10 +159,10 @@ def _writer(folder: str, tokenizer_path: str, end_id: int, id_bytes: int):
                 files = [fs.open_output_stream(f"{root}/{name}.{kind}", compression=None) for kind in ("ids", "offsets", "docs")]
                 files[1].write(np.zeros(1, "<i8").tobytes())
             lengths = []
-            for text in batch.column("text").cast(pa.binary()):
-                ids = encoder.encode(text.as_py()) + end
-                files[0].write(ids)
-                lengths.append(len(ids) // id_bytes)
+            for texts in _groups(batch.column("text").cast(pa.binary())):
+                ids = encoder.encode_all(texts)
+                files[0].write(end.join([*ids, b""]))
+                lengths += [len(of_text) // id_bytes + 1 for of_text in ids]
             files[1].write((n_ids + np.cumsum(lengths, dtype="<i8")).tobytes())
             docs = batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
             files[2].write(docs.astype("<i8").tobytes())
