@@ -170,6 +170,24 @@ def test_rare_words_are_terms(frame):
     assert all(got[i].evidence[0] % 4 == 0 for i in range(600, 800, 4))
 
 
+def test_scorer_finds_the_terms_of_words_it_has_not_seen():
+    """Counts are those of a plain look-up of every word's terms, and texts of new words leave nothing behind in the worker."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abé", k=rng.randint(1, 8)))
+    learner = toxicity.Learner()
+    bags = learner.counts_of([" ".join(word() for _ in range(30)) for _ in range(40)])
+    index = toxicity.build_index([(n, n % 2, bag) for n, bag in enumerate(bags)], learner.terms)
+    assert index.terms == learner.terms
+    scorer = toxicity.Scorer(index)
+    held = [len(index.names.words), len(index.names.beginnings), len(index.names.terms)]
+    for _ in range(20):
+        texts = [" ".join(word() for _ in range(rng.randint(0, 40))) for _ in range(30)]
+        for text, (terms, counts) in zip(texts, scorer.counts_of(texts), strict=True):
+            plain = Counter(index.terms[t] for w in toxicity.tox_words(text) for t in toxicity.terms_of(w) if t in index.terms)
+            assert dict(zip(terms.tolist(), counts.tolist())) == plain and sorted(plain) == terms.tolist()
+    assert held == [len(index.names.words), len(index.names.beginnings), len(index.names.terms)]
+
+
 @pytest.mark.parametrize("toxic", [20, 40, 120])  # of 4000: 0.5, 1 and 3 %
 def test_rare_label_keeps_its_rate(toxic):
     rng = np.random.default_rng(2)

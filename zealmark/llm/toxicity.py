@@ -30,6 +30,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -52,7 +53,7 @@ TEXTS_AT_ONCE = 128
 BATCH_TEXTS = 8 * TEXTS_AT_ONCE  # of one Arrow batch: the index leaves a worker less room for texts
 ROUNDING = 2e-5  # of single-precision sums of cosines
 STARTS = (4, 5, 6)  # bytes of a word's beginnings that are terms
-CACHED_WORDS = 100_000
+_LONGEST_FIRST = STARTS[::-1]
 THRESHOLD = 0.3
 SEED = 11
 
@@ -68,10 +69,43 @@ def terms_of(word: bytes) -> list[bytes]:
     return [b"=" + word] + [b"^" + word[:n] for n in STARTS if len(word) > n]
 
 
+class Names(NamedTuple):
+    """Rows of terms by the words and beginnings that are terms: a word's row has the word first, then its beginnings from the shortest on."""
+
+    words: dict[bytes, int]
+    beginnings: dict[bytes, int]
+    # terms of row r: those in [starts[r], starts[r + 1]); row 0 has none
+    starts: np.ndarray
+    terms: np.ndarray
+
+    @staticmethod
+    def of(terms: dict[bytes, int]) -> Names:
+        words: dict[bytes, int] = {}
+        beginnings: dict[bytes, int] = {}
+        starts, flat = array("i", [0, 0]), array("i")
+        for name in terms:
+            if name[:1] == b"=":
+                words[name[1:]] = len(starts) - 1
+                found = terms_of(name[1:])
+            else:
+                beginnings[name[1:]] = len(starts) - 1
+                found = [b"^" + name[1 : n + 1] for n in STARTS if n < len(name) - 1] + [name]
+            flat.extend([terms[t] for t in found if t in terms])
+            starts.append(len(flat))
+        return Names(words, beginnings, np.array(starts, np.int32), np.array(flat, np.int32))
+
+    def row(self, word: bytes) -> int:
+        """Row of a word that is no term: that of its longest beginning that is one, which has the shorter ones too."""
+        for n in _LONGEST_FIRST:
+            if len(word) > n and (row := self.beginnings.get(word[:n])):
+                return row
+        return 0
+
+
 class Index(NamedTuple):
     ids: list[int | None]  # by example
     labels: np.ndarray
-    terms: dict[bytes, int]
+    names: Names
     idf: np.ndarray  # times how far the term goes with the label
     # terms and weights by example: of example e those in [own_starts[e], own_starts[e + 1])
     own_starts: np.ndarray
@@ -87,6 +121,12 @@ class Index(NamedTuple):
     dense: np.ndarray
     maxima: np.ndarray
 
+    @property
+    def terms(self) -> dict[bytes, int]:
+        starts, terms = self.names.starts, self.names.terms
+        own = {b"=" + word: int(terms[starts[row]]) for word, row in self.names.words.items()}
+        return own | {b"^" + name: int(terms[starts[row + 1] - 1]) for name, row in self.names.beginnings.items()}
+
     # postings of all terms, put together anew each time: of term t those in [starts[t], starts[t + 1])
     @property
     def starts(self) -> np.ndarray:
@@ -157,7 +197,7 @@ def build_index(examples: list[tuple[int | None, int, dict[int, int] | Bag]], te
     return Index(
         ids=[x[0] for x in held],
         labels=np.array([x[1] for x in held], float),
-        terms=terms,
+        names=Names.of(terms),
         idf=idf,
         own_starts=np.searchsorted(example, np.arange(len(held) + 1)),
         own_terms=term.astype(np.int32),
@@ -201,7 +241,9 @@ def _partial(index: Index, queries: list[Query]) -> tuple[np.ndarray, np.ndarray
         begin = index.rare_starts[terms]
         length = index.rare_starts[terms + 1] - begin
         places = _spans(begin, length)
-        added[n] = np.bincount(index.rare_examples[places], index.rare_weights[places] * np.repeat(weights, length), width)
+        # no place is out of range; with "clip" numpy takes them without a check of its own
+        examples, found = (column.take(places, mode="clip") for column in (index.rare_examples, index.rare_weights))
+        added[n] = np.bincount(examples, found * np.repeat(weights, length), width)
     return added, frequent
 
 
@@ -235,7 +277,8 @@ def nearest_of(index: Index, queries: list[Query], k: int = NEIGHBOURS) -> list[
     more = ~read & (bounds >= beaten[:, None]) & (bounds > 0)
     _read_blocks(index, scores, frequent, more)
     read |= more
-    near = (by_block >= beaten[:, None, None]) & (by_block > 0) & read[:, :, None]
+    near = by_block >= np.maximum(beaten, np.finfo(np.float32).smallest_subnormal)[:, None, None]
+    near &= read[:, :, None]
     weight_of = np.zeros(len(index.idf))
     out = []
     for (terms, weights), row, chosen in zip(queries, scores, near.reshape(len(queries), -1)):
@@ -298,54 +341,54 @@ def calibrate(votes: np.ndarray, labels: np.ndarray) -> Calibration:
     return Calibration(np.array([v for p in pooled for v in p[2:]]), np.repeat(rates, 2), float(none_rate))
 
 
-class Scorer:
-    """Counts of known terms in texts; a worker keeps which terms a word has. One that ``learns`` takes up every term it meets."""
-
-    def __init__(self, terms: dict[bytes, int], learns: bool = False) -> None:
-        self.terms, self.learns = terms, learns
-        self._forget()
+class Learner:
+    """Numbers of the words and terms of texts, all of which it takes up."""
 
-    def _forget(self) -> None:
-        self.words: dict[bytes, int] = {}
+    def __init__(self) -> None:
+        self.terms: dict[bytes, int] = {}
+        self._words: dict[bytes, int] = {}
         # terms of word w: those in [starts[w], starts[w + 1])
         self._flat, self._starts = array("i"), array("i", [0])
 
-    def _take_up(self, word: bytes) -> None:
-        self.words[word] = len(self.words)
-        terms = self.terms
-        if self.learns:
-            self._flat.extend([terms.setdefault(t, len(terms)) for t in terms_of(word)])
-        else:
-            self._flat.extend([terms[t] for t in terms_of(word) if t in terms])
-        self._starts.append(len(self._flat))
+    def _row(self, word: bytes) -> int:
+        if word not in self._words:
+            self._words[word] = len(self._words)
+            self._flat.extend([self.terms.setdefault(t, len(self.terms)) for t in terms_of(word)])
+            self._starts.append(len(self._flat))
+        return self._words[word]
+
+    def counts_of(self, texts: list[str]) -> list[Bag]:
+        found = [Counter(tox_words(text)) for text in texts]
+        rows = [[self._row(word) for word in words] for words in found]
+        return _bags(rows, found, np.array(self._starts, np.int64), np.array(self._flat, np.int64), len(self.terms))
+
+
+class Scorer:
+    """Counts of an index's terms in texts."""
 
-    def counts(self, text: str) -> Bag:
-        return self.counts_of([text])[0]
+    def __init__(self, index: Index) -> None:
+        self.names, self.size = index.names, len(index.idf)
 
     def counts_of(self, texts: list[str]) -> list[Bag]:
-        if len(self.words) >= CACHED_WORDS:
-            self._forget()
-        words = self.words
-        numbers: list[int] = []
-        often: list[int] = []
-        sizes = []
-        for text in texts:
-            found = Counter(tox_words(text))
-            for word in [word for word in found if word not in words]:
-                self._take_up(word)
-            numbers += [words[word] for word in found]
-            often += found.values()
-            sizes.append(len(found))
-        flat, starts = np.array(self._flat, np.int64), np.array(self._starts, np.int64)
-        word = np.array(numbers, np.int64)
-        begin = starts[word]
-        n = starts[word + 1] - begin
-        size = max(len(self.terms), 1)
-        owner = np.repeat(np.repeat(np.arange(len(texts)), sizes), n)
-        keys, at = np.unique(owner * size + flat[_spans(begin, n)], return_inverse=True)
-        counts = np.bincount(at, np.repeat(np.array(often, np.int64), n), len(keys)).astype(np.int64)
-        ends = np.searchsorted(keys, np.arange(len(texts) + 1) * size)
-        return [(keys[low:high] - text * size, counts[low:high]) for text, (low, high) in enumerate(zip(ends[:-1], ends[1:]))]
+        known, other = self.names.words.get, self.names.row
+        found = [Counter(tox_words(text)) for text in texts]
+        rows = [[known(word) or other(word) for word in words] for words in found]
+        return _bags(rows, found, self.names.starts, self.names.terms, self.size)
+
+
+def _bags(rows: list[list[int]], found: list[Counter[bytes]], starts: np.ndarray, flat: np.ndarray, size: int) -> list[Bag]:
+    """Terms and counts of each text from the rows of its words and how often it has them."""
+    sizes = [len(of_text) for of_text in rows]
+    row = np.fromiter(chain.from_iterable(rows), np.int64, sum(sizes))
+    often = np.fromiter(chain.from_iterable(words.values() for words in found), np.int64, len(row))
+    begin = starts[row]
+    n = starts[row + 1] - begin
+    size = max(size, 1)
+    owner = np.repeat(np.repeat(np.arange(len(rows)), sizes), n)
+    keys, at = np.unique(owner * size + flat[_spans(begin, n)], return_inverse=True)
+    counts = np.bincount(at, np.repeat(often, n), len(keys)).astype(np.int64)
+    ends = np.searchsorted(keys, np.arange(len(rows) + 1) * size)
+    return [(keys[low:high] - text * size, counts[low:high]) for text, (low, high) in enumerate(zip(ends[:-1], ends[1:]))]
 
 
 class Model(NamedTuple):
@@ -377,7 +420,7 @@ def _builder(folder: str):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("id", "label", "text")))]
         rows.sort(key=lambda row: (row[0] is None, row[0] or 0))
-        scorer = Scorer({}, learns=True)
+        scorer = Learner()
         bags = []
         for at in range(0, len(rows), TEXTS_AT_ONCE):
             found = scorer.counts_of([text for _, _, text in rows[at : at + TEXTS_AT_ONCE]])
@@ -443,7 +486,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _loaded(path)
-        scorer = Scorer(held.terms)
+        scorer = Scorer(held)
         for batch in batches:
             found = _votes(held, scorer, batch.column("text").to_pylist(), batch.column("id").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([v for v, _ in found], pa.float64())], names=["label", "vote"])
@@ -492,7 +535,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _loaded(path)
-        scorer = Scorer(held.terms)
+        scorer = Scorer(held)
         for batch in batches:
             found = _votes_of(held, scorer, batch.column("text"))
             scores = calibration.score(np.array([v for v, _ in found], float))
@@ -517,7 +560,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _loaded(path)
-        scorer = Scorer(held.terms)
+        scorer = Scorer(held)
         for batch in batches:
             votes = [v for v, _ in _votes_of(held, scorer, batch.column("text"))]
             yield batch.filter(pa.array(calibration.score(np.array(votes, float)) < threshold))
