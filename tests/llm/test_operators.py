@@ -358,6 +358,28 @@ def test_new_runs_of_a_group_are_learned_together(monkeypatch, cached):
     assert len(calls) <= 8  # not some for each text
 
 
+def test_a_run_is_looked_up_once_a_group_whatever_its_case_and_mark():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, encoder, asked = Tokenizer.from_file(path), token_files.Encoder(path, 2), []
+
+    class Known(dict):
+        def get(self, run, default=None):
+            asked.append(run)
+            return super().get(run, default)
+
+    encoder.known = Known()
+    words = ["garden", "stone", "niño", "window"]
+    text = " ".join(f"{w} {w.title()}, {w.upper()}. {w}?" for w in words)
+    # case counts before a mark that combines and in control tokens; texts have their own ends
+    groups = [[text, text, "Garden", "", "\t \r\n", "H̱ ẖ K. Garden."], ["<|ENDOFTEXT|> <|endoftext|>A.", text, "'S 's."], [], ["", " "], [text]]
+    for texts in groups:
+        asked.clear()
+        found = encoder.encode_all([t.encode() for t in texts])
+        assert [np.frombuffer(ids, "<u2").tolist() for ids in found] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(asked) == len(set(asked))
+    assert len(asked) <= len(words) + 5  # the last text's words, the marks, and the word that ends in no ASCII capital
+
+
 def test_token_files(spark, frame):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)

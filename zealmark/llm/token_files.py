@@ -25,9 +25,9 @@ from zealmark.llm.common import give_back_memory, narrowed, opened, partitions,
 from zealmark.session import scratch_path
 
 NULL_ID = -(2**63)
-CACHED_PIECES = 1_500_000  # about 200 bytes each; a worker starts anew beyond that
+CACHED_PIECES = 600_000  # about 200 bytes each; a worker starts anew beyond that
 JOINED = 1000  # words that are encoded as one text
-AT_ONCE = 1 << 18  # bytes of texts whose new runs are learned together
+AT_ONCE = 1 << 21  # bytes of texts that are encoded together
 READ_IDS = 1 << 20
 SHARDS = "shard bigint, name string, n_docs bigint, n_ids bigint, id_bytes bigint"
 
@@ -37,7 +37,12 @@ SHARDS = "shard bigint, name string, n_docs bigint, n_ids bigint, id_bytes bigin
 _TAIL = rb"[!-&(-/:;=?@\[-`{}~]"
 _TAIL_BYTES = bytes(c for c in range(128) if re.fullmatch(_TAIL, bytes([c])))
 PIECES = re.compile(rb"[A-Za-z\x80-\xff]*[A-Za-z](?=" + _TAIL + rb"*(?:[ \t\n\r]|\Z))|" + _TAIL + rb"+(?=[ \t\n\r]|\Z)|[^ \t\n\r]+")
-_ONLY_CUTS = bytes.maketrans(b"\t\n\r", b"   ")
+# How control tokens begin, and what a group of texts is cut by: white space, punctuation that may end a run, ASCII letters, all other bytes
+_CONTROL = b"<|"
+_SPACE, _END, _LETTER, _OTHER = range(4)
+_KINDS = bytes(
+    _SPACE if c in b" \t\n\r" else _END if c in _TAIL_BYTES else _LETTER if bytes([c]).isalpha() else _OTHER for c in range(256)
+)
 _ENCODERS: dict[tuple[str, int], Encoder] = {}  # one per Python worker, kept from task to task
 
 
@@ -58,15 +63,41 @@ def _parts(run: bytes) -> list[bytes]:
     return [word, run[len(head) :]] if len(head) < len(run) else [word]
 
 
+def _cut(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The runs of a group of texts one after the other, and how many stand before each text and in all.
+
+    A single mark of punctuation between an ASCII letter and white space is a run of its own.  ASCII letters come in
+    lower case, but for those before a code point that may combine with them, and for all beside a control token.
+    """
+    whole = b" ".join([b"", *texts, b""])
+    data = np.frombuffer(whole, np.uint8)
+    kind = np.frombuffer(whole.translate(_KINDS), np.uint8)
+    solid = kind != _SPACE
+    begins = np.zeros(len(data), bool)
+    begins[1:] = solid[1:] & ~solid[:-1]
+    begins[1:-1] |= (kind[1:-1] == _END) & (kind[:-2] == _LETTER) & ~solid[2:]
+    if _CONTROL not in whole:
+        capital = data - np.uint8(ord("A")) < 26
+        capital[:-1] &= data[1:] < 0xC4  # Latin-1 ends here in UTF-8; no code point of it combines
+        data = data + (capital.view(np.uint8) << 5)
+    held = data[solid]
+    at = np.flatnonzero(begins)
+    offsets = np.append(np.cumsum(solid, dtype="<i4")[at] - 1, len(held)).astype("<i4")
+    firsts = 1 + np.cumsum([0, *[len(text) + 1 for text in texts]])
+    runs = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(held)])
+    return runs, np.searchsorted(at, firsts)
+
+
 class Encoder:
     """Ids of whole texts, put together from the ids of their pieces.
 
     For a tokenizer that never joins across white space or from a letter to
     punctuation (``word_bpe_49k``: its splitting pattern takes letters, digits and
     the rest apart) the ids of a text are those of its pieces in a row.  Text is cut into runs at
-    space, tab and line ends only, which every rule of the tokenizer counts as white space; the runs of
-    a group of texts that are new to the worker are cut into pieces, these are encoded, and both
-    are looked up from then on.  Latin-1 words differ by case in no id.
+    space, tab and line ends, which every rule of the tokenizer counts as white space, and before the mark that
+    ends a word.  Each different run of a group of texts is looked up once; those that are new to the worker are
+    cut into pieces, these are encoded, and both are looked up from then on.  Latin-1 words differ by case in no
+    id.  Control tokens do, so a group that may hold one keeps its case.
     """
 
     def __init__(self, path: str, id_bytes: int) -> None:
@@ -111,16 +142,21 @@ class Encoder:
         self.known.update({run: b"".join(map(self.known.__getitem__, parts)) for run, parts in folded.items()})
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
-        runs = [text.translate(_ONLY_CUTS).split(b" ") for text in texts]
-        found = [list(map(self.known.get, held)) for held in runs]
-        gaps = [[at for at, ids in enumerate(of) if ids is None] for of in found]
-        new = {held[at] for held, places in zip(runs, gaps) for at in places}
-        if new:
-            self._learn(new)
-            for held, of, places in zip(runs, found, gaps):
-                for at in places:
-                    of[at] = self.known[held[at]]
-        return [b"".join(of) for of in found]
+        runs, firsts = _cut(texts)
+        coded = runs.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, names))
+        gaps = [at for at, ids in enumerate(found) if ids is None]
+        if gaps:
+            self._learn({names[at] for at in gaps})
+            for at in gaps:
+                found[at] = self.known[names[at]]
+        offsets = np.concatenate([[0], np.cumsum(list(map(len, found)), dtype="<i8")]).astype("<i8")
+        by_name = pa.Array.from_buffers(pa.large_binary(), len(found), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(found))])
+        _, ends, data = by_name.take(coded.indices).buffers()
+        bounds = np.frombuffer(ends, "<i8")[firsts].tolist()
+        ids = memoryview(data or b"")
+        return [bytes(ids[begin:end]) for begin, end in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def encode(self, text: bytes) -> bytes:
         return self.encode_all([text])[0]
