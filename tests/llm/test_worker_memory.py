@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 
-from zealmark.llm import token_files, toxicity
+from zealmark.llm import common, decontaminate, jaccard_join, token_files, toxicity
 
 
 class _Docs:
@@ -67,3 +67,28 @@ def test_the_encoder_is_given_up_when_the_files_are_written(monkeypatch):
     monkeypatch.setattr(token_files, "_ENCODERS", {("path", 2): object()})
     assert not list(token_files._reader(iter([])))
     assert not token_files._ENCODERS
+
+
+def test_a_task_gives_back_memory_when_it_has_dropped_its_texts(spark, frame, monkeypatch):
+    given, items = [], frame([(1, "one two three four five six seven eight nine ten")], "item_id bigint, text string")
+    monkeypatch.setattr(decontaminate, "_finder", lambda *_: lambda: lambda texts: ([0] * len(texts), [([(0, 1)] if b"ten" in t else [], set()) for t in texts]))
+    monkeypatch.setattr(common, "give_back_memory", lambda: given.append(True))
+
+    class Docs(_Docs):
+        def select(self, *columns):
+            return self
+
+    keep = decontaminate.drop_contaminated(Docs(spark), items)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["a ten", "kind", None]})
+    assert [row["doc_id"] for part in keep(iter([batch, batch])) for row in part.to_pylist()] == [2, 3, 2, 3]
+    assert given == [True]  # once a task
+    assert not list(keep(iter([]))) and len(given) == 2
+
+
+def test_the_steps_of_the_join_give_back_memory(spark, frame, monkeypatch):
+    steps = []
+    monkeypatch.setattr(jaccard_join, "giving_back", lambda run: steps.append(run) or common.giving_back(run), raising=False)
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    docs = frame([(1, text), (2, text + " more"), (3, "kind gentle"), (4, None)], "doc_id bigint, text string")
+    assert [row.doc_id for row in jaccard_join.keep_one_of_each(docs).orderBy("doc_id").collect()] == [1, 3, 4]
+    assert {jaccard_join._profile, jaccard_join._keys, jaccard_join._verify} <= set(steps)

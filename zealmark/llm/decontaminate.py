@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zealmark.llm.common import byte_list, narrowed, prepare
+from zealmark.llm.common import byte_list, giving_back, narrowed, prepare
 
 WINDOW = 10
 # An index slice covers about so many bytes of benchmark text; further slices are loaded one after the other.
@@ -181,4 +181,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
             _, found = held([text or b"" for text in byte_list(batch, "text")])
             yield batch.filter(pa.array([not spans for spans, _ in found], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(giving_back(keep), docs.schema)

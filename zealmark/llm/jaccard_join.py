@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zealmark.llm.common import bitmap_spot, byte_list, in_bitmap, narrowed, packed, partitions, prepare, seen_bitmap
+from zealmark.llm.common import bitmap_spot, byte_list, giving_back, in_bitmap, narrowed, packed, partitions, prepare, seen_bitmap
 from zealmark.llm.components import connected
 from zealmark.session import stage
 
@@ -303,8 +303,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def meeting_keys(rows: DataFrame) -> DataFrame:
     """(key, node) of all keys by which nodes have to be compared."""
     spark = rows.sparkSession
-    laid = rows.select("text").mapInArrow(_keys, KEYS).repartition(partitions(spark), "key").sortWithinPartitions("key", "node")
-    shared = stage(laid.mapInArrow(_shared, SHARED), "shared-keys")
+    laid = rows.select("text").mapInArrow(giving_back(_keys), KEYS).repartition(partitions(spark), "key").sortWithinPartitions("key", "node")
+    shared = stage(laid.mapInArrow(giving_back(_shared), SHARED), "shared-keys")
     hot = shared.where("n_nodes is null").drop("n_nodes")
     counted = hot.join(hot.groupBy("key").agg(F.count("*").alias("n_nodes")), "key")
     weighed = shared.where("n_nodes is not null").unionByName(counted)
@@ -399,7 +399,7 @@ def _blocks(open_: DataFrame, standing: DataFrame, firsts: DataFrame) -> DataFra
     reps = reps.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("other", F.lit(0))
     laid = nodes.select("key", "part", "chunk", "other", "node", "root").unionByName(reps.select("key", "part", "chunk", "other", "node", "root")).join(about, "node")
     laid = laid.repartition(partitions(spark), "key", "part", "chunk").sortWithinPartitions("key", "part", "chunk", "other", "node")
-    return laid.mapInArrow(_meet, "u bigint, v bigint")
+    return laid.mapInArrow(giving_back(_meet), "u bigint, v bigint")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,11 +434,11 @@ def _links(rows: DataFrame, firsts: DataFrame, candidates: DataFrame) -> DataFra
     needed = candidates.select(F.col("u").alias("node")).unionByName(candidates.select(F.col("v").alias("node"))).distinct()
     needed = stage(firsts.join(needed, "node", "left_semi").select("node", "doc_id"), "needed")
     bitmap = spark.sparkContext.broadcast(seen_bitmap(needed, "doc_id"))
-    found = rows.select("doc_id", "text", bitmap_spot("doc_id").alias("spot")).mapInArrow(_wanted(bitmap), "node bigint, text string")
+    found = rows.select("doc_id", "text", bitmap_spot("doc_id").alias("spot")).mapInArrow(giving_back(_wanted(bitmap)), "node bigint, text string")
     texts = stage(found.join(needed.select("node"), "node", "left_semi"), "texts")
     pairs = candidates.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
     pairs = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
-    return pairs.select("u", "v", "text_u", "text_v").mapInArrow(_verify, "u bigint, v bigint").distinct()
+    return pairs.select("u", "v", "text_u", "text_v").mapInArrow(giving_back(_verify), "u bigint, v bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -452,7 +452,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = prepare(docs.sparkSession)
     rows = narrowed(docs, id_col, text_col)
-    profile = stage(rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_profile, PROFILE), "profile")
+    profile = stage(rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(giving_back(_profile), PROFILE), "profile")
     nodes = profile.where("node is not null")
     firsts = stage(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("size"), F.first("sketch").alias("sketch")), "nodes")
     groups = meeting_keys(rows)
